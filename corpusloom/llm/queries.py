@@ -8,23 +8,41 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
+from .decontaminate import benchmark_hits
 from .embeddings import embedding_groups
+from .quality import score_quality
 from .simhash import simhash_groups
 from .sql import ORACLES
+from .toxicity import score_toxicity
 
 __all__ = ["QUERIES", "ORACLES"]
 
 
+def op2_rule_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash_groups(table(spark, sf_dir, "documents"))
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op4_cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return benchmark_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_groups(table(spark, sf_dir, "embeddings"))
 
 
+def op7_weak_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_rule_quality": op2_rule_quality,
     "op3_simhash": op3_simhash,
+    "op4_cgk_decontamination": op4_cgk_decontamination,
     "op6_embedding_dedup": op6_embedding_dedup,
+    "op7_weak_toxicity": op7_weak_toxicity,
 }
