@@ -51,9 +51,9 @@ def share_budget(nodes: DataFrame, parent: list[str], child: str) -> DataFrame:
     live = live.withColumn("room", F.when(F.col("weight") > 0, F.col("capacity")).otherwise(F.lit(0)).cast("long"))
     live = live.withColumn("spent", F.coalesce(F.sum("room").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     live = live.withColumn("left", F.sum(F.when(F.col("weight") > 0, F.col("weight")).otherwise(0.0)).over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing)))
-    # in order of capacity / weight, the first child that does not fill at this level sets the level for the rest
+    # in order of capacity / weight, the first child that does not fill sets the level; those after it come out lower
     live = live.withColumn("level", F.when((F.col("left") > 0) & (F.col("weight") > 0), (F.col("budget") - F.col("spent")) / F.col("left")))
-    live = live.withColumn("final", F.min(F.when(F.col("level") <= F.col("fill"), F.col("level"))).over(group))
+    live = live.withColumn("final", F.max(F.when(F.col("level") <= F.col("fill"), F.col("level"))).over(group))
     share = F.least(F.col("room").cast("double"), F.floor(F.coalesce(F.col("final") * F.col("weight"), F.col("room").cast("double")) + 1e-6)).cast("long")
     live = live.withColumn("share", F.when(F.col("weight") > 0, F.greatest(share, F.lit(0).cast("long"))).otherwise(F.lit(0).cast("long")))
     ahead = group.orderBy(F.col(child)).rowsBetween(Window.unboundedPreceding, -1)
@@ -63,48 +63,43 @@ def share_budget(nodes: DataFrame, parent: list[str], child: str) -> DataFrame:
     return live.withColumn("share", (F.col("share") + extra).cast("long")).select(*nodes.columns, "share")
 
 
-def leaf_budgets(leaves: DataFrame, levels: list[str], budget: int | Column, epochs: int, weight: Column) -> DataFrame:
+def leaf_budgets(leaves: DataFrame, levels: list[str], weights: list[Column], budget: int, epochs: int) -> DataFrame:
     """``leaves(levels..., tokens)`` with ``budget``: the tokens each leaf gives, by way of every level of the tree.
 
-    weight: an expression over the level columns, of a leaf; an inner node weighs what its leaves weigh together.
+    weights: for each level an expression over its column and those above it, the weight among siblings.
     """
-    capacity = (F.col("tokens") * epochs).cast("long")
-    base = leaves.select(*levels, "tokens", capacity.alias("capacity"), weight.cast("double").alias("weight"))
+    base = leaves.select(*levels, "tokens", (F.col("tokens") * epochs).cast("long").alias("capacity"))
     above: DataFrame | None = None
-    for depth in range(1, len(levels) + 1):
+    for depth, weight in enumerate(weights, 1):
         own, parent = levels[:depth], levels[: depth - 1]
-        nodes = base.groupBy(*own).agg(F.sum("capacity").cast("long").alias("capacity"), F.sum("weight").alias("weight"), F.sum("tokens").cast("long").alias("tokens"))
-        if above is None:
-            nodes = nodes.withColumn("budget", budget if isinstance(budget, Column) else F.lit(budget).cast("long"))
-        else:
-            nodes = nodes.join(above, parent)
-        shared = share_budget(nodes, parent, levels[depth - 1])
-        above = shared.select(*own, F.col("share").alias("budget"))
+        nodes = base.groupBy(*own).agg(F.sum("capacity").cast("long").alias("capacity")).withColumn("weight", F.coalesce(weight.cast("double"), F.lit(0.0)))
+        nodes = nodes.withColumn("budget", F.lit(budget).cast("long")) if above is None else nodes.join(above, parent)
+        above = share_budget(nodes, parent, levels[depth - 1]).select(*own, F.col("share").alias("budget"))
     return base.select(*levels, "tokens").join(above, levels)
 
 
 def mix(
-    docs: DataFrame, levels: dict[str, Column], weight: Column, fraction: float, epochs: int = 1, id_col: str = "doc_id", text_col: str = "text", seed: int = SEED, range_rows: int = RANGE_ROWS,
+    docs: DataFrame, levels: dict[str, Column], weights: list[Column], fraction: float, epochs: int = 1, id_col: str = "doc_id", text_col: str = "text", seed: int = SEED, range_rows: int = RANGE_ROWS,
 ) -> DataFrame:
-    """``(id_col, levels..., epoch, tokens, tokens_taken)``: what each document gives to a mixture of ``fraction`` of all tokens.
+    """``(id_col, levels..., epoch, tokens, tokens_taken)``, and ``text_hash``: what each document gives to a mixture of ``fraction`` of all tokens.
 
-    levels: names and expressions, from the root's children down to the leaves. A document appears once for each of its
+    levels: names and expressions, from the root's children down to the leaves; weights: for each level
+    an expression over these names. A document appears once for each of its
     leaf's epochs that takes it. Defined cases: null level values are the leaf ``unknown``; documents without words are never taken;
     a null id is ordered as the empty text; rows of equal ids in a leaf are ordered by size, equal rows stand
     together; a budget above what all weighted leaves hold takes all of it; an empty table gives an empty result.
     """
     names = list(levels)
-    rows = docs.select(F.col(id_col).alias("id"), *(F.coalesce(c.cast("string"), F.lit("unknown")).alias(n) for n, c in levels.items()), count_tokens(F.col(text_col)).alias("tokens"))
+    rows = docs.select(F.col(id_col).alias("id"), *(F.coalesce(c.cast("string"), F.lit("unknown")).alias(n) for n, c in levels.items()), count_tokens(F.col(text_col)).alias("tokens"), F.xxhash64(text_col).alias("text_hash"))
     rows = materialize(rows.where("tokens > 0"))
     leaves = rows.groupBy(*names).agg(F.sum("tokens").cast("long").alias("tokens"), F.count("*").alias("n"))
-    total = Window.partitionBy(F.lit(0))
-    sized = leaves.withColumn("__all", F.floor(F.sum("tokens").over(total) * fraction).cast("long"))
-    amount = sized.groupBy().agg(F.coalesce(F.max("__all"), F.lit(0)).alias("b")).first()["b"]  # one number
-    plan = leaf_budgets(leaves, names, int(amount), epochs, weight).join(leaves.select(*names, "n"), names)
+    leaves = materialize(leaves)
+    amount = int((leaves.agg(F.sum("tokens")).first()[0] or 0) * fraction)  # one number
+    plan = leaf_budgets(leaves, names, weights, amount, epochs).join(leaves.select(*names, "n"), names)
     plan = plan.withColumn("passes", F.floor(F.col("budget") / F.col("tokens")).cast("int")).withColumn("rest", F.col("budget") - F.col("passes") * F.col("tokens"))
     plan = materialize(plan.withColumn("ranges", F.ceil(F.col("n") / range_rows)).select(*names, "passes", "rest", "ranges"))
     planned = rows.join(plan, names)
-    whole = planned.where("passes > 0").select("id", *names, F.explode(F.sequence(F.lit(0), F.col("passes") - 1)).alias("epoch"), "tokens", F.col("tokens").alias("tokens_taken"))
+    whole = planned.where("passes > 0").select("id", "text_hash", *names, F.explode(F.sequence(F.lit(0), F.col("passes") - 1)).alias("epoch"), "tokens", F.col("tokens").alias("tokens_taken"))
     last = planned.where("rest > 0").withColumn("h", seeded_order(F.lit(seed), F.col("passes"), F.coalesce(F.col("id").cast("string"), F.lit(""))))
     last = last.withColumn("range", F.floor(F.col("h") / F.lit(float(1 << 60)) * F.col("ranges")).cast("long"))
     sums = last.groupBy(*names, "range").agg(F.sum("tokens").alias("s"))
@@ -112,9 +107,22 @@ def mix(
     sums = sums.select(*names, "range", F.coalesce(F.sum("s").over(before), F.lit(0)).cast("long").alias("ahead"), "s")
     last = last.join(sums, [*names, "range"]).where("ahead < rest")
     full = last.where("ahead + s <= rest").withColumn("tokens_taken", F.col("tokens"))
-    within = Window.partitionBy(*names, "range").orderBy("h", "id", "tokens").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy(*names, "range").orderBy("h", "id", "tokens", "text_hash").rowsBetween(Window.unboundedPreceding, -1)
     edge = last.where("ahead + s > rest").withColumn("at", F.col("ahead") + F.coalesce(F.sum("tokens").over(within), F.lit(0)))
     edge = edge.where("at < rest").withColumn("tokens_taken", F.least(F.col("tokens"), F.col("rest") - F.col("at")))
-    shape = ["id", *names, F.col("passes").alias("epoch"), "tokens", F.col("tokens_taken").cast("long").alias("tokens_taken")]
+    shape = ["id", "text_hash", *names, F.col("passes").alias("epoch"), "tokens", F.col("tokens_taken").cast("long").alias("tokens_taken")]
     out = whole.union(full.select(*shape)).union(edge.select(*shape))
     return out.withColumnRenamed("id", id_col)
+
+
+def take_mixture(docs: DataFrame, mixture: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents of a mixture with all their columns, once for each time that they are taken, texts cut to ``tokens_taken``.
+
+    Rows equal in id and text are taken as often as the mixture takes them, with the other columns of one of them.
+    """
+    takes = mixture.groupBy(F.col(id_col).alias("__id"), F.col("text_hash").alias("__th")).agg(F.collect_list(F.struct("tokens", "tokens_taken")).alias("__take"))
+    keyed = docs.withColumn("__h", F.xxhash64(text_col))
+    same = F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__th"))
+    once = keyed.join(takes, same).dropDuplicates(["__id", "__th"]).withColumn("__one", F.explode("__take"))
+    text = F.when(F.col("__one.tokens_taken") < F.col("__one.tokens"), cut_tokens(F.col(text_col), F.col("__one.tokens_taken"))).otherwise(F.col(text_col))
+    return once.select(*(text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns))

@@ -45,7 +45,7 @@ def canonical_url(url: Column) -> Column:
 
 
 def _mask(h: Column, word: int) -> Column:
-    return F.shiftleft(F.lit(1).cast("long"), F.shiftrightunsigned(h, 6 * word).bitwiseAND(63).cast("int"))
+    return F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, 6 * word).bitwiseAND(F.lit(63)).cast("int"))
 
 
 def _block(h: Column, blocks: int) -> Column:
