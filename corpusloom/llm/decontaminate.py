@@ -73,6 +73,7 @@ class ItemIndex:
             for i, w in enumerate(ws):
                 masks[w] = masks.get(w, 0) | 1 << i
             self.masks.append(masks)
+        self.sizes = np.array([len(ws) for ws in self.words], np.int64)
         self.lengths = sorted({len(ws) for ws in self.words})
         self.edits = {n: int(n * (1 - similarity) + 1e-9) for n in self.lengths}
         self.base = len(self.vocabulary) + 2
@@ -83,6 +84,11 @@ class ItemIndex:
         spots = np.sort(rng.random((repetitions, sampled)), axis=1)
         self.steps = [{n: [int(u * REACH * n) for u in row] for n in self.lengths} for row in spots]
         self.members = {n: [i for i, ws in enumerate(self.words) if len(ws) == n] for n in self.lengths}
+        self.every = np.arange(self.base)
+        self.distinct = [np.unique(ws)[:64] for ws in self.words]
+        # adjacent equal words that a match's window can hold: an edit makes two at most, the end of the window as many as edits
+        pairs = [sum(a == b for a, b in zip(ws, ws[1:])) for ws in self.words]
+        self.repeats = {n: max(p for p, ws in zip(pairs, self.words) if len(ws) == n) + 3 * self.edits[n] for n in self.lengths}
         self.keys: list[dict[int, tuple[np.ndarray, np.ndarray]]] = []
         for r in range(repetitions):
             by_length = {}
@@ -95,6 +101,9 @@ class ItemIndex:
                 by_length[n] = key[order], np.array(own)[order]
             self.keys.append(by_length)
 
+    def bits(self, r: int, j: int, word: np.ndarray) -> np.ndarray:
+        return (((word.astype(np.uint64) + np.uint64(1)) * self.factors[r, j]) >> np.uint64(41) & np.uint64(1)).astype(np.int32)
+
     def walk(self, ids: np.ndarray, starts: np.ndarray, longest: np.ndarray, r: int, wanted: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
         """Sampled keys by item length. starts: in falling order of ``longest``, the longest item length tried there."""
         records: dict[int, list[int]] = {}
@@ -107,22 +116,26 @@ class ItemIndex:
             most = max(most, *self.steps[r][n])
             last[n] = most
         ends = last[longest]  # falls as longest does
-        pos = starts.astype(np.int64)
+        pos = starts.astype(np.int32)
         for j in range(most + 1):
             active = int(np.searchsorted(-ends, -j, side="right"))
             word = ids[pos[:active]]
             for n in records.get(j, ()):
                 keys[n] = keys[n] * self.base + word[wanted[n]]
-            pos[:active] += ((word.astype(np.uint64) * self.factors[r, j]) >> np.uint64(41) & np.uint64(1)).astype(np.int64)
+            # the bit of every word at this step is cheaper to make once than for each pointer
+            pos[:active] += self.bits(r, j, self.every)[word] if self.base < active else self.bits(r, j, word)
         return keys
 
     def candidates(self, ids: np.ndarray) -> np.ndarray:
         """Pairs (start, item) to verify. ids: word ids, 0 outside the vocabulary, with padding at the end."""
         total = len(ids) - self.padding
         known = np.concatenate(([0], np.cumsum(ids > 0, dtype=np.int32)))
+        again = np.zeros(len(ids) + 1, np.int32)
+        np.cumsum((ids[1:] == ids[:-1]) & (ids[1:] > 0), out=again[2:])
         longest, passing = np.zeros(total, np.int32), {}
         for n in self.lengths:
-            passing[n] = np.flatnonzero(known[n : n + total] - known[:total] >= n - self.edits[n])
+            fits = known[n : n + total] - known[:total] >= n - self.edits[n]
+            passing[n] = np.flatnonzero(fits & (again[n : n + total] - again[1 : 1 + total] <= self.repeats[n]))
             longest[passing[n]] = n
         starts = np.flatnonzero(longest)
         if not len(starts):
@@ -136,14 +149,31 @@ class ItemIndex:
         for r in range(len(self.keys)):
             for n, key in self.walk(ids, starts, longest[starts], r, wanted).items():
                 known_keys, items = self.keys[r][n]
-                a, b = np.searchsorted(known_keys, key, "left"), np.searchsorted(known_keys, key, "right")
-                hit = np.flatnonzero(b > a)
+                a = np.searchsorted(known_keys, key, "left")
+                hit = np.flatnonzero(known_keys[np.minimum(a, len(known_keys) - 1)] == key)
                 if len(hit):
-                    times = (b - a)[hit]
+                    times = np.searchsorted(known_keys, key[hit], "right") - a[hit]
                     at = np.repeat(a[hit], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
                     found.append(np.repeat(starts[wanted[n][hit]], times).astype(np.int64) * len(self.words) + items[at])
         both = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
-        return np.stack((both // len(self.words), both % len(self.words)), axis=1) if len(both) else np.zeros((0, 2), np.int64)
+        pairs = np.stack((both // len(self.words), both % len(self.words)), axis=1)
+        return pairs[self.enough_words(ids, pairs)]
+
+    def enough_words(self, ids: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+        """Whether the surroundings of each candidate hold enough different words of its item, as an edit takes one away at most."""
+        ok = np.zeros(len(pairs), bool)
+        order = np.argsort(pairs[:, 1], kind="stable")
+        items, starts = np.unique(pairs[order, 1], return_index=True)
+        for item, own in zip(items.tolist(), np.split(order, starts[1:])):
+            words, n = self.distinct[item], self.sizes[item]
+            edits = self.edits[n]
+            for at in range(0, len(own), 1 << 14):
+                some = own[at : at + (1 << 14)]
+                near = ids[np.maximum(pairs[some, :1] + np.arange(-edits, n + edits), 0)]
+                place = np.minimum(np.searchsorted(words, near), len(words) - 1)
+                bits = np.where(words[place] == near, np.uint64(1) << place.astype(np.uint64), np.uint64(0))
+                ok[some] = np.bitwise_count(np.bitwise_or.reduce(bits, axis=1)) >= len(words) - edits
+        return ok
 
     @property
     def padding(self) -> int:
