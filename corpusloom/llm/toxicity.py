@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -24,7 +23,7 @@ from .arrow_text import text_slices, utf8
 from .decontaminate import words_of
 from .fitting import held_out_flag, labelled_sample, lasso_logistic, sigmoid
 
-SAMPLE = 12_000
+SAMPLE = 8_000
 LEXICON_VOTERS = 24
 PENALTY = 0.00004
 THRESHOLD = 0.7
@@ -43,10 +42,6 @@ def features_of(word: bytes) -> list[bytes]:
     return [b"=" + word, *(word[:n] for n in (4, 5, 6) if len(word) >= n)]
 
 
-def doc_features(text: bytes) -> set[bytes]:
-    return {f for w in set(words_of(text)) for f in features_of(w)}
-
-
 def pattern_votes(text: bytes) -> list[bool]:
     return [p.search(text) is not None for p in PATTERNS.values()]
 
@@ -88,7 +83,7 @@ def fit_label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 60, pass
         rest = votes - (np.outer(q, model.on) + np.outer(1 - q, model.off))
         norm = np.sqrt((rest**2).sum(axis=0)) + 1e-9
         correlation = rest.T @ rest / np.outer(norm, norm)
-        strong = np.where(np.abs(correlation) > 0.1, np.abs(correlation), 0)
+        strong = correlation**2  # k copies of one voter get 1 / k of a voice each
         np.fill_diagonal(strong, 0)
         weight = 1 / (1 + strong.sum(axis=1))
         model = LabelModel(model.prior, model.on, model.off, correlation, weight)
@@ -124,26 +119,47 @@ class ToxicityModel:
 
 
 def _without_copies(texts: list[bytes]) -> list[int]:
-    """Indexes of texts of which no earlier one shares two of four least shingle hashes."""
-    seen: set[int] = set()
+    """Indexes of texts of which no earlier one has three of the same four least shingle hashes in a row."""
+    seen: set[tuple[int, ...]] = set()
     keep = []
     for i, t in enumerate(texts):
         words = words_of(t)
-        own = {zlib.crc32(b" ".join(words[j : j + 5])) for j in range(max(1, len(words) - 4))}
-        least = sorted(own)[:4]
-        if len(least) < 4 or sum(h in seen for h in least) < 2:
+        least = sorted({zlib.crc32(b" ".join(words[j : j + 5])) for j in range(max(1, len(words) - 4))})[:4]
+        marks = {tuple(least[:3]), tuple(least[1:])}
+        if not marks & seen:
             keep.append(i)
-        seen.update(least)
+        seen |= marks
     return keep
 
 
-def mine_lexicon(features: list[set[bytes]], y: np.ndarray, least: int = 5, ratio: float = 3.0) -> list[bytes]:
-    """Features of at least ``least`` toxic texts whose smoothed log odds ratio is at least ``ratio``."""
-    on, off = Counter(), Counter()
-    for f, label in zip(features, y):
-        (on if label else off).update(f)
-    n1, n0 = max(1, int(y.sum())), max(1, int((1 - y).sum()))
-    return sorted(f for f, c in on.items() if c >= least and np.log((c + 0.5) / (n1 + 1)) - np.log((off[f] + 0.5) / (n0 + 1)) >= ratio)
+class FeatureTable:
+    """Which features each text of a sample has, as numbers: rows ``row[i]`` have feature ``col[i]``."""
+
+    def __init__(self, texts: list[bytes]):
+        words: dict[bytes, int] = {}
+        own = [np.array(sorted({words.setdefault(w, len(words)) for w in words_of(t)}), np.int64) for t in texts]
+        ids: dict[bytes, int] = {}
+        kinds = np.full((len(words), 4), -1, np.int64)
+        for w, i in words.items():
+            found = [ids.setdefault(f, len(ids)) for f in features_of(w)]
+            kinds[i, : len(found)] = found
+        cols = [np.unique(kinds[w]) for w in own]
+        cols = [c[c >= 0] for c in cols]
+        self.names = list(ids)
+        self.n = len(texts)
+        self.col = np.concatenate(cols) if cols else np.zeros(0, np.int64)
+        self.row = np.repeat(np.arange(self.n), [len(c) for c in cols])
+
+    def counts(self, weight: np.ndarray) -> np.ndarray:
+        """Of each feature, the weight of the texts that have it."""
+        return np.bincount(self.col, weight[self.row], len(self.names))
+
+
+def mine_lexicon(table: FeatureTable, y: np.ndarray, least: float = 0.005, ratio: float = 3.0) -> np.ndarray:
+    """Features of at least two toxic texts and a share ``least`` of them whose smoothed log odds ratio is at least ``ratio``."""
+    on, off = table.counts(y), table.counts(1 - y)
+    odds = np.log((on + 0.5) / (y.sum() + 1)) - np.log((off + 0.5) / ((1 - y).sum() + 1))
+    return np.flatnonzero((on >= max(2, least * y.sum())) & (odds >= ratio))
 
 
 def fit_toxicity(texts: list[bytes], y: np.ndarray, voters: int = LEXICON_VOTERS, penalty: float = PENALTY) -> ToxicityModel:
@@ -152,35 +168,32 @@ def fit_toxicity(texts: list[bytes], y: np.ndarray, voters: int = LEXICON_VOTERS
         return ToxicityModel(intercept=20.0 if len(y) and y.min() else -20.0)
     keep = _without_copies(texts)
     texts, y = [texts[i] for i in keep], y[keep]
-    features = [doc_features(t) for t in texts]
-    lexicon = mine_lexicon(features, y)
-    voter_of = {f: zlib.crc32(f) % voters for f in lexicon}
-    votes = np.zeros((len(texts), voters + len(PATTERNS)), bool)
-    for i, (f, t) in enumerate(zip(features, texts)):
-        votes[i, [voter_of[x] for x in f if x in voter_of]] = True
-        votes[i, voters:] = pattern_votes(t)
+    table = FeatureTable(texts)
+    votes = np.zeros((table.n, voters + len(PATTERNS)), bool)
+    votes[:, voters:] = [pattern_votes(t) for t in texts]
+    del texts
+    voter_of = np.full(len(table.names), -1)
+    lexicon = mine_lexicon(table, y)
+    voter_of[lexicon] = [zlib.crc32(table.names[i]) % voters for i in lexicon]
+    voting = voter_of[table.col] >= 0
+    votes[table.row[voting], voter_of[table.col[voting]]] = True
     label_model = fit_label_model(votes, np.clip(votes[:, :voters].sum(axis=1) / 2, 0.02, 0.98))
     posterior = label_model.posterior(votes)
     # features that differ between the posterior classes, none rare
-    on, all_ = Counter(), Counter()
-    for f, q in zip(features, posterior):
-        all_.update(f)
-        if q >= 0.5:
-            on.update(f)
+    all_, on = table.counts(np.ones(table.n)), table.counts((posterior >= 0.5).astype(float))
     share = max(1e-6, float((posterior >= 0.5).mean()))
-    names = sorted(f for f, c in all_.items() if c >= 4 and abs(np.log((on[f] + 0.2) / (c * share + 0.2))) >= 1.2)
-    place = {f: j for j, f in enumerate(names)}
-    row = np.concatenate([np.full(sum(x in place for x in f), i) for i, f in enumerate(features)] or [np.zeros(0, int)]).astype(np.int64)
-    col = np.concatenate([np.fromiter((place[x] for x in sorted(f) if x in place), np.int64) for f in features] or [np.zeros(0, np.int64)])
-    extra = votes[:, voters:].astype(float)
-    n, d = len(texts), len(names)
+    used = np.flatnonzero((all_ >= max(2, 0.0005 * table.n)) & (np.abs(np.log((on + 0.2) / (all_ * share + 0.2))) >= 1.2))
+    place = np.full(len(table.names), -1)
+    place[used] = np.arange(len(used))
+    some = place[table.col] >= 0
+    row, col, extra, n, d = table.row[some], place[table.col[some]], votes[:, voters:].astype(float), table.n, len(used)
     times = lambda w: np.bincount(row, w[:d][col], n) + extra @ w[d:]
     back = lambda r: np.concatenate((np.bincount(col, r[row], d), extra.T @ r))
     v = np.ones(d + extra.shape[1])
     for _ in range(15):
         v = back(times(v / np.linalg.norm(v)))
     w, b = lasso_logistic(times, back, posterior, d + extra.shape[1], penalty, 0.25 * (np.linalg.norm(v) / n + 1), 1500)
-    return ToxicityModel({f: float(x) for f, x in zip(names, w) if x}, [float(x) for x in w[d:]], b, label_model)
+    return ToxicityModel({table.names[i]: float(x) for i, x in zip(used, w) if x}, [float(x) for x in w[d:]], b, label_model)
 
 
 def learn_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 3, fold: int = 1, sample: int = SAMPLE) -> ToxicityModel:
