@@ -1,4 +1,723 @@
-"""Registered queries of the engine and their SQL."""
+"""Registered queries of the engine over whole tables, each with the SQL that checks it.
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+A query's shape names its columns and their kinds: ``b`` integer, ``s`` as it is, a number for digits after the point.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.columns import embedding_text, performance_band, title_abstract
+from ..plans.materialize import materialize
+from ..session import table
+from ..sources import datasets, fixtures
+from ..streaming.stopping import windowed_counts
+from . import centrality, detector, evaluation, features, graph, outliers, reporting, scores, screening
+from .iforest import isolation_forest
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+METHODS = ["lof_embeddings", "lof_network", "lof_mixed", "isolation_forest"]
+LOCAL = ["degree", "in_degree", "out_degree", "relevant_neighbors", "relevant_ratio", "mean_neighbor_degree", "std_neighbor_degree", "max_neighbor_degree"]
+
+
+def _typed(name: str, kind: str) -> Column:
+    if kind == "b":
+        return F.col(name).cast("long").alias(name)
+    return F.col(name) if kind == "s" else (F.round(F.col(name).cast("double"), int(kind)) + F.lit(0.0)).alias(name)
+
+
+def _typed_sql(name: str, kind: str) -> str:
+    if kind == "b":
+        return f'{name}::BIGINT AS {name}'
+    return name if kind == "s" else f"round({name}::DOUBLE, {kind}) + 0.0 AS {name}"
+
+
+def query(shape: str, sql: str | None = None):
+    """Register a function as the query of its name."""
+    columns = [tuple(x.split(":")) for x in shape.split()]
+
+    def register(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = lambda spark, folder: f(spark, folder).select(*(_typed(*c) for c in columns))
+        if sql is not None:
+            ORACLES[f.__name__] = f"SELECT {', '.join(_typed_sql(*c) for c in columns)} FROM ({sql}) AS answer"
+        return f
+
+    return register
+
+
+# ---------------------------------------------------------------- SQL of the inputs
+
+IDS = "ids AS (SELECT d.doc_id AS id, coalesce(l.toxic, 0)::INT AS y, l.toxic IS NOT NULL AS eligible, d.lang AS dataset FROM documents d LEFT JOIN labels l USING (doc_id))"
+EDGES = """line AS (SELECT *, l_partkey % (SELECT count(*) FROM documents) AS node FROM lineitem),
+refs AS (SELECT node AS src, lead(node) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS dst FROM line),
+edges AS (SELECT src, dst, 1.0 + count(*) AS weight FROM refs WHERE src <> dst GROUP BY src, dst)"""
+NEAR = "near AS (SELECT src AS id, dst AS nb FROM edges UNION SELECT dst, src FROM edges)"
+DEGREES = """deg AS (SELECT i.id, i.y, coalesce(a.n, 0) AS out_degree, coalesce(b.n, 0) AS in_degree, coalesce(a.n, 0) + coalesce(b.n, 0) AS degree FROM ids i
+LEFT JOIN (SELECT src AS id, count(*) AS n FROM edges GROUP BY src) a USING (id) LEFT JOIN (SELECT dst AS id, count(*) AS n FROM edges GROUP BY dst) b USING (id)),
+hood AS (SELECT n.id, count(*) AS k, sum(d.y) AS rel, avg(d.degree) AS m, stddev_pop(d.degree) AS s, max(d.degree) AS x FROM near n JOIN deg d ON d.id = n.nb GROUP BY n.id),
+feats AS (SELECT d.id, d.degree, d.in_degree, d.out_degree, coalesce(h.rel, 0) AS relevant_neighbors, coalesce(h.rel / greatest(1, h.k), 0) AS relevant_ratio,
+coalesce(h.m, 0) AS mean_neighbor_degree, coalesce(h.s, 0) AS std_neighbor_degree, coalesce(h.x, 0) AS max_neighbor_degree FROM deg d LEFT JOIN hood h USING (id))"""
+GRAPH = f"WITH RECURSIVE {IDS}, {EDGES}, {NEAR}, {DEGREES}"
+SCORED = f"""{IDS}, scored AS (SELECT i.id, i.y, i.dataset,
+CASE WHEN e.vec_id IS NOT NULL THEN 1 + (i.id * 37 % 101)::DOUBLE / 100 ELSE 0.0 END AS lof_embeddings, (i.id * 73 % 97)::DOUBLE / 50 + i.y * 0.25::DOUBLE AS lof_network,
+(i.id * 91 % 89)::DOUBLE / 60 AS lof_mixed, (i.id * 57 % 83)::DOUBLE / 83 - 0.5::DOUBLE AS isolation_forest
+FROM ids i LEFT JOIN (SELECT DISTINCT vec_id FROM embeddings) e ON e.vec_id = i.id),
+long AS (UNPIVOT (SELECT id, y, dataset, lof_embeddings, lof_network, lof_mixed, isolation_forest FROM scored) ON lof_embeddings, lof_network, lof_mixed, isolation_forest INTO NAME method VALUE score)"""
+ENSEMBLE = f"""{SCORED}, norm AS (SELECT *, CASE WHEN max(score) OVER w - min(score) OVER w > 1e-8 THEN (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) ELSE 0 END AS value FROM long WINDOW w AS (PARTITION BY method)),
+spread AS (SELECT method, var_pop(value) AS v FROM norm GROUP BY method), weights AS (SELECT method, v / sum(v) OVER () AS weight FROM spread),
+total AS (SELECT id, any_value(y) AS y, any_value(dataset) AS dataset, sum(value * weight) AS raw FROM norm JOIN weights USING (method) GROUP BY id),
+ens AS (SELECT id, y, dataset, round(raw, 9) AS ensemble FROM total)"""
+LOG = f"{IDS}, log AS (SELECT id AS record_id, y AS label, id * 7919 % (SELECT count(*) FROM documents) AS time FROM ids)"
+STOP = f"""{LOG}, run AS (SELECT *, row_number() OVER (ORDER BY time, record_id) - 1 AS position, sum(label) OVER (ORDER BY time, record_id) AS found FROM log),
+island AS (SELECT *, row_number() OVER (PARTITION BY found ORDER BY position) - 1 AS since FROM run),
+stop AS (SELECT coalesce((SELECT min(position) + 1 FROM island WHERE found > 0 AND since = 100), (SELECT count(*) FROM log)) AS reviewed),
+seen AS (SELECT r.*, position < s.reviewed AS read FROM run r CROSS JOIN stop s), target AS (SELECT max_by(record_id, time) AS t FROM log WHERE label = 1)"""
+
+
+def _graph(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Papers, nodes, edges; written once, as plans use them often."""
+    papers = materialize(fixtures.paper_ids(spark, folder))
+    nodes = graph.build_nodes(papers.select("id"), papers.where("eligible"))
+    return papers, materialize(nodes), materialize(graph.build_edges(fixtures.references(spark, folder), nodes))
+
+
+def _ensemble(spark: SparkSession, folder: str) -> DataFrame:
+    """The scores with their variance-weighted ensemble, to nine digits so that ranks do not hang on the order of additions."""
+    wide = materialize(fixtures.scores(spark, folder))
+    long = scores.to_long(wide, METHODS)
+    return materialize(wide.join(scores.weighted_ensemble(long).select("id", F.round("ensemble", 9).alias("ensemble")), "id"))
+
+
+def _long(spark: SparkSession, folder: str, methods: list[str] = METHODS) -> DataFrame:
+    return scores.to_long(materialize(fixtures.scores(spark, folder)), methods)
+
+
+def _target(log: DataFrame) -> DataFrame:
+    """The relevant record that the log meets last."""
+    return log.where("label = 1").agg(F.max_by("record_id", "time").alias("record_id"))
+
+
+# ---------------------------------------------------------------- graph
+
+@query("rank:b document_id:b outlier_score:6 degree:b relevant_ratio:6", f"""
+{GRAPH}, long AS (SELECT id, 'a' AS method, degree::DOUBLE AS score FROM feats UNION ALL SELECT id, 'b', relevant_ratio FROM feats),
+norm AS (SELECT *, CASE WHEN max(score) OVER w - min(score) OVER w > 1e-8 THEN (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) ELSE 0 END AS value FROM long WINDOW w AS (PARTITION BY method)),
+spread AS (SELECT method, var_pop(value) AS v FROM norm GROUP BY method), weights AS (SELECT method, v / sum(v) OVER () AS weight FROM spread),
+ens AS (SELECT id, round(sum(value * weight), 9) AS e FROM norm JOIN weights USING (method) GROUP BY id)
+SELECT row_number() OVER (ORDER BY e DESC, id) AS rank, id AS document_id, e AS outlier_score, f.degree, f.relevant_ratio FROM ens JOIN feats f USING (id) ORDER BY rank LIMIT 10""")
+def topk_structural(spark: SparkSession, folder: str) -> DataFrame:
+    papers, _, edges = _graph(spark, folder)
+    local = materialize(features.neighbourhood_features(papers, edges))
+    pair = ["degree", "relevant_ratio"]
+    ensemble = scores.weighted_ensemble(scores.to_long(local, pair)).select("id", F.round("ensemble", 9).alias("ensemble"))
+    return evaluation.top_outliers(ensemble, local, "ensemble", ["ensemble"]).join(local.select(F.col("id").alias("document_id"), "relevant_ratio"), "document_id")
+
+
+@query("src:b dst:b weight:6", f"WITH {EDGES} SELECT * FROM edges")
+def edge_weights(spark: SparkSession, folder: str) -> DataFrame:
+    papers = fixtures.paper_ids(spark, folder)
+    return graph.build_edges(fixtures.references(spark, folder), papers)
+
+
+@query("nodes:b edges:b eligible:b background:b density:9 connected:s components:b", f"""
+{GRAPH}, walk AS (SELECT id, id AS got FROM ids UNION SELECT w.id, n.nb FROM walk w JOIN near n ON n.id = w.got),
+comp AS (SELECT id, min(got) AS c FROM walk GROUP BY id)
+SELECT n AS nodes, m AS edges, e AS eligible, n - e AS background, m / (n * (n - 1.0)) AS density, k = 1 AS connected, k AS components
+FROM (SELECT count(*) AS n, count(*) FILTER (eligible) AS e FROM ids), (SELECT count(*) AS m FROM edges), (SELECT count(DISTINCT c) AS k FROM comp)""")
+def network_stats(spark: SparkSession, folder: str) -> DataFrame:
+    _, nodes, edges = _graph(spark, folder)
+    return graph.network_stats(nodes, edges)
+
+
+@query("pattern:s n:b", f"""
+WITH {IDS}, {EDGES} SELECT p.pattern, coalesce(c.n, 0) AS n FROM (VALUES ('sim_to_sim'), ('sim_to_bg'), ('bg_to_sim')) p(pattern) LEFT JOIN (
+SELECT (CASE WHEN a.eligible THEN 'sim' ELSE 'bg' END) || '_to_' || (CASE WHEN b.eligible THEN 'sim' ELSE 'bg' END) AS pattern, count(*) AS n
+FROM edges e JOIN ids a ON a.id = e.src JOIN ids b ON b.id = e.dst GROUP BY 1) c USING (pattern)""")
+def citation_patterns(spark: SparkSession, folder: str) -> DataFrame:
+    _, nodes, edges = _graph(spark, folder)
+    return graph.citation_patterns(nodes, edges)
+
+
+@query("id:b", f"WITH {IDS} SELECT id FROM ids WHERE NOT eligible")
+def missing_papers(spark: SparkSession, folder: str) -> DataFrame:
+    papers = fixtures.paper_ids(spark, folder)
+    return graph.missing_ids(papers, graph.build_nodes(papers.select("id"), papers.where("eligible")))
+
+
+# ---------------------------------------------------------------- features
+
+@query("id:b degree:b in_degree:b out_degree:b relevant_neighbors:b relevant_ratio:6 mean_neighbor_degree:6 std_neighbor_degree:5 max_neighbor_degree:b", f"{GRAPH} SELECT * FROM feats")
+def degree_features(spark: SparkSession, folder: str) -> DataFrame:
+    papers, _, edges = _graph(spark, folder)
+    return features.neighbourhood_features(papers, edges)
+
+
+@query("id:b clustering:6", f"""
+{GRAPH}, k AS (SELECT id, count(*) AS k FROM near GROUP BY id), pair AS (SELECT id AS a, nb AS b FROM near WHERE id < nb),
+tri AS (SELECT x.a, x.b, y.b AS c FROM pair x JOIN pair y ON y.a = x.b JOIN pair z ON z.a = x.a AND z.b = y.b),
+t AS (SELECT id, count(*) AS t FROM (SELECT a AS id FROM tri UNION ALL SELECT b FROM tri UNION ALL SELECT c FROM tri) GROUP BY id)
+SELECT k.id, CASE WHEN k.k < 2 THEN 0 ELSE 2.0 * coalesce(t.t, 0) / (k.k * (k.k - 1.0)) END AS clustering FROM k LEFT JOIN t USING (id)""")
+def clustering(spark: SparkSession, folder: str) -> DataFrame:
+    return features.clustering(graph.build_edges(fixtures.references(spark, folder), fixtures.paper_ids(spark, folder)))
+
+
+
+@query("id:b min_distance_to_relevant:6", f"""
+{GRAPH}, w0 AS (SELECT id AS source, id AS at FROM ids WHERE y = 1),
+w1 AS (SELECT DISTINCT source, src AS at FROM w0 JOIN edges ON dst = at), w2 AS (SELECT DISTINCT source, src AS at FROM w1 JOIN edges ON dst = at),
+w3 AS (SELECT DISTINCT source, src AS at FROM w2 JOIN edges ON dst = at), w4 AS (SELECT DISTINCT source, src AS at FROM w3 JOIN edges ON dst = at),
+w5 AS (SELECT DISTINCT source, src AS at FROM w4 JOIN edges ON dst = at), w6 AS (SELECT DISTINCT source, src AS at FROM w5 JOIN edges ON dst = at),
+d AS (SELECT at, min(d) AS d FROM (SELECT *, 1 AS d FROM w1 UNION ALL SELECT *, 2 FROM w2 UNION ALL SELECT *, 3 FROM w3 UNION ALL SELECT *, 4 FROM w4 UNION ALL SELECT *, 5 FROM w5 UNION ALL SELECT *, 6 FROM w6) WHERE source <> at GROUP BY at)
+SELECT i.id, coalesce(d.d, 10.0) AS min_distance_to_relevant FROM ids i LEFT JOIN d ON d.at = i.id""")
+def min_distance_relevant(spark: SparkSession, folder: str) -> DataFrame:
+    return features.distance_to_relevant(*_graph(spark, folder))
+
+
+def _levels(depth: int) -> str:
+    """Distances between all pairs, level by level: level k has the pairs first met at distance k."""
+    parts = ["s0 AS (SELECT id AS s, id AS t FROM ids)", "l0 AS (SELECT * FROM s0)"]
+    for k in range(1, depth + 1):
+        parts.append(f"l{k} AS MATERIALIZED (SELECT DISTINCT l.s, e.dst AS t FROM l{k - 1} l JOIN edges e ON e.src = l.t ANTI JOIN s{k - 1} x ON x.s = l.s AND x.t = e.dst)")
+        parts.append(f"s{k} AS MATERIALIZED (SELECT * FROM s{k - 1} UNION ALL SELECT * FROM l{k})")
+    return ",\n".join(parts) + ", dist AS (" + " UNION ALL ".join(f"SELECT s, t, {k} AS d FROM l{k}" for k in range(1, depth + 1)) + ")"
+
+
+@query("id:b closeness:6", f"""
+WITH {IDS}, {EDGES}, {_levels(6)}, r AS (SELECT t AS id, count(*) AS r, sum(d) AS total FROM dist GROUP BY t)
+SELECT i.id, coalesce(r.r / r.total * r.r / ((SELECT count(*) FROM ids) - 1.0), 0) AS closeness FROM ids i LEFT JOIN r USING (id)""")
+def closeness(spark: SparkSession, folder: str) -> DataFrame:
+    _, nodes, edges = _graph(spark, folder)
+    return centrality.closeness(nodes, edges)
+
+
+def _dependencies(depth: int) -> str:
+    """Path counts forward and dependencies backward over the levels."""
+    parts = ["p0 AS (SELECT s, t, 1.0::DOUBLE AS n FROM l0)"]
+    for k in range(1, depth + 1):
+        parts.append(f"p{k} AS MATERIALIZED (SELECT l.s, l.t, sum(p.n) AS n FROM l{k} l JOIN edges e ON e.dst = l.t JOIN p{k - 1} p ON p.s = l.s AND p.t = e.src GROUP BY l.s, l.t)")
+    parts.append(f"d{depth} AS (SELECT s, t, n, 0.0::DOUBLE AS x FROM p{depth})")
+    for k in range(depth - 1, 0, -1):
+        parts.append(f"d{k} AS MATERIALIZED (SELECT p.s, p.t, p.n, coalesce(sum(p.n / q.n * (1 + q.x)), 0) AS x FROM p{k} p LEFT JOIN (SELECT e.src, d.s, d.n, d.x FROM d{k + 1} d JOIN edges e ON e.dst = d.t) q ON q.s = p.s AND q.src = p.t GROUP BY p.s, p.t, p.n)")
+    return ",\n".join(parts) + ", dep AS (" + " UNION ALL ".join(f"SELECT t, x FROM d{k}" for k in range(1, depth)) + ")"
+
+
+@query("id:b betweenness:7", f"""
+WITH {IDS}, {EDGES}, {_levels(6)}, {_dependencies(6)}, b AS (SELECT t AS id, sum(x) AS x FROM dep GROUP BY t)
+SELECT i.id, coalesce(b.x, 0) / ((SELECT count(*) FROM ids) - 1.0) / ((SELECT count(*) FROM ids) - 2.0) AS betweenness FROM ids i LEFT JOIN b USING (id)""")
+def betweenness(spark: SparkSession, folder: str) -> DataFrame:
+    _, nodes, edges = _graph(spark, folder)
+    return centrality.betweenness(nodes, edges)
+
+
+def _power(rounds: int, rank: bool) -> str:
+    """A fixed number of rounds of the power iterations, one table each."""
+    parts = ["size AS (SELECT count(*)::DOUBLE AS n FROM ids)"]
+    if rank:
+        parts += ["out AS (SELECT src, sum(weight) AS w FROM edges GROUP BY src)", "v0 AS (SELECT id, 1 / n AS v FROM ids, size)"]
+    else:
+        parts += ["v0 AS (SELECT id, 1 / n AS v FROM ids, size)"]
+    for k in range(1, rounds + 1):
+        if rank:
+            parts.append(f"""v{k} AS MATERIALIZED (SELECT i.id, 0.85 * coalesce(f.x, 0) + 0.85 * (SELECT coalesce(sum(v), 0) FROM v{k - 1} ANTI JOIN out ON src = id) / n + (1 - 0.85) / n AS v
+FROM ids i CROSS JOIN size LEFT JOIN (SELECT e.dst AS id, sum(p.v * e.weight / o.w) AS x FROM edges e JOIN out o USING (src) JOIN v{k - 1} p ON p.id = e.src GROUP BY e.dst) f USING (id))""")
+        else:
+            parts.append(f"""u{k} AS MATERIALIZED (SELECT p.id, p.v + coalesce(f.x, 0) AS v FROM v{k - 1} p LEFT JOIN (SELECT e.dst AS id, sum(q.v) AS x FROM edges e JOIN v{k - 1} q ON q.id = e.src GROUP BY e.dst) f USING (id)),
+v{k} AS MATERIALIZED (SELECT id, v / (SELECT sqrt(sum(v * v)) FROM u{k}) AS v FROM u{k})""")
+    return ",\n".join(parts)
+
+
+@query("id:b pagerank:8", f"WITH {IDS}, {EDGES}, {_power(8, True)} SELECT id, v AS pagerank FROM v8")
+def pagerank(spark: SparkSession, folder: str) -> DataFrame:
+    _, nodes, edges = _graph(spark, folder)
+    return centrality.pagerank(nodes, edges, rounds=8)
+
+
+@query("id:b eigenvector:7", f"WITH {IDS}, {EDGES}, {_power(8, False)} SELECT id, v AS eigenvector FROM v8")
+def eigenvector(spark: SparkSession, folder: str) -> DataFrame:
+    _, nodes, edges = _graph(spark, folder)
+    return centrality.eigenvector(nodes, edges, rounds=8)
+
+
+VECTORS = "vec AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings SEMI JOIN documents ON doc_id = vec_id), units AS (SELECT id, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS u FROM vec)"
+
+
+@query("id:b semantic_similarity_to_relevant:6 semantic_isolation_score:6 max_semantic_similarity:6", f"""
+WITH {IDS}, {VECTORS}, s AS (SELECT a.id, avg(list_dot_product(a.u, b.u)) AS m, max(list_dot_product(a.u, b.u)) AS x FROM units a JOIN (SELECT u.* FROM units u JOIN ids USING (id) WHERE y = 1) b ON a.id <> b.id GROUP BY a.id)
+SELECT i.id, coalesce(m, 0) AS semantic_similarity_to_relevant, coalesce(1 - m, 1) AS semantic_isolation_score, coalesce(x, 0) AS max_semantic_similarity FROM ids i LEFT JOIN s USING (id)""")
+def semantic_features(spark: SparkSession, folder: str) -> DataFrame:
+    return features.semantic_features(fixtures.paper_ids(spark, folder), fixtures.embeddings(spark, folder))
+
+
+@query("id:b publication_year:6 title_length:6", "SELECT doc_id AS id, 0.0 AS publication_year, length(coalesce(split_part(text, chr(10), 1), 'nan')) AS title_length FROM documents")
+def metadata_features(spark: SparkSession, folder: str) -> DataFrame:
+    return features.metadata_features(fixtures.papers(spark, folder))
+
+
+SCALED = "scaled AS (SELECT id, " + ", ".join(f"CASE WHEN stddev_pop({c}) OVER () > 1e-12 THEN ({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER () ELSE 0 END AS {c}" for c in LOCAL) + " FROM feats)"
+
+
+@query("id:b " + " ".join(f"{c}:5" for c in LOCAL), f"{GRAPH}, {SCALED} SELECT * FROM scaled")
+def standard_scale(spark: SparkSession, folder: str) -> DataFrame:
+    papers, _, edges = _graph(spark, folder)
+    return scores.standard_scale(materialize(features.neighbourhood_features(papers, edges)), LOCAL)
+
+
+# ---------------------------------------------------------------- detectors
+
+def _lof_sql(rows: str, distance: str) -> str:
+    """Local outlier factors of ``rows(id, u)`` with exactly k neighbours."""
+    return f"""rows AS MATERIALIZED ({rows}), k AS (SELECT least(greatest(3, least(floor(sqrt(count(*))), count(*) - 1)), count(*) - 1)::INT AS k FROM rows),
+d AS (SELECT a.id, b.id AS nb, round({distance}, 12) AS d FROM rows a JOIN rows b ON a.id <> b.id),
+nn AS MATERIALIZED (SELECT id, nb, d FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, nb) AS r FROM d) CROSS JOIN k WHERE r <= k),
+kd AS (SELECT id, max(d) AS kd FROM nn GROUP BY id), lrd AS (SELECT nn.id, 1 / (avg(greatest(d, kd)) + 1e-10) AS lrd FROM nn JOIN kd ON kd.id = nn.nb GROUP BY nn.id),
+lof AS (SELECT nn.id, avg(b.lrd) / any_value(a.lrd) AS lof FROM nn JOIN lrd b ON b.id = nn.nb JOIN lrd a ON a.id = nn.id GROUP BY nn.id)"""
+
+
+COSINE = "1 - list_dot_product(a.u, b.u) / sqrt(list_dot_product(a.u, a.u)) / sqrt(list_dot_product(b.u, b.u))"
+EUCLID = "list_distance(a.u, b.u)"
+
+
+@query("id:b lof_embeddings:4", f"WITH {IDS}, {VECTORS}, {_lof_sql('SELECT id, e AS u FROM vec', COSINE)} SELECT i.id, coalesce(lof, 0) AS lof_embeddings FROM ids i LEFT JOIN lof USING (id)")
+def lof_embeddings(spark: SparkSession, folder: str) -> DataFrame:
+    return outliers.lof_embeddings(fixtures.paper_ids(spark, folder), fixtures.embeddings(spark, folder))
+
+
+#: Scaled features to nine digits, so that neighbours do not hang on the order of additions.
+ROUNDED = "[" + ", ".join(f"round({c}, 9) + 0.0::DOUBLE" for c in LOCAL) + "]"
+
+
+def _scaled(spark: SparkSession, folder: str) -> DataFrame:
+    wide = standard_scale(spark, folder)
+    return materialize(wide.select("id", *((F.round(c, 9) + F.lit(0.0)).alias(c) for c in LOCAL)))
+
+
+@query("id:b lof_network:4", f"{GRAPH}, {SCALED}, {_lof_sql(f'SELECT id, {ROUNDED} AS u FROM scaled', EUCLID)} SELECT id, lof AS lof_network FROM lof")
+def lof_network(spark: SparkSession, folder: str) -> DataFrame:
+    return outliers.lof_network(_scaled(spark, folder), LOCAL)
+
+
+@query("id:b lof_mixed:4", f"""
+{GRAPH}, {SCALED}, {VECTORS}, {_lof_sql(f'SELECT s.id, list_concat(coalesce(v.e, list_transform(range((SELECT max(len(e)) FROM vec)), lambda i: 0.0::DOUBLE)), {ROUNDED}) AS u FROM scaled s LEFT JOIN vec v USING (id)', EUCLID)}
+SELECT id, lof AS lof_mixed FROM lof""")
+def lof_mixed(spark: SparkSession, folder: str) -> DataFrame:
+    return outliers.lof_mixed(_scaled(spark, folder), LOCAL, fixtures.embeddings(spark, folder))
+
+
+@query("id:b isolation_forest:6")
+def isolation_forest_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return isolation_forest(_scaled(spark, folder).select("id", outliers.vector_of(LOCAL).alias("u")))
+
+
+@query("id:b lof_embeddings:6 lof_network:6 lof_mixed:6 isolation_forest:6 ensemble:6")
+def outlier_detection(spark: SparkSession, folder: str) -> DataFrame:
+    """The whole analysis, from tables to ensemble."""
+    found = detector.CitationOutlierDetector()
+    ids = fixtures.paper_ids(spark, folder)
+    papers = fixtures.papers(spark, folder).select("id", "title", "label_included")
+    return found.fit(papers, fixtures.references(spark, folder), ids, fixtures.embeddings(spark, folder))
+
+
+# ---------------------------------------------------------------- scores
+
+RANKED = f"""{SCORED}, ranked AS (SELECT *, row_number() OVER (PARTITION BY method ORDER BY score DESC, id) AS r_ord, rank() OVER (PARTITION BY method ORDER BY score DESC) AS r_min,
+count(*) OVER (PARTITION BY method, score) AS ties, count(*) OVER (PARTITION BY method) AS n FROM long), tied AS (SELECT *, r_min + ties - 1 AS r_max, r_min + (ties - 1) / 2.0 AS r_avg FROM ranked)"""
+
+
+@query("id:b method:s r_ord:b r_min:b r_max:b r_avg:6 asc_avg:6", f"WITH {RANKED} SELECT id, method, r_ord, r_min, r_max, r_avg, n + 1 - r_avg AS asc_avg FROM tied")
+def rank_conventions(spark: SparkSession, folder: str) -> DataFrame:
+    return scores.tie_ranks(_long(spark, folder))
+
+
+@query("id:b method:s p_a:6 p_b:6 p_c:6 p_d:6 p_e:6", f"""
+WITH {RANKED} SELECT id, method, (n - r_ord + 1) / n * 100 AS p_a, (1 - r_min / n) * 100 AS p_b, r_min / n * 100 AS p_c, (n - r_max + n - r_min + 1) / 2 / n * 100 AS p_d, (n + 1 - r_avg) / n * 100 AS p_e FROM tied""")
+def percentile_conventions(spark: SparkSession, folder: str) -> DataFrame:
+    return scores.percentiles(scores.tie_ranks(_long(spark, folder)))
+
+
+@query("id:b method:s minmax:6 zscore:6 rank:6", f"""
+WITH {RANKED} SELECT id, method, CASE WHEN max(score) OVER w - min(score) OVER w > 1e-8 THEN (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) ELSE 0 END AS minmax,
+CASE WHEN stddev_pop(score) OVER w > 1e-8 THEN (score - avg(score) OVER w) / stddev_pop(score) OVER w ELSE 0 END AS zscore, (n + 1 - r_avg) / n AS rank FROM tied WINDOW w AS (PARTITION BY method)""")
+def normalize_all(spark: SparkSession, folder: str) -> DataFrame:
+    long = _long(spark, folder)
+    parts = [scores.normalize(long, how).select("id", "method", F.col("value").alias(how)) for how in ("minmax", "zscore", "rank")]
+    return parts[0].join(parts[1], ["id", "method"]).join(parts[2], ["id", "method"])
+
+
+@query("id:b method:s value:6", f"""
+WITH {RANKED} SELECT id, method, CASE WHEN n - r_max = 0 THEN 0 WHEN r_min = 1 THEN 1 ELSE (n - r_max + n - r_min) / 2 / (n - 1) END AS value FROM tied""")
+def normalize_quantile(spark: SparkSession, folder: str) -> DataFrame:
+    return scores.normalize(_long(spark, folder), "quantile")
+
+
+@query("id:b ensemble:6", f"WITH {ENSEMBLE} SELECT id, raw AS ensemble FROM total")
+def ensemble_variance(spark: SparkSession, folder: str) -> DataFrame:
+    return scores.weighted_ensemble(_long(spark, folder))
+
+
+@query("id:b ensemble:8", f"WITH {RANKED} SELECT id, sum(1.0::DOUBLE / (60 + r_ord)) AS ensemble FROM tied GROUP BY id")
+def ensemble_rrf(spark: SparkSession, folder: str) -> DataFrame:
+    return scores.reciprocal_rank_fusion(_long(spark, folder))
+
+
+@query("id:b uniform:6 custom:6", f"""
+WITH {ENSEMBLE}, c AS (SELECT method, CASE method WHEN 'lof_embedding' THEN 0.4 WHEN 'lof_mixed' THEN 0.3 WHEN 'isolation_forest' THEN 0.15 ELSE 0.25 END AS w FROM spread)
+SELECT id, avg(value) AS uniform, sum(value * w) / (SELECT sum(w) FROM c) AS custom FROM norm JOIN c USING (method) GROUP BY id""")
+def ensemble_custom_weights(spark: SparkSession, folder: str) -> DataFrame:
+    long = _long(spark, folder)
+    uniform, custom = (scores.weighted_ensemble(long, how).withColumnRenamed("ensemble", how) for how in ("uniform", "custom"))
+    return uniform.join(custom, "id")
+
+
+@query("method:s lo:6 hi:6 distinct_scores:b correlation:6 equal:s", f"""
+WITH {SCORED} SELECT method, min(score) AS lo, max(score) AS hi, count(DISTINCT score) AS distinct_scores, (SELECT corr(lof_embeddings, lof_network) FROM scored) AS correlation,
+(SELECT bool_and(lof_embeddings = lof_network) FROM scored) AS equal FROM long GROUP BY method""")
+def fusion_diagnostics(spark: SparkSession, folder: str) -> DataFrame:
+    return scores.fusion_diagnostics(fixtures.scores(spark, folder), METHODS)
+
+
+# ---------------------------------------------------------------- evaluation
+
+@query("rank:b document_id:b outlier_score:6 lof_network_score:6 lof_mixed_score:6 degree:b", f"""
+WITH RECURSIVE {ENSEMBLE}, {EDGES}, {NEAR}, {DEGREES}
+SELECT row_number() OVER (ORDER BY e.ensemble DESC, e.id) AS rank, e.id AS document_id, e.ensemble AS outlier_score, s.lof_network AS lof_network_score, s.lof_mixed AS lof_mixed_score, f.degree
+FROM ens e JOIN scored s USING (id) JOIN feats f USING (id)""")
+def ranked_outliers(spark: SparkSession, folder: str) -> DataFrame:
+    papers, _, edges = _graph(spark, folder)
+    return evaluation.top_outliers(_ensemble(spark, folder), features.neighbourhood_features(papers, edges), "ensemble", [*METHODS, "ensemble"], None)
+
+
+@query("method:s mean:6 std:6 min:6 max:6 range:6", f"WITH {SCORED} SELECT method, avg(score) AS mean, stddev_pop(score) AS std, min(score) AS min, max(score) AS max, max(score) - min(score) AS range FROM long GROUP BY method")
+def method_comparison(spark: SparkSession, folder: str) -> DataFrame:
+    return evaluation.method_comparison(fixtures.scores(spark, folder), METHODS)
+
+
+@query("rank_by_ensemble:b id:b ensemble:6 lof_embeddings:6 lof_network:6 lof_mixed:6 isolation_forest:6", f"""
+WITH {ENSEMBLE} SELECT row_number() OVER (ORDER BY e.ensemble DESC, id) AS rank_by_ensemble, id, e.ensemble, lof_embeddings, lof_network, lof_mixed, isolation_forest FROM ens e JOIN scored USING (id) ORDER BY 1 LIMIT 10""")
+def detailed_breakdown(spark: SparkSession, folder: str) -> DataFrame:
+    return evaluation.detailed_breakdown(_ensemble(spark, folder), METHODS)
+
+
+@query("method:s score:6 rank:b total:b percentile:6 band:s", f"""
+WITH {SCORED}, own AS (SELECT method, score FROM long WHERE id = (SELECT min(id) FROM ids WHERE y = 1)), r AS (
+SELECT o.method, o.score, count(*) FILTER (l.score > o.score) + 1 AS rank, count(*) AS total FROM own o JOIN long l USING (method) GROUP BY o.method, o.score), p AS (SELECT *, (total - rank + 1) / total * 100 AS percentile FROM r)
+SELECT *, CASE WHEN percentile >= 95 THEN 'excellent' WHEN percentile >= 90 THEN 'very good' WHEN percentile >= 80 THEN 'good' ELSE 'moderate' END AS band FROM p""")
+def document_analysis(spark: SparkSession, folder: str) -> DataFrame:
+    wide = materialize(fixtures.scores(spark, folder))
+    first = wide.where("label_included = 1").agg(F.min("id")).first()[0]
+    return evaluation.document_analysis(wide, METHODS, first)
+
+
+@query("id:b score:6 rank:b total:b percentile:6", f"""
+WITH {ENSEMBLE}, r AS (SELECT *, row_number() OVER (ORDER BY ensemble DESC, id) AS rank, count(*) OVER () AS total FROM ens)
+SELECT id, ensemble AS score, rank, total, (total - rank + 1) / total * 100 AS percentile FROM r WHERE y = 1""")
+def known_outlier_ranking(spark: SparkSession, folder: str) -> DataFrame:
+    wide = _ensemble(spark, folder)
+    return evaluation.known_outlier_ranks(wide, wide.where("label_included = 1"))
+
+
+@query("position:b record_id:b openalex_id:s", f"WITH {IDS} SELECT row_number() OVER (ORDER BY id DESC) - 1 AS position, id AS record_id, 'https://openalex.org/W' || id AS openalex_id FROM ids WHERE y = 1")
+def record_id_conversion(spark: SparkSession, folder: str) -> DataFrame:
+    from ..plans.order import with_position
+
+    papers = fixtures.papers(spark, folder).select(F.col("id").alias("record_id"), "openalex_id", "label_included")
+    wanted = with_position(papers.where("label_included = 1").select("record_id"), F.col("record_id").desc())
+    return evaluation.convert_record_ids(wanted, papers)
+
+
+RATES = "coalesce(tp / nullif(tp + fp, 0), 0) AS precision, coalesce(tp / nullif(tp + fn, 0), 0) AS recall, coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0) AS f1"
+COUNTS = "count(*) FILTER (ensemble >= t AND y = 1) AS tp, count(*) FILTER (ensemble >= t AND y <> 1) AS fp, count(*) FILTER (ensemble < t AND y = 1) AS fn, count(*) FILTER (ensemble < t AND y <> 1) AS tn"
+AUC = "(SELECT (sum(r) FILTER (y = 1) - count(*) FILTER (y = 1) * (count(*) FILTER (y = 1) + 1) / 2.0) / (count(*) FILTER (y = 1) * count(*) FILTER (y <> 1)) FROM (SELECT y, rank() OVER (ORDER BY ensemble) + (count(*) OVER (PARTITION BY ensemble) - 1) / 2.0 AS r FROM ens)) AS auc"
+
+
+@query("tp:b fp:b fn:b tn:b precision:6 recall:6 f1:6 accuracy:6 auc:6 mean_relevant:6 mean_irrelevant:6", f"""
+WITH {ENSEMBLE}, c AS (SELECT {COUNTS.replace(' t ', ' 0.5 ')}, avg(ensemble) FILTER (y = 1) AS mean_relevant, avg(ensemble) FILTER (y <> 1) AS mean_irrelevant FROM ens)
+SELECT *, {RATES}, (tp + tn) / (tp + fp + fn + tn) AS accuracy, {AUC} FROM c""")
+def threshold_metrics(spark: SparkSession, folder: str) -> DataFrame:
+    return evaluation.threshold_metrics(_ensemble(spark, folder), "ensemble", "label_included", 0.5)
+
+
+GRID = "grid AS (SELECT round(0.1 + i * 0.01, 10)::DOUBLE AS t FROM range(81) g(i)), swept AS (SELECT t AS threshold, " + COUNTS + " FROM ens CROSS JOIN grid GROUP BY t)"
+
+
+@query("threshold:6 f1:6", f"WITH {ENSEMBLE}, {GRID} SELECT threshold, {RATES} FROM swept")
+def threshold_sweep(spark: SparkSession, folder: str) -> DataFrame:
+    return evaluation.threshold_sweep(_ensemble(spark, folder), "ensemble", "label_included")
+
+
+@query("threshold:6 f1:6", f"WITH {ENSEMBLE}, {GRID}, f AS (SELECT threshold, {RATES} FROM swept) SELECT threshold, f1 FROM f ORDER BY f1 DESC, threshold LIMIT 1")
+def optimal_threshold(spark: SparkSession, folder: str) -> DataFrame:
+    return evaluation.best_threshold(evaluation.threshold_sweep(_ensemble(spark, folder), "ensemble", "label_included"))
+
+
+@query("threshold:6 predicted:b tp:b fp:b fn:b tn:b precision:6 recall:6 f1:6 auc:6", f"""
+WITH {ENSEMBLE}, cut AS (SELECT quantile_cont(ensemble, 0.9) AS t FROM ens), c AS (SELECT any_value(t) AS threshold, {COUNTS} FROM ens CROSS JOIN cut)
+SELECT *, tp + fp AS predicted, {RATES}, {AUC} FROM c""")
+def outlier_metrics(spark: SparkSession, folder: str) -> DataFrame:
+    return evaluation.outlier_metrics(_ensemble(spark, folder), "ensemble", "label_included")
+
+
+@query("label:b n:b mean:6 std:6 min:6 max:6 median:6 p75:6 p90:6 mean_difference:6 overlap_ratio:6", f"""
+WITH {ENSEMBLE}, m AS (SELECT avg(ensemble) FILTER (y = 1) AS m1, avg(ensemble) FILTER (y <> 1) AS m0 FROM ens), o AS (SELECT count(*) FILTER (y <> 1 AND ensemble > m1) / count(*) FILTER (y <> 1) AS overlap_ratio, any_value(m1 - m0) AS mean_difference FROM ens, m)
+SELECT y AS label, count(*) AS n, avg(ensemble) AS mean, stddev_pop(ensemble) AS std, min(ensemble) AS min, max(ensemble) AS max, quantile_cont(ensemble, 0.5) AS median, quantile_cont(ensemble, 0.75) AS p75, quantile_cont(ensemble, 0.9) AS p90,
+any_value(mean_difference) AS mean_difference, any_value(overlap_ratio) AS overlap_ratio FROM ens, o GROUP BY y""")
+def score_distribution(spark: SparkSession, folder: str) -> DataFrame:
+    return evaluation.score_distribution(_ensemble(spark, folder), "ensemble", "label_included")
+
+
+@query("dataset:s documents:b relevant:b relevance_ratio:6 mean_degree:6 network_density:6 score_mean:6 score_std:6 score_min:6 score_max:6", f"""
+WITH RECURSIVE {ENSEMBLE}, {EDGES}, {NEAR}, {DEGREES} SELECT dataset, count(*) AS documents, sum(e.y) AS relevant, avg(e.y) AS relevance_ratio, avg(degree) AS mean_degree, avg((degree > 0)::INT) AS network_density,
+avg(ensemble) AS score_mean, stddev_pop(ensemble) AS score_std, min(ensemble) AS score_min, max(ensemble) AS score_max FROM ens e JOIN feats f USING (id) GROUP BY dataset""")
+def dataset_statistics(spark: SparkSession, folder: str) -> DataFrame:
+    papers, _, edges = _graph(spark, folder)
+    return evaluation.dataset_statistics(_ensemble(spark, folder), features.neighbourhood_features(papers, edges))
+
+
+BASE = "base AS (SELECT record_id AS id, time + 1 AS original_rank FROM log WHERE label = 1)"
+
+
+@query("method:s outlier_id:b original_rank:b new_rank:b total:b rank_improvement:b relative_improvement_percent:6 new_percentile:6", f"""
+WITH {ENSEMBLE}, {LOG.replace(IDS + ", ", "")}, {BASE}, alive AS (SELECT * FROM long WHERE method <> 'lof_embeddings' OR score > 0),
+r AS (SELECT method, id, rank() OVER (PARTITION BY method ORDER BY score DESC) AS new_rank, count(*) OVER (PARTITION BY method) AS total FROM alive)
+SELECT method, id AS outlier_id, original_rank, new_rank, total, original_rank - new_rank AS rank_improvement, (original_rank - new_rank) / original_rank * 100 AS relative_improvement_percent, (1 - new_rank / total) * 100 AS new_percentile FROM r JOIN base USING (id)""")
+def rank_improvement(spark: SparkSession, folder: str) -> DataFrame:
+    wide = materialize(fixtures.scores(spark, folder))
+    log = fixtures.screening_log(spark, folder)
+    base = log.where("label = 1").select(F.col("record_id").alias("id"), (F.col("time") + 1).alias("original_rank"))
+    ranked = scores.tie_ranks(scores.to_long(wide, METHODS).where("method <> 'lof_embeddings' or score > 0"))
+    change = F.col("original_rank") - F.col("r_min")
+    return ranked.join(base, "id").select(
+        "method", F.col("id").alias("outlier_id"), "original_rank", F.col("r_min").alias("new_rank"), F.col("n").alias("total"), change.alias("rank_improvement"),
+        (change / F.col("original_rank") * 100).alias("relative_improvement_percent"), ((1 - F.col("r_min") / F.col("n")) * 100).alias("new_percentile"),
+    )
+
+
+@query("method:s outlier_id:b score:6 original_rank:b new_rank:b total:b new_percentile:6", f"""
+WITH {ENSEMBLE}, {LOG.replace(IDS + ", ", "")}, best AS (SELECT max_by(record_id, time) AS id, max(time) + 1 AS original_rank FROM log WHERE label = 1), alive AS (SELECT * FROM long WHERE method <> 'lof_embeddings' OR score > 0),
+own AS (SELECT a.method, a.score, b.* FROM alive a JOIN best b USING (id)), r AS (SELECT o.method, o.id AS outlier_id, o.score, o.original_rank, count(*) FILTER (a.score > o.score) + 1 AS new_rank, count(*) AS total FROM own o JOIN alive a USING (method) GROUP BY ALL)
+SELECT *, (1 - new_rank / total) * 100 AS new_percentile FROM r""")
+def outlier_summary(spark: SparkSession, folder: str) -> DataFrame:
+    log = fixtures.screening_log(spark, folder).where("label = 1")
+    base = log.agg(F.max_by("record_id", "time").alias("id"), (F.max("time") + 1).alias("original_rank"))
+    return evaluation.rank_improvement(materialize(fixtures.scores(spark, folder)), METHODS, base)
+
+
+# ---------------------------------------------------------------- reports and plots
+
+@query("dataset:s top_1:b top_5:b top_10:b baseline_percentile:6 achieved_improvement:b efficiency:6 grade:s", f"""
+WITH {LOG}, d AS (SELECT i.dataset, count(*) AS n, max(CASE WHEN i.y = 1 THEN l.time + 1 END) AS o FROM ids i JOIN log l ON l.record_id = i.id GROUP BY i.dataset), b AS (SELECT *, greatest(1, floor(n * 0.01)) AS t1, greatest(1, floor(n * 0.05)) AS t5, greatest(1, floor(n * 0.1)) AS t10 FROM d)
+SELECT dataset, t1 AS top_1, t5 AS top_5, t10 AS top_10, o / n * 100 AS baseline_percentile, o - t1 AS achieved_improvement, (o - t1) / o * 100 AS efficiency, CASE WHEN t1 <= n * 0.01 THEN 'A+' WHEN t1 <= n * 0.05 THEN 'A' ELSE 'B' END AS grade FROM b""")
+def topk_budget_table(spark: SparkSession, folder: str) -> DataFrame:
+    ids, log = fixtures.paper_ids(spark, folder), fixtures.screening_log(spark, folder)
+    wide = ids.join(log, F.col("id") == F.col("record_id")).groupBy("dataset").agg(F.count("*").alias("documents"), F.max(F.when(F.col("label") == 1, F.col("time") + 1)).alias("original_rank"))
+    return reporting.topk_budget_table(wide)
+
+
+@query("feature:s importance:4")
+def feature_importance(spark: SparkSession, folder: str) -> DataFrame:
+    papers, _, edges = _graph(spark, folder)
+    wide = features.neighbourhood_features(papers, edges).join(_ensemble(spark, folder).select("id", "ensemble"), "id")
+    return reporting.feature_importance(wide, "ensemble", LOCAL)
+
+
+IMPORTANCES = f"{GRAPH}, imp AS (SELECT dataset, feature, abs(corr(f.value, i.y)) AS importance FROM (UNPIVOT feats ON {', '.join(LOCAL)} INTO NAME feature VALUE value) f JOIN ids i USING (id) GROUP BY dataset, feature)".replace("UNPIVOT feats", "UNPIVOT (SELECT id, " + ", ".join(f"{c}::DOUBLE AS {c}" for c in LOCAL) + " FROM feats)")
+LANGS = ["de", "en", "es", "fr"]
+
+
+def _importances(spark: SparkSession, folder: str) -> DataFrame:
+    """A deterministic importance: the size of a feature's correlation with relevance, by dataset."""
+    papers, _, edges = _graph(spark, folder)
+    wide = features.neighbourhood_features(papers, edges)
+    long = wide.select("id", F.inline(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).alias("value")) for c in LOCAL)))).join(papers, "id")
+    return long.groupBy("dataset", "feature").agg(F.abs(F.corr("value", F.col("label_included").cast("double"))).alias("importance"))
+
+
+@query("feature:s de:4 en:4 es:4 fr:4 mean:4 display:s", f"""
+{IMPORTANCES}, p AS (SELECT feature, {', '.join(f"coalesce(sum(importance * 100) FILTER (dataset = '{x}'), 0) AS {x}" for x in LANGS)} FROM imp GROUP BY feature), n AS (SELECT *, array_to_string(list_transform(string_split(replace(replace(feature, '_', ' '), 'neighbor', 'neighb.'), ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS t FROM p)
+SELECT feature, de, en, es, fr, (de + en + es + fr) / 4 AS mean, CASE WHEN length(t) > 20 THEN substr(t, 1, 17) || '...' ELSE t END AS display FROM n""")
+def importance_pivot(spark: SparkSession, folder: str) -> DataFrame:
+    return reporting.importance_pivot(_importances(spark, folder), LANGS)
+
+
+@query("feature:s greatest:6", f"""
+{IMPORTANCES}, r AS (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY round(importance, 9) DESC, feature) AS r FROM imp) SELECT feature, max(importance) AS greatest FROM imp WHERE feature IN (SELECT feature FROM r WHERE r <= 5) GROUP BY feature""")
+def top_features(spark: SparkSession, folder: str) -> DataFrame:
+    return reporting.top_features(_importances(spark, folder).withColumn("importance", F.round("importance", 9)))
+
+
+@query("method:s i:b x:6 density:6", f"""
+WITH {SCORED}, s AS (SELECT method, count(*) AS n, min(score) AS lo, max(score) AS hi, stddev_samp(score) * pow(count(*), -0.2) * 0.8 AS h FROM long GROUP BY method), g AS (SELECT *, lo + (hi - lo) * i / 49 AS x FROM s CROSS JOIN range(50) r(i))
+SELECT g.method, g.i, g.x, sum(exp(-0.5 * pow((g.x - l.score) / g.h, 2))) / (any_value(g.n) * any_value(g.h) * sqrt(2 * pi())) AS density FROM g JOIN long l USING (method) GROUP BY g.method, g.i, g.x""")
+def kde_grid(spark: SparkSession, folder: str) -> DataFrame:
+    return reporting.gaussian_kde(_long(spark, folder))
+
+
+@query("method:s bin:b n:b density:6", f"""
+WITH {SCORED}, s AS (SELECT method, min(score) AS lo, max(score) AS hi, count(*) AS total FROM long GROUP BY method), b AS (SELECT method, least(floor((score - lo) / (hi - lo) * 25), 24) AS bin, lo, hi, total FROM long JOIN s USING (method))
+SELECT method, bin, count(*) AS n, count(*) / any_value(total) / ((any_value(hi) - any_value(lo)) / 25) AS density FROM b GROUP BY method, bin""")
+def histogram25(spark: SparkSession, folder: str) -> DataFrame:
+    return reporting.histogram(_long(spark, folder))
+
+
+@query("method:s score:6 below:b cdf:6", f"WITH {SCORED} SELECT DISTINCT method, score, rank() OVER (PARTITION BY method ORDER BY score) - 1 AS below, cume_dist() OVER (PARTITION BY method ORDER BY score) AS cdf FROM long")
+def ecdf(spark: SparkSession, folder: str) -> DataFrame:
+    return reporting.empirical_cdf(_long(spark, folder))
+
+
+@query("method:s q1:6 median:6 q3:6 min:6 max:6 iqr:6", f"""
+WITH {SCORED} SELECT method, quantile_cont(score, 0.25) AS q1, quantile_cont(score, 0.5) AS median, quantile_cont(score, 0.75) AS q3, min(score) AS min, max(score) AS max, quantile_cont(score, 0.75) - quantile_cont(score, 0.25) AS iqr FROM long GROUP BY method""")
+def quartiles(spark: SparkSession, folder: str) -> DataFrame:
+    return reporting.quartiles(_long(spark, folder))
+
+
+@query("a:s b:s r:6", f"WITH {SCORED} SELECT a.method AS a, b.method AS b, corr(a.score, b.score) AS r FROM long a JOIN long b USING (id) GROUP BY a.method, b.method")
+def corr_matrix(spark: SparkSession, folder: str) -> DataFrame:
+    return reporting.correlation_matrix(fixtures.scores(spark, folder), METHODS)
+
+
+@query("id:b method:s value:6", f"WITH {SCORED} SELECT id, method, (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) AS value FROM long WINDOW w AS (PARTITION BY method)")
+def minmax_long(spark: SparkSession, folder: str) -> DataFrame:
+    return reporting.min_max_long(fixtures.scores(spark, folder), METHODS)
+
+
+@query("id:b method:s performance:6", f"WITH {RANKED} SELECT id, method, (max(r_max) OVER (PARTITION BY method) - r_max + 1) / max(r_max) OVER (PARTITION BY method) AS performance FROM tied")
+def performance_score(spark: SparkSession, folder: str) -> DataFrame:
+    return reporting.performance_score(materialize(fixtures.scores(spark, folder)), METHODS)
+
+
+@query("id:b score:6", f"WITH {SCORED} SELECT id, lof_embeddings AS score FROM scored WHERE lof_embeddings > 0")
+def embedding_mask(spark: SparkSession, folder: str) -> DataFrame:
+    return reporting.score_mask(fixtures.scores(spark, folder), "lof_embeddings")
+
+
+# ---------------------------------------------------------------- screening
+
+@query("reviewed:b", f"WITH {STOP} SELECT reviewed FROM stop")
+def stopping_rule(spark: SparkSession, folder: str) -> DataFrame:
+    return screening.stopping_point(fixtures.screening_log(spark, folder))
+
+
+@query("record_id:b full_rank:b leftover_rank:b unread_rank:b export_rank:b", f"""
+WITH {STOP}, own AS (SELECT record_id, position, read FROM seen JOIN target ON t = record_id), c AS (SELECT o.record_id, o.position, o.read, count(*) FILTER (s.read AND s.label = 1) AS f, count(*) FILTER (NOT s.read AND s.position < o.position) AS a, count(*) FILTER (NOT s.read AND s.record_id < o.record_id) AS b FROM seen s, own o GROUP BY ALL)
+SELECT record_id, position + 1 AS full_rank, CASE WHEN read THEN -1 ELSE f + a + 1 END AS leftover_rank, CASE WHEN read THEN -1 ELSE a + 1 END AS unread_rank, CASE WHEN read THEN -1 ELSE f + b + 1 END AS export_rank FROM c""")
+def leftover_ranks(spark: SparkSession, folder: str) -> DataFrame:
+    log = materialize(fixtures.screening_log(spark, folder))
+    return screening.leftover_ranks(log, _target(log))
+
+
+def _enriched(spark: SparkSession, folder: str) -> DataFrame:
+    seen = screening.reviewed_prefix(materialize(fixtures.screening_log(spark, folder)))
+    return screening.enrich(fixtures.papers(spark, folder).withColumnRenamed("id", "record_id"), seen)
+
+
+@query("record_id:b reviewed:s review_order:b found_before_stopping:s", f"WITH {STOP} SELECT record_id, read AS reviewed, CASE WHEN read THEN position ELSE -1 END AS review_order, read AND label = 1 AS found_before_stopping FROM seen")
+def enriched_log(spark: SparkSession, folder: str) -> DataFrame:
+    return _enriched(spark, folder)
+
+
+@query("record_id:b openalex_id:s title:s label_included:b", f"""
+WITH {STOP} SELECT record_id, 'https://openalex.org/W' || record_id AS openalex_id, coalesce(split_part(text, chr(10), 1), '') AS title, (read AND label = 1)::INT AS label_included FROM seen JOIN documents ON doc_id = record_id WHERE NOT read OR label = 1""")
+def leftover_export(spark: SparkSession, folder: str) -> DataFrame:
+    return screening.leftover_documents(_enriched(spark, folder))
+
+
+@query("record_id:b openalex_id:s label_included:b", f"WITH {STOP} SELECT record_id, 'https://openalex.org/W' || record_id AS openalex_id, 1 AS label_included FROM seen WHERE read AND label = 1")
+def found_export(spark: SparkSession, folder: str) -> DataFrame:
+    return screening.found_documents(_enriched(spark, folder))
+
+
+@query("position:b record_id:b label_included:b asreview_label:b asreview_time:b", f"""
+WITH {STOP} SELECT row_number() OVER (ORDER BY NOT read, record_id) - 1 AS position, record_id, label AS label_included, CASE WHEN read THEN label END AS asreview_label, CASE WHEN read THEN s.position END AS asreview_time FROM seen s WHERE NOT read OR label = 1""")
+def leftover_truth_export(spark: SparkSession, folder: str) -> DataFrame:
+    return screening.leftover_with_truth(_enriched(spark, folder))
+
+
+@query("total:b relevant:b read_records:b found:b missed:b recall_percent:6 efficiency:6", f"""
+WITH {STOP}, c AS (SELECT count(*) AS total, count(*) FILTER (label = 1) AS relevant, count(*) FILTER (read) AS read_records, count(*) FILTER (read AND label = 1) AS found FROM seen)
+SELECT *, relevant - found AS missed, found / relevant * 100 AS recall_percent, read_records / total AS efficiency FROM c""")
+def simulation_statistics(spark: SparkSession, folder: str) -> DataFrame:
+    return screening.simulation_statistics(_enriched(spark, folder))
+
+
+@query("position:b recall:6", f"WITH {STOP} SELECT position + 1 AS position, found / (SELECT sum(label) FROM log) AS recall FROM run")
+def recall_curve(spark: SparkSession, folder: str) -> DataFrame:
+    return screening.recall_curve(materialize(fixtures.screening_log(spark, folder)))
+
+
+@query("record_id:b original:b reranked:b documents_saved:b improvement_percent:6", f"""
+WITH {STOP}, o AS (SELECT record_id, position + 1 AS original, least((SELECT reviewed FROM stop) + 41, (SELECT count(*) FROM log)) AS reranked FROM seen JOIN target ON t = record_id)
+SELECT *, original - reranked AS documents_saved, (original - reranked) / original * 100 AS improvement_percent FROM o""")
+def rerank_savings(spark: SparkSession, folder: str) -> DataFrame:
+    log = materialize(fixtures.screening_log(spark, folder))
+    return screening.documents_saved(log, _target(log), 41)
+
+
+@query("record_id:b label:b position:b", f"""
+WITH {STOP}, p AS (SELECT least((SELECT reviewed FROM stop) + 41, (SELECT count(*) FROM log)) AS place), k AS (SELECT s.*, record_id = t AND NOT read AS hit FROM seen s, target), o AS (SELECT record_id, label, row_number() OVER (ORDER BY position) AS q FROM k WHERE NOT hit)
+SELECT record_id, label, q + (q >= place)::INT AS position FROM o, p UNION ALL SELECT record_id, label, place FROM k, p WHERE hit""")
+def reranked_order(spark: SparkSession, folder: str) -> DataFrame:
+    log = materialize(fixtures.screening_log(spark, folder))
+    return screening.reranked_order(log, _target(log), 41)
+
+
+@query("label_included:b is_test:s n:b", f"""
+WITH {IDS}, c AS (SELECT y, count(*) AS n, CASE WHEN y = 1 THEN greatest(1, floor(count(*) * 0.2)) ELSE floor(count(*) * 0.2) END AS q FROM ids GROUP BY y)
+SELECT y AS label_included, true AS is_test, q AS n FROM c WHERE q > 0 UNION ALL SELECT y, false, n - q FROM c WHERE n > q""")
+def stratified_split(spark: SparkSession, folder: str) -> DataFrame:
+    """Sizes of the parts; which rows fall where follows a seeded hash."""
+    return screening.stratified_split(fixtures.paper_ids(spark, folder)).groupBy("label_included", "is_test").agg(F.count("*").alias("n"))
+
+
+@query("id:b label_included:b", f"WITH {IDS}, r AS (SELECT *, row_number() OVER (PARTITION BY y ORDER BY id) AS r FROM ids) SELECT id, y AS label_included FROM r WHERE r <= CASE WHEN y = 1 THEN 5 ELSE 15 END")
+def sample_documents(spark: SparkSession, folder: str) -> DataFrame:
+    return screening.sample_documents(fixtures.paper_ids(spark, folder))
+
+
+@query("id:b review_order:b label:b")
+def active_learning(spark: SparkSession, folder: str) -> DataFrame:
+    return screening.simulate_review(fixtures.papers(spark, folder))
+
+
+# ---------------------------------------------------------------- texts, embeddings, events
+
+TITLE = "split_part(text, chr(10), 1)"
+REST = f"substr(text, length({TITLE}) + 2)"
+
+
+@query("id:b embedding_text:s both:s", f"""
+SELECT doc_id AS id, CASE WHEN trim(coalesce({TITLE}, ''), ' ') <> '' OR trim(coalesce({REST}, ''), ' ') <> '' THEN trim(coalesce({TITLE}, ''), ' ') || '[SEP]' || trim(coalesce({REST}, ''), ' ') END AS embedding_text,
+coalesce({TITLE}, '') || ' ' || coalesce({REST}, '') AS both FROM documents""")
+def text_preparation(spark: SparkSession, folder: str) -> DataFrame:
+    p = fixtures.papers(spark, folder)
+    return p.select("id", embedding_text(F.col("title"), F.col("abstract")).alias("embedding_text"), title_abstract(F.col("title"), F.col("abstract")).alias("both"))
+
+
+@query("num_documents:b valid_embeddings:b embedding_dim:b mean_norm:6 std_norm:6", """
+WITH v AS (SELECT embedding, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings) SELECT count(*) AS num_documents, count(embedding) AS valid_embeddings, max(len(embedding)) AS embedding_dim,
+avg(sqrt(list_dot_product(e, e))) AS mean_norm, stddev_pop(sqrt(list_dot_product(e, e))) AS std_norm FROM v""")
+def embedding_summary(spark: SparkSession, folder: str) -> DataFrame:
+    return datasets.embedding_summary(table(spark, folder, "embeddings"))[1]
+
+
+@query("id:b embedding:s")
+def text_encoding(spark: SparkSession, folder: str) -> DataFrame:
+    p = fixtures.papers(spark, folder)
+    return datasets.encode(p.select("id", embedding_text(F.col("title"), F.col("abstract")).alias("text")), datasets.hashing_encoder)
+
+
+@query("start:s event_type:s n:b total:4", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, sum(value) AS total FROM events GROUP BY ALL")
+def event_windows(spark: SparkSession, folder: str) -> DataFrame:
+    counts = windowed_counts(table(spark, folder, "events"))
+    return counts.withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("band:s n:b", f"""
+WITH {RANKED}, p AS (SELECT (n - r_ord + 1) / n * 100 AS p FROM tied WHERE method = 'lof_network')
+SELECT CASE WHEN p >= 95 THEN 'excellent' WHEN p >= 90 THEN 'very good' WHEN p >= 80 THEN 'good' ELSE 'moderate' END AS band, count(*) AS n FROM p GROUP BY band""")
+def performance_bands(spark: SparkSession, folder: str) -> DataFrame:
+    ranked = scores.percentiles(scores.tie_ranks(_long(spark, folder, ["lof_network"])))
+    return ranked.groupBy(performance_band(F.col("p_a")).alias("band")).agg(F.count("*").alias("n"))
