@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import dot, unit
 from ..plans.materialize import materialize
+from .knn import block_pairs, matrix
 
 #: Feature columns in their fixed order.
 FEATURES = [
@@ -54,8 +57,9 @@ def clustering(edges: DataFrame) -> DataFrame:
     links = edges.where("src <> dst").select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).distinct()
     size = neighbours(links.select(F.col("a").alias("src"), F.col("b").alias("dst"))).groupBy("id").agg(F.count("*").alias("k"))
     sized = links.join(size.select(F.col("id").alias("a"), F.col("k").alias("ka")), "a").join(size.select(F.col("id").alias("b"), F.col("k").alias("kb")), "b")
-    low = F.struct("ka", "a") < F.struct("kb", "b")
-    arcs = materialize(sized.select(F.when(low, F.col("a")).otherwise(F.col("b")).alias("u"), F.when(low, F.col("b")).otherwise(F.col("a")).alias("v"), F.when(low, F.struct("kb", "b")).otherwise(F.struct("ka", "a")).alias("at")))
+    near_end, far_end = (F.struct(F.col(k).alias("k"), F.col(n).alias("n")) for k, n in (("ka", "a"), ("kb", "b")))
+    low = near_end < far_end
+    arcs = materialize(sized.select(F.when(low, F.col("a")).otherwise(F.col("b")).alias("u"), F.when(low, F.col("b")).otherwise(F.col("a")).alias("v"), F.when(low, far_end).otherwise(near_end).alias("at")))
     wedges = arcs.select("u", F.col("v").alias("x"), F.col("at").alias("ax")).join(arcs.select("u", F.col("v").alias("y"), F.col("at").alias("ay")), "u").where("ax < ay")
     closed = wedges.select("u", "x", "y").join(arcs.select(F.col("u").alias("x"), F.col("v").alias("y")), ["x", "y"])
     counts = closed.select(F.explode(F.array("u", "x", "y")).alias("id")).groupBy("id").agg(F.count("*").alias("t"))
@@ -117,16 +121,9 @@ def semantic_features(papers: DataFrame, embeddings: DataFrame, relevance_col: s
 
 def greatest_cosine(units: DataFrame, queries: DataFrame, block: int = 512) -> DataFrame:
     """``id, best``: the greatest dot product of each unit vector with any other of ``queries``; both in blocks."""
-    from .knn import block_pairs
-
     pairs = block_pairs(units, queries, block)
 
     def kernel(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        from .knn import matrix
-
         for batch in batches:
             ids, best = [], []
             for i in range(batch.num_rows):

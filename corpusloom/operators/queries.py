@@ -72,10 +72,12 @@ ENSEMBLE = f"""{SCORED}, norm AS (SELECT *, CASE WHEN max(score) OVER w - min(sc
 spread AS (SELECT method, var_pop(value) AS v FROM norm GROUP BY method), weights AS (SELECT method, v / sum(v) OVER () AS weight FROM spread),
 total AS (SELECT id, any_value(y) AS y, any_value(dataset) AS dataset, sum(value * weight) AS raw FROM norm JOIN weights USING (method) GROUP BY id),
 ens AS (SELECT id, y, dataset, round(raw, 9) AS ensemble FROM total)"""
+#: Irrelevant records in a row that end the queries' reviews; short, so that something is left at every size.
+PATIENCE = 40
 LOG = f"{IDS}, log AS (SELECT id AS record_id, y AS label, id * 7919 % (SELECT count(*) FROM documents) AS time FROM ids)"
 STOP = f"""{LOG}, run AS (SELECT *, row_number() OVER (ORDER BY time, record_id) - 1 AS position, sum(label) OVER (ORDER BY time, record_id) AS found FROM log),
 island AS (SELECT *, row_number() OVER (PARTITION BY found ORDER BY position) - 1 AS since FROM run),
-stop AS (SELECT coalesce((SELECT min(position) + 1 FROM island WHERE found > 0 AND since = 100), (SELECT count(*) FROM log)) AS reviewed),
+stop AS (SELECT coalesce((SELECT min(position) + 1 FROM island WHERE found > 0 AND since = {PATIENCE}), (SELECT count(*) FROM log)) AS reviewed),
 seen AS (SELECT r.*, position < s.reviewed AS read FROM run r CROSS JOIN stop s), target AS (SELECT max_by(record_id, time) AS t FROM log WHERE label = 1)"""
 
 
@@ -168,12 +170,12 @@ def clustering(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("id:b min_distance_to_relevant:6", f"""
-{GRAPH}, w0 AS (SELECT id AS source, id AS at FROM ids WHERE y = 1),
-w1 AS (SELECT DISTINCT source, src AS at FROM w0 JOIN edges ON dst = at), w2 AS (SELECT DISTINCT source, src AS at FROM w1 JOIN edges ON dst = at),
-w3 AS (SELECT DISTINCT source, src AS at FROM w2 JOIN edges ON dst = at), w4 AS (SELECT DISTINCT source, src AS at FROM w3 JOIN edges ON dst = at),
-w5 AS (SELECT DISTINCT source, src AS at FROM w4 JOIN edges ON dst = at), w6 AS (SELECT DISTINCT source, src AS at FROM w5 JOIN edges ON dst = at),
-d AS (SELECT at, min(d) AS d FROM (SELECT *, 1 AS d FROM w1 UNION ALL SELECT *, 2 FROM w2 UNION ALL SELECT *, 3 FROM w3 UNION ALL SELECT *, 4 FROM w4 UNION ALL SELECT *, 5 FROM w5 UNION ALL SELECT *, 6 FROM w6) WHERE source <> at GROUP BY at)
-SELECT i.id, coalesce(d.d, 10.0) AS min_distance_to_relevant FROM ids i LEFT JOIN d ON d.at = i.id""")
+{GRAPH}, w0 AS (SELECT id AS source, id AS node FROM ids WHERE y = 1),
+w1 AS (SELECT DISTINCT source, src AS node FROM w0 JOIN edges ON dst = node), w2 AS (SELECT DISTINCT source, src AS node FROM w1 JOIN edges ON dst = node),
+w3 AS (SELECT DISTINCT source, src AS node FROM w2 JOIN edges ON dst = node), w4 AS (SELECT DISTINCT source, src AS node FROM w3 JOIN edges ON dst = node),
+w5 AS (SELECT DISTINCT source, src AS node FROM w4 JOIN edges ON dst = node), w6 AS (SELECT DISTINCT source, src AS node FROM w5 JOIN edges ON dst = node),
+d AS (SELECT node, min(d) AS d FROM (SELECT *, 1 AS d FROM w1 UNION ALL SELECT *, 2 FROM w2 UNION ALL SELECT *, 3 FROM w3 UNION ALL SELECT *, 4 FROM w4 UNION ALL SELECT *, 5 FROM w5 UNION ALL SELECT *, 6 FROM w6) WHERE source <> node GROUP BY node)
+SELECT i.id, coalesce(d.d, 10.0) AS min_distance_to_relevant FROM ids i LEFT JOIN d ON d.node = i.id""")
 def min_distance_relevant(spark: SparkSession, folder: str) -> DataFrame:
     return features.distance_to_relevant(*_graph(spark, folder))
 
@@ -598,7 +600,7 @@ def embedding_mask(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("reviewed:b", f"WITH {STOP} SELECT reviewed FROM stop")
 def stopping_rule(spark: SparkSession, folder: str) -> DataFrame:
-    return screening.stopping_point(fixtures.screening_log(spark, folder))
+    return screening.stopping_point(fixtures.screening_log(spark, folder), PATIENCE)
 
 
 @query("record_id:b full_rank:b leftover_rank:b unread_rank:b export_rank:b", f"""
@@ -606,11 +608,11 @@ WITH {STOP}, own AS (SELECT record_id, position, read FROM seen JOIN target ON t
 SELECT record_id, position + 1 AS full_rank, CASE WHEN read THEN -1 ELSE f + a + 1 END AS leftover_rank, CASE WHEN read THEN -1 ELSE a + 1 END AS unread_rank, CASE WHEN read THEN -1 ELSE f + b + 1 END AS export_rank FROM c""")
 def leftover_ranks(spark: SparkSession, folder: str) -> DataFrame:
     log = materialize(fixtures.screening_log(spark, folder))
-    return screening.leftover_ranks(log, _target(log))
+    return screening.leftover_ranks(log, _target(log), PATIENCE)
 
 
 def _enriched(spark: SparkSession, folder: str) -> DataFrame:
-    seen = screening.reviewed_prefix(materialize(fixtures.screening_log(spark, folder)))
+    seen = screening.reviewed_prefix(materialize(fixtures.screening_log(spark, folder)), PATIENCE)
     return screening.enrich(fixtures.papers(spark, folder).withColumnRenamed("id", "record_id"), seen)
 
 
@@ -653,7 +655,7 @@ WITH {STOP}, o AS (SELECT record_id, position + 1 AS original, least((SELECT rev
 SELECT *, original - reranked AS documents_saved, (original - reranked) / original * 100 AS improvement_percent FROM o""")
 def rerank_savings(spark: SparkSession, folder: str) -> DataFrame:
     log = materialize(fixtures.screening_log(spark, folder))
-    return screening.documents_saved(log, _target(log), 41)
+    return screening.documents_saved(log, _target(log), 41, PATIENCE)
 
 
 @query("record_id:b label:b position:b", f"""
@@ -661,7 +663,7 @@ WITH {STOP}, p AS (SELECT least((SELECT reviewed FROM stop) + 41, (SELECT count(
 SELECT record_id, label, q + (q >= place)::INT AS position FROM o, p UNION ALL SELECT record_id, label, place FROM k, p WHERE hit""")
 def reranked_order(spark: SparkSession, folder: str) -> DataFrame:
     log = materialize(fixtures.screening_log(spark, folder))
-    return screening.reranked_order(log, _target(log), 41)
+    return screening.reranked_order(log, _target(log), 41, PATIENCE)
 
 
 @query("label_included:b is_test:s n:b", f"""
@@ -688,12 +690,12 @@ TITLE = "split_part(text, chr(10), 1)"
 REST = f"substr(text, length({TITLE}) + 2)"
 
 
-@query("id:b embedding_text:s both:s", f"""
+@query("id:b embedding_text:s full_text:s", f"""
 SELECT doc_id AS id, CASE WHEN trim(coalesce({TITLE}, ''), ' ') <> '' OR trim(coalesce({REST}, ''), ' ') <> '' THEN trim(coalesce({TITLE}, ''), ' ') || '[SEP]' || trim(coalesce({REST}, ''), ' ') END AS embedding_text,
-coalesce({TITLE}, '') || ' ' || coalesce({REST}, '') AS both FROM documents""")
+coalesce({TITLE}, '') || ' ' || coalesce({REST}, '') AS full_text FROM documents""")
 def text_preparation(spark: SparkSession, folder: str) -> DataFrame:
     p = fixtures.papers(spark, folder)
-    return p.select("id", embedding_text(F.col("title"), F.col("abstract")).alias("embedding_text"), title_abstract(F.col("title"), F.col("abstract")).alias("both"))
+    return p.select("id", embedding_text(F.col("title"), F.col("abstract")).alias("embedding_text"), title_abstract(F.col("title"), F.col("abstract")).alias("full_text"))
 
 
 @query("num_documents:b valid_embeddings:b embedding_dim:b mean_norm:6 std_norm:6", """
