@@ -178,7 +178,8 @@ def simulate_review(papers: DataFrame, learner: str = "nb", batch: int = 50, rou
         scored = model.transform(vectors.join(read.select("id"), "id", "left_anti"))
         from pyspark.ml.functions import vector_to_array
 
-        score = vector_to_array("rawPrediction")[1]
+        raw = vector_to_array("rawPrediction")
+        score = raw[1] - raw[0]
         best = scored.select("id", score.alias("s"), "y").orderBy(F.desc("s"), "id").limit(batch)
         read = materialize(read.union(best.select("id", (-F.col("s")).alias("key"), F.lit(k).alias("round"), "y")))
     vectors.unpersist()

@@ -1,3 +1,4 @@
+import os
 import sys
 from pathlib import Path
 
@@ -11,4 +12,4 @@ from corpusloom.session import local_session, ship_by_value  # noqa: E402
 @pytest.fixture(scope="session")
 def spark():
     ship_by_value()
-    return local_session(cpus=4, shuffle_partitions=4)
+    return local_session(cpus=os.environ.get("TEST_CPUS", "4"), shuffle_partitions=4)
