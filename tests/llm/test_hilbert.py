@@ -1,0 +1,59 @@
+import zlib
+from itertools import product
+
+import pytest
+from pyspark.sql import functions as F
+
+from corpusloom.llm.hilbert import by_size, hilbert_index, shard_documents, shard_ranges, write_shards
+
+
+@pytest.mark.parametrize("dims,bits", [(2, 4), (3, 3), (4, 2)])
+def test_curve_visits_every_cell_by_single_steps(spark, dims, bits):
+    cells = list(product(range(1 << bits), repeat=dims))
+    names = [f"c{i}" for i in range(dims)]
+    frame = spark.createDataFrame(cells, ", ".join(f"{n} int" for n in names))
+    order = [tuple(r[n] for n in names) for r in sorted(frame.withColumn("h", hilbert_index([F.col(n) for n in names], bits)).collect(), key=lambda r: r["h"])]
+    assert sorted(order) == cells
+    assert all(sum(abs(x - y) for x, y in zip(a, b)) == 1 for a, b in zip(order, order[1:]))
+
+
+def documents(spark, n=203):
+    rows = [(i, None if i % 17 == 0 else "wörd " * (i % 23), ["en", "de", None][i % 3], f"src{i % 5}" if i % 3 else "src0", "z") for i in range(n)]
+    return spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, shard string"), {r[0]: r[1] for r in rows}
+
+
+def test_rows_law_slots_and_checksums(spark):
+    docs, texts = documents(spark)
+    got = shard_documents(docs).collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(texts)
+    counts = {}
+    for r in got:
+        text = texts[r["doc_id"]]
+        assert r["size"] == len((text or "").encode()) + 1 and r["text_crc32"] == (None if text is None else zlib.crc32(text.encode())) and r["law"] == "rows" and r["grown_shard"] is None
+        counts.setdefault(r["shard"], []).append(r["slot"])
+    assert sorted(counts) == list(range(8)) and all(sorted(s) == list(range(len(s))) for s in counts.values())
+    assert max(map(len, counts.values())) - min(map(len, counts.values())) <= 1
+    along = [r["hilbert"] for r in sorted(got, key=lambda r: (r["shard"], r["slot"]))]
+    assert along == sorted(along)
+
+
+def test_carry_odd_rows_and_empty_tables(spark):
+    docs, _ = documents(spark, 3)
+    odd = docs.union(docs).union(spark.createDataFrame([(None, None, None, None, None)], docs.schema))
+    got = shard_documents(odd, carry=True)
+    assert got.columns[:4] == ["doc_id", "text", "lang", "source"] and got.count() == 7
+    assert sorted((r["shard"], r["slot"]) for r in got.collect()) == [(i, 0) for i in range(7)]
+    assert shard_documents(docs.limit(0)).collect() == []
+    assert shard_documents(docs.select("doc_id", "text")).count() == 3
+    assert spark.range(1).select(by_size(F.lit(None)), by_size(F.lit(-3)), by_size(F.lit(1 << 40))).first() == (0, 0, 255)
+
+
+def test_written_shards_can_be_skipped(spark, tmp_path):
+    docs, texts = documents(spark)
+    docs = docs.drop("shard")
+    placed = shard_documents(docs)
+    write_shards(docs, placed, str(tmp_path / "out"))
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert back.count() == len(texts) and sorted(r["shard"] for r in back.select("shard").distinct().collect()) == list(range(8))
+    ranges = shard_ranges(docs, placed, ["source"]).collect()
+    assert sum(r["n"] for r in ranges) == len(texts) and sum(r["min_source"] <= "src4" <= r["max_source"] for r in ranges) < 8
