@@ -60,6 +60,12 @@ def _links(va, sa, vb, sb, table: int, threshold: float, same: bool) -> tuple[np
     return left, right
 
 
+def _chunk(row: pa.RecordBatch, side: str, dim: int, tables: int) -> dict[str, np.ndarray]:
+    x = {k: nested_values(row.column(f"{k}_{side}")) for k in ("rep", "mult", "e", "sigs")}
+    e = x["e"].astype(np.float64).reshape(-1, dim)
+    return x | {"e": e / np.linalg.norm(e, axis=1, keepdims=True), "sigs": x["sigs"].reshape(-1, tables)}
+
+
 def cosine_links(vectors: DataFrame, threshold: float, recall: float, seed: int = SEED, chunk: int = CHUNK) -> DataFrame:
     """From ``vectors(rep, mult, embedding)``, distinct and finite: rows ``(rep, links, root)``; links sum to a vector's
     linked rows, ``(rep, root)`` span its group."""
@@ -83,10 +89,16 @@ def cosine_links(vectors: DataFrame, threshold: float, recall: float, seed: int
     slots = signed.select("rep", F.size("embedding").alias("dim"), F.posexplode("sigs").alias("t", "sig"))
     crowded = slots.groupBy(bucket).agg(F.count("*").alias("n")).where("n > 1").select(*bucket, F.ceil(F.col("n") / chunk).alias("chunks"))
     slots = slots.join(crowded, bucket).withColumn("chunk", F.pmod(F.xxhash64("rep"), "chunks"))
-    rows = slots.join(signed, "rep").select(*bucket, "chunk", F.struct("rep", "mult", F.col("embedding").cast("array<double>").alias("e"), "sigs").alias("x"))
-    chunks = materialize(rows.groupBy(*bucket, "chunk").agg(F.collect_list("x").alias("x")))
-    side = lambda s: chunks.select(*bucket, F.col("chunk").alias(f"c{s}"), *(F.col(f"x.{k}").alias(f"{k}_{s}") for k in ("rep", "mult", "e", "sigs")))
-    pairs = side("a").join(side("b"), bucket).where("ca <= cb").withColumn("same", F.expr("ca = cb"))
+    rows = slots.join(signed, "rep").select(*bucket, "chunks", "chunk", F.struct("rep", "mult", F.col("embedding").alias("e"), "sigs").alias("x"))
+    packed = materialize(rows.groupBy(*bucket, "chunks", "chunk").agg(F.collect_list("x").alias("x")))
+    # most buckets are one chunk, compared with itself; only the chunks of crowded ones meet in a join
+    none = F.slice("x", 1, 0)
+    alone = packed.where("chunks = 1").select("dim", "t", F.col("x").alias("xa"), none.alias("xb"), F.lit(True).alias("same"))
+    many = packed.where("chunks > 1")
+    met = many.select(*bucket, F.col("chunk").alias("ca"), F.col("x").alias("xa")).join(many.select(*bucket, F.col("chunk").alias("cb"), "x"), bucket).where("ca <= cb")
+    met = met.select("dim", "t", "xa", F.when(F.col("ca") < F.col("cb"), F.col("x")).otherwise(none).alias("xb"), (F.col("ca") == F.col("cb")).alias("same"))
+    fields = [F.col(f"x{s}.{k}").alias(f"{k}_{s}") for s in "ab" for k in ("rep", "mult", "e", "sigs")]
+    pairs = alone.union(met).select("dim", "t", "same", *fields)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -94,11 +106,8 @@ def cosine_links(vectors: DataFrame, threshold: float, recall: float, seed: int
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1)
                 dim, t, same = (row.column(c)[0].as_py() for c in ("dim", "t", "same"))
-                a, b = ({k: nested_values(row.column(f"{k}_{s}")) for k in ("rep", "mult", "e", "sigs")} for s in "ab")
-                for x in (a, b):
-                    x["e"] = x["e"].reshape(-1, dim)
-                    x["e"] = x["e"] / np.linalg.norm(x["e"], axis=1, keepdims=True)
-                    x["sigs"] = x["sigs"].reshape(-1, tables)
+                a = _chunk(row, "a", dim, tables)
+                b = a if same else _chunk(row, "b", dim, tables)
                 left, right = _links(a["e"], a["sigs"], b["e"], b["sigs"], t, threshold, same)
                 if not len(left):
                     continue
