@@ -64,3 +64,9 @@ def clean_with_statistics(df: DataFrame, column: str) -> DataFrame:
     stats = df.agg(F.percentile(good, 0.5).alias("__m"), F.max(good).alias("__hi"), F.min(good).alias("__lo"))
     cleaned = F.when(c.isNull() | F.isnan(c), F.col("__m")).when(c == float("inf"), F.col("__hi")).when(c == float("-inf"), F.col("__lo")).otherwise(c)
     return df.crossJoin(F.broadcast(stats)).withColumn(column, cleaned).drop("__m", "__hi", "__lo")  # one row
+
+
+def correlation(a: Column, b: Column) -> Column:
+    """Pearson's, null where either side is constant."""
+    a, b = a.cast("double"), b.cast("double")
+    return F.covar_pop(a, b) / F.nullif(F.stddev_pop(a) * F.stddev_pop(b), F.lit(0.0))

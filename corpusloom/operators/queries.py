@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import embedding_text, performance_band, title_abstract
+from ..functions.columns import correlation, embedding_text, performance_band, title_abstract
 from ..plans.materialize import materialize
 from ..session import table
 from ..sources import datasets, fixtures
@@ -526,7 +526,7 @@ def feature_importance(spark: SparkSession, folder: str) -> DataFrame:
     return reporting.feature_importance(wide, "ensemble", LOCAL)
 
 
-IMPORTANCES = f"{GRAPH}, imp AS (SELECT dataset, feature, abs(corr(f.value, i.y)) AS importance FROM (UNPIVOT feats ON {', '.join(LOCAL)} INTO NAME feature VALUE value) f JOIN ids i USING (id) GROUP BY dataset, feature)".replace("UNPIVOT feats", "UNPIVOT (SELECT id, " + ", ".join(f"{c}::DOUBLE AS {c}" for c in LOCAL) + " FROM feats)")
+IMPORTANCES = f"{GRAPH}, imp AS (SELECT dataset, feature, coalesce(abs(covar_pop(f.value, i.y) / nullif(stddev_pop(f.value) * stddev_pop(i.y), 0)), 0) AS importance FROM (UNPIVOT feats ON {', '.join(LOCAL)} INTO NAME feature VALUE value) f JOIN ids i USING (id) GROUP BY dataset, feature)".replace("UNPIVOT feats", "UNPIVOT (SELECT id, " + ", ".join(f"{c}::DOUBLE AS {c}" for c in LOCAL) + " FROM feats)")
 LANGS = ["de", "en", "es", "fr"]
 
 
@@ -535,7 +535,7 @@ def _importances(spark: SparkSession, folder: str) -> DataFrame:
     papers, _, edges = _graph(spark, folder)
     wide = features.neighbourhood_features(papers, edges)
     long = wide.select("id", F.inline(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).alias("value")) for c in LOCAL)))).join(papers, "id")
-    return long.groupBy("dataset", "feature").agg(F.abs(F.corr("value", F.col("label_included").cast("double"))).alias("importance"))
+    return long.groupBy("dataset", "feature").agg(F.coalesce(F.abs(correlation(F.col("value"), F.col("label_included"))), F.lit(0.0)).alias("importance"))
 
 
 @query("feature:s de:4 en:4 es:4 fr:4 mean:4 display:s", f"""

@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import finite_or_zero
+from ..functions.columns import correlation, finite_or_zero
 from ..plans.order import with_group_position
 
 TINY = 1e-8
@@ -88,12 +88,15 @@ def quantile_transform(long: DataFrame, quantiles: int = 1000) -> DataFrame:
     """To the uniform distribution: places on a grid of at most ``quantiles`` quantiles, averaged from both sides at ties."""
     sizes = long.groupBy("method").agg(F.count("*").alias("n"))
     counts = {r["method"]: r["n"] for r in sizes.collect()}  # one row per method
-    parts = []
-    for method, n in counts.items():
-        own, k = long.where(F.col("method") == method), min(n, quantiles)
-        if k < 2:
-            parts.append(own.withColumn("value", F.lit(0.0)))
-            continue
+    parts, k = [], quantiles
+    small = [m for m, n in counts.items() if n <= quantiles]
+    if small:  # every row is a point of the grid: ranks say it without rounding
+        ranked = tie_ranks(long.where(F.col("method").isin(*small)))
+        first, last = F.col("n") - F.col("r_max"), F.col("n") - F.col("r_min")
+        value = F.when(first == 0, F.lit(0.0)).when(last == F.col("n") - 1, F.lit(1.0)).otherwise((first + last) / 2 / F.greatest(F.col("n") - 1, F.lit(1)))
+        parts.append(ranked.withColumn("value", value).select(*long.columns, "value"))
+    for method in (m for m, n in counts.items() if n > quantiles):
+        own = long.where(F.col("method") == method)
         grid = own.agg(F.percentile("score", F.array(*(F.lit(i / (k - 1)) for i in range(k)))).alias("g"))
         wide = own.crossJoin(F.broadcast(grid)).withColumn("below", F.expr("size(filter(g, x -> x < score))")).withColumn("upto", F.expr("size(filter(g, x -> x <= score))"))
         left, right = F.col("below") - 1, F.col("upto")
@@ -137,6 +140,6 @@ def reciprocal_rank_fusion(long: DataFrame, k: int = 60) -> DataFrame:
 def fusion_diagnostics(scores: DataFrame, methods: list[str]) -> DataFrame:
     """Per method the extremes and distinct values, with the correlation of the first two methods and whether they are equal."""
     first, second = (methods + methods)[:2]
-    pair = scores.agg(F.corr(first, second).alias("correlation"), (F.count_if(F.col(first) != F.col(second)) == 0).alias("equal"))
+    pair = scores.agg(correlation(F.col(first), F.col(second)).alias("correlation"), (F.count_if(F.col(first) != F.col(second)) == 0).alias("equal"))
     stats = to_long(scores, methods).groupBy("method").agg(F.min("score").alias("lo"), F.max("score").alias("hi"), F.count_distinct("score").alias("distinct_scores"))
     return stats.crossJoin(F.broadcast(pair))
