@@ -133,26 +133,37 @@ def _without_copies(texts: list[bytes]) -> list[int]:
 
 
 class FeatureTable:
-    """Which features each text of a sample has, as numbers: rows ``row[i]`` have feature ``col[i]``."""
+    """Which features each text of a sample has, as numbers: rows ``row[i]`` have feature ``col[i]``.
+
+    Features are told apart by crc32, so no dictionary of all words is held; those in one text alone are left out.
+    """
 
     def __init__(self, texts: list[bytes]):
-        words: dict[bytes, int] = {}
-        own = [np.array(sorted({words.setdefault(w, len(words)) for w in words_of(t)}), np.int64) for t in texts]
-        ids: dict[bytes, int] = {}
-        kinds = np.full((len(words), 4), -1, np.int64)
-        for w, i in words.items():
-            found = [ids.setdefault(f, len(ids)) for f in features_of(w)]
-            kinds[i, : len(found)] = found
-        cols = [np.unique(kinds[w]) for w in own]
-        cols = [c[c >= 0] for c in cols]
-        self.names = list(ids)
         self.n = len(texts)
-        self.col = np.concatenate(cols) if cols else np.zeros(0, np.int64)
-        self.row = np.repeat(np.arange(self.n), [len(c) for c in cols])
+        each = [np.unique(np.fromiter((zlib.crc32(f) for w in set(words_of(t)) for f in features_of(w)), np.uint32)) for t in texts]
+        row = np.repeat(np.arange(self.n, dtype=np.int32), [len(e) for e in each])
+        every = np.concatenate(each) if each else np.zeros(0, np.uint32)
+        del each
+        hashes, counts = np.unique(every, return_counts=True)
+        self.hashes = hashes[counts > 1]
+        col = np.minimum(np.searchsorted(self.hashes, every), max(len(self.hashes) - 1, 0)).astype(np.int32)
+        known = self.hashes[col] == every if len(self.hashes) else np.zeros(len(every), bool)
+        self.row, self.col = row[known], col[known]
 
     def counts(self, weight: np.ndarray) -> np.ndarray:
         """Of each feature, the weight of the texts that have it."""
-        return np.bincount(self.col, weight[self.row], len(self.names))
+        return np.bincount(self.col, weight[self.row], len(self.hashes))
+
+    def names(self, texts: list[bytes], wanted: np.ndarray) -> dict[int, bytes]:
+        """The features of the wanted numbers; of features with one hash the least."""
+        number, found = {int(self.hashes[i]): int(i) for i in wanted}, {}
+        for t in texts:
+            for w in set(words_of(t)):
+                for f in features_of(w):
+                    i = number.get(zlib.crc32(f))
+                    if i is not None and (i not in found or f < found[i]):
+                        found[i] = f
+        return found
 
 
 def mine_lexicon(table: FeatureTable, y: np.ndarray, least: float = 0.005, ratio: float = 3.0) -> np.ndarray:
@@ -171,10 +182,9 @@ def fit_toxicity(texts: list[bytes], y: np.ndarray, voters: int = LEXICON_VOTERS
     table = FeatureTable(texts)
     votes = np.zeros((table.n, voters + len(PATTERNS)), bool)
     votes[:, voters:] = [pattern_votes(t) for t in texts]
-    del texts
-    voter_of = np.full(len(table.names), -1)
+    voter_of = np.full(len(table.hashes), -1)
     lexicon = mine_lexicon(table, y)
-    voter_of[lexicon] = [zlib.crc32(table.names[i]) % voters for i in lexicon]
+    voter_of[lexicon] = table.hashes[lexicon] % voters
     voting = voter_of[table.col] >= 0
     votes[table.row[voting], voter_of[table.col[voting]]] = True
     label_model = fit_label_model(votes, np.clip(votes[:, :voters].sum(axis=1) / 2, 0.02, 0.98))
@@ -183,7 +193,7 @@ def fit_toxicity(texts: list[bytes], y: np.ndarray, voters: int = LEXICON_VOTERS
     all_, on = table.counts(np.ones(table.n)), table.counts((posterior >= 0.5).astype(float))
     share = max(1e-6, float((posterior >= 0.5).mean()))
     used = np.flatnonzero((all_ >= max(2, 0.0005 * table.n)) & (np.abs(np.log((on + 0.2) / (all_ * share + 0.2))) >= 1.2))
-    place = np.full(len(table.names), -1)
+    place = np.full(len(table.hashes), -1)
     place[used] = np.arange(len(used))
     some = place[table.col] >= 0
     row, col, extra, n, d = table.row[some], place[table.col[some]], votes[:, voters:].astype(float), table.n, len(used)
@@ -193,7 +203,8 @@ def fit_toxicity(texts: list[bytes], y: np.ndarray, voters: int = LEXICON_VOTERS
     for _ in range(15):
         v = back(times(v / np.linalg.norm(v)))
     w, b = lasso_logistic(times, back, posterior, d + extra.shape[1], penalty, 0.25 * (np.linalg.norm(v) / n + 1), 1500)
-    return ToxicityModel({table.names[i]: float(x) for i, x in zip(used, w) if x}, [float(x) for x in w[d:]], b, label_model)
+    names = table.names(texts, used[np.flatnonzero(w[:d])])
+    return ToxicityModel({names[i]: float(x) for i, x in zip(used, w) if x}, [float(x) for x in w[d:]], b, label_model)
 
 
 def learn_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 3, fold: int = 1, sample: int = SAMPLE) -> ToxicityModel:
@@ -201,7 +212,9 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     chosen = labelled_sample(labels, label_col, id_col, folds, fold, sample)
     rows = docs.select(F.col(id_col).alias("k"), F.col(text_col).cast("binary").alias("t")).join(F.broadcast(chosen), F.col("k") == F.col("id"))
     rows = rows.where("t is not null").select("id", "t", "y").orderBy(F.xxhash64("id"), "t").limit(sample).toArrow()
-    model = fit_toxicity(rows.column("t").to_pylist(), rows.column("y").to_numpy().astype(float)) if rows.num_rows else ToxicityModel()
+    texts, y = (rows.column("t").to_pylist(), rows.column("y").to_numpy().astype(float)) if rows.num_rows else ([], np.zeros(0))
+    del rows
+    model = fit_toxicity(texts, y)
     model.label_model = None  # not needed for scores
     return model
 
