@@ -96,7 +96,8 @@ LISTED_HOSTS = ["ads-track.example.com", "casino-win.example.net", "spam-farm.ex
 
 def url_entries(spark: SparkSession) -> DataFrame:
     rows = [(h, p, a, True) for h, p, a in URL_RULES] + [(h, "", "block", False) for h in LISTED_HOSTS]
-    return spark.createDataFrame(rows, "host string, path string, action string, ruled boolean")
+    names = ("host", "path", "action", "ruled")
+    return spark.range(1).select(F.inline(F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in zip(names, r))) for r in rows))))
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
