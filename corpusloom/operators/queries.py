@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import correlation, embedding_text, performance_band, title_abstract
+from ..functions.columns import clean_with_statistics, correlation, embedding_text, finite_or_zero, performance_band, title_abstract
 from ..plans.materialize import materialize
 from ..session import table
 from ..sources import datasets, fixtures
@@ -519,6 +519,13 @@ def topk_budget_table(spark: SparkSession, folder: str) -> DataFrame:
     return reporting.topk_budget_table(wide)
 
 
+@query("grade:s n:b mean_efficiency:6", f"""
+WITH {LOG}, d AS (SELECT i.dataset, count(*) AS n, max(CASE WHEN i.y = 1 THEN l.time + 1 END) AS o FROM ids i JOIN log l ON l.record_id = i.id GROUP BY i.dataset), b AS (SELECT *, greatest(1, floor(n * 0.01)) AS t1 FROM d)
+SELECT CASE WHEN t1 <= n * 0.01 THEN 'A+' WHEN t1 <= n * 0.05 THEN 'A' ELSE 'B' END AS grade, count(*) AS n, avg((o - t1) / o * 100) AS mean_efficiency FROM b GROUP BY 1""")
+def grade_summary(spark: SparkSession, folder: str) -> DataFrame:
+    return reporting.grade_summary(topk_budget_table(spark, folder))
+
+
 @query("feature:s importance:4")
 def feature_importance(spark: SparkSession, folder: str) -> DataFrame:
     papers, _, edges = _graph(spark, folder)
@@ -698,6 +705,26 @@ def text_preparation(spark: SparkSession, folder: str) -> DataFrame:
     return p.select("id", embedding_text(F.col("title"), F.col("abstract")).alias("embedding_text"), title_abstract(F.col("title"), F.col("abstract")).alias("full_text"))
 
 
+@query("id:b value_by_constants:6 value_by_statistics:6", f"""
+WITH {SCORED}, dirty AS (SELECT id, CASE WHEN id % 10 = 1 THEN NULL WHEN id % 10 = 2 THEN 'inf'::DOUBLE WHEN id % 10 = 3 THEN '-inf'::DOUBLE ELSE lof_network END AS x FROM scored),
+s AS (SELECT quantile_cont(x, 0.5) AS m, max(x) AS hi, min(x) AS lo FROM dirty WHERE isfinite(x))
+SELECT id, CASE WHEN x IS NULL OR NOT isfinite(x) THEN 0 ELSE x END AS value_by_constants, CASE WHEN x IS NULL THEN m WHEN isfinite(x) THEN x WHEN x > 0 THEN hi ELSE lo END AS value_by_statistics FROM dirty, s""")
+def clean_features(spark: SparkSession, folder: str) -> DataFrame:
+    last, x = F.col("id") % 10, F.col("lof_network")
+    dirty = F.when(last == 1, F.lit(None)).when(last == 2, F.lit(float("inf"))).when(last == 3, F.lit(float("-inf"))).otherwise(x)
+    wide = fixtures.scores(spark, folder).select("id", dirty.alias("x"))
+    fixed = clean_with_statistics(wide.withColumn("value_by_constants", finite_or_zero(F.col("x"))), "x")
+    return fixed.withColumnRenamed("x", "value_by_statistics")
+
+
+@query("openalex_id:s index:b", "SELECT 'https://openalex.org/W' || doc_id AS openalex_id, row_number() OVER (ORDER BY doc_id) - 1 AS index FROM documents")
+def embedding_id_index(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids and rows of a metadata document that lists the papers in their order."""
+    papers = fixtures.papers(spark, folder).select("id", "openalex_id")
+    placed = datasets.with_record_ids(papers, "id")
+    return placed.groupBy("openalex_id").agg(F.max("record_id").alias("index"))
+
+
 @query("num_documents:b valid_embeddings:b embedding_dim:b mean_norm:6 std_norm:6", """
 WITH v AS (SELECT embedding, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings) SELECT count(*) AS num_documents, count(embedding) AS valid_embeddings, max(len(embedding)) AS embedding_dim,
 avg(sqrt(list_dot_product(e, e))) AS mean_norm, stddev_pop(sqrt(list_dot_product(e, e))) AS std_norm FROM v""")
