@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -75,7 +76,7 @@ def cosine_links(vectors: DataFrame, threshold: float, recall: float, seed: int
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
-                size = pa.compute.list_value_length(part.column("embedding")).to_numpy()
+                size = pc.list_value_length(part.column("embedding")).to_numpy()
                 for dim in np.unique(size):
                     some = part.filter(pa.array(size == dim))
                     v = nested_values(some.column("embedding")).astype(np.float64).reshape(-1, dim)

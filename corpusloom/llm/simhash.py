@@ -19,6 +19,7 @@ from itertools import product
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -128,7 +129,7 @@ def fingerprint_links(distinct: DataFrame, radius: int = RADIUS, segments: int =
         for batch in batches:
             fa, ra, fb, rb = (nested_values(batch.column(c)) for c in ("fa", "ra", "fb", "rb"))
             fa, fb = fa.view(np.uint64), fb.view(np.uint64)
-            na, nb = (np.concatenate(([0], np.cumsum(pa.compute.list_value_length(batch.column(c)).to_numpy()))) for c in ("fa", "fb"))
+            na, nb = (np.concatenate(([0], np.cumsum(pc.list_value_length(batch.column(c)).to_numpy()))) for c in ("fa", "fb"))
             src, dst = [], []
             for i, same in enumerate(batch.column("same").to_pylist()):
                 a, b = slice(na[i], na[i + 1]), slice(nb[i], nb[i + 1])
