@@ -32,6 +32,8 @@ REPETITIONS = 32
 SAMPLED = 2
 SEED = 29
 BLOCK_ITEMS = 20_000
+#: Bytes of text searched at a time: arrays of some ten bytes for each of its words.
+SCAN_BYTES = 12 << 20
 #: Steps are sampled below this multiple of the item's words, where the walk is still inside the item.
 REACH = 1.5
 
@@ -237,12 +239,12 @@ def benchmark_hits(
         def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = ItemIndex(block, similarity, min_words, repetitions, sampled, seed)
             for batch in batches:
-                for part in text_slices(batch, "t", 32 << 20):
+                for part in text_slices(batch, "t", SCAN_BYTES):
                     rows = index.matches(utf8(part.column("t")).to_pylist()) if index.words else []
                     if rows:
                         row, item, distance, end = (np.array(x) for x in zip(*rows))
                         n = np.array([len(index.words[i]) for i in item])
-                        columns = [part.column("k").take(pa.array(row)), pa.array([index.item_ids[i] for i in item], pa.from_numpy_dtype("int64") if item_kind == "bigint" else None)]
+                        columns = [part.column("k").take(pa.array(row)), pa.array([index.item_ids[i] for i in item], {"int": pa.int32(), "bigint": pa.int64()}.get(item_kind))]
                         columns += [pa.array(x.astype(np.int32)) for x in (n, distance)] + [pa.array(1 - distance / n), pa.array(end.astype(np.int32))]
                         yield pa.RecordBatch.from_arrays(columns, [id_col, "item_id", "n_words", "distance", "similarity", "word_end"])
 
@@ -269,7 +271,7 @@ def _holds_item(block: list[tuple[int, bytes]], similarity: float, min_words: in
             found = np.zeros(len(column), bool)
             if index.words:
                 at = 0
-                for part in text_slices(pa.RecordBatch.from_arrays([column], ["t"]), "t", 32 << 20):
+                for part in text_slices(pa.RecordBatch.from_arrays([column], ["t"]), "t", SCAN_BYTES):
                     found[[at + m[0] for m in index.matches(utf8(part.column("t")).to_pylist())]] = True
                     at += part.num_rows
             yield pa.array(found)
