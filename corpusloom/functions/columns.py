@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Label columns by priority.
+#: Label columns by priority.
 LABELS = ["included", "label_included", "label", "relevant"]
 PREFIX = "https://openalex.org/"
 
@@ -53,8 +53,14 @@ def display_name(c: Column) -> Column:
     return F.when(F.length(text) > 20, F.concat(F.substring(text, 1, 17), F.lit("..."))).otherwise(text)
 
 
-def performance_band(percentile: Column) -> Column:
-    return F.when(percentile >= 95, "excellent").when(percentile >= 90, "very good").when(percentile >= 80, "good").otherwise("moderate")
+#: Least percentiles and names of the bands, in analyses of a document and in summaries of known outliers.
+ANALYSIS_BANDS = [(95, "Excellent outlier detection"), (90, "Very good outlier detection"), (80, "Good outlier detection"), (None, "Moderate outlier score")]
+SUMMARY_BANDS = [(95, "Excellent"), (90, "Very Good"), (80, "Good"), (None, "Poor")]
+
+
+def performance_band(percentile: Column, bands: list[tuple[int | None, str]] = ANALYSIS_BANDS) -> Column:
+    named = F.coalesce(*(F.when(percentile >= least, name) for least, name in bands if least is not None))
+    return F.coalesce(named, F.lit(bands[-1][1]))
 
 
 def clean_with_statistics(df: DataFrame, column: str) -> DataFrame:

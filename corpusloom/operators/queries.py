@@ -407,7 +407,7 @@ def detailed_breakdown(spark: SparkSession, folder: str) -> DataFrame:
 @query("method:s score:6 rank:b total:b percentile:6 band:s", f"""
 WITH {SCORED}, own AS (SELECT method, score FROM long WHERE id = (SELECT min(id) FROM ids WHERE y = 1)), r AS (
 SELECT o.method, o.score, count(*) FILTER (l.score > o.score) + 1 AS rank, count(*) AS total FROM own o JOIN long l USING (method) GROUP BY o.method, o.score), p AS (SELECT *, (total - rank + 1) / total * 100 AS percentile FROM r)
-SELECT *, CASE WHEN percentile >= 95 THEN 'excellent' WHEN percentile >= 90 THEN 'very good' WHEN percentile >= 80 THEN 'good' ELSE 'moderate' END AS band FROM p""")
+SELECT *, CASE WHEN percentile >= 95 THEN 'Excellent outlier detection' WHEN percentile >= 90 THEN 'Very good outlier detection' WHEN percentile >= 80 THEN 'Good outlier detection' ELSE 'Moderate outlier score' END AS band FROM p""")
 def document_analysis(spark: SparkSession, folder: str) -> DataFrame:
     wide = materialize(fixtures.scores(spark, folder))
     first = wide.where("label_included = 1").agg(F.min("id")).first()[0]
@@ -512,7 +512,7 @@ def outlier_summary(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("dataset:s top_1:b top_5:b top_10:b baseline_percentile:6 achieved_improvement:b efficiency:6 grade:s", f"""
 WITH {LOG}, d AS (SELECT i.dataset, count(*) AS n, max(CASE WHEN i.y = 1 THEN l.time + 1 END) AS o FROM ids i JOIN log l ON l.record_id = i.id GROUP BY i.dataset), b AS (SELECT *, greatest(1, floor(n * 0.01)) AS t1, greatest(1, floor(n * 0.05)) AS t5, greatest(1, floor(n * 0.1)) AS t10 FROM d)
-SELECT dataset, t1 AS top_1, t5 AS top_5, t10 AS top_10, o / n * 100 AS baseline_percentile, o - t1 AS achieved_improvement, (o - t1) / o * 100 AS efficiency, CASE WHEN t1 <= n * 0.01 THEN 'A+' WHEN t1 <= n * 0.05 THEN 'A' ELSE 'B' END AS grade FROM b""")
+SELECT dataset, t1 AS top_1, t5 AS top_5, t10 AS top_10, (1 - o / n) * 100 AS baseline_percentile, o - t1 AS achieved_improvement, CASE WHEN o > 1 THEN (o - t1) / (o - 1) * 100 WHEN o = 1 THEN 0 END AS efficiency, CASE WHEN o IS NULL OR o = n THEN 'N/A' WHEN t1 <= n * 0.01 THEN 'A+' WHEN t5 <= n * 0.05 THEN 'A' WHEN t10 <= n * 0.1 THEN 'B+' WHEN (1 - o / n) * 100 > 50 THEN 'B' ELSE 'C' END AS grade FROM b""")
 def topk_budget_table(spark: SparkSession, folder: str) -> DataFrame:
     ids, log = fixtures.paper_ids(spark, folder), fixtures.screening_log(spark, folder)
     wide = ids.join(log, F.col("id") == F.col("record_id")).groupBy("dataset").agg(F.count("*").alias("documents"), F.max(F.when(F.col("label") == 1, F.col("time") + 1)).alias("original_rank"))
@@ -520,8 +520,8 @@ def topk_budget_table(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("grade:s n:b mean_efficiency:6", f"""
-WITH {LOG}, d AS (SELECT i.dataset, count(*) AS n, max(CASE WHEN i.y = 1 THEN l.time + 1 END) AS o FROM ids i JOIN log l ON l.record_id = i.id GROUP BY i.dataset), b AS (SELECT *, greatest(1, floor(n * 0.01)) AS t1 FROM d)
-SELECT CASE WHEN t1 <= n * 0.01 THEN 'A+' WHEN t1 <= n * 0.05 THEN 'A' ELSE 'B' END AS grade, count(*) AS n, avg((o - t1) / o * 100) AS mean_efficiency FROM b GROUP BY 1""")
+WITH {LOG}, d AS (SELECT i.dataset, count(*) AS n, max(CASE WHEN i.y = 1 THEN l.time + 1 END) AS o FROM ids i JOIN log l ON l.record_id = i.id GROUP BY i.dataset), b AS (SELECT *, greatest(1, floor(n * 0.01)) AS t1, greatest(1, floor(n * 0.05)) AS t5, greatest(1, floor(n * 0.1)) AS t10 FROM d)
+SELECT CASE WHEN o IS NULL OR o = n THEN 'N/A' WHEN t1 <= n * 0.01 THEN 'A+' WHEN t5 <= n * 0.05 THEN 'A' WHEN t10 <= n * 0.1 THEN 'B+' WHEN (1 - o / n) * 100 > 50 THEN 'B' ELSE 'C' END AS grade, count(*) AS n, avg(CASE WHEN o > 1 THEN (o - t1) / (o - 1) * 100 WHEN o = 1 THEN 0 END) AS mean_efficiency FROM b GROUP BY 1""")
 def grade_summary(spark: SparkSession, folder: str) -> DataFrame:
     return reporting.grade_summary(topk_budget_table(spark, folder))
 
@@ -746,7 +746,7 @@ def event_windows(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("band:s n:b", f"""
 WITH {RANKED}, p AS (SELECT (n - r_ord + 1) / n * 100 AS p FROM tied WHERE method = 'lof_network')
-SELECT CASE WHEN p >= 95 THEN 'excellent' WHEN p >= 90 THEN 'very good' WHEN p >= 80 THEN 'good' ELSE 'moderate' END AS band, count(*) AS n FROM p GROUP BY band""")
+SELECT CASE WHEN p >= 95 THEN 'Excellent outlier detection' WHEN p >= 90 THEN 'Very good outlier detection' WHEN p >= 80 THEN 'Good outlier detection' ELSE 'Moderate outlier score' END AS band, count(*) AS n FROM p GROUP BY band""")
 def performance_bands(spark: SparkSession, folder: str) -> DataFrame:
     ranked = scores.percentiles(scores.tie_ranks(_long(spark, folder, ["lof_network"])))
     return ranked.groupBy(performance_band(F.col("p_a")).alias("band")).agg(F.count("*").alias("n"))
