@@ -26,16 +26,17 @@ MIN_LINES = 3
 MIN_WORDS = 50
 
 _BLANK = r"[\x20\x09-\x0D]+"
+_OUTER = " \t\n\x0b\x0c\r"
 
 
 def _line_table(text: Column) -> Column:
     """For each line that is not blank: its position, two hashes of it without outer white space, its words."""
+    bare = F.transform(F.split(text, "\n", -1), lambda line: F.btrim(line, F.lit(_OUTER)))  # once for each line, as lambdas share nothing
 
     def row(line: Column, i: Column) -> Column:
-        bare = F.regexp_replace(line, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
-        return F.struct(i.alias("pos"), F.xxhash64(bare).alias("h"), F.xxhash64(F.lit(1), bare).alias("g"), F.when(bare == "", 0).otherwise(F.size(F.split(bare, _BLANK))).alias("w"))
+        return F.struct(i.alias("pos"), F.xxhash64(line).alias("h"), F.xxhash64(F.lit(1), line).alias("g"), F.when(line == "", 0).otherwise(F.size(F.split(line, _BLANK))).alias("w"))
 
-    return F.filter(F.transform(F.split(text, "\n", -1), row), lambda x: x["w"] > 0)
+    return F.filter(F.transform(bare, row), lambda x: x["w"] > 0)
 
 
 def _windows(lines: Column, min_lines: int, min_words: int) -> Column:
