@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from corpusloom.llm.decontaminate import decontaminate
 from corpusloom.llm.hilbert import shard_documents
 from corpusloom.llm.mixing import mix, take_mixture
+from corpusloom.llm.near_copies import near_copy_dedup
 from corpusloom.llm.queries import mixture_levels
-from corpusloom.llm.simhash import simhash_dedup
 from corpusloom.llm.toxicity import drop_toxic
 from corpusloom.plans.materialize import materialize
 from corpusloom.session import table
@@ -28,7 +28,7 @@ def drop_toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash_dedup(docs)
+    return near_copy_dedup(docs)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +46,7 @@ def place_in_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("toxicity", drop_toxic_documents),
-    ("simhash", keep_one_of_near_copies),
+    ("near_copies", keep_one_of_near_copies),
     ("decontamination", drop_benchmark_leaks),
     ("mixing", mix_sources),
     ("sharding", place_in_shards),

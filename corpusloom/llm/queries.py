@@ -51,7 +51,7 @@ def op2_rule_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    groups = simhash_groups(table(spark, sf_dir, "documents"))
+    groups = simhash_groups(table(spark, sf_dir, "documents"), radius=2, words_per_shingle=3)
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 

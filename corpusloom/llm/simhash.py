@@ -34,18 +34,25 @@ SEGMENTS = 4
 CHUNK = 512
 
 
-def fingerprint(text: bytes, words_per_shingle: int = 3) -> int:
-    """The 64-bit fingerprint of one UTF-8 text; 0 if it has no words."""
+def shingle_hashes(text: bytes, words_per_shingle: int) -> np.ndarray:
+    """XXH64 of every word shingle of one UTF-8 text, in order; a shorter text is one shingle; none without words."""
     words = text.lower().split()  # of bytes: A-Z only, and exactly the white space 0x20 and 0x09-0x0D
     if not words:
-        return 0
+        return np.zeros(0, "<u8")
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     k = min(words_per_shingle, len(words))
     digest = xxhash.xxh64_intdigest
-    hashes = [digest(joined[a:b], SEED) for a, b in zip(starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist())]
-    ones, h = np.zeros(64, np.int64), np.array(hashes, "<u8")
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist())], "<u8")
+
+
+def fingerprint(text: bytes, words_per_shingle: int = 3) -> int:
+    """The 64-bit fingerprint of one UTF-8 text; 0 if it has no words."""
+    h = shingle_hashes(text, words_per_shingle)
+    if not len(h):
+        return 0
+    ones = np.zeros(64, np.int64)
     for at in range(0, len(h), 1 << 14):
         ones += np.unpackbits(h[at : at + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
