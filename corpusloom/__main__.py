@@ -1,7 +1,7 @@
 """Command line: analyse papers, simulate a review, validate datasets, encode texts.
 
     python -m corpusloom analyze papers.parquet out --references refs.parquet --embeddings vectors.parquet [--rrf]
-    python -m corpusloom review papers.parquet out --learner nb --batch 50 --rounds 20 --patience 100
+    python -m corpusloom review papers.parquet out --learner nb --batch 50 --patience 100
     python -m corpusloom validate datasets.json folder
     python -m corpusloom encode papers.parquet out
 """
@@ -35,7 +35,7 @@ def _parser() -> argparse.ArgumentParser:
     review.add_argument("papers")
     review.add_argument("out")
     review.add_argument("--learner", choices=screening.LEARNERS, default="nb")
-    for name, default in (("batch", 50), ("rounds", 20), ("patience", 100)):
+    for name, default in (("batch", 50), ("rounds", None), ("patience", 100)):
         review.add_argument(f"--{name}", type=int, default=default)
     validate = commands.add_parser("validate")
     validate.add_argument("config")
@@ -57,7 +57,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         datasets.save_report(detector.top_outliers(top_k=args.top_k), f"{args.out}/top")
         print(datasets.text_report(detector.method_comparison(), "Methods"))
     elif args.command == "review":
-        order = screening.simulate_review(read(args.papers), args.learner, args.batch, args.rounds)
+        order = screening.simulate_review(read(args.papers), args.learner, args.batch, args.rounds, patience=args.patience)
         log = order.select(F.col("id").alias("record_id"), "label", F.col("review_order").alias("time"))
         order.write.mode("overwrite").parquet(f"{args.out}/order")
         print(datasets.text_report(screening.stopping_point(log, args.patience), "Stop"))

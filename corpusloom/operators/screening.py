@@ -153,10 +153,32 @@ def _learner(name: str):
     return made.get(name, lambda: NaiveBayes(**common))()
 
 
-def simulate_review(papers: DataFrame, learner: str = "nb", batch: int = 50, rounds: int = 3, label: str = "label_included", features: int = 1 << 14) -> DataFrame:
+#: Records in one batch of the simulated review at most, unless more are asked for; they pass through one task.
+LARGEST_BATCH = 10_000
+
+
+def _read_until_stop(best: DataFrame, run: int, patience: int) -> tuple[DataFrame, int, int]:
+    """``best(id, key, y)`` up to the record at which the stopping rule fires, its size, and the irrelevant ones in a row at its end.
+
+    run: irrelevant ones in a row before it.
+    """
+    rows = materialize(running_sum(best, "y", F.col("key"), F.col("id"), name="found"))
+    islands = rows.groupBy("found").agg(F.min("position").alias("first"), F.max("position").alias("last"))
+    # the first island goes on where the batches before ended, the others begin with their relevant record
+    islands = islands.withColumn("before", F.when(F.col("found") == 0, F.lit(run)).otherwise(-1))
+    islands = islands.withColumn("length", F.col("before") + F.col("last") - F.col("first") + 1)
+    end = islands.agg(F.min(F.when(F.col("length") >= patience, F.col("first") + patience - F.col("before"))), F.max("last") + 1, F.max_by("length", "found")).first()
+    if end[0] is None:
+        return rows.select("id", "key", "y"), end[1], end[2]
+    return rows.where(F.col("position") < end[0]).select("id", "key", "y"), end[0], patience
+
+
+def simulate_review(papers: DataFrame, learner: str = "nb", batch: int = 50, rounds: int | None = None, label: str = "label_included", features: int = 1 << 14, patience: int = 100) -> DataFrame:
     """``id, review_order, label``: top-down reading until both classes are seen, then the most likely relevant ones, batch by batch.
 
-    Each round fits TF-IDF features of title and abstract with classes balanced by weight. What was read is a table; only counts
+    The review ends with the record at which ``patience`` irrelevant ones have followed each other after a relevant one, with the last record,
+    or after ``rounds`` batches if these are given; records of one class alone are all read top-down. Each round fits TF-IDF features of title and abstract with
+    classes balanced by weight. A batch is a quarter of what was read, ``batch`` records at least. What was read is a table; only counts
     come to the driver.
     """
     from pyspark.ml.feature import IDF, HashingTF, Tokenizer
@@ -166,13 +188,16 @@ def simulate_review(papers: DataFrame, learner: str = "nb", batch: int = 50, rou
     text = papers.select("id", F.col(label).cast("double").alias("y"), title_abstract(F.col("title"), F.col("abstract")).alias("text"))
     counted = HashingTF(inputCol="words", outputCol="tf", numFeatures=features).transform(Tokenizer(inputCol="text", outputCol="words").transform(text))
     vectors = IDF(inputCol="tf", outputCol="x").fit(counted).transform(counted).select("id", "y", "x").persist()
-    first = vectors.groupBy("y").agg(F.min("id").alias("i")).agg(F.max("i"), F.count("*")).first()
-    read = materialize(vectors.where(F.col("id") <= (first[0] if first[1] == 2 else 0)).select("id", F.col("id").cast("double").alias("key"), F.lit(0).alias("round"), "y"))
-    for k in range(1, rounds + 1) if first[1] == 2 else ():
+    first = vectors.groupBy("y").agg(F.min("id").alias("i"), F.count("*").alias("n")).agg(F.max("i"), F.count("*"), F.sum("n")).first()
+    both, total = first[1] == 2, first[2] or 0
+    seeds = vectors.where(F.col("id") <= first[0]) if both else vectors
+    read = materialize(seeds.select("id", F.col("id").cast("double").alias("key"), F.lit(0).alias("round"), "y"))
+    last = read.agg(F.max(F.when(F.col("y") == 1, F.col("id")))).first()[0]
+    done, run, k = read.count(), read.where(F.col("id") > last).count() if both else 0, 0
+    while both and done < total and run < patience and (rounds is None or k < rounds):
+        k += 1
         train = vectors.join(read.select("id"), "id", "left_semi")
         share = train.agg(F.avg("y")).first()[0]
-        if share in (0.0, 1.0):
-            break
         weighted = train.withColumn("w", F.when(F.col("y") == 1, F.lit(0.5 / share)).otherwise(F.lit(0.5 / (1 - share))))
         model = _learner(learner).fit(weighted)
         scored = model.transform(vectors.join(read.select("id"), "id", "left_anti"))
@@ -180,8 +205,10 @@ def simulate_review(papers: DataFrame, learner: str = "nb", batch: int = 50, rou
 
         raw = vector_to_array("rawPrediction")
         score = raw[1] - raw[0]
-        best = scored.select("id", score.alias("s"), "y").orderBy(F.desc("s"), "id").limit(batch)
-        read = materialize(read.union(best.select("id", (-F.col("s")).alias("key"), F.lit(k).alias("round"), "y")))
+        best = scored.select("id", (-score).alias("key"), "y").orderBy("key", "id").limit(max(batch, min(done // 4, LARGEST_BATCH)))
+        taken, n, run = _read_until_stop(best, run, patience)
+        done += n
+        read = materialize(read.union(taken.select("id", "key", F.lit(k).alias("round"), "y")))
     vectors.unpersist()
     placed = with_position(read, F.col("round"), F.col("key"), F.col("id"), name="review_order")
     return placed.select("id", "review_order", F.col("y").cast("int").alias("label"))

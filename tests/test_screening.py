@@ -67,6 +67,33 @@ def test_simulated_review_finds_relevant_papers_first(spark, learner):
     assert [r["id"] for r in got[:4]] == [0, 1, 2, 3] and sum(r["label"] for r in got[4:]) == 11
 
 
+@pytest.mark.parametrize("patience,everything", [(30, False), (1000, True)])
+def test_simulated_review_goes_on_until_the_rule_fires(spark, patience, everything):
+    rows = [(i, "special topic" if i % 10 == 3 else "common words", f"about item {i % 7}", int(i % 10 == 3)) for i in range(400)]
+    papers = spark.createDataFrame(rows, "id bigint, title string, abstract string, label_included int")
+    got = sorted(screening.simulate_review(papers, batch=7, patience=patience).collect(), key=lambda r: r["review_order"])
+    labels = [r["label"] for r in got]
+    assert sum(labels) == 40 and [r["review_order"] for r in got] == list(range(len(got))) and len({r["id"] for r in got}) == len(got)
+    assert len(got) == stop_at(labels, patience) == (400 if everything else 4 + 39 + patience)
+
+
+def test_simulated_review_reads_all_of_one_class(spark):
+    papers = spark.createDataFrame([(i, "title", "text", 0) for i in range(150)], "id bigint, title string, abstract string, label_included int")
+    assert sorted((r["review_order"], r["id"]) for r in screening.simulate_review(papers).collect()) == [(i, i) for i in range(150)]
+
+
+@pytest.mark.parametrize("run", [0, 3])
+def test_stop_within_a_batch_equals_record_by_record(spark, run):
+    rnd = random.Random(run)
+    for patience in (4, 9):
+        labels = [float(rnd.random() < 0.2) for _ in range(40)]
+        whole = [1, *[0] * run, *map(int, labels)]
+        best = spark.createDataFrame([(i, float(i), y) for i, y in enumerate(labels)], "id bigint, key double, y double")
+        rows, n, tail = screening._read_until_stop(best, run, patience)
+        assert rows.count() == n == stop_at(whole, patience) - 1 - run
+        assert tail == next(j for j, y in enumerate(whole[: n + 1 + run][::-1]) if y)
+
+
 def test_streams(spark, tmp_path):
     labels = [0, 1, 0, 0, 0, 0]
     rows = [(r, t, y) for r in (1, 2) for t, y in enumerate(labels if r == 1 else [1, 0, 1])]
