@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from ..plans.components import connected_components
 from ..plans.materialize import materialize
 from .arrow_text import nested_values, text_slices, utf8
-from .simhash import SEED, shingle_hashes, spanning_forest
+from .simhash import SEED, keep_first, shingle_hashes, spanning_forest
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -154,11 +154,4 @@ def near_copy_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     null and blank texts are copies of each other; of rows equal in id and text one stays; an empty table gives an empty result; other
     columns are ignored.
     """
-    node = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    groups = near_copy_groups(docs, text_col, **options)
-    rows = docs.select(F.col(id_col).alias("i"), node.alias("node")).join(groups, "node", "left")
-    best = rows.groupBy(F.coalesce("component", "node").alias("g")).agg(F.min(F.struct(F.col("i").isNull().alias("last"), "i", "node")).alias("x"))
-    best = materialize(best.select(F.col("x.i").alias("__i"), F.col("x.node").alias("__n")))
-    own = docs.withColumn("__node", node)
-    kept = own.join(best, (F.col("__node") == F.col("__n")) & F.col(f"`{id_col}`").eqNullSafe(F.col("__i")), "left_semi")
-    return kept.dropDuplicates([id_col, "__node"]).drop("__node")
+    return keep_first(docs, near_copy_groups(docs, text_col, **options), id_col, text_col)

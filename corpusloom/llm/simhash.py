@@ -172,10 +172,23 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return out.select(F.col("id").alias(id_col), "fp", F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
+def keep_first(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` with the row of the smallest ``(id, hash of the text)`` of each group, null ids last; ``groups(node, component)`` of hashes of texts."""
+    node = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    rows = docs.select(F.col(id_col).alias("i"), node.alias("node")).join(groups, "node", "left")
+    best = rows.groupBy(F.coalesce("component", "node").alias("g")).agg(F.min(F.struct(F.col("i").isNull().alias("last"), "i", "node")).alias("x"))
+    best = materialize(best.select(F.col("x.i").alias("__i"), F.col("x.node").alias("__n")))
+    own = docs.withColumn("__node", node)
+    kept = own.join(best, (F.col("__node") == F.col("__n")) & F.col(f"`{id_col}`").eqNullSafe(F.col("__i")), "left_semi")
+    return kept.dropDuplicates([id_col, "__node"]).drop("__node")
+
+
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with the row of the smallest id of each group; one row where rows share that id, all rows with a null id."""
-    groups = simhash_groups(docs, id_col, text_col, **options)
-    # two columns wide; an id that is the least of its group is there under its own component
-    keep = materialize(groups.where("component_id = `%s`" % id_col).select(id_col).distinct())
-    named = docs.join(keep, id_col, "left_semi").dropDuplicates([id_col])
-    return named.union(docs.where(F.col(id_col).isNull()))
+    """``docs`` with the row of the smallest id of each group of fingerprints, and all rows with a null id.
+
+    Rows group by their texts alone: of rows that share an id but not a group, one of each group stays.
+    """
+    named = docs.where(F.col(id_col).isNotNull())
+    texts = named.select(F.coalesce(F.col(text_col), F.lit("")).alias("t")).select(F.xxhash64("t").alias("node"), "t")
+    groups = simhash_groups(texts, "node", "t", **options).select("node", F.col("component_id").alias("component")).distinct()
+    return keep_first(named, groups, id_col, text_col).union(docs.where(F.col(id_col).isNull()))

@@ -77,6 +77,12 @@ def test_rows_of_one_id_link_through_it(spark):
     assert {(r["doc_id"], r["component_id"]) for r in simhash_groups(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()} == {(1, 1), (2, 1)}
 
 
+def test_unrelated_texts_of_one_id_stay(spark):
+    rows = [(1, "alpha beta gamma"), (1, "delta epsilon zeta"), (2, "delta epsilon zeta"), (3, "alpha beta gamma")]
+    kept = simhash_dedup(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted(tuple(r) for r in kept) == [(1, "alpha beta gamma"), (1, "delta epsilon zeta")]
+
+
 def test_empty_table(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert simhash_groups(empty).collect() == [] and simhash_fingerprints(empty).collect() == [] and simhash_dedup(empty).collect() == []
