@@ -21,6 +21,8 @@ from corpusloom.session import table
 
 #: Tokens of the mixture, as a share of those that reach it.
 MIXTURE_SHARE = 0.8
+#: Weight of each language that the mixture does not list, and of rows without one.
+OTHER_LANGUAGES = 0.05
 
 
 def drop_toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +38,7 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    levels, weights = mixture_levels()
+    levels, weights = mixture_levels(OTHER_LANGUAGES)
     return take_mixture(docs, mix(docs, levels, weights, MIXTURE_SHARE, epochs=1))
 
 

@@ -76,11 +76,11 @@ DOMAINS = {"web": 0.4, "books": 0.3, "forums": 0.2, "reference": 0.1}
 LANGUAGES = {"en": 0.5, "de": 0.2, "fr": 0.2, "es": 0.1}
 
 
-def mixture_levels() -> tuple[dict, list]:
-    """The tree's levels and the weights at each; other languages weigh nothing."""
+def mixture_levels(others: float = 0.0) -> tuple[dict, list]:
+    """The tree's levels and the weights at each; others: the weight of each other language, and of none."""
     number = F.coalesce(F.regexp_extract("source", "[0-9]+", 0).try_cast("long"), F.lit(0)) % len(DOMAINS)
     domain = F.get(F.array(*map(F.lit, DOMAINS)), number.cast("int"))
-    by = lambda c, weights: F.coalesce(F.get(F.array(*(F.lit(w) for w in weights.values())), F.array_position(F.array(*map(F.lit, weights)), F.col(c)).cast("int") - 1), F.lit(0.0))
+    by = lambda c, weights: F.coalesce(F.get(F.array(*(F.lit(w) for w in weights.values())), F.array_position(F.array(*map(F.lit, weights)), F.col(c)).cast("int") - 1), F.lit(others))
     return {"domain": domain, "lang": F.col("lang"), "source": F.col("source")}, [by("domain", DOMAINS), by("lang", LANGUAGES), F.lit(1.0)]
 
 

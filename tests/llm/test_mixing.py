@@ -87,3 +87,11 @@ def test_taken_documents_have_their_columns_and_cut_texts(spark):
 def test_tokens(spark):
     row = spark.range(1).select(count_tokens(F.lit(None).cast("string")), count_tokens(F.lit(" a\u00a0b\tc ")), cut_tokens(F.lit(" a  b\nc d"), F.lit(3)), cut_tokens(F.lit("a b"), F.lit(0))).first()
     assert tuple(row) == (0, 2, " a  b\nc", "")
+
+
+def test_the_pipeline_takes_unlisted_languages(spark):
+    import corpus_pipeline
+
+    rows = [(i, "one two three four five", ("en", "it", None)[i % 3], "s0") for i in range(60)]
+    got = corpus_pipeline.mix_sources(spark, spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string"), "").collect()
+    assert {r["lang"] for r in got} == {"en", "it", None} and len(got) == 48
