@@ -11,6 +11,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows of some 16 to 24 bytes that a join may broadcast after they were counted.
+BROADCAST_ROWS = 1_000_000
 
 _written: dict[str, list[str]] = {}
 
@@ -36,6 +40,11 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded_broadcast(narrow: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """``narrow``, a few numbers a row, with a broadcast hint if it was counted to ``most`` rows at most; else for a join by shuffles."""
+    return F.broadcast(narrow) if narrow.count() <= most else narrow
+
+
 def release(spark: SparkSession) -> int:
     """Delete what this application has materialized; call it when results are written."""
     jvm, paths = spark.sparkContext._jvm, _written.pop(spark.sparkContext.applicationId, [])
