@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from corpusloom.llm.decontaminate import decontaminate
 from corpusloom.llm.hilbert import shard_documents
-from corpusloom.llm.mixing import mix, take_mixture
+from corpusloom.llm.mixing import mix_documents
 from corpusloom.llm.near_copies import near_copy_dedup
 from corpusloom.llm.queries import mixture_levels
 from corpusloom.llm.toxicity import drop_toxic
@@ -26,29 +26,54 @@ OTHER_LANGUAGES = 0.05
 
 
 def drop_toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier of weak labels rejects go.
+
+    Null and empty texts hold no words and stay; rows of equal texts share their fate, null ids too; without labels of both classes all
+    stay; an empty table gives an empty result; columns stay as they are, whatever their names.
+    """
     return drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies by SimHash and exact similarity, the row of the least id stays.
+
+    Null, empty and blank texts are copies of each other; null ids come last; of rows equal in id and text one stays; rows of one id with unrelated
+    texts all stay; an empty table gives an empty result; columns stay as they are.
+    """
     return near_copy_dedup(docs)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold an item of the benchmark, or all but a fifth of its words, go.
+
+    Null and empty texts hold nothing and stay; items that are null or shorter than five words match nothing; rows are judged one by one, so
+    repeated rows and null ids share the fate of their text; an empty table or benchmark drops nothing; columns stay as they are.
+    """
     return decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The share of tokens that the weights of domain, language and source ask for.
+
+    Documents without words go; languages without a weight of their own, and rows without one, share a small weight; rows equal in id and text
+    count each; the last document of a leaf is cut to the tokens that are left; an empty table gives an empty result; columns stay as they are.
+    """
     levels, weights = mixture_levels(OTHER_LANGUAGES)
-    return take_mixture(docs, mix(docs, levels, weights, MIXTURE_SHARE, epochs=1))
+    return mix_documents(docs, levels, weights, MIXTURE_SHARE)
 
 
 def place_in_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document with its shard and slot, in the order of a Hilbert curve over source, language and length.
+
+    Null metadata and texts have places of their own; repeated rows take neighbouring slots; an empty table gives an empty result; columns with
+    the name of a result are replaced by it, all others stay.
+    """
     return shard_documents(docs, carry=True)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("toxicity", drop_toxic_documents),
-    ("near_copies", keep_one_of_near_copies),
+    ("simhash", keep_one_of_near_copies),
     ("decontamination", drop_benchmark_leaks),
     ("mixing", mix_sources),
     ("sharding", place_in_shards),

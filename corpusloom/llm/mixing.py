@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.materialize import materialize
+from ..plans.materialize import bounded_broadcast, materialize
 
 SEED = 7
 #: Documents in one hash range of a leaf, about.
@@ -78,17 +78,8 @@ def leaf_budgets(leaves: DataFrame, levels: list[str], weights: list[Column], bu
     return base.select(*levels, "tokens").join(above, levels)
 
 
-def mix(
-    docs: DataFrame, levels: dict[str, Column], weights: list[Column], fraction: float, epochs: int = 1, id_col: str = "doc_id", text_col: str = "text", seed: int = SEED, range_rows: int = RANGE_ROWS,
-) -> DataFrame:
-    """``(id_col, levels..., epoch, tokens, tokens_taken)``, and ``text_hash``: what each document gives to a mixture of ``fraction`` of all tokens.
-
-    levels: names and expressions, from the root's children down to the leaves; weights: for each level
-    an expression over these names. A document appears once for each of its
-    leaf's epochs that takes it. Defined cases: null level values are the leaf ``unknown``; documents without words are never taken;
-    a null id is ordered as the empty text; rows of equal ids in a leaf are ordered by size, equal rows stand
-    together; a budget above what all weighted leaves hold takes all of it; an empty table gives an empty result.
-    """
+def _leaf_plan(docs: DataFrame, levels: dict[str, Column], weights: list[Column], fraction: float, epochs: int, id_col: str, text_col: str, range_rows: int) -> tuple[DataFrame, DataFrame]:
+    """``rows(id, levels..., tokens, text_hash)`` with words, and of each leaf ``passes, rest, ranges``: whole passes, tokens of the last one, hash ranges."""
     names = list(levels)
     rows = docs.select(F.col(id_col).alias("id"), *(F.coalesce(c.cast("string"), F.lit("unknown")).alias(n) for n, c in levels.items()), count_tokens(F.col(text_col)).alias("tokens"), F.xxhash64(text_col).alias("text_hash"))
     rows = materialize(rows.where("tokens > 0"))
@@ -98,8 +89,11 @@ def mix(
     plan = leaf_budgets(leaves, names, weights, amount, epochs).join(leaves.select(*names, "n"), names)
     plan = plan.withColumn("passes", F.floor(F.col("budget") / F.col("tokens")).cast("int")).withColumn("rest", F.col("budget") - F.col("passes") * F.col("tokens"))
     plan = materialize(plan.withColumn("ranges", F.ceil(F.col("n") / range_rows)).select(*names, "passes", "rest", "ranges"))
-    planned = rows.join(plan, names)
-    whole = planned.where("passes > 0").select("id", "text_hash", *names, F.explode(F.sequence(F.lit(0), F.col("passes") - 1)).alias("epoch"), "tokens", F.col("tokens").alias("tokens_taken"))
+    return rows, plan
+
+
+def _last_pass(planned: DataFrame, names: list[str], seed: int) -> DataFrame:
+    """The rows that the last pass of their leaf takes, with ``h``, their place in its order, and ``tokens_taken``."""
     last = planned.where("rest > 0").withColumn("h", seeded_order(F.lit(seed), F.col("passes"), F.coalesce(F.col("id").cast("string"), F.lit(""))))
     last = last.withColumn("range", F.floor(F.col("h") / F.lit(float(1 << 60)) * F.col("ranges")).cast("long"))
     sums = last.groupBy(*names, "range").agg(F.sum("tokens").alias("s"))
@@ -110,9 +104,28 @@ def mix(
     within = Window.partitionBy(*names, "range").orderBy("h", "id", "tokens", "text_hash").rowsBetween(Window.unboundedPreceding, -1)
     edge = last.where("ahead + s > rest").withColumn("at", F.col("ahead") + F.coalesce(F.sum("tokens").over(within), F.lit(0)))
     edge = edge.where("at < rest").withColumn("tokens_taken", F.least(F.col("tokens"), F.col("rest") - F.col("at")))
-    shape = ["id", "text_hash", *names, F.col("passes").alias("epoch"), "tokens", F.col("tokens_taken").cast("long").alias("tokens_taken")]
-    out = whole.union(full.select(*shape)).union(edge.select(*shape))
-    return out.withColumnRenamed("id", id_col)
+    shape = ["id", "text_hash", *names, "passes", "h", "tokens", F.col("tokens_taken").cast("long").alias("tokens_taken")]
+    return full.select(*shape).union(edge.select(*shape))
+
+
+def mix(
+    docs: DataFrame, levels: dict[str, Column], weights: list[Column], fraction: float, epochs: int = 1, id_col: str = "doc_id", text_col: str = "text", seed: int = SEED, range_rows: int = RANGE_ROWS,
+) -> DataFrame:
+    """``(id_col, levels..., epoch, tokens, tokens_taken)``, and ``text_hash``: what each document gives to a mixture of ``fraction`` of all tokens.
+
+    levels: names and expressions, from the root's children down to the leaves; weights: for each level
+    an expression over these names. A document appears once for each of its
+    leaf's epochs that takes it. Defined cases: null level values are the leaf ``unknown``; documents without words are never taken;
+    a null id is ordered as the empty text; rows of equal ids in a leaf are ordered by size, equal rows stand
+    together; a budget above what all weighted leaves hold takes all of it; an empty table gives an empty result.
+    """
+    names = list(levels)
+    rows, plan = _leaf_plan(docs, levels, weights, fraction, epochs, id_col, text_col, range_rows)
+    planned = rows.join(plan, names)
+    whole = planned.where("passes > 0").select("id", "text_hash", *names, F.explode(F.sequence(F.lit(0), F.col("passes") - 1)).alias("epoch"), "tokens", F.col("tokens").alias("tokens_taken"))
+    last = _last_pass(planned, names, seed)
+    shape = ["id", "text_hash", *names, F.col("passes").alias("epoch"), "tokens", "tokens_taken"]
+    return whole.union(last.select(*shape)).withColumnRenamed("id", id_col)
 
 
 def take_mixture(docs: DataFrame, mixture: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -126,3 +139,45 @@ def take_mixture(docs: DataFrame, mixture: DataFrame, id_col: str = "doc_id", te
     once = keyed.join(takes, same).dropDuplicates(["__id", "__th"]).withColumn("__one", F.explode("__take"))
     text = F.when(F.col("__one.tokens_taken") < F.col("__one.tokens"), cut_tokens(F.col(text_col), F.col("__one.tokens_taken"))).otherwise(F.col(text_col))
     return once.select(*(text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns))
+
+
+def mix_documents(
+    docs: DataFrame, levels: dict[str, Column], weights: list[Column], fraction: float, epochs: int = 1, id_col: str = "doc_id", text_col: str = "text", seed: int = SEED, range_rows: int = RANGE_ROWS,
+) -> DataFrame:
+    """The documents of ``mix`` with all their columns, as ``take_mixture`` gives them, without a shuffle of texts.
+
+    The last pass of a leaf takes a prefix of its order, so its last row alone, one for each leaf, tells every document whether it is taken.
+    Defined cases: those of ``mix``; of rows equal to a leaf's last row as many stay as the mixture takes, with the other columns of one of them.
+    """
+    names = list(levels)
+    rows, plan = _leaf_plan(docs, levels, weights, fraction, epochs, id_col, text_col, range_rows)
+    last = materialize(_last_pass(rows.join(plan, names), names, seed))
+    order = F.struct("h", "id", "tokens", "text_hash")
+    ends = last.groupBy(*names).agg(F.max(order).alias("end"), F.max_by("tokens_taken", F.struct(order, -F.col("tokens_taken"))).alias("cut"))
+    ends = materialize(plan.join(ends, names, "left").select(*names, "passes", "end", "cut"))
+    # how many rows equal a leaf's last row, and how many of them are taken whole
+    same = F.col("id").eqNullSafe(F.col("end.id")) & (F.col("tokens") == F.col("end.tokens")) & (F.col("text_hash") == F.col("end.text_hash"))
+    equal = rows.join(bounded_broadcast(ends), names).where(same).groupBy(*names).agg(F.count("*").alias("equal"))
+    taken = last.join(bounded_broadcast(ends.select(*names, "end")), names).where(same).groupBy(*names).agg(F.count_if(F.col("tokens_taken") == F.col("tokens")).alias("full"))
+    ends = ends.join(equal, names, "left").join(taken, names, "left")
+    ends = materialize(ends.select(F.struct(*names).alias("__leaf"), F.struct("passes", "end", "cut", "equal", "full").alias("__p")))
+    leaf = F.struct(*(F.coalesce(c.cast("string"), F.lit("unknown")).alias(n) for n, c in levels.items()))
+    own = docs.withColumn("__leaf", leaf).join(bounded_broadcast(ends), "__leaf").where(F.col(f"`{text_col}`").rlike(WORD))
+    end, key = F.col("__p.end"), F.col(f"`{id_col}`")
+    head = F.struct(seeded_order(F.lit(seed), F.col("__p.passes"), F.coalesce(key.cast("string"), F.lit(""))).alias("h"), key.alias("id"))
+    tail = F.struct(count_tokens(F.col(text_col)).alias("tokens"), F.xxhash64(text_col).alias("text_hash"))
+    end_head, end_tail = F.struct(end["h"], end["id"]), F.struct(end["tokens"], end["text_hash"])
+    # words are counted again only where hash and id are those of the last row
+    at = F.when(end.isNull() | (head > end_head), 1).when(head < end_head, -1).when(tail > end_tail, 1).when(tail < end_tail, -1).otherwise(0)
+    placed = own.withColumn("__at", at)
+    text = F.when((F.col("__at") == 0) & (F.col("__p.cut") < F.col("__p.end.tokens")), cut_tokens(F.col(text_col), F.col("__p.cut").cast("int"))).otherwise(F.col(text_col))
+    # takes: one for each whole pass, and in the last pass one for rows up to the last one
+    once = F.when(F.col("__at") < 0, F.array(F.col(text_col))).when((F.col("__at") == 0) & (F.col("__p.equal") == 1), F.array(text)).otherwise(F.array().cast("array<string>"))
+    takes = F.concat(F.array_repeat(F.col(text_col), F.col("__p.passes")), once) if epochs > 1 else F.when(F.col("__p.passes") > 0, F.array(F.col(text_col))).otherwise(once)
+    columns = lambda text: [text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
+    out = placed.withColumn("__text", F.explode(takes)).select(*columns(F.col("__text")))
+    if ends.where("__p.equal > 1").isEmpty():
+        return out
+    twins = placed.where("__at = 0 and __p.equal > 1").dropDuplicates(["__leaf"])
+    times = F.concat(F.array_repeat(F.col(text_col), F.col("__p.full").cast("int")), F.when(F.col("__p.cut") < F.col("__p.end.tokens"), F.array(text)).otherwise(F.array().cast("array<string>")))
+    return out.union(twins.withColumn("__text", F.explode(times)).select(*columns(F.col("__text"))))

@@ -1,12 +1,13 @@
-"""Near copies by the exact Jaccard similarity of word shingles.
+"""Near copies by SimHash: candidates from wide fingerprints, decided by the exact Jaccard similarity of word shingles.
 
-The set of a text is XXH64 (seed 42) of its word shingles. Texts meet as candidates where they share one of ``BANDS`` keys, each made
-of ``ROWS`` min-hashes; a pair at similarity 0.8 shares none of 24 keys of six with probability 0.0007. A key links its texts to one
-of them, so candidates are components found from as many edges as texts have keys, never pairs. Within each component the
-sets are then compared exactly, and only pairs at the threshold stay linked.
+The set of a text is XXH64 (seed 42) of its word shingles, its fingerprint 256 bits by the majority of them (``simhash.py``). Tiles of fingerprints
+are compared exactly with exclusive-or and bit counts; pairs within ``wide_radius`` are candidates, and a pair of sets at similarity 0.8 is
+one with probability 0.999. Unrelated sets are some nine deviations further apart. Candidates are components that are found from spanning
+forests, never pairs. Within each component the sets are then compared exactly, and only pairs at the threshold stay linked.
 
-Scale: large components are cut into tiles of bounded size. All tiles meet the first one; what is then
-not in its component's largest group meets all tiles again. A link that the first pass did not imply has
+Scale: tile pairs are skipped whose set sizes differ by more than the threshold's ratio, so about one pair in ten of usual texts is compared. That
+stays quadratic in distinct texts, as tiled comparison is. In the exact step, large components are cut into tiles of bounded size. All tiles meet
+the first one; what is then not in its component's largest group meets all tiles again. A link that the first pass did not imply has
 such an end, so nothing is lost, and a large group of near copies costs its size where the first tile
 links most of it. It costs its square where it does not.
 """
@@ -17,20 +18,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.components import connected_components
-from ..plans.materialize import materialize
+from ..plans.materialize import bounded_broadcast, materialize
 from .arrow_text import nested_values, text_slices, utf8
-from .simhash import SEED, keep_first, shingle_hashes, spanning_forest
+from .simhash import keep_first, shingle_hashes, spanning_forest, wide_fingerprint, wide_links
 
 WORDS = 5
 THRESHOLD = 0.8
-BANDS = 24
-ROWS = 6
 #: Shingles in one tile, about.
 TILE = 200_000
 
@@ -41,15 +38,6 @@ def shingle_set(text: bytes, words_per_shingle: int = WORDS) -> np.ndarray:
     return found if len(found) else np.zeros(1, np.uint64)
 
 
-def band_keys(hashes: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> list[int]:
-    """One key of 64 bits for each band: equal sets have equal keys."""
-    factors = np.random.default_rng(SEED).integers(0, 1 << 63, bands * rows, np.uint64) * np.uint64(2) + np.uint64(1)
-    least = np.full(bands * rows, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(hashes), 2048):
-        least = np.minimum(least, (factors[:, None] * hashes[None, at : at + 2048]).min(axis=1))
-    return [xxhash.xxh64_intdigest(least[i * rows : (i + 1) * rows].tobytes(), i) for i in range(bands)]
-
-
 def shared_counts(a: np.ndarray, of_a: np.ndarray, na: int, b: np.ndarray, of_b: np.ndarray, nb: int) -> np.ndarray:
     """Sizes of the intersections of na sets with nb sets, from their hashes and the sets that these belong to."""
     common = np.intersect1d(a, b)
@@ -80,7 +68,7 @@ def _tiles(docs: DataFrame, members: DataFrame, words: int) -> DataFrame:
                 values = pa.array(np.concatenate(sets).view(np.int64))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("node", "component", "chunks", "chunk")), pa.ListArray.from_arrays(pa.array(ends), values)], ["node", "component", "chunks", "chunk", "hashes"])
 
-    texts = docs.join(members, "node").dropDuplicates(["node"]).select("node", "component", "chunks", "chunk", "t")
+    texts = docs.join(bounded_broadcast(members), "node").dropDuplicates(["node"]).select("node", "component", "chunks", "chunk", "t")
     sets = texts.mapInArrow(kernel, "node bigint, component bigint, chunks bigint, chunk bigint, hashes array<bigint>")
     tiles = sets.groupBy("component", "chunks", "chunk").agg(F.collect_list(F.struct("node", "hashes")).alias("x"))
     return materialize(tiles.select("component", "chunks", "chunk", F.col("x.node").alias("nodes"), F.transform("x.hashes", F.size).alias("sizes"), F.flatten("x.hashes").alias("sets")))
@@ -105,7 +93,7 @@ def _links(pairs: DataFrame, threshold: float) -> DataFrame:
     return pairs.mapInArrow(kernel, "src bigint, dst bigint")
 
 
-def near_copy_groups(docs: DataFrame, text_col: str = "text", words: int = WORDS, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, tile: int = TILE) -> DataFrame:
+def near_copy_groups(docs: DataFrame, text_col: str = "text", words: int = WORDS, threshold: float = THRESHOLD, tile: int = TILE) -> DataFrame:
     """``(node, component)``: one row per distinct text that has near copies; node is ``xxhash64`` of the text, null as empty.
 
     Two texts are linked if the sets of their shingles have at least the threshold in common (Jaccard); components are what links reach.
@@ -116,14 +104,14 @@ def near_copy_groups(docs: DataFrame, text_col: str = "text", words: int = WORDS
         for batch in batches:
             for part in text_slices(batch, "t"):
                 sets = [shingle_set(t, words) for t in utf8(part.column("t")).to_pylist()]
-                keys = np.array([band_keys(s, bands, rows) for s in sets], np.uint64).reshape(-1).view(np.int64)
-                ends = pa.array(np.arange(len(sets) + 1, dtype=np.int32) * bands)
-                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array([len(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(ends, pa.array(keys))], ["node", "n", "keys"])
-
-    prints = materialize(texts.select("node", "t").mapInArrow(kernel, "node bigint, n bigint, keys array<bigint>").dropDuplicates(["node"]))
-    keyed = prints.select("node", F.explode("keys").alias("key"))
-    hubs = materialize(keyed.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("c")).where("c > 1").select("key", "hub"))
-    found = materialize(connected_components(keyed.join(hubs, "key").where("node <> hub").select(F.col("node").alias("src"), F.col("hub").alias("dst"))).withColumnRenamed("id", "node"))
+                prints = np.stack([wide_fingerprint(s) for s in sets]).view(np.int64)
+                ends = pa.array(np.arange(len(sets) + 1, dtype=np.int32) * prints.shape[1])
+                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array([len(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(ends, pa.array(prints.reshape(-1)))], ["node", "n", "fp"])
+
+    prints = materialize(texts.select("node", "t").mapInArrow(kernel, "node bigint, n bigint, fp array<bigint>").dropDuplicates(["node"]))
+    distinct = materialize(prints.groupBy("fp", "n").agg(F.min("node").alias("rep")))
+    equal = prints.join(distinct, ["fp", "n"]).where("node <> rep").select(F.col("node").alias("src"), F.col("rep").alias("dst"))
+    found = materialize(connected_components(wide_links(distinct, threshold).union(equal)).withColumnRenamed("id", "node"))
     sized = found.join(prints.select("node", "n"), "node")
     chunks = sized.groupBy("component").agg(F.ceil(F.sum("n") / tile).cast("long").alias("chunks"))
     members = sized.join(chunks, "component").select("node", "component", "chunks", F.pmod(F.xxhash64("node"), "chunks").alias("chunk"))

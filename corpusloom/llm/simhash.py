@@ -9,7 +9,11 @@ pairs, so output is bounded by the tiles' sizes. Links meet in distributed compo
 
 Scale: the work per fingerprint is the share of tile pairs that remain. With four segments
 of 16 bits about one pair in 60 of random fingerprints is compared, with eight about one in 3000.
-Tiles are cut into chunks of bounded size, so a crowded tile is many tasks' work.
+Tiles are cut into chunks of bounded size. Each pair of chunks is dealt to a task by itself, ``SHARE`` pairs of one tile together, so
+a crowded tile is many tasks' work.
+
+Wide fingerprints serve similarity of shingle sets at a threshold (``near_copies.py``): 256 bits over a text's distinct shingles, tiled by
+the set's size and the fingerprint's bit count, as sets at the threshold differ little in size.
 """
 
 from __future__ import annotations
@@ -19,19 +23,22 @@ from itertools import product
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.components import connected_components
-from ..plans.materialize import materialize
+from ..plans.materialize import bounded_broadcast, materialize
 from .arrow_text import nested_values, text_slices, utf8
 
 SEED = 42
 RADIUS = 2
 SEGMENTS = 4
 CHUNK = 512
+#: Pairs of chunks of one tile that a task takes together, about.
+SHARE = 64
+#: Words of 64 bits in a wide fingerprint.
+WORDS = 4
 
 
 def shingle_hashes(text: bytes, words_per_shingle: int) -> np.ndarray:
@@ -58,6 +65,32 @@ def fingerprint(text: bytes, words_per_shingle: int = 3) -> int:
     return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
 
 
+def _mixed(h: np.ndarray, k: int) -> np.ndarray:
+    """The k-th further hash of 64-bit hashes (finaliser of SplitMix64)."""
+    x = h + np.uint64(0x9E3779B97F4A7C15 * (k + 1) & (1 << 64) - 1)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def wide_fingerprint(shingles: np.ndarray, words: int = WORDS) -> np.ndarray:
+    """``words`` words of majority bits over distinct shingle hashes; zero without any."""
+    ones = np.zeros(64 * words, np.int64)
+    for at in range(0, len(shingles), 1 << 12):
+        some = shingles[at : at + (1 << 12)]
+        ones += np.unpackbits(np.stack([_mixed(some, k) for k in range(words)], axis=1).view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > len(shingles), bitorder="little").view("<u8")
+
+
+def wide_radius(similarity: float, words: int = WORDS, deviations: float = 3.1) -> int:
+    """Bits of ``words`` words within which two sets at the similarity (Jaccard) lie, but for one pair in a thousand.
+
+    Of sets of one size a bit differs with probability arccos(2 s / (1 + s)) / pi; of small sets, where votes tie, with a quarter more.
+    """
+    p, n = 1.25 * np.arccos(2 * similarity / (1 + similarity)) / np.pi, 64 * words
+    return round(n * p + deviations * np.sqrt(n * p * (1 - p)))
+
+
 def simhash_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 3) -> DataFrame:
     """``(id_col, fp)`` for every row; null texts are empty texts with fingerprint 0. No shuffle."""
     kind = docs.schema[id_col].dataType.simpleString()
@@ -117,40 +150,90 @@ def compare_tiles(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> tupl
     return np.nonzero(near)
 
 
-def fingerprint_links(distinct: DataFrame, radius: int = RADIUS, segments: int = SEGMENTS, chunk: int = CHUNK) -> DataFrame:
-    """Edges ``(src, dst)`` that span the groups of ``distinct(fp, rep)`` linked within radius."""
-    base = 64 // segments + 2 * radius + 1
-    keyed = distinct.withColumn("key", _tile_key(_segment_counts(F.col("fp"), segments), base, radius))
-    # at most (64 / segments + 1) ** segments rows, whatever the input: 83,521 of 16 bytes with four segments
-    sizes = keyed.groupBy("key").agg(F.ceil(F.count("*") / chunk).alias("chunks"))
-    keyed = keyed.join(F.broadcast(sizes) if segments <= 4 else sizes, "key")
-    tiles = keyed.groupBy("key", F.pmod(F.xxhash64("fp"), "chunks").alias("chunk")).agg(F.collect_list(F.struct("fp", "rep")).alias("x"))
-    tiles = materialize(tiles.select("key", "chunk", F.col("x.fp").alias("fps"), F.col("x.rep").alias("reps")))
-    offsets = F.array(*(F.lit(o).cast("long") for o in half_offsets(segments, radius, base)))
-    probe = tiles.select(F.explode(offsets).alias("step"), "key", "chunk", F.col("fps").alias("fa"), F.col("reps").alias("ra"))
-    probe = probe.select((F.col("key") + F.col("step")).alias("key"), "step", F.col("chunk").alias("ca"), "fa", "ra")
-    pairs = probe.join(tiles.select("key", "chunk", F.col("fps").alias("fb"), F.col("reps").alias("rb")), "key")
-    pairs = pairs.where("step <> 0 or ca <= chunk").select("fa", "ra", "fb", "rb", F.expr("step = 0 and ca = chunk").alias("same"))
+def compare_wide_tiles(a: np.ndarray, b: np.ndarray, radius: int, first: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """As ``compare_tiles``, of fingerprints of several words; pairs whose first words differ in more than ``first`` bits are sorted out."""
+    left, right = compare_tiles(a[:, 0], b[:, 0], first, same)
+    near = np.concatenate([np.bitwise_count(a[left[i : i + 65536]] ^ b[right[i : i + 65536]]).sum(axis=1) <= radius for i in range(0, len(left), 65536)] or [np.zeros(0, bool)])
+    return left[near], right[near]
+
+
+def dealt_pairs(tiles: DataFrame, offsets: list[int], small: bool) -> DataFrame:
+    """Every chunk of ``tiles(key, chunk, x)`` beside each chunk of the tiles at the offsets from its own: ``(a, b, same)``, once each.
+
+    A tile that chunks meet often is copied, and each copy meets a share of them. Copies are dealt to a given number of partitions, which is not
+    coalesced, as little data is much work. small: keys are few whatever the input, and may be broadcast.
+    """
+    steps = F.explode(F.array(*(F.lit(o).cast("long") for o in offsets))).alias("step")
+    probe = tiles.select(steps, "key", F.col("chunk").alias("ca"), F.col("x").alias("a")).withColumn("key", F.col("key") + F.col("step"))
+    met = probe.groupBy("key").agg(F.count("*").alias("probes")).join(tiles.groupBy("key").agg(F.count("*").alias("chunks")), "key")
+    met = materialize(met.select("key", F.ceil(F.col("probes") * F.col("chunks") / SHARE).alias("n"), "probes").select("key", F.least("n", "probes").cast("long").alias("copies")))
+    met = F.broadcast(met) if small else met
+    n = 4 * int(tiles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left = probe.join(met, "key").withColumn("copy", F.pmod(F.xxhash64("ca", "step"), "copies"))
+    right = tiles.join(met, "key").select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy"), F.col("chunk").alias("cb"), F.col("x").alias("b"))
+    pairs = left.repartition(n, "key", "copy").join(right.repartition(n, "key", "copy"), ["key", "copy"])
+    return pairs.where("step <> 0 or ca <= cb").select("a", "b", F.expr("step = 0 and ca = cb").alias("same"))
+
+
+def tile_links(pairs: DataFrame, compare, words: int = 1) -> DataFrame:
+    """Edges ``(src, dst)`` that span the groups linked by ``compare`` within pairs of chunks ``a, b``, each ``(fps, reps)``."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fa, ra, fb, rb = (nested_values(batch.column(c)) for c in ("fa", "ra", "fb", "rb"))
-            fa, fb = fa.view(np.uint64), fb.view(np.uint64)
-            na, nb = (np.concatenate(([0], np.cumsum(pc.list_value_length(batch.column(c)).to_numpy()))) for c in ("fa", "fb"))
             src, dst = [], []
-            for i, same in enumerate(batch.column("same").to_pylist()):
-                a, b = slice(na[i], na[i + 1]), slice(nb[i], nb[i + 1])
-                left, right = compare_tiles(fa[a], fb[b], radius, same)
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1)
+                (fa, ra), (fb, rb) = ((nested_values(row.column(f"f{s}")).view(np.uint64), nested_values(row.column(f"r{s}"))) for s in "ab")
+                fa, fb = (x.reshape(-1, words) if words > 1 else x for x in (fa, fb))
+                same = row.column("same")[0].as_py()
+                left, right = compare(fa, fb, same)
                 if len(left):
-                    ids = np.concatenate((ra[a], rb[b]))
-                    label = spanning_forest(left, right if same else right + (na[i + 1] - na[i]), len(ids))
+                    ids = np.concatenate((ra, rb))
+                    label = spanning_forest(left, right if same else right + len(ra), len(ids))
                     moved = np.flatnonzero(label != np.arange(len(ids)))
                     src.append(ids[moved])
                     dst.append(ids[label[moved]])
             if src:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (src, dst)], ["src", "dst"])
 
-    return pairs.mapInArrow(kernel, "src bigint, dst bigint")
+    fields = [F.col(f"{s}.{f}").alias(f"{f[0]}{s}") for s in "ab" for f in ("fps", "reps")]
+    return pairs.select(*fields, "same").mapInArrow(kernel, "src bigint, dst bigint")
+
+
+def packed_tiles(keyed: DataFrame, chunk: int, small: bool) -> DataFrame:
+    """``(key, chunk, x struct<fps, reps>)`` of ``keyed(key, fp, rep)``, chunks of about ``chunk`` rows dealt by hash."""
+    sizes = keyed.groupBy("key").agg(F.ceil(F.count("*") / chunk).alias("chunks"))
+    dealt = keyed.join(F.broadcast(sizes) if small else sizes, "key")
+    tiles = dealt.groupBy("key", F.pmod(F.xxhash64("rep"), "chunks").alias("chunk")).agg(F.collect_list(F.struct("fp", "rep")).alias("x"))
+    return materialize(tiles.select("key", "chunk", F.struct(F.col("x.fp").alias("fps"), F.col("x.rep").alias("reps")).alias("x")))
+
+
+def fingerprint_links(distinct: DataFrame, radius: int = RADIUS, segments: int = SEGMENTS, chunk: int = CHUNK) -> DataFrame:
+    """Edges ``(src, dst)`` that span the groups of ``distinct(fp, rep)`` linked within radius."""
+    base = 64 // segments + 2 * radius + 1
+    # at most (64 / segments + 1) ** segments keys, whatever the input: 83,521 of 16 bytes with four segments
+    small = segments <= 4
+    tiles = packed_tiles(distinct.select(_tile_key(_segment_counts(F.col("fp"), segments), base, radius).alias("key"), "fp", "rep"), chunk, small)
+    return tile_links(dealt_pairs(tiles, half_offsets(segments, radius, base), small), lambda a, b, same: compare_tiles(a, b, radius, same))
+
+
+#: Bits of a wide fingerprint's count in one tile, and steps of size within the threshold's ratio.
+BAND, STEPS = 32, 4
+
+
+def wide_links(distinct: DataFrame, similarity: float, words: int = WORDS, chunk: int = CHUNK) -> DataFrame:
+    """Edges ``(src, dst)`` that span the groups of ``distinct(fp array, n, rep)`` within ``wide_radius``; n: shingles of the set.
+
+    Sets at the similarity differ in size by its ratio at most, so tiles of sizes further apart are skipped, as are those whose bit
+    counts differ by more than the radius. Sizes have some 200 steps, bit counts 9 bands: the number of tiles is bounded.
+    """
+    radius, first, step = wide_radius(similarity, words), wide_radius(similarity, 1, 3.5), float(-np.log(similarity) / STEPS * (1 + 1e-9))
+    reach = (radius - 1) // BAND + 1
+    bits = F.aggregate("fp", F.lit(0), lambda n, w: n + F.bit_count(w))
+    key = F.floor(F.log(F.col("n").cast("double")) / F.lit(step)).cast("long") * 64 + F.floor(bits / F.lit(BAND)).cast("long")
+    tiles = packed_tiles(distinct.select(key.alias("key"), "fp", "rep"), chunk, True)
+    offsets = [size * 64 + band for size in range(STEPS + 1) for band in range(-reach, reach + 1) if size or band >= 0]
+    return tile_links(dealt_pairs(tiles, offsets, True), lambda a, b, same: compare_wide_tiles(a, b, radius, first, same), words)
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, segments: int = SEGMENTS, words_per_shingle: int = 3) -> DataFrame:
@@ -173,14 +256,23 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def keep_first(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``docs`` with the row of the smallest ``(id, hash of the text)`` of each group, null ids last; ``groups(node, component)`` of hashes of texts."""
+    """``docs`` with the row of the smallest ``(id, hash of the text)`` of each group, null ids last; ``groups(node, component)`` of hashes of texts.
+
+    Decisions are made on narrow rows; texts move only if the rows to drop are too many to broadcast. Of rows equal in id and text one stays.
+    """
     node = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    rows = docs.select(F.col(id_col).alias("i"), node.alias("node")).join(groups, "node", "left")
-    best = rows.groupBy(F.coalesce("component", "node").alias("g")).agg(F.min(F.struct(F.col("i").isNull().alias("last"), "i", "node")).alias("x"))
-    best = materialize(best.select(F.col("x.i").alias("__i"), F.col("x.node").alias("__n")))
+    rows = docs.select(F.col(id_col).alias("i"), node.alias("node")).groupBy("i", "node").agg(F.count("*").alias("n"))
+    rows = materialize(rows.join(groups, "node", "left").select("i", "node", "n", F.coalesce("component", "node").alias("g")))
+    best = rows.groupBy("g").agg(F.min(F.struct(F.col("i").isNull().alias("last"), "i", "node")).alias("x")).select("g", F.col("x.i").alias("bi"), F.col("x.node").alias("bn"))
+    rows = materialize(rows.join(best, "g").select(F.col("i").alias("__i"), F.col("node").alias("__n"), "n", (F.col("i").eqNullSafe(F.col("bi")) & (F.col("node") == F.col("bn"))).alias("stays")))
     own = docs.withColumn("__node", node)
-    kept = own.join(best, (F.col("__node") == F.col("__n")) & F.col(f"`{id_col}`").eqNullSafe(F.col("__i")), "left_semi")
-    return kept.dropDuplicates([id_col, "__node"]).drop("__node")
+    this = (F.col("__node") == F.col("__n")) & F.col(f"`{id_col}`").eqNullSafe(F.col("__i"))
+    keys = ["__i", "__n"]
+    kept = own.join(bounded_broadcast(rows.where("not stays or n > 1").select(*keys)), this, "left_anti")
+    repeated = rows.where("stays and n > 1").select(*keys)
+    if not repeated.isEmpty():
+        kept = kept.union(own.join(bounded_broadcast(repeated), this, "left_semi").dropDuplicates([id_col, "__node"]))
+    return kept.drop("__node")
 
 
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -243,11 +243,17 @@ def score_toxicity(
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, **options) -> DataFrame:
-    """``docs`` without the rows whose score reaches the threshold. Rows are judged by their text alone, and are not shuffled."""
+    """``docs`` without the rows whose score reaches the threshold. Rows are not shuffled.
+
+    Defined cases: rows are judged by their text alone, so rows of equal texts stay or go together, whatever their ids, null ones too; null and
+    empty texts are judged as texts without words; without labels of both classes nothing is learned, and all rows stay (or go, if all labels are 1);
+    an empty table gives an empty result; all columns stay as they are, whatever their names.
+    """
     model = learn_toxicity(docs, labels, id_col, text_col, **options)
 
     @F.arrow_udf("double")
     def score(texts: pa.Array) -> pa.Array:
-        return pa.array(model.scores(utf8(texts).to_pylist()))
+        parts = text_slices(pa.RecordBatch.from_arrays([texts], ["t"]), "t")
+        return pa.array(np.concatenate([model.scores(utf8(p.column("t")).to_pylist()) for p in parts] or [np.zeros(0)]))
 
     return docs.where(score(F.col(text_col)) < threshold)
