@@ -88,10 +88,13 @@ WITH listed(host, path, action, ruled) AS (VALUES
 ), page AS (
     SELECT page_id, row_number() OVER () AS r, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
            regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages
+), named AS (
+    SELECT *, regexp_replace(host, ':(80|443)$', '') AS bare FROM page
 ), best AS (
     SELECT p.*, l.action, CASE WHEN l.ruled THEN l.host || l.path END AS rule,
            row_number() OVER (PARTITION BY r ORDER BY l.ruled DESC NULLS LAST, length(l.host || l.path) DESC) AS rn
-    FROM page p LEFT JOIN listed l ON (p.host = l.host OR ends_with(p.host, '.' || l.host)) AND starts_with(p.path, l.path)
+    FROM named p LEFT JOIN listed l ON CASE WHEN l.ruled THEN p.host = l.host OR ends_with(p.host, '.' || l.host) ELSE p.bare = l.host OR ends_with(p.bare, '.' || l.host) END
+         AND starts_with(p.path, l.path)
 )
 SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM best WHERE rn = 1
 """,

@@ -6,8 +6,10 @@ path's prefixes of the lengths that the list has, and its canonical form. One 25
 the filter, with a bit in each of four words, tells most candidates from the listed keys; the
 rest meet the list in an exact join, so no false positive remains. DataFrame functions only.
 
-A list of up to ``BROADCAST_KEYS`` keys is counted first and then broadcast, filter and keys alike; a longer
-one is joined by shuffles on the block's number and on the key.
+The filter is broadcast whatever the list's length: it has ``MAX_BLOCKS`` blocks at most, so a very long list passes more false hits, which
+the exact join removes. Candidates that pass are few and meet the list's keys by broadcast, if they were counted to ``BROADCAST_KEYS``, else by a shuffle.
+
+Rules judge a host as it stands. Other entries judge what a URL's canonical form says: without ``www.`` and a default port.
 """
 
 from __future__ import annotations
@@ -15,9 +17,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: 16 filter bits a key: about 40 bytes of filter rows for 16 keys; at this bound, 1 MB of filter and some 10 MB of keys.
+#: Keys of a list that a join may broadcast: some 10 MB.
 BROADCAST_KEYS = 200_000
 BITS_PER_KEY = 16
+#: Blocks of the filter at most: rows of 40 bytes, for 16 million keys at 16 bits each.
+MAX_BLOCKS = 1 << 20
 WORDS = 4
 #: Query parameters that do not tell pages apart.
 TRACKING = "utm_[a-z]+|ref|fbclid|gclid"
@@ -35,9 +39,13 @@ def url_path(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def _without_port(host: Column) -> Column:
+    return F.regexp_replace(host, ":(80|443)$", "")
+
+
 def canonical_url(url: Column) -> Column:
     """Host without ``www.`` and default port, path without last slash, sorted parameters without tracking, no fragment."""
-    host = F.regexp_replace(F.regexp_replace(url_host(url), r"^www\.", ""), ":(80|443)$", "")
+    host = _without_port(F.regexp_replace(url_host(url), r"^www\.", ""))
     path = F.regexp_replace(url_path(url), "/+$", "")
     query = F.regexp_extract(url, r"(?s)^.*?://[^?#]*\?([^#]*)", 1)
     kept = F.array_join(F.array_sort(F.filter(F.split(query, "&"), lambda p: (p != "") & ~p.rlike(f"^({TRACKING})(=|$)"))), "&")
@@ -62,11 +70,10 @@ def bloom_blocks(keys: DataFrame, blocks: int) -> DataFrame:
 def listed_hits(candidates: DataFrame, keys: DataFrame) -> DataFrame:
     """The rows of ``candidates(key, ...)`` whose key is in ``keys(key, ...)``, joined with its columns: filter, then exact join."""
     n = keys.count()
-    blocks = 1 << max(0, (n * BITS_PER_KEY // (64 * WORDS)).bit_length())
+    blocks = min(MAX_BLOCKS, 1 << max(0, (n * BITS_PER_KEY // (64 * WORDS)).bit_length()))
     small = n <= BROADCAST_KEYS
-    filter_rows = bloom_blocks(keys, blocks)
     h = F.xxhash64("key")
-    possible = candidates.withColumn("block", _block(h, blocks)).join(F.broadcast(filter_rows) if small else filter_rows, "block")
+    possible = candidates.withColumn("block", _block(h, blocks)).join(F.broadcast(bloom_blocks(keys, blocks)), "block")
     for i in range(WORDS):
         possible = possible.where(F.col(f"w{i}").bitwiseAND(_mask(h, i)) != 0)
     possible = possible.drop("block", *(f"w{i}" for i in range(WORDS)))
@@ -74,18 +81,18 @@ def listed_hits(candidates: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def list_keys(entries: DataFrame) -> DataFrame:
-    """``(key, action, ruled, depth)`` of list entries ``(host, path, action, ruled)``; of equal keys a rule wins, then block."""
+    """``(key, ruled, action)`` of list entries ``(host, path, action, ruled)``; of equal entries that oppose each other block wins."""
     key = F.concat(F.translate("host", _UPPER, _LOWER), F.coalesce("path", F.lit("")))
     rows = entries.where("host is not null").select(key.alias("key"), "action", "ruled")
-    best = F.max(F.struct("ruled", (F.col("action") == "block").alias("stops"), "action"))
-    return rows.groupBy("key").agg(best.alias("b")).select("key", "b.action", "b.ruled")
+    return rows.groupBy("key", "ruled").agg(F.max_by("action", F.struct((F.col("action") == "block").alias("stops"), "action")).alias("action"))
 
 
 def judge_urls(pages: DataFrame, entries: DataFrame, url_col: str = "url") -> DataFrame:
     """``pages`` with ``host, path, rule, verdict`` added (replacing columns of these names).
 
-    entries: ``(host, path, action, ruled)``. Entries with ``ruled`` are rules: the longest that fits decides and is named in
-    ``rule``. Where none fits, the longest other entry decides, and without any the verdict is allow. Defined cases: null urls and
+    entries: ``(host, path, action, ruled)``. Entries with ``ruled`` are rules: the longest that fits the host as it stands, ports
+    included, decides and is named in ``rule``. Where none fits, the longest other entry that fits the host without a default port, or is the
+    canonical URL, decides, and without any the verdict is allow. Defined cases: null urls and
     urls without ``://`` have empty host and path and are allowed; an empty list allows all; equal entries with opposed
     actions block; repeated rows are judged alike; other columns stay as they are.
     """
@@ -93,13 +100,19 @@ def judge_urls(pages: DataFrame, entries: DataFrame, url_col: str = "url") -> Da
     lengths = sorted(r[0] for r in entries.select(F.length(F.coalesce("path", F.lit("")))).distinct().collect())  # at most a URL's length of integers
     url = F.col(url_col)
     urls = pages.where(url.contains("://")).select(url.alias("u"), url_host(url).alias("h"), url_path(url).alias("p"))
-    labels = F.split("h", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     prefixes = F.array(*(F.when(F.length("p") >= n, F.substring("p", 1, n)) for n in lengths)) if lengths else F.array().cast("array<string>")
+
+    def tried(host: Column) -> Column:
+        """Suffixes of the host times prefixes of the path."""
+        labels = F.split(host, r"\.")
+        suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+        return F.flatten(F.transform(F.filter(prefixes, lambda x: x.isNotNull()), lambda x: F.transform(suffixes, lambda s: F.concat(s, x))))
+
     whole = F.filter(F.array(canonical_url(F.col("u"))), lambda c: c.isNotNull())
-    tried = F.flatten(F.transform(F.filter(prefixes, lambda x: x.isNotNull()), lambda x: F.transform(suffixes, lambda s: F.concat(s, x))))
-    candidates = urls.select("u", F.explode(F.array_union(tried, whole)).alias("key"))
-    hits = listed_hits(candidates, keys)
+    urls = urls.select("u", tried(F.col("h")).alias("raw"), F.array_union(tried(_without_port(F.col("h"))), whole).alias("canonical"))
+    candidates = urls.select("u", F.explode(F.array_union("raw", "canonical")).alias("key"), "raw", "canonical")
+    candidates = candidates.select("u", "key", F.array_contains("raw", F.col("key")).alias("as_raw"), F.array_contains("canonical", F.col("key")).alias("as_canonical"))
+    hits = listed_hits(candidates, keys).where(F.when(F.col("ruled"), F.col("as_raw")).otherwise(F.col("as_canonical")))
     depth = F.struct("ruled", F.length("key"), F.col("action") == "block", "key", "action")
     best = hits.groupBy("u").agg(F.max(depth).alias("b"))
     best = best.select(F.col("u").alias("__u"), F.when(F.col("b.ruled"), F.col("b.key")).alias("__rule"), F.col("b.action").alias("__action"))

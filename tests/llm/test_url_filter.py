@@ -55,3 +55,37 @@ def test_canonical_urls(spark):
     urls = ["http://www.A.com:80/p/?b=2&utm_x=1&a=1#f", "https://a.com/p?a=1&b=2", "https://a.com:443/p/?ref=q&a=1&b=2"]
     got = {r[0] for r in spark.createDataFrame([(u,) for u in urls], "u string").select(canonical_url(F.col("u"))).collect()}
     assert got == {"a.com/p?a=1&b=2"}
+
+
+def test_rules_take_hosts_with_their_ports_and_other_entries_without(spark):
+    rows = [("http://example.com:80/en/7", None, "allow"), ("http://example.net:80/de/8", None, "allow"), ("https://com:443/en/", None, "allow"), ("https://example.com:8080/en/7", None, "allow"), ("http://example.com/en/7", "example.com/en/7", "allow")]
+    rows += [("http://spam.org:80/x", None, "block"), ("http://www.spam.org:443", None, "block"), ("http://spam.org:8080/x", None, "allow"), ("http://WWW.a.org:80/page?x=1&ref=2", None, "block")]
+    got = judge_urls(spark.createDataFrame([(u, 1, 2) for u, _, _ in rows], "url string, raw int, key int"), spark.createDataFrame(RULES, ENTRIES)).collect()
+    assert {(r["url"], r["rule"], r["verdict"]) for r in got} == set(rows) and all(":" in r["host"] for r in got if ":80" in r["url"] or ":443" in r["url"])
+
+
+def test_a_rule_and_another_entry_of_one_key(spark):
+    both = spark.createDataFrame([("com", "/en/", "allow", True), ("com", "/en/", "block", False)], ENTRIES)
+    urls = spark.createDataFrame([("http://com/en/",), ("http://com:80/en/",)], "url string")
+    assert [(r["rule"], r["verdict"]) for r in judge_urls(urls, both).orderBy("url").collect()] == [("com/en/", "allow"), (None, "block")]
+
+
+@pytest.mark.parametrize("blocks", [1, 4])
+def test_a_filter_that_is_too_small_loses_nothing(spark, monkeypatch, blocks):
+    monkeypatch.setattr(url_filter, "MAX_BLOCKS", blocks)
+    entries = spark.createDataFrame([(f"h{i}.com", "", "block", False) for i in range(500)], ENTRIES)
+    got = judge_urls(spark.createDataFrame([(f"https://h{i}.com/x",) for i in range(1000)], "url string"), entries)
+    assert {r["url"] for r in got.where("verdict = 'block'").collect()} == {f"https://h{i}.com/x" for i in range(500)}
+
+
+def test_the_sql_agrees_on_ports(spark, tmp_path):
+    import duckdb
+
+    from corpusloom.llm import queries
+
+    urls = ["http://example.com:80/en/7", "http://example.net:443/de/8", "http://casino-win.example.net:80/de/", "http://x.casino-win.example.net:443", "http://casino-win.example.net:81/", "https://example.com/en/7", None, "plain"]
+    pages = spark.createDataFrame([(i, u, "") for i, u in enumerate(urls)], "page_id bigint, url string, html string")
+    pages.write.parquet(str(tmp_path / "pages.parquet"))
+    duckdb.sql(f"CREATE OR REPLACE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    expected = sorted(duckdb.sql(queries.ORACLES["op9_url_filter"]).fetchall(), key=str)
+    assert sorted((tuple(r) for r in queries.QUERIES["op9_url_filter"](spark, str(tmp_path)).collect()), key=str) == expected
