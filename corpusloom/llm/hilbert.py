@@ -1,6 +1,7 @@
 """Sharding along a Hilbert curve over several metadata dimensions.
 
-Dimensions are quantised to ``bits`` bits each, rows are ordered by their index on the curve, and the order is
+Dimensions are quantised to ``bits`` bits each, by the quantiles of all rows, so that a cell's halves hold about as many rows and
+values keep their order; rows are ordered by their index on the curve, and the order is
 cut into runs of equal counts. Neighbours on the curve are neighbours in every dimension, so each run covers a small
 range of each and files can be skipped by any of them. The index is computed bit by bit with the curve's
 automaton (Hamilton 2006, "Compact Hilbert indices"): a state is an entry corner and a direction, and a
@@ -17,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.materialize import materialize
+from ..plans.order import running_sum
 
 SHARDS = 8
 BITS = 8
@@ -67,25 +69,41 @@ def hilbert_index(cells: list[Column], bits: int) -> Column:
     return F.aggregate(F.sequence(F.lit(bits - 1), F.lit(0)), start, step, lambda acc: acc["h"])
 
 
-def by_hash(value: Column, bits: int = BITS) -> Column:
-    """A category's cell: crc32 of its text; 0 for null."""
-    return F.coalesce(F.crc32(value.cast("string").cast("binary")) % F.lit(1 << bits), F.lit(0)).cast("int")
-
-
 def by_size(value: Column, bits: int = BITS) -> Column:
     """A count's cell on a logarithmic scale, 2**bits cells up to 2**32; 0 for null and negative values."""
     top = (1 << bits) - 1
     return F.least(F.lit(top), F.floor(F.log2(F.greatest(F.coalesce(value, F.lit(0)).cast("double"), F.lit(0.0)) + 1) * F.lit((top + 1) / 32))).cast("int")
 
 
+def quantiles(rows: DataFrame, column: str, bits: int = BITS) -> list:
+    """The values at the places n * i / 2**bits of the sorted column, i from 1; none of nulls. Numbers or texts, counted by value first."""
+    counts = rows.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count("*").alias("n"))
+    placed = materialize(running_sum(counts, "n", F.col("v"), name="upto"))
+    total = placed.agg(F.max("upto")).first()[0] or 0
+    cut = lambda c: F.ceil(c * F.lit(1 << bits) / F.lit(total or 1))
+    low, high = F.greatest(cut(F.col("upto") - F.col("n")), F.lit(1)), F.least(cut(F.col("upto")) - 1, F.lit((1 << bits) - 1))
+    found = placed.where(low <= high).select(F.explode(F.sequence(low, high)).alias("i"), "v").collect()  # 2**bits rows at most
+    return [r["v"] for r in sorted(found, key=lambda r: r["i"])]
+
+
+def by_quantile(value: Column, bounds: list, bits: int = BITS) -> Column:
+    """A value's cell: how many of the sorted bounds lie below it, by bisection; 0 for null."""
+    if len(bounds) < (1 << bits) - 1:
+        return F.lit(0)
+    table = F.array(*map(F.lit, bounds))
+    steps = F.array(*(F.lit(1 << i) for i in reversed(range(bits))))
+    return F.coalesce(F.aggregate(steps, F.lit(0), lambda at, step: at + F.when(F.get(table, at + step - 1) < value, step).otherwise(0)), F.lit(0))
+
+
 def document_cells(docs: DataFrame, text_col: str = "text", bits: int = BITS) -> list[Column]:
-    """Source, language and length of documents as cells; a missing column is cell 0."""
-    category = lambda c: by_hash(F.col(c), bits) if c in docs.columns else F.lit(0)
-    return [category("source"), category("lang"), by_size(F.octet_length(F.col(text_col)), bits)]
+    """Source, language and length of documents as cells of about as many rows each; a missing column is cell 0."""
+    facts = {c: F.col(c).cast("string") if c in docs.columns else F.lit(None).cast("string") for c in ("source", "lang")} | {"length": F.octet_length(F.col(text_col))}
+    rows = materialize(docs.select(*(v.alias(k) for k, v in facts.items())))
+    return [by_quantile(v, quantiles(rows, k, bits), bits) for k, v in facts.items()]
 
 
 def curve_ranks(rows: DataFrame, order: list[str]) -> DataFrame:
-    """``rows`` with ``rank``, their 0-based place in the order, without a pass over all rows in one task.
+    """``rows`` with ``__rank``, their 0-based place in the order, without a pass over all rows in one task.
 
     Rows equal in the whole order may take each other's place. The ranges are written once, as their bounds are sampled.
     """
@@ -96,19 +114,23 @@ def curve_ranks(rows: DataFrame, order: list[str]) -> DataFrame:
     sizes = sorted_rows.groupBy(part.alias("__part")).agg(F.count("*").alias("n"))
     ahead = sizes.select("__part", F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__ahead"))
     ranked = sorted_rows.withColumn("__part", part).join(F.broadcast(ahead), "__part")  # one row per partition
-    return ranked.withColumn("rank", F.col("__ahead") + place).drop("__part", "__at", "__ahead")
+    return ranked.withColumn("__rank", F.col("__ahead") + place).drop("__part", "__at", "__ahead")
 
 
 def even_runs(ranked: DataFrame, shards: int) -> DataFrame:
-    """``ranked(rank)`` with ``shard`` and ``slot``: runs of counts at most one apart, gapless places within them."""
+    """``ranked(__rank)`` with ``shard`` and ``slot``: runs of counts at most one apart, gapless places within them."""
     total = ranked.count()
     base, more = divmod(total, shards)
-    cut, rank = more * (base + 1), F.col("rank")
+    cut, rank = more * (base + 1), F.col("__rank")
     shard = F.when(rank < cut, F.floor(rank / F.lit(base + 1))).otherwise(F.lit(more) + F.floor((rank - cut) / F.lit(max(base, 1)))).cast("int")
     start = F.when(F.col("shard") < more, F.col("shard") * F.lit(base + 1)).otherwise(F.lit(cut) + (F.col("shard") - more) * F.lit(base))
     return ranked.withColumn("shard", shard).withColumn("slot", (rank - start).cast("long"))
 
 
+#: Columns of a row's place beside its id.
+PLACE = ["size", "text_crc32", "law", "shard", "slot", "grown_shard", "hilbert"]
+
+
 def shard_documents(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text", cells: list[Column] | None = None, bits: int = BITS, carry: bool = False) -> DataFrame:
     """``(id_col, size, text_crc32, law, shard, slot, grown_shard, hilbert)``: every row's place.
 
@@ -116,30 +138,38 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id
     Law ``rows``: counts of shards are at most one apart. Defined cases: a null text has size 1 and a null checksum, an
     empty one size 1 and checksum 0; null metadata are cell 0; null ids come first within a cell's hash order;
     equal rows take neighbouring slots; with fewer rows than shards the last shards are empty; of carried columns those
-    with a name of the result are replaced by it.
+    with a name of the result are replaced by it, all others stay as they are.
     """
     cells = cells or document_cells(docs, text_col, bits)
     text = F.col(text_col)
-    own = ["size", "text_crc32", "law", "shard", "slot", "grown_shard", "hilbert"]
-    carried = [c for c in docs.columns if carry and c != id_col and c not in own]
+    carried = [c for c in docs.columns if carry and c != id_col and c not in PLACE]
     rows = docs.select(
-        F.col(id_col), (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
-        hilbert_index(cells, bits).alias("hilbert"), F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")).alias("__tie"), *(F.col(f"`{c}`") for c in carried),
+        F.col(f"`{id_col}`").alias("__id"), (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
+        hilbert_index(cells, bits).alias("hilbert"), F.md5(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")).cast("binary")).alias("__tie"),
+        F.struct(*(F.col(f"`{c}`") for c in carried), F.lit(0).alias("__end")).alias("__row"),
     )
-    ranked = curve_ranks(rows, ["hilbert", "__tie", id_col, "size", "text_crc32"])
+    ranked = curve_ranks(rows, ["hilbert", "__tie", "__id", "size", "text_crc32"])
     out = even_runs(ranked, shards).withColumn("law", F.lit("rows")).withColumn("grown_shard", F.lit(None).cast("int"))
-    return out.select(id_col, *(F.col(f"`{c}`") for c in carried), *own)
+    return out.select(F.col("__id").alias(id_col), *(F.col("__row")[c].alias(c) for c in carried), *PLACE)
 
 
 def write_shards(docs: DataFrame, placed: DataFrame, path: str, id_col: str = "doc_id", files_per_shard: int = 16) -> None:
-    """Write ``docs`` in curve order below ``path``, a folder per shard with files of consecutive slots. Ids are unique."""
-    per_file = Window.partitionBy("shard")
-    places = placed.select(id_col, "shard", "slot", "hilbert").withColumn("__file", F.floor(F.col("slot") * files_per_shard / (F.max("slot").over(per_file) + 1)))
-    rows = docs.join(places, id_col).repartitionByRange("shard", "__file").sortWithinPartitions("shard", "slot")
+    """Write ``docs`` in curve order below ``path``, a folder per shard with files of consecutive slots.
+
+    Defined cases: ids are unique and not null, as rows find their place by them: rows without a place are left out, an id that is repeated
+    takes each of its places; columns of ``docs`` named as a place's are replaced; an empty table writes no files.
+    """
+    ends = placed.groupBy("shard").agg((F.max("slot") + 1).alias("__n"))  # a row per shard
+    places = placed.select(id_col, "shard", "slot", "hilbert").join(F.broadcast(ends), "shard").withColumn("__file", F.floor(F.col("slot") * files_per_shard / F.col("__n"))).drop("__n")
+    rows = docs.drop("shard", "slot", "hilbert").join(places, id_col).repartitionByRange("shard", "__file").sortWithinPartitions("shard", "slot")
     rows.drop("__file").write.partitionBy("shard").parquet(path)
 
 
 def shard_ranges(docs: DataFrame, placed: DataFrame, columns: list[str], id_col: str = "doc_id") -> DataFrame:
-    """One row per shard with the least and greatest value of each column, for skipping shards."""
-    ends = [f(c).alias(f"{n}_{c}") for c in columns for n, f in (("min", F.min), ("max", F.max))]
-    return docs.select(id_col, *columns).join(placed.select(id_col, "shard"), id_col).groupBy("shard").agg(F.count("*").alias("n"), *ends)
+    """One row per shard with the least and greatest value of each column, for skipping shards.
+
+    Defined cases: nulls count as rows but not in the ranges, a shard of nulls alone has null ends; ids as in ``write_shards``; an empty
+    table gives no rows.
+    """
+    ends = [f(f"`{c}`").alias(f"{n}_{c}") for c in columns for n, f in (("min", F.min), ("max", F.max))]
+    return docs.select(id_col, *(F.col(f"`{c}`") for c in columns)).join(placed.select(id_col, F.col("shard").alias("__shard")), id_col).groupBy(F.col("__shard").alias("shard")).agg(F.count("*").alias("n"), *ends)

@@ -4,7 +4,8 @@ from itertools import product
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.llm.hilbert import by_size, hilbert_index, shard_documents, shard_ranges, write_shards
+from corpusloom.llm.hilbert import by_quantile, by_size, document_cells, hilbert_index, quantiles, shard_documents, shard_ranges, write_shards
+from tests.test_entry import TABLES, needs_tables
 
 
 @pytest.mark.parametrize("dims,bits", [(2, 4), (3, 3), (4, 2)])
@@ -57,3 +58,87 @@ def test_written_shards_can_be_skipped(spark, tmp_path):
     assert back.count() == len(texts) and sorted(r["shard"] for r in back.select("shard").distinct().collect()) == list(range(8))
     ranges = shard_ranges(docs, placed, ["source"]).collect()
     assert sum(r["n"] for r in ranges) == len(texts) and sum(r["min_source"] <= "src4" <= r["max_source"] for r in ranges) < 8
+
+
+def rotated(x, y, side):
+    """Index of a cell on the plane curve, by turning quadrants (the textbook's loop, not the engine's automaton)."""
+    d, s = 0, side // 2
+    while s:
+        rx, ry = int((x & s) > 0), int((y & s) > 0)
+        d += s * s * ((3 * rx) ^ ry)
+        if not ry:
+            if rx:
+                x, y = side - 1 - x, side - 1 - y
+            x, y = y, x
+        s //= 2
+    return d
+
+
+def test_plane_index_equals_the_textbook_curve_up_to_a_mirror(spark):
+    cells = list(product(range(16), repeat=2))
+    got = spark.createDataFrame(cells, "a int, b int").select("a", "b", hilbert_index([F.col("a"), F.col("b")], 4).alias("h")).collect()
+    by = {(r["a"], r["b"]): r["h"] for r in got}
+    assert any(all(by[m] == rotated(a, b, 16) for (a, b), m in pairs) for pairs in ([((a, b), (a, b)) for a, b in cells], [((a, b), (b, a)) for a, b in cells]))
+
+
+def test_cells_are_the_share_of_smaller_values(spark):
+    rows = [(None if i % 11 == 0 else f"s{i % 7}" if i % 3 else "hot", i * i % 97, i) for i in range(500)]
+    frame = spark.createDataFrame(rows, "source string, n int, i int")
+    for column, at in (("source", 0), ("n", 1)):
+        known = sorted(r[at] for r in rows if r[at] is not None)
+        bounds = quantiles(frame, column, 4)
+        assert bounds == [known[len(known) * i // 16] for i in range(1, 16)]
+        got = {r["i"]: r["c"] for r in frame.select("i", by_quantile(F.col(column), bounds, 4).alias("c")).collect()}
+        assert all(got[r[2]] == (0 if r[at] is None else sum(b < r[at] for b in bounds)) for r in rows)
+    assert quantiles(frame.limit(0), "n", 4) == [] and frame.limit(1).select(by_quantile(F.col("n"), [], 4)).first()[0] == 0
+
+
+def test_order_equals_sorting_by_an_index_of_its_own(spark):
+    """Cells by counting, index by the automaton in plain numbers, order by sorting: the same shards and slots."""
+    import hashlib
+
+    from corpusloom.llm.hilbert import curve_table
+
+    docs, texts = documents(spark)
+    info = {r["doc_id"]: r for r in docs.collect()}
+    values = {i: (r["source"], r["lang"], None if r["text"] is None else len(r["text"].encode())) for i, r in info.items()}
+    bounds = [sorted(v[d] for v in values.values() if v[d] is not None) for d in range(3)]
+    bounds = [[b[len(b) * i // 256] for i in range(1, 256)] for b in bounds]
+    table = curve_table(3)
+
+    def index(v):
+        cells = [0 if x is None else sum(b < x for b in bs) for x, bs in zip(v, bounds)]
+        h = state = 0
+        for bit in range(7, -1, -1):
+            corner = sum((c >> bit & 1) << j for j, c in enumerate(cells))
+            digit, state = table[state * 8 + corner]
+            h = h * 8 + digit
+        return h
+
+    order = sorted(values, key=lambda i: (index(values[i]), hashlib.md5(str(i).encode()).hexdigest()))
+    sizes = [len(order) // 8 + (k < len(order) % 8) for k in range(8)]
+    expected = {}
+    for shard, size in enumerate(sizes):
+        for slot in range(size):
+            expected[order[sum(sizes[:shard]) + slot]] = (shard, slot)
+    assert {r["doc_id"]: (r["shard"], r["slot"]) for r in shard_documents(docs).collect()} == expected
+
+
+def test_carried_columns_of_any_name_stay(spark):
+    rows = [(i, "a " * i, "en", "s", i, -i, "x", f"p{i}", float(i)) for i in range(30)]
+    names = ["doc_id", "text", "lang", "source", "rank", "__rank", "__part", "__tie", "n"]
+    got = shard_documents(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, rank int, __rank int, __part string, __tie string, n double"), carry=True)
+    assert got.columns[: len(names)] == names and sorted(tuple(r)[: len(names)] for r in got.collect()) == sorted(rows)
+
+
+@needs_tables
+def test_a_source_or_a_length_skips_half_of_the_shards(spark):
+    docs = spark.read.parquet(f"{TABLES}/documents.parquet").withColumn("bytes", F.octet_length("text"))
+    placed = shard_documents(docs)
+    ranges = shard_ranges(docs, placed, ["source", "bytes"]).collect()
+    assert len(document_cells(docs)) == 3
+    sources = [r[0] for r in docs.select("source").distinct().collect()]
+    lengths = [r[0] for r in docs.select("bytes").where("doc_id % 7 = 0").collect()]
+    for column, values in (("source", sources), ("bytes", lengths)):
+        met = [sum(r[f"min_{column}"] <= v <= r[f"max_{column}"] for r in ranges) for v in values]
+        assert sum(met) / len(met) <= 5 and min(met) <= 4
