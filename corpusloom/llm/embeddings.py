@@ -4,11 +4,13 @@ Equal vectors are first collapsed into one with a multiplicity. Each distinct ve
 signature of ``bits`` hyperplane signs in each of several tables; vectors that share a
 signature in a table are compared exactly, in double precision, in chunks of bounded size, so a crowded
 bucket is many tasks' work and loses nothing. A pair that meets in several tables counts in the first
-of them alone, which the chunks know from the whole signatures; so link counts need no list of
-pairs, and a chunk pair returns counts and a spanning forest, bounded by its size.
+of them alone, which linked pairs learn from their signatures, computed again; so link counts need no list of
+pairs, and a comparison returns counts and a spanning forest, bounded by its size.
 
-Signatures have log2(n) bits, so that a bucket holds about one unrelated vector at any n, and
-the number of tables follows from the recall wanted of a pair just at the threshold.
+Signatures have three bits more than log2(n), so that about one vector in eight shares a bucket with an unrelated one, and
+the number of tables follows from the recall wanted of a pair just at the threshold. Buckets are found on narrow rows,
+a key and a name for each vector and table; vectors travel only to buckets with company, and of buckets with the same members
+only to that of the first table.
 """
 
 from __future__ import annotations
@@ -30,41 +32,72 @@ from .simhash import spanning_forest
 THRESHOLD = 0.95
 RECALL = 0.999
 SEED = 17
-CHUNK = 128
+CHUNK = 512
+#: Vectors of a bucket that are compared together with other buckets'.
+SMALL = 16
+#: Pairs of chunks of one bucket that a task takes together, about.
+SHARE = 16
 
 
 def signature_plan(n: int, threshold: float = THRESHOLD, recall: float = RECALL) -> tuple[int, int]:
     """``(bits, tables)`` for n vectors: a pair at the threshold meets in some table with probability recall."""
-    bits = min(30, max(8, math.ceil(math.log2(max(n, 2)))))
+    bits = min(60, max(8, math.ceil(math.log2(max(n, 2))) + 3))
     meet = (1 - math.acos(min(1.0, max(-1.0, threshold))) / math.pi) ** bits
     return bits, 1 if meet >= 1 else math.ceil(math.log(1 - recall) / math.log(1 - meet))
 
 
-def planes(dim: int, bits: int, tables: int, seed: int = SEED) -> np.ndarray:
-    return np.random.default_rng([seed, dim]).standard_normal((dim, bits * tables))
+class Signer:
+    """Signatures of unit vectors in every table; the planes of a dimension are drawn once from the seed."""
 
+    def __init__(self, bits: int, tables: int, seed: int = SEED):
+        self.bits, self.tables, self.seed, self.planes = bits, tables, seed, {}
 
-def signatures(vectors: np.ndarray, bits: int, tables: int, seed: int = SEED) -> np.ndarray:
-    signs = (vectors @ planes(vectors.shape[1], bits, tables, seed) >= 0).reshape(len(vectors), tables, bits)
-    return (signs @ (1 << np.arange(bits, dtype=np.int64))).astype(np.int32)
+    def __call__(self, vectors: np.ndarray) -> np.ndarray:
+        dim = vectors.shape[1]
+        if dim not in self.planes:
+            self.planes[dim] = np.random.default_rng([self.seed, dim]).standard_normal((dim, self.bits * self.tables))
+        signs = (vectors @ self.planes[dim] >= 0).reshape(len(vectors), self.tables, self.bits)
+        return signs @ (1 << np.arange(self.bits, dtype=np.int64))
 
 
-def _links(va, sa, vb, sb, table: int, threshold: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of two chunks of a bucket that are linked and meet in no earlier table."""
-    near = va @ vb.T >= threshold
-    if same:
-        near = np.triu(near, 1)
-    left, right = np.nonzero(near)
-    if table and len(left):
-        first = np.concatenate([(sa[left[i : i + 65536], :table] == sb[right[i : i + 65536], :table]).any(axis=1) for i in range(0, len(left), 65536)])
-        left, right = left[~first], right[~first]
-    return left, right
+def unit(vectors: np.ndarray) -> np.ndarray:
+    return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
 
 
-def _chunk(row: pa.RecordBatch, side: str, dim: int, tables: int) -> dict[str, np.ndarray]:
-    x = {k: nested_values(row.column(f"{k}_{side}")) for k in ("rep", "mult", "e", "sigs")}
-    e = x["e"].astype(np.float64).reshape(-1, dim)
-    return x | {"e": e / np.linalg.norm(e, axis=1, keepdims=True), "sigs": x["sigs"].reshape(-1, tables)}
+def pairs_within(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of all pairs within consecutive buckets of the given sizes."""
+    starts, left, right = np.cumsum(sizes) - sizes, [], []
+    for m in np.unique(sizes):
+        i, j = np.triu_indices(m, 1)
+        own = starts[sizes == m][:, None]
+        left.append((own + i).ravel())
+        right.append((own + j).ravel())
+    return np.concatenate(left or [np.zeros(0, np.int64)]), np.concatenate(right or [np.zeros(0, np.int64)])
+
+
+class _Found:
+    """Counts and forest of the links found in one batch."""
+
+    def __init__(self, signer: Signer):
+        self.signer, self.parts = signer, []
+
+    def add(self, rep: np.ndarray, mult: np.ndarray, e: np.ndarray, table: np.ndarray, left: np.ndarray, right: np.ndarray) -> None:
+        """Linked pairs, positions in ``rep``, that met in ``table``; those that meet in an earlier one are left out."""
+        for at in range(0, len(left), 1 << 16):
+            a, b, t = left[at : at + (1 << 16)], right[at : at + (1 << 16)], table[at : at + (1 << 16)]
+            used, place = np.unique(np.concatenate((a, b)), return_inverse=True)
+            own = self.signer(e[used])
+            first = (own[place[: len(a)]] == own[place[len(a) :]]).argmax(axis=1) == t
+            self.parts.append((rep[a[first]], mult[b[first]], rep[b[first]], mult[a[first]]))
+
+    def batch(self) -> pa.RecordBatch | None:
+        if not sum(len(p[0]) for p in self.parts):
+            return None
+        a, mb, b, ma = (np.concatenate([p[i] for p in self.parts]) for i in range(4))
+        reps, place = np.unique(np.concatenate((a, b)), return_inverse=True)
+        links = np.bincount(place, np.concatenate((mb, ma)), len(reps)).astype(np.int64)
+        root = reps[spanning_forest(place[: len(a)], place[len(a) :], len(reps))]
+        return pa.RecordBatch.from_arrays([pa.array(reps), pa.array(links), pa.array(root)], ["rep", "links", "root"])
 
 
 def cosine_links(vectors: DataFrame, threshold: float, recall: float, seed: int = SEED, chunk: int = CHUNK) -> DataFrame:
@@ -73,57 +106,84 @@ def cosine_links(vectors: DataFrame, threshold: float, recall: float, seed: int
     bits, tables = signature_plan(vectors.count(), threshold, recall)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        signer = Signer(bits, tables, seed)
         for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                part = batch.slice(at, 2048)
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
                 size = pc.list_value_length(part.column("embedding")).to_numpy()
                 for dim in np.unique(size):
                     some = part.filter(pa.array(size == dim))
                     v = nested_values(some.column("embedding")).astype(np.float64).reshape(-1, dim)
-                    s = signatures(v / np.linalg.norm(v, axis=1, keepdims=True), bits, tables, seed)
+                    s = signer(unit(v))
                     offsets = pa.array(np.arange(0, s.size + 1, tables, dtype=np.int32))
-                    yield pa.RecordBatch.from_arrays([some.column("rep"), some.column("mult"), some.column("embedding"), pa.ListArray.from_arrays(offsets, pa.array(s.ravel()))], ["rep", "mult", "embedding", "sigs"])
-
-    kind = vectors.schema["embedding"].dataType.simpleString()
-    signed = materialize(vectors.mapInArrow(sign, f"rep bigint, mult bigint, embedding {kind}, sigs array<int>"))
-    bucket = ["dim", "t", "sig"]
-    slots = signed.select("rep", F.size("embedding").alias("dim"), F.posexplode("sigs").alias("t", "sig"))
-    crowded = slots.groupBy(bucket).agg(F.count("*").alias("n")).where("n > 1").select(*bucket, F.ceil(F.col("n") / chunk).alias("chunks"))
-    slots = slots.join(crowded, bucket).withColumn("chunk", F.pmod(F.xxhash64("rep"), "chunks"))
-    rows = slots.join(signed, "rep").select(*bucket, "chunks", "chunk", F.struct("rep", "mult", F.col("embedding").alias("e"), "sigs").alias("x"))
-    packed = materialize(rows.groupBy(*bucket, "chunks", "chunk").agg(F.collect_list("x").alias("x")))
-    # most buckets are one chunk, compared with itself; only the chunks of crowded ones meet in a join
-    none = F.slice("x", 1, 0)
-    alone = packed.where("chunks = 1").select("dim", "t", F.col("x").alias("xa"), none.alias("xb"), F.lit(True).alias("same"))
-    many = packed.where("chunks > 1")
-    met = many.select(*bucket, F.col("chunk").alias("ca"), F.col("x").alias("xa")).join(many.select(*bucket, F.col("chunk").alias("cb"), "x"), bucket).where("ca <= cb")
-    met = met.select("dim", "t", "xa", F.when(F.col("ca") < F.col("cb"), F.col("x")).otherwise(none).alias("xb"), (F.col("ca") == F.col("cb")).alias("same"))
-    fields = [F.col(f"x{s}.{k}").alias(f"{k}_{s}") for s in "ab" for k in ("rep", "mult", "e", "sigs")]
-    pairs = alone.union(met).select("dim", "t", "same", *fields)
-
-    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                    yield pa.RecordBatch.from_arrays([some.column("rep"), pa.array(np.full(len(v), dim, np.int32)), pa.ListArray.from_arrays(offsets, pa.array(s.ravel()))], ["rep", "dim", "sigs"])
+
+    signed = vectors.select("rep", "embedding").mapInArrow(sign, "rep bigint, dim int, sigs array<bigint>")
+    slots = signed.select("rep", F.col("dim"), F.posexplode("sigs").alias("t", "sig"))
+    # buckets that share a key by chance are told apart again by table and dimension when their vectors are packed
+    slots = materialize(slots.select("rep", "t", F.xxhash64("dim", "t", "sig").alias("key")))
+    members = [F.bit_xor(F.xxhash64("rep", F.lit(i))).alias(f"m{i}") for i in (0, 1)]
+    company = slots.groupBy("key").agg(F.count("*").alias("n"), F.min("t").alias("t"), *members).where("n > 1")
+    crowded = materialize(company.groupBy("n", "m0", "m1").agg(F.min_by("key", F.struct("t", "key")).alias("key")).select("key", F.ceil(F.col("n") / chunk).alias("chunks")))
+    rows = slots.join(crowded, "key").withColumn("chunk", F.pmod(F.xxhash64("rep"), "chunks")).join(vectors.select("rep", "mult", F.col("embedding").alias("e")), "rep")
+    bucket = ["key", "t", F.size("e").alias("dim"), "chunks"]
+    packed = materialize(rows.groupBy(*bucket, "chunk").agg(F.collect_list(F.struct("rep", "mult", "e")).alias("x")))
+    fields = lambda s: [F.col(f"x.{k}").alias(f"{k}_{s}") for k in ("rep", "mult", "e")]
+
+    def vectors_of(column: pa.Array, dim: int) -> np.ndarray:
+        return unit(nested_values(column).astype(np.float64).reshape(-1, dim))
+
+    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Links within buckets of one chunk: small ones all at once, others one by one."""
+        signer = Signer(bits, tables, seed)
+        for batch in batches:
+            found = _Found(signer)
+            sizes, dims = pc.list_value_length(batch.column("rep_a")).to_numpy(), batch.column("dim").to_numpy()
+            for dim in np.unique(dims):
+                for few in (True, False):
+                    some = batch.filter(pa.array((dims == dim) & ((sizes <= SMALL) == few)))
+                    for part in [some] if few else [some.slice(i, 1) for i in range(some.num_rows)]:
+                        if not part.num_rows:
+                            continue
+                        rep, mult, e = nested_values(part.column("rep_a")), nested_values(part.column("mult_a")), vectors_of(part.column("e_a"), dim)
+                        size = pc.list_value_length(part.column("rep_a")).to_numpy().astype(np.int64)
+                        table = np.repeat(part.column("t").to_numpy(), size)
+                        if few:
+                            left, right = pairs_within(size)
+                            near = np.concatenate([np.einsum("ij,ij->i", e[left[i : i + 65536]], e[right[i : i + 65536]]) >= threshold for i in range(0, len(left), 65536)])
+                            left, right = left[near], right[near]
+                        else:
+                            left, right = np.nonzero(np.triu(e @ e.T >= threshold, 1))
+                        found.add(rep, mult, e, table[left], left, right)
+            out = found.batch()
+            if out:
+                yield out
+
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Links between two chunks of a bucket, or within one."""
+        signer = Signer(bits, tables, seed)
         for batch in batches:
-            reps, links, roots = [], [], []
             for i in range(batch.num_rows):
-                row = batch.slice(i, 1)
+                row, found = batch.slice(i, 1), _Found(signer)
                 dim, t, same = (row.column(c)[0].as_py() for c in ("dim", "t", "same"))
-                a = _chunk(row, "a", dim, tables)
-                b = a if same else _chunk(row, "b", dim, tables)
-                left, right = _links(a["e"], a["sigs"], b["e"], b["sigs"], t, threshold, same)
-                if not len(left):
-                    continue
-                ids, weight = np.concatenate((a["rep"], b["rep"])), np.concatenate((a["mult"], b["mult"]))
-                right = right if same else right + len(a["rep"])
-                label = spanning_forest(left, right, len(ids))
-                n = np.bincount(left, weight[right], len(ids)) + np.bincount(right, weight[left], len(ids))
-                met = np.flatnonzero(n)
-                reps.append(ids[met])
-                links.append(n[met].astype(np.int64))
-                roots.append(ids[label[met]])
-            if reps:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (reps, links, roots)], ["rep", "links", "root"])
-
-    return pairs.mapInArrow(kernel, "rep bigint, links bigint, root bigint")
+                a, b = (vectors_of(row.column(f"e_{s}"), dim) for s in "ab")
+                near = a @ b.T >= threshold
+                left, right = np.nonzero(np.triu(near, 1) if same else near)
+                rep, mult = (np.concatenate([nested_values(row.column(f"{k}_{s}")) for s in "ab"]) for k in ("rep", "mult"))
+                found.add(rep, mult, np.concatenate((a, b)), np.full(len(left), t), left, right + len(a))
+                out = found.batch()
+                if out:
+                    yield out
+
+    schema = "rep bigint, links bigint, root bigint"
+    ones = packed.where("chunks = 1").select("t", "dim", *fields("a")).mapInArrow(alone, schema)
+    # the chunks of a bucket meet in copies of it, each with a share of its pairs; copies are dealt to a given number of partitions
+    many, n = packed.where("chunks > 1"), 4 * int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    copies = F.least(F.ceil(F.col("chunks") * F.col("chunks") / SHARE), F.col("chunks")).cast("long")
+    left = many.select("key", F.pmod(F.xxhash64("chunk"), copies).alias("copy"), "t", "dim", F.col("chunk").alias("ca"), *fields("a"))
+    right = many.select("key", F.col("t").alias("tb"), F.col("dim").alias("db"), F.explode(F.sequence(F.lit(0).cast("long"), copies - 1)).alias("copy"), F.col("chunk").alias("cb"), *fields("b"))
+    met = left.repartition(n, "key", "copy").join(right.repartition(n, "key", "copy"), ["key", "copy"]).where("t = tb and dim = db and ca <= cb").withColumn("same", F.expr("ca = cb"))
+    return ones.union(met.select("t", "dim", "same", *(f"{k}_{s}" for s in "ab" for k in ("rep", "mult", "e"))).mapInArrow(across, schema))
 
 
 def embedding_groups(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD, recall: float = RECALL, seed: int = SEED) -> DataFrame:
