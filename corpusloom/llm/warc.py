@@ -5,28 +5,37 @@ was captured before it, if its validators agree: equal entity tags, or, where on
 modification dates, or equal payload digests. The response's headers are then updated by those that a
 not-modified answer may replace (RFC 9111, 3.2); all others stay the response's.
 
+A revisit of the profile ``identical-payload-digest`` was answered in full: its headers are its own, and it stands for the
+latest earlier response only if the payload digests agree.
+
 Responses and revisits are one table, ordered by time within a URL; no pairs are made. URLs with very many
-captures are cut into spans of time, whose last responses are carried over by a window of one row per span,
-so no task sorts more than a span. DataFrame functions only; parsing raw WARC files is Arrow-batched.
+captures are cut into spans of equal counts in that order, however many captures share a second. The last responses of spans are carried over
+by a window of one row per span, so no task sorts more than a span. DataFrame functions only; parsing raw WARC files is Arrow-batched.
 """
 
 from __future__ import annotations
 
 import gzip
 import io
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Captures of one URL in a span of time, about.
+from ..plans.order import with_group_position
+
+#: Captures of one URL in a span.
 SPAN_ROWS = 20_000
+#: Bytes of payload, and records, in one batch of a parsed file, about.
+BATCH_BYTES, BATCH_RECORDS = 16 << 20, 1000
 
 #: Fields of a stored response that a not-modified answer does not replace.
 KEPT_FIELDS = ["connection", "content-encoding", "content-length", "content-range", "content-type", "keep-alive", "proxy-authenticate", "proxy-connection", "te", "trailer", "transfer-encoding", "upgrade"]
 
-_RECORD = "record_id string, url string, ts timestamp, kind string, status int, headers map<string,string>, digest string, payload binary"
+#: Fixed value: the end of the name of the profile of revisits whose payload was compared.
+SAME_PAYLOAD = "identical-payload-digest"
 
 
 def header(headers: Column, name: str) -> Column:
@@ -57,44 +66,52 @@ def resolve_revisits(records: DataFrame, span_rows: int = SPAN_ROWS) -> DataFram
 
     Returns ``record_id, url, ts, response_id, response_ts, outcome, digest, headers``. Outcomes: ``resolved``;
     ``changed`` if the latest earlier response's validators differ or share none (its id is given, headers stay the revisit's);
-    ``missing`` without an earlier response. Defined cases: earlier is strict; of responses at one time the greatest
+    ``missing`` without an earlier response. A column ``profile`` is optional: null and unknown ones are revisits that were not modified. Defined
+    cases: earlier is strict; of responses at one time the greatest
     record_id counts; a null url or time resolves nothing; repeated revisits are resolved each; rows of other kinds and extra
     columns are ignored; names of headers match in any case.
     """
     fields = F.struct("ts", "record_id", "headers", "digest")
-    events = records.where(F.col("kind").isin("response", "revisit")).select("record_id", "url", "ts", "kind", "headers", "digest")
+    profile = F.coalesce(F.col("profile").endswith(SAME_PAYLOAD), F.lit(False)) if "profile" in records.columns else F.lit(False)
+    events = records.where(F.col("kind").isin("response", "revisit")).select("record_id", "url", "ts", "kind", "headers", "digest", profile.alias("full"))
     usable = events.where("url is not null and ts is not null")
-    sizes = usable.groupBy("url").agg(F.count("*").alias("n"), F.min("ts").alias("t0"), F.max("ts").alias("t1")).where(F.col("n") > span_rows)
-    seconds = lambda c: F.col(c).cast("timestamp").cast("double") if dict(events.dtypes)["ts"].startswith("timestamp") else F.col(c).cast("double")
-    share = (seconds("ts") - seconds("t0")) / F.greatest(seconds("t1") - seconds("t0"), F.lit(1e-6))
-    spans = F.ceil(F.col("n") / span_rows)
-    rows = usable.join(sizes, "url", "left").withColumn("span", F.coalesce(F.least(F.floor(share * spans), spans - 1), F.lit(0)).cast("long"))
-    rows = rows.withColumn("large", F.col("n").isNotNull()).drop("n", "t0", "t1")
     is_response = F.col("kind") == "response"
     # of equal times revisits come first, so that only strictly earlier responses stand before them
-    within = Window.partitionBy("url", "span").orderBy("ts", is_response.cast("int"), "record_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    seen = rows.withColumn("own", F.last(F.when(is_response, fields), ignorenulls=True).over(within)).where("kind = 'revisit'")
-    last = rows.where(is_response & F.col("large")).groupBy("url", "span").agg(F.max(F.struct("ts", "record_id")).alias("k"), F.max_by(fields, F.struct("ts", "record_id")).alias("r"))
-    keys = rows.where("large").select("url", "span").distinct().join(last, ["url", "span"], "left")
-    before = Window.partitionBy("url").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
-    carried = keys.select("url", "span", F.last("r", ignorenulls=True).over(before).alias("carried"))
-    found = seen.join(carried, ["url", "span"], "left").withColumn("r", F.coalesce("own", "carried"))
-    rest = events.where("(url is null or ts is null) and kind = 'revisit'")
-    out = found.select("record_id", "url", "ts", "headers", "digest", "r").unionByName(rest.select("record_id", "url", "ts", "headers", "digest"), allowMissingColumns=True)
+    order = [F.col("ts"), is_response.cast("int"), F.col("record_id")]
+    sizes = usable.groupBy("url").agg(F.count("*").alias("n")).where(F.col("n") > span_rows).select("url")
+    calm, rows = usable.join(sizes, "url", "left_anti"), usable.withColumn("span", F.lit(0).cast("long"))
+    crowded = not sizes.isEmpty()
+    if crowded:
+        placed = with_group_position(usable.join(sizes, "url", "left_semi"), "url", *order, name="__place")
+        rows = calm.withColumn("span", F.lit(0).cast("long")).union(placed.withColumn("span", F.floor(F.col("__place") / span_rows).cast("long")).drop("__place"))
+    within = Window.partitionBy("url", "span").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = rows.withColumn("r", F.last(F.when(is_response, fields), ignorenulls=True).over(within)).where("kind = 'revisit'")
+    if crowded:
+        large = rows.join(sizes, "url", "left_semi")
+        last = large.groupBy("url", "span").agg(F.max_by(F.when(is_response, fields), F.when(is_response, F.struct("ts", "record_id"))).alias("r"))
+        before = Window.partitionBy("url").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
+        carried = last.select("url", "span", F.last("r", ignorenulls=True).over(before).alias("carried"))
+        found = found.join(carried, ["url", "span"], "left").withColumn("r", F.coalesce("r", "carried")).drop("carried")
+    out = found.drop("span", "kind").unionByName(events.where("(url is null or ts is null) and kind = 'revisit'").drop("kind"), allowMissingColumns=True)
     mine, theirs = F.col("headers"), F.col("r.headers")
-    tag = F.coalesce(_agree(header(mine, "etag"), header(theirs, "etag")), header(mine, "last-modified") == header(theirs, "last-modified"), F.col("digest") == F.col("r.digest"), F.lit(False))
-    outcome = F.when(F.col("r").isNull(), "missing").when(tag, "resolved").otherwise("changed")
-    out = out.withColumn("outcome", outcome)
-    return out.select(
-        "record_id", "url", "ts", F.col("r.record_id").alias("response_id"), F.col("r.ts").alias("response_ts"), "outcome",
-        F.when(F.col("outcome") == "resolved", F.col("r.digest")).alias("digest"), F.when(F.col("outcome") == "resolved", merge_headers(theirs, mine)).otherwise(mine).alias("headers"),
-    )
+    same = F.col("digest") == F.col("r.digest")
+    agree = F.coalesce(_agree(header(mine, "etag"), header(theirs, "etag")), header(mine, "last-modified") == header(theirs, "last-modified"), same, F.lit(False))
+    fits = F.when(F.col("full"), F.coalesce(same, F.lit(False))).otherwise(agree)
+    out = out.withColumn("outcome", F.when(F.col("r").isNull(), "missing").when(fits, "resolved").otherwise("changed"))
+    merged = F.when((F.col("outcome") == "resolved") & ~F.col("full"), merge_headers(theirs, mine)).otherwise(mine)
+    return out.select("record_id", "url", "ts", F.col("r.record_id").alias("response_id"), F.col("r.ts").alias("response_ts"), "outcome", F.when(F.col("outcome") == "resolved", F.col("r.digest")).alias("digest"), merged.alias("headers"))
 
 
 def with_payload(resolved: DataFrame, records: DataFrame) -> DataFrame:
-    """Resolved revisits with the payload of the response they stand for."""
-    bodies = records.where("kind = 'response'").select(F.col("record_id").alias("response_id"), "payload")
-    return resolved.join(bodies, "response_id", "left")
+    """Resolved revisits with the payload of the response they stand for.
+
+    Defined cases: rows of other outcomes, and those whose response is not among the records, have a null payload; of responses of one
+    record id the greatest payload counts, so no row is multiplied; repeated revisits stay; an empty table gives an empty result.
+    """
+    bodies = records.where("kind = 'response' and record_id is not null").groupBy(F.col("record_id").alias("response_id")).agg(F.max("payload").alias("payload"))
+    wanted = F.when(F.col("outcome") == "resolved", F.col("response_id"))
+    joined = resolved.drop("payload").withColumn("__wanted", wanted).join(bodies.withColumnRenamed("response_id", "__id"), F.col("__wanted") == F.col("__id"), "left")
+    return joined.drop("__wanted", "__id")
 
 
 def _fields(block: bytes) -> dict[str, str]:
@@ -107,43 +124,85 @@ def _fields(block: bytes) -> dict[str, str]:
     return found
 
 
-def parse_warc(data: bytes) -> Iterator[tuple]:
-    """``(record_id, url, date, kind, status, headers, digest, payload)`` of the response and revisit records of one file."""
+def _length(warc: dict[str, str]) -> int:
+    """The declared length of a record's block; -1 if it is missing or no number."""
+    text = warc.get("content-length", "")
+    return int(text) if text.isascii() and text.isdigit() else -1
+
+
+def parse_warc(data: bytes, strict: bool = True) -> Iterator[tuple]:
+    """``(record_id, url, date, kind, status, headers, digest, profile, payload)`` of the response and revisit records of one file, one at a time.
+
+    Defined cases: what is no record, has no sound length or breaks off raises ValueError if strict. Else it is skipped up to the next
+    line that begins a record, and a file or gzip member that breaks off ends with its last whole record. An empty file holds nothing.
+    """
     stream = gzip.GzipFile(fileobj=io.BytesIO(data)) if data[:2] == b"\x1f\x8b" else io.BytesIO(data)
-    while line := stream.readline():
-        if not line.strip():
-            continue
-        if not line.startswith(b"WARC/"):
-            raise ValueError("not a WARC record")
-        head = [line]
-        while (line := stream.readline()) and line.strip():
-            head.append(line)
-        warc = _fields(b"".join(head))
-        body = stream.read(int(warc.get("content-length", 0)))
-        kind = warc.get("warc-type")
-        if kind not in ("response", "revisit"):
-            continue
-        top, _, payload = body.partition(b"\r\n\r\n")
-        status = top.split(b"\r\n", 1)[0].split()
-        yield (
-            warc.get("warc-record-id"), warc.get("warc-target-uri"), warc.get("warc-date"), kind, int(status[1]) if len(status) > 1 and status[1].isdigit() else None,
-            _fields(top), warc.get("warc-payload-digest"), payload if kind == "response" else None,
-        )
+
+    def bad(what: str) -> None:
+        if strict:
+            raise ValueError(what)
+
+    try:
+        while line := stream.readline():
+            if not line.startswith(b"WARC/"):
+                if line.strip():
+                    bad("not a WARC record")
+                continue
+            head = [line]
+            while (line := stream.readline()) and line.strip():
+                head.append(line)
+            warc = _fields(b"".join(head))
+            size, kind = _length(warc), warc.get("warc-type")
+            if size < 0:
+                bad("a record without a length")
+                continue
+            if kind not in ("response", "revisit"):
+                while size and (skipped := len(stream.read(min(size, 1 << 20)))):
+                    size -= skipped
+                continue
+            body = stream.read(size)
+            if len(body) < size:
+                return bad("a record breaks off")
+            top, _, payload = body.partition(b"\r\n\r\n")
+            status = top.split(b"\r\n", 1)[0].split()
+            yield (
+                warc.get("warc-record-id"), warc.get("warc-target-uri"), warc.get("warc-date"), kind, int(status[1]) if len(status) > 1 and status[1].isdigit() and len(status[1]) < 6 else None,
+                _fields(top), warc.get("warc-payload-digest"), warc.get("warc-profile"), payload if kind == "response" else None,
+            )
+    except (EOFError, OSError, zlib.error):
+        bad("a gzip member is broken")
+
+
+_KINDS = [pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.map_(pa.string(), pa.string()), pa.string(), pa.string(), pa.binary()]
+_NAMES = ["record_id", "target", "date", "kind", "status", "headers", "digest", "profile", "payload"]
+
+
+def _record_batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = [[list(x.items()) for x in c] if i == 5 else list(c) for i, c in enumerate(zip(*rows))]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, _KINDS)], _NAMES)
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Response and revisit records of WARC files, gzipped or not, from any file system that Spark reads; a file is one task's work."""
+    """Response and revisit records of WARC files, gzipped or not, from any file system that Spark reads.
+
+    A file is one task's work, up to the 2 GB that Spark reads into a binary value; its records are parsed one at a time and leave in bounded
+    batches. Broken files and records are passed over as in ``parse_warc``; a date that is none is null; a folder without files gives no rows.
+    """
     from .url_filter import canonical_url
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for data in batch.column("content"):
-                rows = list(parse_warc(data.as_py()))
-                columns = list(zip(*rows)) if rows else [()] * 8
-                kinds = [pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.map_(pa.string(), pa.string()), pa.string(), pa.binary()]
-                columns = [[list(x.items()) for x in c] if i == 5 else list(c) for i, c in enumerate(columns)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["record_id", "target", "date", "kind", "status", "headers", "digest", "payload"])
+                rows, held = [], 0
+                for row in parse_warc(data.as_py(), strict=False):
+                    rows.append(row)
+                    held += len(row[-1] or b"")
+                    if held >= BATCH_BYTES or len(rows) >= BATCH_RECORDS:
+                        yield _record_batch(rows)
+                        rows, held = [], 0
+                if rows:
+                    yield _record_batch(rows)
 
     raw = spark.read.format("binaryFile").load(path).select("content")
-    rows = raw.mapInArrow(kernel, "record_id string, target string, date string, kind string, status int, headers map<string,string>, digest string, payload binary")
-    return rows.select("record_id", canonical_url(F.col("target")).alias("url"), F.to_timestamp("date").alias("ts"), "kind", "status", "headers", "digest", "payload")
+    rows = raw.mapInArrow(kernel, "record_id string, target string, date string, kind string, status int, headers map<string,string>, digest string, profile string, payload binary")
+    return rows.select("record_id", canonical_url(F.col("target")).alias("url"), F.try_to_timestamp("date").alias("ts"), "kind", "status", "headers", "digest", "profile", "payload")

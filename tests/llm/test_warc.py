@@ -69,3 +69,48 @@ def test_files_round_trip(spark, tmp_path):
     records = read_warc(spark, str(tmp_path))
     row = with_payload(resolve_revisits(records), records).first()
     assert (row["outcome"], row["url"], bytes(row["payload"]), row["headers"]["via"]) == ("resolved", "a.com/x", b"payload\r\n\r\nmore", "a, b")
+
+
+def test_a_burst_in_one_second_is_cut_into_spans(spark):
+    rows = [(f"r{i:04}", "hot", 7 if i < 900 else 8, "response" if i % 3 == 0 else "revisit", {"ETag": str(i % 2)}, None, None, None) for i in range(1000)]
+    got = {r["record_id"]: (r["outcome"], r["response_id"]) for r in resolve_revisits(spark.createDataFrame(rows, SCHEMA), 50).collect()}
+    assert got == brute(rows)
+
+
+def test_revisits_of_a_same_payload_keep_their_headers(spark):
+    same, other = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "http://netpreserve.org/warc/1.1/revisit/server-not-modified"
+    rows = [("a", "u", 1, "response", {"ETag": "1", "Via": "x"}, "d", None), ("b", "u", 2, "revisit", {"ETag": "2", "Date": "n"}, "d", same), ("c", "u", 3, "revisit", {"ETag": "1"}, "e", same)]
+    rows += [("d", "u", 4, "revisit", {"ETag": "1"}, None, other), ("e", "u", 5, "revisit", {"ETag": "1"}, "e", None)]
+    frame = spark.createDataFrame(rows, "record_id string, url string, ts bigint, kind string, headers map<string,string>, digest string, profile string")
+    got = {r["record_id"]: r for r in resolve_revisits(frame).collect()}
+    assert {k: r["outcome"] for k, r in got.items()} == {"b": "resolved", "c": "changed", "d": "resolved", "e": "resolved"}
+    assert got["b"]["headers"] == {"ETag": "2", "Date": "n"} and got["d"]["headers"] == {"etag": "1", "via": "x"}
+
+
+def test_repeated_responses_multiply_no_rows(spark):
+    rows = [("a", "u", 1, "response", {"ETag": "1"}, "d", None, "one"), ("a", "u", 1, "response", {"ETag": "1"}, "d", None, "two"), ("b", "u", 2, "revisit", {"ETag": "1"}, None, None, None), ("c", "v", 2, "revisit", {}, None, None, None)]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    got = with_payload(resolve_revisits(frame), frame).collect()
+    assert sorted((r["record_id"], r["payload"]) for r in got if r["payload"]) == [("b", "two")] and len(got) == 2
+    assert with_payload(resolve_revisits(frame.limit(0)), frame).collect() == []
+
+
+def test_broken_files_lose_no_more_than_what_is_broken(spark, tmp_path):
+    one = record("response", "https://a.com/1", b"HTTP/1.1 200 OK", b"one")
+    two = record("response", "https://a.com/2", b"HTTP/1.1 200 OK", b"two" * 1000)
+    files = {"junk.warc": b"junk\r\n" + one + b"more junk\r\n\r\n" + two, "length.warc": one.replace(b"Content-Length: ", b"Content-Length: x") + two, "cut.warc": one + two[:-40], "none.warc": b"\r\n\r\n"}
+    files |= {"cut.warc.gz": gzip.compress(one) + gzip.compress(two)[:-30], "bad.warc.gz": gzip.compress(one) + b"\x1f\x8b broken"}
+    for name, data in files.items():
+        (tmp_path / name).write_bytes(data)
+        found = [r[1][-1] for r in parse_warc(data, strict=False)]
+        assert found == {"junk.warc": ["1", "2"], "length.warc": ["2"], "none.warc": []}.get(name, ["1"])
+    assert sorted(r["url"] for r in read_warc(spark, str(tmp_path)).collect()) == ["a.com/1"] * 4 + ["a.com/2"] * 2
+    for data in (files["length.warc"], files["cut.warc"], files["cut.warc.gz"]):
+        with pytest.raises(ValueError):
+            list(parse_warc(data))
+
+
+def test_many_records_leave_in_batches(spark, tmp_path, monkeypatch):
+    (tmp_path / "a.warc").write_bytes(b"".join(record("response", f"https://a.com/{i}", b"HTTP/1.1 200 OK", b"x" * i) for i in range(2500)))
+    got = read_warc(spark, str(tmp_path)).selectExpr("count(*)", "sum(length(payload))", "count(distinct url)").first()
+    assert tuple(got) == (2500, 2500 * 2499 // 2, 2500)
