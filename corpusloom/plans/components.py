@@ -12,12 +12,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .materialize import materialize
+from .materialize import observed
 
 
-def _mark(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
-    return row["n"], row["x"]
+def _marked(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """``edges(u, v)`` written, with the number of links between two nodes and a hash of them all."""
+    linked = F.col("u") != F.col("v")
+    out, seen = observed(edges, n=F.count_if(linked), x=F.bit_xor(F.when(linked, F.xxhash64("u", "v"))))
+    return out, (seen["n"], seen["x"])
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
@@ -28,10 +30,9 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     """
     a, b = F.col(src), F.col(dst)
     pairs = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"), (a.isNotNull() & b.isNotNull()).alias("ok"))
-    pairs = materialize(pairs.where("ok").select("u", "v").distinct())
+    pairs, mark = _marked(pairs.where("ok").select("u", "v").distinct())
     alone = pairs.where("u = v").select(F.col("u").alias("id"))
     links = pairs.where("u <> v")
-    mark = _mark(links)
     for _ in range(max_rounds):
         if not mark[0]:
             break
@@ -40,8 +41,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         root = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(root, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        links = materialize(small.union(root.select("u", F.col("m").alias("v"))).distinct())
-        before, mark = mark, _mark(links)
+        before = mark
+        links, mark = _marked(small.union(root.select("u", F.col("m").alias("v"))).distinct())
         if before == mark:
             break
     else:

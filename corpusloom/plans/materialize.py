@@ -10,7 +10,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of some 16 to 24 bytes that a join may broadcast after they were counted.
@@ -40,6 +40,13 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def observed(df: DataFrame, **measures: Column) -> tuple[DataFrame, dict]:
+    """``df`` materialized, and the aggregates ``measures`` of its rows, taken while they are written."""
+    seen = Observation()
+    out = materialize(df.observe(seen, *(c.alias(k) for k, c in measures.items())))
+    return out, seen.get
+
+
 def bounded_broadcast(narrow: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """``narrow``, a few numbers a row, with a broadcast hint if it was counted to ``most`` rows at most; else for a join by shuffles."""
     return F.broadcast(narrow) if narrow.count() <= most else narrow
