@@ -263,8 +263,10 @@ def keep_first(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str) -
     node = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     rows = docs.select(F.col(id_col).alias("i"), node.alias("node")).groupBy("i", "node").agg(F.count("*").alias("n"))
     rows = materialize(rows.join(groups, "node", "left").select("i", "node", "n", F.coalesce("component", "node").alias("g")))
-    best = rows.groupBy("g").agg(F.min(F.struct(F.col("i").isNull().alias("last"), "i", "node")).alias("x")).select("g", F.col("x.i").alias("bi"), F.col("x.node").alias("bn"))
-    rows = materialize(rows.join(best, "g").select(F.col("i").alias("__i"), F.col("node").alias("__n"), "n", (F.col("i").eqNullSafe(F.col("bi")) & (F.col("node") == F.col("bn"))).alias("stays")))
+    best = rows.groupBy("g").agg(F.min(F.struct(F.col("i").isNull().alias("last"), "i", "node")).alias("x")).select(F.col("x.i").alias("bi"), F.col("x.node").alias("bn"))
+    # by the row's own key, as a group may hold a third of all rows
+    rows = rows.join(best, F.col("i").eqNullSafe(F.col("bi")) & (F.col("node") == F.col("bn")), "left")
+    rows = materialize(rows.select(F.col("i").alias("__i"), F.col("node").alias("__n"), "n", F.col("bn").isNotNull().alias("stays")))
     own = docs.withColumn("__node", node)
     this = (F.col("__node") == F.col("__n")) & F.col(f"`{id_col}`").eqNullSafe(F.col("__i"))
     keys = ["__i", "__n"]

@@ -86,3 +86,59 @@ def test_unrelated_texts_of_one_id_stay(spark):
 def test_empty_table(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert simhash_groups(empty).collect() == [] and simhash_fingerprints(empty).collect() == [] and simhash_dedup(empty).collect() == []
+
+
+def test_a_crowded_tile_is_many_tasks_work(spark):
+    from pyspark.sql import functions as F
+
+    from corpusloom.llm.simhash import dealt_pairs, half_offsets, packed_tiles
+
+    # all in one tile: 16 of 64 bits, four in each segment
+    rnd = random.Random(2)
+    values = {sum(1 << 16 * s + b for s in range(4) for b in rnd.sample(range(16), 4)) for _ in range(3000)}
+    keyed = spark.createDataFrame([(7, np.uint64(v).astype(np.int64).item(), i) for i, v in enumerate(sorted(values))], "key bigint, fp bigint, rep bigint")
+    tiles = packed_tiles(keyed, 64, True)
+    n = tiles.count()
+    pairs = dealt_pairs(tiles, half_offsets(4, 2, 21), True).withColumn("task", F.spark_partition_id())
+    work = [r["count"] for r in pairs.groupBy("task").count().collect()]
+    assert sum(work) == n * (n + 1) // 2 and len(work) >= 12 and max(work) < sum(work) / 4
+
+
+@pytest.mark.parametrize("chunk", [512, 7])
+def test_wide_links_equal_brute_force(spark, chunk):
+    from corpusloom.llm import simhash
+
+    rng = np.random.default_rng(chunk)
+    rows, sets = [], []
+    for base in range(25):
+        size = int(rng.integers(4, 300))
+        own = rng.integers(0, 1 << 63, size, np.uint64)
+        for _ in range(5):
+            copy = own.copy()
+            copy[rng.random(size) < rng.choice([0.0, 0.03, 0.08, 0.3])] = rng.integers(0, 1 << 63, 1, np.uint64)
+            sets.append(np.unique(copy))
+    prints = [simhash.wide_fingerprint(s) for s in sets]
+    rows = [(p.view(np.int64).tolist(), len(s), i) for i, (p, s) in enumerate(zip(prints, sets))]
+    rep = list(range(len(rows)))
+
+    def find(rep, x):
+        while rep[x] != x:
+            x = rep[x]
+        return x
+
+    def join(rep, a, b):
+        a, b = find(rep, a), find(rep, b)
+        rep[max(a, b)] = min(a, b)
+
+    near = []
+    for i in range(len(rows)):
+        for j in range(i):
+            common = len(np.intersect1d(sets[i], sets[j]))
+            if common >= 0.8 * (len(sets[i]) + len(sets[j]) - common):
+                near.append((i, j))
+                assert np.bitwise_count(prints[i] ^ prints[j]).sum() <= simhash.wide_radius(0.8)
+    got = list(rep)
+    for r in simhash.wide_links(spark.createDataFrame(rows, "fp array<bigint>, n bigint, rep bigint"), 0.8, chunk=chunk).collect():
+        join(got, r["src"], r["dst"])
+        assert np.bitwise_count(prints[r["src"]] ^ prints[r["dst"]]).sum() < 128
+    assert len(near) > 50 and all(find(got, i) == find(got, j) for i, j in near)
