@@ -1,7 +1,8 @@
 """Toxicity by weak supervision: many voters, a generative label model, a linear classifier.
 
-Lexicons are mined from a bounded sample of labelled rows, words and word beginnings alike, and dealt to
-voters; pattern voters look at shouting, punctuation and address. The label model sees votes only: it
+Lexicons are mined from a bounded sample of labelled rows, words and word beginnings alike. Each family of mined words, those that begin alike, is
+a voter of its own, whose silence says nothing; one voter speaks for the other class where no family is named; pattern voters look at shouting,
+punctuation, address and masking. The label model sees votes and the share of labelled rows that are toxic: it
 estimates each voter's accuracy by expectation-maximisation, measures which voters agree
 beyond what their accuracies explain, and discounts such groups so that they do not count twice. Its
 posteriors are the labels of an L1 logistic classifier over words and word beginnings, which scores all rows.
@@ -24,7 +25,8 @@ from .decontaminate import words_of
 from .fitting import held_out_flag, labelled_sample, lasso_logistic, sigmoid
 
 SAMPLE = 8_000
-LEXICON_VOTERS = 24
+#: Voters with a lexicon at most; families beyond that share the last one.
+LEXICON_VOTERS = 200
 PENALTY = 0.00004
 THRESHOLD = 0.7
 
@@ -55,27 +57,34 @@ class LabelModel:
     off: np.ndarray  # P(vote | not toxic)
     correlation: np.ndarray
     weight: np.ndarray
+    silent: np.ndarray  # whether a voter that does not vote says nothing
 
     @property
     def accuracy(self) -> np.ndarray:
         return self.prior * self.on + (1 - self.prior) * (1 - self.off)
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
-        yes, no = np.log(self.on / self.off), np.log((1 - self.on) / (1 - self.off))
+        yes, no = np.log(self.on / self.off), np.where(self.silent, 0.0, np.log((1 - self.on) / (1 - self.off)))
         return sigmoid(np.log(self.prior / (1 - self.prior)) + votes @ (self.weight * yes) + (1 - votes) @ (self.weight * no))
 
 
-def fit_label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 60, passes: int = 3) -> LabelModel:
-    """Two-class latent model by expectation-maximisation from the posteriors ``start``; correlated voters share their weight."""
+def fit_label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 60, passes: int = 3, silent: np.ndarray | None = None, balance: float | None = None) -> LabelModel:
+    """Two-class latent model by expectation-maximisation from the posteriors ``start``; correlated voters share their weight.
+
+    silent: voters whose abstention is no evidence; the others, which speak for either class, keep their whole weight. balance: the share of the
+    first class, if it is known.
+    """
     n, m = votes.shape
+    whole = np.zeros(m, bool) if silent is None else ~silent
+    silent = np.zeros(m, bool) if silent is None else silent
     votes, q, model, weight = votes.astype(float), start.astype(float), None, np.ones(votes.shape[1])
     correlation = np.eye(m)
     for _ in range(passes):
         for _ in range(rounds):
-            prior = (q.sum() + 1) / (n + 2)
+            prior = (q.sum() + 1) / (n + 2) if balance is None else balance
             on = (q @ votes + 0.5) / (q.sum() + 1)
             off = ((1 - q) @ votes + 0.5) / ((1 - q).sum() + 1)
-            model = LabelModel(prior, np.clip(on, 1e-4, 1 - 1e-4), np.clip(off, 1e-4, 1 - 1e-4), correlation, weight)
+            model = LabelModel(prior, np.clip(on, 1e-4, 1 - 1e-4), np.clip(off, 1e-4, 1 - 1e-4), correlation, weight, silent)
             new = model.posterior(votes)
             moved, q = np.abs(new - q).max(initial=0), new
             if moved < 1e-4:
@@ -85,8 +94,8 @@ def fit_label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 60, pass
         correlation = rest.T @ rest / np.outer(norm, norm)
         strong = correlation**2  # k copies of one voter get 1 / k of a voice each
         np.fill_diagonal(strong, 0)
-        weight = 1 / (1 + strong.sum(axis=1))
-        model = LabelModel(model.prior, model.on, model.off, correlation, weight)
+        weight = np.where(whole, 1.0, 1 / (1 + strong.sum(axis=1)))
+        model = LabelModel(model.prior, model.on, model.off, correlation, weight, silent)
         q = model.posterior(votes)
     return model
 
@@ -141,18 +150,26 @@ class FeatureTable:
     def __init__(self, texts: list[bytes]):
         self.n = len(texts)
         each = [np.unique(np.fromiter((zlib.crc32(f) for w in set(words_of(t)) for f in features_of(w)), np.uint32)) for t in texts]
-        row = np.repeat(np.arange(self.n, dtype=np.int32), [len(e) for e in each])
         every = np.concatenate(each) if each else np.zeros(0, np.uint32)
-        del each
-        hashes, counts = np.unique(every, return_counts=True)
-        self.hashes = hashes[counts > 1]
-        col = np.minimum(np.searchsorted(self.hashes, every), max(len(self.hashes) - 1, 0)).astype(np.int32)
-        known = self.hashes[col] == every if len(self.hashes) else np.zeros(len(every), bool)
-        self.row, self.col = row[known], col[known]
+        every.sort()
+        first = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1]))) if len(every) else np.zeros(0, np.int64)
+        self.hashes = every[first[np.diff(first, append=len(every)) > 1]]
+        del every, first
+        rows, cols = [], []
+        for i, own in enumerate(each):
+            at = np.searchsorted(self.hashes, own).astype(np.int32)
+            at = at[self.hashes[np.minimum(at, len(self.hashes) - 1)] == own] if len(self.hashes) else at[:0]
+            cols.append(at)
+            rows.append(np.full(len(at), i, np.int32))
+            each[i] = None
+        self.row, self.col = (np.concatenate(x) if x else np.zeros(0, np.int32) for x in (rows, cols))
 
     def counts(self, weight: np.ndarray) -> np.ndarray:
         """Of each feature, the weight of the texts that have it."""
-        return np.bincount(self.col, weight[self.row], len(self.hashes))
+        out, step = np.zeros(len(self.hashes)), 1 << 20
+        for at in range(0, len(self.row), step):
+            out += np.bincount(self.col[at : at + step], weight[self.row[at : at + step]], len(self.hashes))
+        return out
 
     def names(self, texts: list[bytes], wanted: np.ndarray) -> dict[int, bytes]:
         """The features of the wanted numbers; of features with one hash the least."""
@@ -166,13 +183,31 @@ class FeatureTable:
         return found
 
 
-def mine_lexicon(table: FeatureTable, y: np.ndarray, least: float = 0.005, ratio: float = 3.0) -> np.ndarray:
+def mine_lexicon(table: FeatureTable, y: np.ndarray, least: float = 0.005, ratio: float = 4.0) -> np.ndarray:
     """Features of at least two toxic texts and a share ``least`` of them whose smoothed log odds ratio is at least ``ratio``."""
     on, off = table.counts(y), table.counts(1 - y)
     odds = np.log((on + 0.5) / (y.sum() + 1)) - np.log((off + 0.5) / ((1 - y).sum() + 1))
     return np.flatnonzero((on >= max(2, least * y.sum())) & (odds >= ratio))
 
 
+def lexicon_voters(table: FeatureTable, texts: list[bytes], y: np.ndarray, most: int) -> np.ndarray:
+    """For each feature the voter that it belongs to, -1 for none.
+
+    A voter is a family of mined words, those with the same first four bytes, so that forms of one word vote once and families are sources of
+    their own. Families are taken by the toxic texts that they name, ``most`` at most; the rest share the last voter.
+    """
+    lexicon = mine_lexicon(table, y)
+    stems = {i: name.removeprefix(b"=")[:4] for i, name in table.names(texts, lexicon).items()}
+    toxic, weight = table.counts(y), {}
+    for i, stem in stems.items():
+        weight[stem] = max(weight.get(stem, 0), toxic[i])
+    place = {stem: min(k, most - 1) for k, stem in enumerate(sorted(weight, key=lambda x: (-weight[x], x)))}
+    voter_of = np.full(len(table.hashes), -1, np.int16)
+    for i, stem in stems.items():
+        voter_of[i] = place[stem]
+    return voter_of
+
+
 def fit_toxicity(texts: list[bytes], y: np.ndarray, voters: int = LEXICON_VOTERS, penalty: float = PENALTY) -> ToxicityModel:
     """The classifier; with no toxic row, or with no other, nothing is learned and every score is near the share of label 1."""
     if not len(y) or y.min() == y.max():
@@ -180,23 +215,24 @@ def fit_toxicity(texts: list[bytes], y: np.ndarray, voters: int = LEXICON_VOTERS
     keep = _without_copies(texts)
     texts, y = [texts[i] for i in keep], y[keep]
     table = FeatureTable(texts)
-    votes = np.zeros((table.n, voters + len(PATTERNS)), bool)
-    votes[:, voters:] = [pattern_votes(t) for t in texts]
-    voter_of = np.full(len(table.hashes), -1)
-    lexicon = mine_lexicon(table, y)
-    voter_of[lexicon] = table.hashes[lexicon] % voters
+    votes = np.zeros((table.n, voters + 1 + len(PATTERNS)), bool)
+    votes[:, voters + 1 :] = [pattern_votes(t) for t in texts]
+    voter_of = lexicon_voters(table, texts, y, voters)
     voting = voter_of[table.col] >= 0
     votes[table.row[voting], voter_of[table.col[voting]]] = True
-    label_model = fit_label_model(votes, np.clip(votes[:, :voters].sum(axis=1) / 2, 0.02, 0.98))
+    # one voter speaks for the other class: that no family was named
+    votes[:, voters] = ~votes[:, :voters].any(axis=1)
+    silent = np.arange(votes.shape[1]) < voters
+    label_model = fit_label_model(votes, np.clip(votes[:, :voters].sum(axis=1) / 2, 0.02, 0.98), silent=silent, balance=float(np.clip(y.mean(), 0.001, 0.999)))
     posterior = label_model.posterior(votes)
     # features that differ between the posterior classes, none rare
     all_, on = table.counts(np.ones(table.n)), table.counts((posterior >= 0.5).astype(float))
     share = max(1e-6, float((posterior >= 0.5).mean()))
     used = np.flatnonzero((all_ >= max(2, 0.0005 * table.n)) & (np.abs(np.log((on + 0.2) / (all_ * share + 0.2))) >= 1.2))
-    place = np.full(len(table.hashes), -1)
+    place = np.full(len(table.hashes), -1, np.int32)
     place[used] = np.arange(len(used))
     some = place[table.col] >= 0
-    row, col, extra, n, d = table.row[some], place[table.col[some]], votes[:, voters:].astype(float), table.n, len(used)
+    row, col, extra, n, d = table.row[some], place[table.col[some]], votes[:, voters + 1 :].astype(float), table.n, len(used)
     times = lambda w: np.bincount(row, w[:d][col], n) + extra @ w[d:]
     back = lambda r: np.concatenate((np.bincount(col, r[row], d), extra.T @ r))
     v = np.ones(d + extra.shape[1])

@@ -110,3 +110,42 @@ def test_label_model_finds_good_and_bad_voters():
 
 def test_registered_names():
     assert [k.split("_")[0] for k in queries.QUERIES] == [f"op{i}" for i in range(1, 11)]
+
+
+def test_label_model_follows_bayes_row_by_row():
+    """Posteriors by the product rule over single votes, rates by counting, for voters that may be silent."""
+    rng = np.random.default_rng(4)
+    y = rng.random(500) < 0.3
+    votes = np.stack([np.where(y, rng.random(500) < 0.3, rng.random(500) < 0.02) for _ in range(5)], axis=1)
+    votes = np.concatenate((votes, ~votes.any(axis=1)[:, None], rng.random((500, 1)) < 0.5), axis=1)
+    silent = np.arange(7) < 5
+    model = fit_label_model(votes, np.clip(votes[:, :5].sum(axis=1) / 2, 0.02, 0.98), rounds=400, silent=silent, balance=0.3)
+    q = model.posterior(votes.astype(float))
+    for row, got in zip(votes[:60], q):
+        odds = 0.3 / 0.7
+        for j, vote in enumerate(row):
+            if vote:
+                odds *= (model.on[j] / model.off[j]) ** model.weight[j]
+            elif not silent[j]:
+                odds *= ((1 - model.on[j]) / (1 - model.off[j])) ** model.weight[j]
+        assert got == pytest.approx(odds / (1 + odds), abs=1e-9)
+    for j in range(7):
+        on, off = sum(p for p, v in zip(q, votes[:, j]) if v), sum(1 - p for p, v in zip(q, votes[:, j]) if v)
+        assert model.on[j] == pytest.approx((on + 0.5) / (q.sum() + 1), abs=0.01) and model.off[j] == pytest.approx((off + 0.5) / (len(q) - q.sum() + 1), abs=0.01)
+    assert np.mean((q > 0.5) == y) > 0.85 and (model.weight[5:] == 1).all()  # a sixth of the first class has no vote
+
+
+def test_lexicon_voters_are_families_of_words():
+    from corpusloom.llm.toxicity import FeatureTable, lexicon_voters
+
+    texts = [b"vexgor blugh plain"] * 3 + [b"vexgors grunk plain"] * 3 + [b"grunks blughs plain"] * 3 + [b"plain other words %d" % i for i in range(200)]
+    y = np.array([1.0] * 9 + [0.0] * 200)
+    table = FeatureTable(texts)
+    voter = lexicon_voters(table, texts, y, 10)
+    names = table.names(texts, np.flatnonzero(voter >= 0))
+    stems = {}
+    for i, name in names.items():
+        stems.setdefault(int(voter[i]), set()).add(name.removeprefix(b"=")[:4])
+    assert {frozenset(s) for s in stems.values()} == {frozenset({b"vexg"}), frozenset({b"blug"}), frozenset({b"grun"})}
+    merged = lexicon_voters(table, texts, y, 2)
+    assert set(merged[merged >= 0]) == {0, 1}
