@@ -1,7 +1,10 @@
-"""Command line: analyse papers, simulate a review, validate datasets, encode texts.
+"""Command line: analyse papers, simulate a review, ranks and recall of a screening log, statistics of datasets, validate datasets, encode texts.
 
     python -m corpusloom analyze papers.parquet out --references refs.parquet --embeddings vectors.parquet [--rrf]
-    python -m corpusloom review papers.parquet out --learner nb --batch 50 --patience 100
+    python -m corpusloom review papers.parquet out --learner nb --batch 50 --patience 100 [--stopper last_relevant] [--settings tuned]
+    python -m corpusloom ranks log.parquet out --targets 17 42 --patience 100
+    python -m corpusloom recall log.parquet out
+    python -m corpusloom describe scores.parquet features.parquet out
     python -m corpusloom validate datasets.json folder
     python -m corpusloom encode papers.parquet out
 """
@@ -14,7 +17,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from .functions.columns import embedding_text
-from .operators import screening
+from .operators import evaluation, screening
 from .operators.detector import CitationOutlierDetector
 from .plans.materialize import release
 from .session import ship_by_value
@@ -37,6 +40,18 @@ def _parser() -> argparse.ArgumentParser:
     review.add_argument("--learner", choices=screening.LEARNERS, default="nb")
     for name, default in (("batch", 50), ("rounds", None), ("patience", 100)):
         review.add_argument(f"--{name}", type=int, default=default)
+    review.add_argument("--stopper", choices=("consecutive", "last_relevant"), default="consecutive")
+    review.add_argument("--settings", choices=sorted(screening.SETTINGS), default="plain")
+    ranks = commands.add_parser("ranks")
+    recall = commands.add_parser("recall")
+    for command in (ranks, recall):
+        command.add_argument("log")
+        command.add_argument("out")
+    ranks.add_argument("--targets", type=int, nargs="+", required=True)
+    ranks.add_argument("--patience", type=int, default=100)
+    describe = commands.add_parser("describe")
+    for name in ("scores", "features", "out"):
+        describe.add_argument(name)
     validate = commands.add_parser("validate")
     validate.add_argument("config")
     validate.add_argument("folder")
@@ -57,10 +72,17 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         datasets.save_report(detector.top_outliers(top_k=args.top_k), f"{args.out}/top")
         print(datasets.text_report(detector.method_comparison(), "Methods"))
     elif args.command == "review":
-        order = screening.simulate_review(read(args.papers), args.learner, args.batch, args.rounds, patience=args.patience)
+        order = screening.simulate_review(read(args.papers), args.learner, args.batch, args.rounds, patience=args.patience, stopper=args.stopper, settings=args.settings)
         log = order.select(F.col("id").alias("record_id"), "label", F.col("review_order").alias("time"))
         order.write.mode("overwrite").parquet(f"{args.out}/order")
         print(datasets.text_report(screening.stopping_point(log, args.patience), "Stop"))
+    elif args.command == "ranks":
+        targets = spark.createDataFrame([(t,) for t in args.targets], "record_id bigint")
+        datasets.save_report(screening.leftover_ranks(read(args.log), targets, args.patience), args.out)
+    elif args.command == "recall":
+        screening.recall_curve(read(args.log)).write.mode("overwrite").option("header", True).csv(args.out)
+    elif args.command == "describe":
+        datasets.save_report(evaluation.dataset_statistics(read(args.scores), read(args.features)), args.out)
     elif args.command == "validate":
         config = datasets.load_config(spark, args.config)
         found = {name: datasets.validate(spark, config, name, args.folder) for name in datasets.dataset_names(config)}

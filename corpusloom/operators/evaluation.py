@@ -143,15 +143,16 @@ def dataset_statistics(scores: DataFrame, features: DataFrame, score: str = "ens
 
 
 def rank_improvement(scores: DataFrame, methods: list[str], baselines: DataFrame, nonzero: tuple[str, ...] = ("lof_embeddings",)) -> DataFrame:
-    """Of each ``baselines(id, original_rank)`` and method: new rank, change, relative change, percentile.
+    """Of each ``baselines(id, original_rank)`` and method: new rank, change, relative change, percentiles and their difference.
 
-    Methods in ``nonzero`` rank among positive scores alone. Ranks count greater scores, without a sort.
+    Methods in ``nonzero`` rank among positive scores alone, and a rank is one more than the greater scores. The original percentile is of all
+    rows, the new one of those that the method ranks.
     """
-    long = to_long(scores, methods).where(~F.col("method").isin(*nonzero) | (F.col("score") > 0))
-    own = long.join(F.broadcast(baselines), "id").select("method", F.col("id").alias("outlier_id"), F.col("score").alias("mine"), "original_rank")
-    found = long.join(F.broadcast(own), "method").groupBy("method", "outlier_id", "mine", "original_rank").agg((F.count_if(F.col("score") > F.col("mine")) + 1).alias("new_rank"), F.count("*").alias("total"))
-    change = F.col("original_rank") - F.col("new_rank")
+    ranked = tie_ranks(to_long(scores, methods).where(~F.col("method").isin(*nonzero) | (F.col("score") > 0)))
+    found = ranked.join(baselines.select("id", "original_rank"), "id").crossJoin(F.broadcast(scores.agg(F.count("*").alias("all"))))  # one row
+    change = F.col("original_rank") - F.col("r_min")
+    old, new = (1 - F.col("original_rank") / F.col("all")) * 100, (1 - F.col("r_min") / F.col("n")) * 100
     return found.select(
-        "method", "outlier_id", F.col("mine").alias("score"), "original_rank", "new_rank", "total", change.alias("rank_improvement"), (change / F.col("original_rank") * 100).alias("relative_improvement_percent"),
-        ((1 - F.col("new_rank") / F.col("total")) * 100).alias("new_percentile"),
+        "method", F.col("id").alias("outlier_id"), "score", "original_rank", F.col("r_min").alias("new_rank"), F.col("n").alias("total"), change.alias("rank_improvement"),
+        (change / F.col("original_rank") * 100).alias("relative_improvement_percent"), old.alias("original_percentile"), new.alias("new_percentile"), (new - old).alias("percentile_improvement"),
     )

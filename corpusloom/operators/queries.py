@@ -482,20 +482,16 @@ def dataset_statistics(spark: SparkSession, folder: str) -> DataFrame:
 BASE = "base AS (SELECT record_id AS id, time + 1 AS original_rank FROM log WHERE label = 1)"
 
 
-@query("method:s outlier_id:b original_rank:b new_rank:b total:b rank_improvement:b relative_improvement_percent:6 new_percentile:6", f"""
+@query("method:s outlier_id:b original_rank:b new_rank:b total:b rank_improvement:b relative_improvement_percent:6 new_percentile:6 percentile_improvement:6", f"""
 WITH {ENSEMBLE}, {LOG.replace(IDS + ", ", "")}, {BASE}, alive AS (SELECT * FROM long WHERE method <> 'lof_embeddings' OR score > 0),
 r AS (SELECT method, id, rank() OVER (PARTITION BY method ORDER BY score DESC) AS new_rank, count(*) OVER (PARTITION BY method) AS total FROM alive)
-SELECT method, id AS outlier_id, original_rank, new_rank, total, original_rank - new_rank AS rank_improvement, (original_rank - new_rank) / original_rank * 100 AS relative_improvement_percent, (1 - new_rank / total) * 100 AS new_percentile FROM r JOIN base USING (id)""")
+SELECT method, id AS outlier_id, original_rank, new_rank, total, original_rank - new_rank AS rank_improvement, (original_rank - new_rank) / original_rank * 100 AS relative_improvement_percent, (1 - new_rank / total) * 100 AS new_percentile,
+(1 - new_rank / total) * 100 - (1 - original_rank / (SELECT count(*) FROM scored)) * 100 AS percentile_improvement FROM r JOIN base USING (id)""")
 def rank_improvement(spark: SparkSession, folder: str) -> DataFrame:
     wide = materialize(fixtures.scores(spark, folder))
     log = fixtures.screening_log(spark, folder)
     base = log.where("label = 1").select(F.col("record_id").alias("id"), (F.col("time") + 1).alias("original_rank"))
-    ranked = scores.tie_ranks(scores.to_long(wide, METHODS).where("method <> 'lof_embeddings' or score > 0"))
-    change = F.col("original_rank") - F.col("r_min")
-    return ranked.join(base, "id").select(
-        "method", F.col("id").alias("outlier_id"), "original_rank", F.col("r_min").alias("new_rank"), F.col("n").alias("total"), change.alias("rank_improvement"),
-        (change / F.col("original_rank") * 100).alias("relative_improvement_percent"), ((1 - F.col("r_min") / F.col("n")) * 100).alias("new_percentile"),
-    )
+    return evaluation.rank_improvement(wide, METHODS, base)
 
 
 @query("method:s outlier_id:b score:6 original_rank:b new_rank:b total:b new_percentile:6", f"""
@@ -558,6 +554,15 @@ def top_features(spark: SparkSession, folder: str) -> DataFrame:
     return reporting.top_features(_importances(spark, folder).withColumn("importance", F.round("importance", 9)))
 
 
+@query("feature:s de:4 en:4 es:4 fr:4 display:s greatest:4", f"""
+{IMPORTANCES}, v AS (SELECT dataset, feature, round(importance, 9) AS importance FROM imp), r AS (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY importance DESC, feature) AS r FROM v),
+p AS (SELECT feature, {', '.join(f"coalesce(sum(importance * 100) FILTER (dataset = '{x}'), 0) AS {x}" for x in LANGS)} FROM r WHERE r <= 5 GROUP BY feature),
+n AS (SELECT *, greatest(de, en, es, fr) AS greatest, array_to_string(list_transform(string_split(replace(replace(feature, '_', ' '), 'neighbor', 'neighb.'), ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS t FROM p)
+SELECT feature, de, en, es, fr, CASE WHEN length(t) > 20 THEN substr(t, 1, 17) || '...' ELSE t END AS display, greatest FROM n WHERE greatest > 0""")
+def top_features_table(spark: SparkSession, folder: str) -> DataFrame:
+    return reporting.top_features_table(_importances(spark, folder).withColumn("importance", F.round("importance", 9)), LANGS)
+
+
 @query("method:s i:b x:6 density:6", f"""
 WITH {SCORED}, s AS (SELECT method, count(*) AS n, min(score) AS lo, max(score) AS hi, stddev_samp(score) * pow(count(*), -0.2) * 0.8 AS h FROM long GROUP BY method), g AS (SELECT *, lo + (hi - lo) * i / 49 AS x FROM s CROSS JOIN range(50) r(i))
 SELECT g.method, g.i, g.x, sum(exp(-0.5 * pow((g.x - l.score) / g.h, 2))) / (any_value(g.n) * any_value(g.h) * sqrt(2 * pi())) AS density FROM g JOIN long l USING (method) GROUP BY g.method, g.i, g.x""")
@@ -721,8 +726,7 @@ def clean_features(spark: SparkSession, folder: str) -> DataFrame:
 def embedding_id_index(spark: SparkSession, folder: str) -> DataFrame:
     """Ids and rows of a metadata document that lists the papers in their order."""
     papers = fixtures.papers(spark, folder).select("id", "openalex_id")
-    placed = datasets.with_record_ids(papers, "id")
-    return placed.groupBy("openalex_id").agg(F.max("record_id").alias("index"))
+    return datasets.id_index(datasets.with_record_ids(papers, "id").withColumnRenamed("record_id", "index"))
 
 
 @query("num_documents:b valid_embeddings:b embedding_dim:b mean_norm:6 std_norm:6", """

@@ -173,40 +173,78 @@ def _read_until_stop(best: DataFrame, run: int, patience: int) -> tuple[DataFram
     return rows.where(F.col("position") < end[0]).select("id", "key", "y"), end[0], patience
 
 
-def simulate_review(papers: DataFrame, learner: str = "nb", batch: int = 50, rounds: int | None = None, label: str = "label_included", features: int = 1 << 14, patience: int = 100) -> DataFrame:
+def _read_until_last(best: DataFrame, missing: int) -> tuple[DataFrame, int, int]:
+    """``best(id, key, y)`` up to the record that is the last of ``missing`` relevant ones, its size, and how many are missing then."""
+    rows = materialize(running_sum(best, "y", F.col("key"), F.col("id"), name="found"))
+    end = rows.agg(F.min(F.when((F.col("found") >= missing) & (F.col("y") == 1), F.col("position") + 1)), F.count("*"), F.sum("y")).first()
+    if end[0] is None:
+        return rows.select("id", "key", "y"), end[1], missing - int(end[2] or 0)
+    return rows.where(F.col("position") < end[0]).select("id", "key", "y"), end[0], 0
+
+
+#: Settings of the review's features and balance, as they are by default and as they were tuned for the support vector machine.
+SETTINGS = {"plain": {"ngrams": 1, "max_df": 1.0, "ratio": 1.0}, "tuned": {"ngrams": 2, "max_df": 0.95, "ratio": 9.8}}
+
+
+def review_vectors(texts: DataFrame, features: int, ngrams: int = 1, max_df: float = 1.0) -> DataFrame:
+    """``id, y, x`` of ``texts(id, y, text)``: hashed TF-IDF of words and runs of up to ``ngrams`` words; places in more than ``max_df`` of all texts are 0."""
+    from pyspark.ml.feature import IDF, ElementwiseProduct, HashingTF, NGram, Tokenizer
+    from pyspark.ml.linalg import Vectors
+
+    words = Tokenizer(inputCol="text", outputCol="words").transform(texts)
+    for n in range(2, ngrams + 1):
+        words = NGram(n=n, inputCol="words", outputCol=f"runs{n}").transform(words)
+    terms = words.withColumn("terms", F.concat("words", *(f"runs{n}" for n in range(2, ngrams + 1))))
+    counted = HashingTF(inputCol="terms", outputCol="tf", numFeatures=features).transform(terms).select("id", "y", "tf")
+    model = IDF(inputCol="tf", outputCol="x" if max_df >= 1 else "weighted").fit(counted)
+    vectors = model.transform(counted)
+    if max_df < 1:
+        kept = Vectors.dense([float(f <= max_df * model.numDocs) for f in model.docFreq])
+        vectors = ElementwiseProduct(scalingVec=kept, inputCol="weighted", outputCol="x").transform(vectors)
+    return vectors.select("id", "y", "x")
+
+
+def simulate_review(papers: DataFrame, learner: str = "nb", batch: int = 50, rounds: int | None = None, label: str = "label_included", features: int = 1 << 14, patience: int = 100, stopper: str = "consecutive", settings: str = "plain") -> DataFrame:
     """``id, review_order, label``: top-down reading until both classes are seen, then the most likely relevant ones, batch by batch.
 
-    The review ends with the record at which ``patience`` irrelevant ones have followed each other after a relevant one, with the last record,
-    or after ``rounds`` batches if these are given; records of one class alone are all read top-down. Each round fits TF-IDF features of title and abstract with
-    classes balanced by weight. A batch is a quarter of what was read, ``batch`` records at least. What was read is a table; only counts
+    The stopper ``consecutive`` ends the review with the record at which ``patience`` irrelevant ones have followed each other after a relevant one
+    (a patience of -1 is none), ``last_relevant`` with the last relevant record; else it ends with the last record,
+    or after ``rounds`` batches if these are given; records of one class alone are all read top-down. Each round fits TF-IDF features of title and abstract, with
+    relevant records weighing ``ratio`` times as much as all others together (``SETTINGS``). A batch is a quarter of what was read, ``batch`` records at least. What was read is a table; only counts
     come to the driver.
     """
-    from pyspark.ml.feature import IDF, HashingTF, Tokenizer
+    from pyspark.ml.functions import vector_to_array
 
     from ..functions.columns import title_abstract
 
+    if stopper not in ("consecutive", "last_relevant"):
+        raise ValueError(f"unknown stopper {stopper!r}")
+    chosen = SETTINGS[settings]
+
     text = papers.select("id", F.col(label).cast("double").alias("y"), title_abstract(F.col("title"), F.col("abstract")).alias("text"))
-    counted = HashingTF(inputCol="words", outputCol="tf", numFeatures=features).transform(Tokenizer(inputCol="text", outputCol="words").transform(text))
-    vectors = IDF(inputCol="tf", outputCol="x").fit(counted).transform(counted).select("id", "y", "x").persist()
-    first = vectors.groupBy("y").agg(F.min("id").alias("i"), F.count("*").alias("n")).agg(F.max("i"), F.count("*"), F.sum("n")).first()
-    both, total = first[1] == 2, first[2] or 0
+    vectors = review_vectors(text, features, chosen["ngrams"], chosen["max_df"]).persist()
+    first = vectors.groupBy("y").agg(F.min("id").alias("i"), F.count("*").alias("n")).agg(F.max("i"), F.count("*"), F.sum("n"), F.sum(F.when(F.col("y") == 1, F.col("n")))).first()
+    both, total, relevant = first[1] == 2, first[2] or 0, first[3] or 0
     seeds = vectors.where(F.col("id") <= first[0]) if both else vectors
     read = materialize(seeds.select("id", F.col("id").cast("double").alias("key"), F.lit(0).alias("round"), "y"))
     last = read.agg(F.max(F.when(F.col("y") == 1, F.col("id")))).first()[0]
     done, run, k = read.count(), read.where(F.col("id") > last).count() if both else 0, 0
-    while both and done < total and run < patience and (rounds is None or k < rounds):
+    missing = relevant - read.where("y = 1").count()
+    until_last, patience = stopper == "last_relevant", total + 1 if patience < 0 else patience
+    while both and done < total and (missing if until_last else run < patience) and (rounds is None or k < rounds):
         k += 1
         train = vectors.join(read.select("id"), "id", "left_semi")
         share = train.agg(F.avg("y")).first()[0]
-        weighted = train.withColumn("w", F.when(F.col("y") == 1, F.lit(0.5 / share)).otherwise(F.lit(0.5 / (1 - share))))
+        weighted = train.withColumn("w", F.when(F.col("y") == 1, F.lit(0.5 * chosen["ratio"] / share)).otherwise(F.lit(0.5 / (1 - share))))
         model = _learner(learner).fit(weighted)
         scored = model.transform(vectors.join(read.select("id"), "id", "left_anti"))
-        from pyspark.ml.functions import vector_to_array
-
         raw = vector_to_array("rawPrediction")
         score = raw[1] - raw[0]
         best = scored.select("id", (-score).alias("key"), "y").orderBy("key", "id").limit(max(batch, min(done // 4, LARGEST_BATCH)))
-        taken, n, run = _read_until_stop(best, run, patience)
+        if until_last:
+            taken, n, missing = _read_until_last(best, missing)
+        else:
+            taken, n, run = _read_until_stop(best, run, patience)
         done += n
         read = materialize(read.union(taken.select("id", "key", F.lit(k).alias("round"), "y")))
     vectors.unpersist()

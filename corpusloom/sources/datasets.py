@@ -86,8 +86,10 @@ def read_npy(spark: SparkSession, path: str) -> DataFrame:
 
 
 def id_index(meta: DataFrame) -> DataFrame:
-    """``(openalex_id, index)`` of either layout of the metadata; of repeated ids the last."""
-    if "documents" in meta.columns:
+    """``(openalex_id, index)`` of any layout of the metadata, a list of documents, a list of ids or a row for each; of repeated ids the last."""
+    if "index" in meta.columns:
+        pairs = meta.select("openalex_id", F.col("index").cast("long").alias("index"))
+    elif "documents" in meta.columns:
         pairs = meta.select(F.posexplode("documents").alias("p", "d")).select(F.col("d.openalex_id").alias("openalex_id"), F.col("p").cast("long").alias("index"))
     else:
         pairs = meta.select(F.posexplode("openalex_id").alias("index", "openalex_id")).select("openalex_id", F.col("index").cast("long").alias("index"))
@@ -134,13 +136,25 @@ def list_datasets(spark: SparkSession, folder: str, suffix: str = ".csv") -> lis
     return sorted(s.getPath().getName()[: -len(suffix)] for s in found)
 
 
-def resolve_dataset(spark: SparkSession, name: str, folder: str) -> DataFrame:
-    """A table of the catalog, else a Parquet folder, else a CSV file of that name."""
-    if spark.catalog.tableExists(name) if name.replace("_", "").replace(".", "").isalnum() else False:
-        return spark.table(name)
-    for path, read in ((f"{folder}/{name}.parquet", spark.read.parquet), (f"{folder}/{name}.csv", spark.read.options(**CSV).csv), (name, spark.read.parquet)):
-        if exists(spark, path):
-            return read(path)
+#: Fixed value: the prefix of datasets of the benchmark collection, which lie in a folder of that name.
+COLLECTION = "synergy"
+
+
+def resolve_dataset(spark: SparkSession, name: str, folder: str, config: dict | None = None) -> DataFrame:
+    """The first that is there: a table, Parquet folder or CSV file of the name; in the collection, one of the identifier that the configuration
+    gives for it; in the collection, one of the name; a file of the identifier; the name as a path. A name may have the collection's prefix itself."""
+    known = (config or {}).get(name, {}).get("synergy_dataset_name")
+    tries = [name, *([f"{COLLECTION}:{known}"] if known else []), f"{COLLECTION}:{name}", *([known] if known else [])]
+    for own in tries:
+        prefix, colon, rest = own.partition(":")
+        place = f"{folder}/{COLLECTION}/{rest}" if colon and prefix == COLLECTION else f"{folder}/{own}"
+        if own.replace("_", "").replace(".", "").isalnum() and spark.catalog.tableExists(own):
+            return spark.table(own)
+        for path, read in ((f"{place}.parquet", spark.read.parquet), (f"{place}.csv", spark.read.options(**CSV).csv)):
+            if ":" not in path.removeprefix(folder) and exists(spark, path):
+                return read(path)
+    if ":" not in name and exists(spark, name):
+        return spark.read.parquet(name)
     raise FileNotFoundError(name)
 
 
@@ -196,9 +210,15 @@ def save_report(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 
+#: Rows of a report in text.
+REPORT_ROWS = 1000
+
+
 def text_report(df: DataFrame, title: str) -> str:
-    """A small table as text."""
-    rows = df.limit(1000).collect()
+    """A small table as text; ValueError if it has more than ``REPORT_ROWS`` rows, as nothing is left out."""
+    rows = df.limit(REPORT_ROWS + 1).collect()
+    if len(rows) > REPORT_ROWS:
+        raise ValueError(f"a report in text has {REPORT_ROWS} rows at most")
     return "\n".join([title, "=" * len(title), *(", ".join(f"{k}: {v}" for k, v in r.asDict().items()) for r in rows)])
 
 

@@ -128,3 +128,62 @@ def test_vectors(spark):
     a, b, zero = F.array(F.lit(3.0), F.lit(4.0)), F.array(F.lit(4.0), F.lit(3.0)), F.array(F.lit(0.0), F.lit(0.0))
     row = spark.range(1).select(cosine(a, b), cosine(a, zero), euclidean(a, zero), unit(zero), unit(a)).first()
     assert tuple(row) == (0.96, 0.0, 5.0, [0.0, 0.0], [0.6, 0.8])
+
+
+@pytest.mark.parametrize("n", [40, 700])
+def test_isolation_forest_equals_row_by_row(spark, n):
+    """Draws, trees and depths followed one row at a time."""
+    from corpusloom.operators.iforest import average_path, grow, isolation_forest
+
+    rng = np.random.default_rng(n)
+    x = rng.standard_normal((n, 3)).round(3)
+    x[0] = 9
+    rows = spark.createDataFrame([(i, x[i].tolist()) for i in range(n)], "id bigint, u array<double>")
+    trees, psi = 12, min(256, n)
+    draws = rows.select("id", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree")).withColumn("h", F.xxhash64(F.lit(42), "tree", "id")).collect()
+    depth, total = int(np.ceil(np.log2(psi))), np.zeros(n)
+    for tree in range(trees):
+        own = [i for _, i in sorted((r["h"], r["id"]) for r in draws if r["tree"] == tree)[:psi]]
+        nodes = grow(x[own], depth, np.random.default_rng([42, tree]))
+        for i in range(n):
+            f, t, left, right, d = nodes[0]
+            while f >= 0:
+                f, t, left, right, d = nodes[left if x[i, f] <= t else right]
+            total[i] += d
+    expected = 2.0 ** (-total / trees / average_path(psi)) - 0.5
+    got = {r["id"]: r["isolation_forest"] for r in isolation_forest(rows, trees=trees).collect()}
+    assert [got[i] for i in range(n)] == pytest.approx(expected.tolist()) and max(got, key=got.get) == 0
+    harmonic = sum(1 / k for k in range(1, psi))
+    assert average_path(psi) == pytest.approx(2 * harmonic - 2 * (psi - 1) / psi, abs=1.01 / (psi - 1))  # the logarithm falls short of the sum by half of 1 / (psi - 1)
+
+
+def test_importance_goes_to_what_decides(spark):
+    from corpusloom.operators.reporting import feature_importance
+
+    rng = np.random.default_rng(5)
+    x = rng.random((300, 3))
+    y = 3 * (x[:, 1] > 0.5) + (x[:, 2] > 0.7)
+    frame = spark.createDataFrame([(float(t), float("inf") if i == 0 else float(a), float(b), float(c)) for i, (t, (a, b, c)) in enumerate(zip(y, x))], "y double, noise double, strong double, weak double")
+    got = {r["feature"]: r["importance"] for r in feature_importance(frame, "y", ["noise", "strong", "weak"], trees=20).collect()}
+    # the share of variance that each explains
+    assert sum(got.values()) == pytest.approx(1) and got["strong"] == pytest.approx(2.25 / (2.25 + 0.21), abs=0.05) and got["noise"] < 0.02 < got["weak"]
+
+
+def test_top_features_table_fills_with_zero(spark):
+    from corpusloom.operators.reporting import top_features_table
+
+    rows = [("a", "x_one", 0.5), ("a", "y", 0.3), ("a", "z", 0.2), ("b", "x_one", 0.1), ("b", "y", 0.0), ("b", "z", 0.9), ("c", "w", 1.0)]
+    got = top_features_table(spark.createDataFrame(rows, "dataset string, feature string, importance double"), ["a", "b"], 2).collect()
+    assert {(r["feature"], r["a"], r["b"], r["display"], r["greatest"]) for r in got} == {("x_one", 50.0, 10.0, "X One", 50.0), ("y", 30.0, 0.0, "Y", 30.0), ("z", 0.0, 90.0, "Z", 90.0)}
+
+
+def test_neighbours_merge_in_rounds(spark, monkeypatch):
+    from corpusloom.operators import knn
+
+    monkeypatch.setattr(knn, "MERGED", 2)
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((90, 2)).round(2)
+    got = knn.nearest(spark.createDataFrame([(i, x[i].tolist()) for i in range(90)], "id bigint, u array<double>"), 4, "euclidean", block=2).collect()
+    d = np.round(np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2)), 12)
+    np.fill_diagonal(d, np.inf)
+    assert {(r["id"], r["nb"]) for r in got} == {(i, int(j)) for i in range(90) for j in np.argsort(d[i], kind="stable")[:4]}

@@ -110,3 +110,21 @@ def test_streams(spark, tmp_path):
     run.processAllAvailable()
     run.stop()
     assert sorted(r["total"] for r in spark.table("counts").collect()) == [2.0, 3.0]
+
+
+def test_review_up_to_the_last_relevant_record(spark):
+    rows = [(i, "special topic" if i % 10 == 3 else "common words", f"about item {i % 7}", int(i % 10 == 3)) for i in range(300)]
+    papers = spark.createDataFrame(rows, "id bigint, title string, abstract string, label_included int")
+    for settings in ("plain", "tuned"):
+        got = sorted(screening.simulate_review(papers, batch=20, stopper="last_relevant", settings=settings).collect(), key=lambda r: r["review_order"])
+        assert sum(r["label"] for r in got) == 30 and got[-1]["label"] == 1
+    assert screening.simulate_review(papers, batch=200, patience=-1).count() == 300
+    with pytest.raises(ValueError):
+        screening.simulate_review(papers, stopper="never")
+
+
+def test_review_vectors_drop_common_terms_and_know_runs(spark):
+    texts = spark.createDataFrame([(i, 0.0, f"common word{i}" + (" pair here" if i < 2 else " here pair")) for i in range(10)], "id bigint, y double, text string")
+    plain, tuned = ({r["id"]: r["x"] for r in screening.review_vectors(texts, 1 << 12, *s).collect()} for s in ((1, 1.0), (2, 0.95)))
+    assert all(plain[0][i] == plain[5][i] for i in map(int, set(plain[0].indices) & set(plain[5].indices)))
+    assert tuned[0].squared_distance(tuned[1]) < tuned[0].squared_distance(tuned[5]) and (tuned[0].toArray() > 0).sum() < len(tuned[0].indices)

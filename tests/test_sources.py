@@ -104,3 +104,19 @@ def test_release_deletes_what_was_written(spark):
     df = materialize(spark.range(5))
     path = Path(df.inputFiles()[0].removeprefix("file:")).parent
     assert path.exists() and release(spark) >= 1 and not path.exists()
+
+
+def test_datasets_of_the_collection_and_reports_that_are_too_long(spark, tmp_path):
+    for path, n in (("synergy/Known_2020", 2), ("synergy/other", 3), ("Plain_2021", 4)):
+        (tmp_path / path).parent.mkdir(exist_ok=True)
+        (tmp_path / f"{path}.csv").write_text("a\n" + "1\n" * n)
+    config = {"known": {"synergy_dataset_name": "Known_2020"}, "plain": {"synergy_dataset_name": "Plain_2021"}}
+    found = {name: datasets.resolve_dataset(spark, name, str(tmp_path), config).count() for name in ("known", "other", "synergy:other", "plain", "Plain_2021")}
+    assert found == {"known": 2, "other": 3, "synergy:other": 3, "plain": 4, "Plain_2021": 4}
+    with pytest.raises(FileNotFoundError):
+        datasets.resolve_dataset(spark, "synergy:none", str(tmp_path), config)
+    assert datasets.text_report(spark.range(1000), "T").count("id:") == 1000
+    with pytest.raises(ValueError):
+        datasets.text_report(spark.range(1001), "T")
+    flat = spark.createDataFrame([("x", 0), ("y", 1), ("x", 2), (None, 3)], "openalex_id string, index int")
+    assert {r["openalex_id"]: r["index"] for r in datasets.id_index(flat).collect()} == {"x": 2, "y": 1}
