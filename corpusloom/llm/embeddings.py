@@ -7,10 +7,10 @@ bucket is many tasks' work and loses nothing. A pair that meets in several table
 of them alone, which linked pairs learn from their signatures, computed again; so link counts need no list of
 pairs, and a comparison returns counts and a spanning forest, bounded by its size.
 
-Signatures have three bits more than log2(n), so that about one vector in eight shares a bucket with an unrelated one, and
+Signatures have five bits more than log2(n), so that about one vector in thirty shares a bucket with an unrelated one, and
 the number of tables follows from the recall wanted of a pair just at the threshold. Buckets are found on narrow rows,
-a key and a name for each vector and table; vectors travel only to buckets with company, and of buckets with the same members
-only to that of the first table.
+a key and a name for each vector and table, of which only keys are counted; vectors travel only to buckets with company, and of buckets with the
+same members only to that of the first table.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.components import connected_components
-from ..plans.materialize import materialize
+from ..plans.materialize import bounded_broadcast, materialize
 from .arrow_text import nested_values
 from .simhash import spanning_forest
 
@@ -41,7 +41,7 @@ SHARE = 16
 
 def signature_plan(n: int, threshold: float = THRESHOLD, recall: float = RECALL) -> tuple[int, int]:
     """``(bits, tables)`` for n vectors: a pair at the threshold meets in some table with probability recall."""
-    bits = min(60, max(8, math.ceil(math.log2(max(n, 2))) + 3))
+    bits = min(60, max(8, math.ceil(math.log2(max(n, 2))) + 5))
     meet = (1 - math.acos(min(1.0, max(-1.0, threshold))) / math.pi) ** bits
     return bits, 1 if meet >= 1 else math.ceil(math.log(1 - recall) / math.log(1 - meet))
 
@@ -122,10 +122,12 @@ def cosine_links(vectors: DataFrame, threshold: float, recall: float, seed: int
     slots = signed.select("rep", F.col("dim"), F.posexplode("sigs").alias("t", "sig"))
     # buckets that share a key by chance are told apart again by table and dimension when their vectors are packed
     slots = materialize(slots.select("rep", "t", F.xxhash64("dim", "t", "sig").alias("key")))
+    shared = materialize(slots.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+    slots = materialize(slots.join(bounded_broadcast(shared), "key"))
     members = [F.bit_xor(F.xxhash64("rep", F.lit(i))).alias(f"m{i}") for i in (0, 1)]
-    company = slots.groupBy("key").agg(F.count("*").alias("n"), F.min("t").alias("t"), *members).where("n > 1")
+    company = slots.groupBy("key", "n").agg(F.min("t").alias("t"), *members)
     crowded = materialize(company.groupBy("n", "m0", "m1").agg(F.min_by("key", F.struct("t", "key")).alias("key")).select("key", F.ceil(F.col("n") / chunk).alias("chunks")))
-    rows = slots.join(crowded, "key").withColumn("chunk", F.pmod(F.xxhash64("rep"), "chunks")).join(vectors.select("rep", "mult", F.col("embedding").alias("e")), "rep")
+    rows = slots.drop("n").join(bounded_broadcast(crowded), "key").withColumn("chunk", F.pmod(F.xxhash64("rep"), "chunks")).join(vectors.select("rep", "mult", F.col("embedding").alias("e")), "rep")
     bucket = ["key", "t", F.size("e").alias("dim"), "chunks"]
     packed = materialize(rows.groupBy(*bucket, "chunk").agg(F.collect_list(F.struct("rep", "mult", "e")).alias("x")))
     fields = lambda s: [F.col(f"x.{k}").alias(f"{k}_{s}") for k in ("rep", "mult", "e")]
