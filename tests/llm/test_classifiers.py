@@ -1,4 +1,6 @@
 import random
+import re
+import string
 import zlib
 
 import numpy as np
@@ -149,3 +151,58 @@ def test_lexicon_voters_are_families_of_words():
     assert {frozenset(s) for s in stems.values()} == {frozenset({b"vexg"}), frozenset({b"blug"}), frozenset({b"grun"})}
     merged = lexicon_voters(table, texts, y, 2)
     assert set(merged[merged >= 0]) == {0, 1}
+
+
+def plain_statistics(text):
+    """Each statistic from its definition, one text at a time."""
+    from collections import Counter
+
+    raw = (text or "").encode()
+    words, size = raw.split(), len(raw)
+    if not words:
+        return dict.fromkeys(STATS, 0.0)
+    kinds = {"upper": string.ascii_uppercase, "lower": string.ascii_lowercase, "digit": string.digits, "space": " \t\n\r\x0b\x0c", "mark": ".,;:'\"?()-", "shout": "!", "symbol": "#$%&*+/<=>@[\\]^_`{|}~"}
+    out = {k: sum(raw.count(c.encode()) for c in v) / size for k, v in kinds.items()}
+    out["other"] = max(0.0, 1 - sum(out.values()))
+    lines = [x for x in raw.split(b"\n") if x.strip()]
+    most = lambda x: max(Counter(x).values())
+    out |= {"log_words": np.log2(1 + len(words)), "mean_word": (size - len(words)) / len(words), "longest_word": max(map(len, words)), "distinct_words": len(set(words)) / len(words), "top_word": most(words) / len(words)}
+    out |= {"long_run": sum(a == b for a, b in zip(words, words[1:])) / len(words), "log_lines": np.log2(1 + len(lines)), "mean_line": len(words) / len(lines), "distinct_lines": len(set(lines)) / len(lines), "top_line": most(lines) / len(lines)}
+    return out | {"sentences": sum(raw.count(c) for c in (b".", b"!", b"?")) / len(words)}
+
+
+def test_quality_scores_equal_rules_read_one_by_one(spark, monkeypatch):
+    """Every document's statistics from their definitions, every rule tested by itself."""
+    from corpusloom.llm import quality
+
+    fitted = []
+    monkeypatch.setattr(quality, "fit_rules", lambda *a, **k: fitted.append(fit_rules(*a, **k)) or fitted[-1])
+    rows = corpus(400) + [(1000, None, 1, 0), (1001, "", 0, 0), (1002, "Ä b\n\nc? [d] \"e\"\\\\f-", 1, 0), (1003, "word " * 20000, 0, 0)]
+    got = {r["doc_id"]: r["score"] for r in score_quality(*frames(spark, rows)).collect()}
+    model = fitted[0]
+    assert model.rules and len(got) == len(rows)
+    for i, text, _, _ in rows:
+        stats = dict(zip(STATS, text_stats([None if text is None else text.encode()])[0]))
+        assert stats == pytest.approx(plain_statistics(text), abs=1e-9)
+        z = model.intercept
+        for rule, w in zip(model.rules, model.weights):
+            z += w * all((stats[STATS[f]] > t) if above else (stats[STATS[f]] <= t) for f, t, above in rule)
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-6)
+
+
+def test_toxicity_scores_equal_weights_added_word_by_word(spark):
+    from corpusloom.llm.toxicity import PATTERNS, learn_toxicity
+
+    rows = corpus(500) + [(1000, None, 1, 0), (1001, "", 1, 0), (1002, "VEXGOR! vexgor, (Blugh) you ****", 1, 0), (1003, "plain " * 30000 + "vexgor blugh", 1, 0)]
+    docs, labels = frames(spark, rows)
+    model = learn_toxicity(docs, labels)
+    got = {r["doc_id"]: r["score"] for r in score_toxicity(docs, labels).collect()}
+    assert model.weights and len(got) == len(rows)
+    for i, text, _, _ in rows:
+        z = model.intercept
+        words = set(re.findall(rb"[0-9a-z\x80-\xff]+", (text or "").lower().encode()))
+        features = {b"=" + w for w in words} | {w[:n] for w in words for n in (4, 5, 6) if len(w) >= n}
+        z += sum(w for f, w in model.weights.items() if f in features)
+        if text:
+            z += sum(w for w, p in zip(model.patterns, PATTERNS.values()) if p.search(text.encode()))
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-9)

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from corpusloom.llm.decontaminate import ItemIndex, benchmark_hits, best_match, decontaminate, words_of
+from corpusloom.llm.decontaminate import FOUND_BY_ONE, RECALL, REPETITIONS, SAMPLED, SEED, ItemIndex, benchmark_hits, best_match, decontaminate, repetitions_for, words_of
 
 
 def distance(pattern, text):
@@ -77,3 +77,39 @@ def test_empty_tables(spark):
     bench = spark.createDataFrame([], "item_id bigint, text string")
     one = spark.createDataFrame([(1, "some text")], "doc_id bigint, text string")
     assert benchmark_hits(docs, bench).collect() == [] and benchmark_hits(one, bench).collect() == [] and decontaminate(one, bench).count() == 1
+
+
+def test_hits_equal_all_pairs_compared(spark):
+    """Every document against every item by dynamic programming over all runs of words."""
+    rnd = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(80)]
+    items = [(i, " ".join(rnd.choice(vocabulary) for _ in range(rnd.choice([3, 5, 6, 9, 14, 20, 31])))) for i in range(20)] + [(20, "")]
+    docs = []
+    for i in range(60):
+        words = [rnd.choice(vocabulary) for _ in range(rnd.randrange(60))]
+        for _ in range(rnd.randrange(3)):
+            own = items[rnd.randrange(20)][1].split()
+            at = rnd.randrange(len(words) + 1)
+            words[at:at] = edited(own, rnd.randrange(len(own) // 4 + 1), rnd)
+        docs.append((i, " ".join(words)))
+    expected = {}
+    for d, text in docs:
+        for k, item in items:
+            pattern, allowed = item.split(), int(len(item.split()) * 0.2 + 1e-9)
+            if len(pattern) >= 5 and (least := distance(pattern, text.split())) <= allowed:
+                expected[d, k] = least
+    got = {(r["doc_id"], r["item_id"]): r["distance"] for r in benchmark_hits(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")).collect()}
+    assert len(expected) > 30 and got == expected
+    kept = decontaminate(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"))
+    assert {r["doc_id"] for r in kept.collect()} == {d for d, _ in docs} - {d for d, _ in expected}
+
+
+def test_repetitions_reach_the_recall_that_they_are_made_for():
+    assert REPETITIONS == repetitions_for(RECALL) == 32 and repetitions_for(0.5) == 2
+    rnd = random.Random(3)
+    items = [" ".join(f"v{rnd.randrange(3000)}" for _ in range(rnd.choice([20, 30, 40]))) for _ in range(300)]
+    docs = [" ".join([f"x{rnd.randrange(3000)}" for _ in range(30)] + edited(t.split(), len(t.split()) // 5, rnd) + ["end"] * 5) for t in items]
+    for repetitions in (2, 6):
+        index = ItemIndex(list(enumerate(t.encode() for t in items)), 0.8, 5, repetitions, SAMPLED, SEED)
+        found = {r for r, j, _, _ in index.matches([d.encode() for d in docs]) if r == j}
+        assert len(found) / len(docs) >= 1 - (1 - FOUND_BY_ONE) ** repetitions - 0.08
