@@ -162,22 +162,24 @@ def mix_documents(
     ends = ends.join(equal, names, "left").join(taken, names, "left")
     ends = materialize(ends.select(F.struct(*names).alias("__leaf"), F.struct("passes", "end", "cut", "equal", "full").alias("__p")))
     leaf = F.struct(*(F.coalesce(c.cast("string"), F.lit("unknown")).alias(n) for n, c in levels.items()))
-    own = docs.withColumn("__leaf", leaf).join(bounded_broadcast(ends), "__leaf").where(F.col(f"`{text_col}`").rlike(WORD))
-    end, key = F.col("__p.end"), F.col(f"`{id_col}`")
+    # a row's own columns travel as one, so that none can be mistaken for another
+    own = docs.where(F.col(f"`{text_col}`").rlike(WORD)).select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("t"), leaf.alias("__leaf"))
+    own = own.join(bounded_broadcast(ends), "__leaf")
+    end, key, t = F.col("__p.end"), F.col("id"), F.col("t")
     head = F.struct(seeded_order(F.lit(seed), F.col("__p.passes"), F.coalesce(key.cast("string"), F.lit(""))).alias("h"), key.alias("id"))
-    tail = F.struct(count_tokens(F.col(text_col)).alias("tokens"), F.xxhash64(text_col).alias("text_hash"))
+    tail = F.struct(count_tokens(t).alias("tokens"), F.xxhash64(t).alias("text_hash"))
     end_head, end_tail = F.struct(end["h"], end["id"]), F.struct(end["tokens"], end["text_hash"])
     # words are counted again only where hash and id are those of the last row
     at = F.when(end.isNull() | (head > end_head), 1).when(head < end_head, -1).when(tail > end_tail, 1).when(tail < end_tail, -1).otherwise(0)
     placed = own.withColumn("__at", at)
-    text = F.when((F.col("__at") == 0) & (F.col("__p.cut") < F.col("__p.end.tokens")), cut_tokens(F.col(text_col), F.col("__p.cut").cast("int"))).otherwise(F.col(text_col))
+    text = F.when((F.col("__at") == 0) & (F.col("__p.cut") < F.col("__p.end.tokens")), cut_tokens(t, F.col("__p.cut").cast("int"))).otherwise(t)
     # takes: one for each whole pass, and in the last pass one for rows up to the last one
-    once = F.when(F.col("__at") < 0, F.array(F.col(text_col))).when((F.col("__at") == 0) & (F.col("__p.equal") == 1), F.array(text)).otherwise(F.array().cast("array<string>"))
-    takes = F.concat(F.array_repeat(F.col(text_col), F.col("__p.passes")), once) if epochs > 1 else F.when(F.col("__p.passes") > 0, F.array(F.col(text_col))).otherwise(once)
-    columns = lambda text: [text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
-    out = placed.withColumn("__text", F.explode(takes)).select(*columns(F.col("__text")))
+    once = F.when(F.col("__at") < 0, F.array(t)).when((F.col("__at") == 0) & (F.col("__p.equal") == 1), F.array(text)).otherwise(F.array().cast("array<string>"))
+    takes = F.concat(F.array_repeat(t, F.col("__p.passes")), once) if epochs > 1 else F.when(F.col("__p.passes") > 0, F.array(t)).otherwise(once)
+    columns = [F.col("text").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns]
+    out = placed.select("row", F.explode(takes).alias("text")).select(*columns)
     if ends.where("__p.equal > 1").isEmpty():
         return out
     twins = placed.where("__at = 0 and __p.equal > 1").dropDuplicates(["__leaf"])
-    times = F.concat(F.array_repeat(F.col(text_col), F.col("__p.full").cast("int")), F.when(F.col("__p.cut") < F.col("__p.end.tokens"), F.array(text)).otherwise(F.array().cast("array<string>")))
-    return out.union(twins.withColumn("__text", F.explode(times)).select(*columns(F.col("__text"))))
+    times = F.concat(F.array_repeat(t, F.col("__p.full").cast("int")), F.when(F.col("__p.cut") < F.col("__p.end.tokens"), F.array(text)).otherwise(F.array().cast("array<string>")))
+    return out.union(twins.select("row", F.explode(times).alias("text")).select(*columns))

@@ -267,14 +267,15 @@ def keep_first(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str) -
     # by the row's own key, as a group may hold a third of all rows
     rows = rows.join(best, F.col("i").eqNullSafe(F.col("bi")) & (F.col("node") == F.col("bn")), "left")
     rows = materialize(rows.select(F.col("i").alias("__i"), F.col("node").alias("__n"), "n", F.col("bn").isNotNull().alias("stays")))
-    own = docs.withColumn("__node", node)
-    this = (F.col("__node") == F.col("__n")) & F.col(f"`{id_col}`").eqNullSafe(F.col("__i"))
+    # the row's own columns travel as one, so that none can be mistaken for another
+    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(f"`{id_col}`").alias("id"), node.alias("node"))
+    this = (F.col("node") == F.col("__n")) & F.col("id").eqNullSafe(F.col("__i"))
     keys = ["__i", "__n"]
     kept = own.join(bounded_broadcast(rows.where("not stays or n > 1").select(*keys)), this, "left_anti")
     repeated = rows.where("stays and n > 1").select(*keys)
     if not repeated.isEmpty():
-        kept = kept.union(own.join(bounded_broadcast(repeated), this, "left_semi").dropDuplicates([id_col, "__node"]))
-    return kept.drop("__node")
+        kept = kept.union(own.join(bounded_broadcast(repeated), this, "left_semi").dropDuplicates(["id", "node"]))
+    return kept.select("row.*")
 
 
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
