@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from ..session import table
 from .decontaminate import benchmark_hits
+from .divergence import divergence_audit
 from .embeddings import embedding_groups
+from .fim import fill_in_middle, restored
 from .hilbert import shard_documents
 from .lines import line_dedup
 from .mixing import mix
@@ -109,6 +111,16 @@ def op10_line_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(table(spark, sf_dir, "documents"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = fill_in_middle(table(spark, sf_dir, "documents"), seed=1)
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    return cut.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(restored(F.col("output"), F.col("form"))).alias("restored_sha256"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence_audit(table(spark, sf_dir, "documents"), min_docs=3, top=200)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_revisits": op1_warc_revisits,
     "op2_rule_quality": op2_rule_quality,
@@ -120,4 +132,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_budget_mixing": op8_budget_mixing,
     "op9_url_filter": op9_url_filter,
     "op10_line_winnowing": op10_line_winnowing,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op13_source_divergence": op13_source_divergence,
 }

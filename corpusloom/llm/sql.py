@@ -126,6 +126,49 @@ WITH doc AS (
 SELECT doc_id, coalesce(len(ls), 0)::BIGINT AS n_lines, coalesce(len(del), 0)::BIGINT AS n_removed,
        CASE WHEN del IS NULL THEN text ELSE coalesce(array_to_string([ls[p + 1] FOR p IN range(len(ls)) IF NOT list_contains(del, p)], chr(10)), '') END AS text
 FROM doc LEFT JOIN cut USING (doc_id)
+""",
+    "op11_fill_in_middle": """
+WITH doc AS (
+    SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents
+), drawn AS (
+    SELECT *, ('0x' || substr(h, 1, 8))::BIGINT AS h1, ('0x' || substr(h, 9, 8))::BIGINT AS h2, ('0x' || substr(h, 17, 8))::BIGINT AS h3, ('0x' || substr(h, 25, 8))::BIGINT AS h4 FROM doc
+), cut AS (
+    SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+           CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM drawn
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || substr(t, 1, a) || '<S>' || substr(t, b + 1) || '<M>' || substr(t, a + 1, b - a)
+              ELSE '<S>' || substr(t, b + 1) || '<P>' || substr(t, 1, a) || '<M>' || substr(t, a + 1, b - a) END) AS output_sha256, sha256(t) AS restored_sha256
+FROM cut
+""",
+    "op13_source_divergence": r"""
+WITH doc AS (
+    SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+           regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents
+), occ AS (
+    SELECT r, lang, source, unnest(ts) AS term FROM doc
+), kept AS (
+    SELECT lang, term FROM occ GROUP BY lang, term HAVING count(DISTINCT r) >= 3
+), counted AS (
+    SELECT lang, source, term, count(*) AS c FROM occ GROUP BY ALL
+), cell AS (
+    SELECT g.lang, g.source, k.term, coalesce(c.c, 0)::HUGEINT AS c FROM (SELECT DISTINCT lang, source FROM doc) g JOIN kept k USING (lang) LEFT JOIN counted c USING (lang, source, term)
+), size AS (
+    SELECT lang, count(*) AS v FROM kept GROUP BY lang
+), own AS (
+    SELECT lang, source, term, c, 1 + (1000000000::HUGEINT * (c + 1)) // (n + v) AS p FROM cell JOIN (SELECT lang, source, sum(c) AS n FROM cell GROUP BY ALL) USING (lang, source) JOIN size USING (lang)
+), whole AS (
+    SELECT lang, term, 1 + (1000000000::HUGEINT * (c + 1)) // (n + v) AS q FROM (SELECT lang, term, sum(c) AS c FROM cell GROUP BY ALL) JOIN (SELECT lang, sum(c) AS n FROM cell GROUP BY ALL) USING (lang) JOIN size USING (lang)
+), other AS (
+    SELECT a.lang, a.source, b.source AS item FROM (SELECT DISTINCT lang, source FROM doc) a JOIN (SELECT DISTINCT lang, source FROM doc) b ON a.lang = b.lang AND a.source <> b.source
+), summed AS (
+    SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM own a JOIN own b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), found AS (
+    SELECT lang, source, 'pair' AS part, item, coalesce(value, 0)::BIGINT AS value FROM other LEFT JOIN summed USING (lang, source, item)
+    UNION ALL
+    SELECT lang, source, 'term', term, ((p - q) * (p - q) // q)::BIGINT FROM own JOIN whole USING (lang, term) WHERE c > 0 AND p > q
+)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM found) WHERE part = 'pair' OR rank <= 200
 """,
     "op6_embedding_dedup": """
 WITH RECURSIVE v AS (
