@@ -16,6 +16,7 @@ from .hilbert import shard_documents
 from .lines import line_dedup
 from .mixing import mix
 from .quality import score_quality
+from .repeats import remove_repeats
 from .simhash import simhash_groups
 from .sql import ORACLES
 from .toxicity import score_toxicity
@@ -117,6 +118,12 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(restored(F.col("output"), F.col("form"))).alias("restored_sha256"))
 
 
+def op12_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = remove_repeats(table(spark, sf_dir, "documents"), length=200)
+    removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
+    return cut.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence_audit(table(spark, sf_dir, "documents"), min_docs=3, top=200)
 
@@ -133,5 +140,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_url_filter": op9_url_filter,
     "op10_line_winnowing": op10_line_winnowing,
     "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_suffix_repeats": op12_suffix_repeats,
     "op13_source_divergence": op13_source_divergence,
 }
