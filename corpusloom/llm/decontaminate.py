@@ -30,7 +30,7 @@ from .arrow_text import text_slices, utf8
 SIMILARITY = 0.8
 MIN_WORDS = 5
 SAMPLED = 2
-#: Wanted share of found items with as many edits as are allowed, and the share of them that one repetition of ``SAMPLED`` steps finds, as measured on
+#: Wanted share of found items with as many edits as are allowed, and the share of them that one repetition of ``SAMPLED`` steps finds at ``SIMILARITY``, as measured on
 #: made-up documents with a fifth of the words edited (0.998 by 16 repetitions).
 RECALL = 0.999995
 FOUND_BY_ONE = 0.32
@@ -41,9 +41,18 @@ SCAN_BYTES = 12 << 20
 #: Steps are sampled below this multiple of the item's words, where the walk is still inside the item.
 REACH = 1.5
 
+
+def found_share(similarity: float, sampled: int) -> float:
+    """The share of items with as many edits as the similarity allows that one repetition finds.
+
+    All sampled steps must agree, and the agreement of one falls exponentially with the share of edited words: the measured share, to the power of edits and steps.
+    """
+    return FOUND_BY_ONE ** ((1 - similarity) * sampled / ((1 - SIMILARITY) * SAMPLED))
+
+
 def repetitions_for(recall: float, found_by_one: float = FOUND_BY_ONE) -> int:
     """How many repetitions reach the recall, each with a walk of its own."""
-    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - found_by_one)))
+    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - found_by_one))) if found_by_one < 1 else 1
 
 
 REPETITIONS = repetitions_for(RECALL)
@@ -232,15 +241,19 @@ def item_blocks(benchmark: DataFrame, item_id_col: str, item_text_col: str, bloc
 
 def benchmark_hits(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text",
-    similarity: float = SIMILARITY, min_words: int = MIN_WORDS, repetitions: int = REPETITIONS, sampled: int = SAMPLED, seed: int = SEED, block_items: int = BLOCK_ITEMS,
+    similarity: float = SIMILARITY, min_words: int = MIN_WORDS, repetitions: int | None = None, sampled: int = SAMPLED, seed: int = SEED, block_items: int = BLOCK_ITEMS,
 ) -> DataFrame:
     """``(id_col, item_id, n_words, distance, similarity, word_end)``: each item that each row of ``docs`` holds, at its best place.
 
     Defined cases: null and empty texts hold nothing; items that are null or shorter than ``min_words`` match
     nothing, as chance would match them everywhere; items of equal words are all reported; repeated rows are
     reported each; null ids are carried; an empty benchmark or table gives an empty result; other columns are
-    ignored. A block holds ``block_items`` items at most; for each block the documents are read once more.
+    ignored; the result's columns after the id are named as above, whatever the id is called, unless it has one of these names: then it must be renamed first (ValueError).
+    A block holds ``block_items`` items at most; for each block the documents are read once more. Without ``repetitions`` there are as many as ``RECALL`` needs.
     """
+    if id_col in ("item_id", "n_words", "distance", "similarity", "word_end"):
+        raise ValueError(f"the id column {id_col!r} has the name of a result")
+    repetitions = repetitions or repetitions_for(RECALL, found_share(similarity, sampled))
     kind = docs.schema[id_col].dataType.simpleString()
     item_kind = benchmark.schema[item_id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, item_id {item_kind}, n_words int, distance int, similarity double, word_end int"
@@ -281,7 +294,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
 def _holds_item(block: list[tuple[int, bytes]], similarity: float, min_words: int):
     @F.arrow_udf("boolean")
     def holds(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        index = ItemIndex(block, similarity, min_words, REPETITIONS, SAMPLED, SEED)
+        index = ItemIndex(block, similarity, min_words, repetitions_for(RECALL, found_share(similarity, SAMPLED)), SAMPLED, SEED)
         for column in texts:
             found = np.zeros(len(column), bool)
             if index.words:

@@ -159,10 +159,14 @@ def write_shards(docs: DataFrame, placed: DataFrame, path: str, id_col: str = "d
     Defined cases: ids are unique and not null, as rows find their place by them: rows without a place are left out, an id that is repeated
     takes each of its places; columns of ``docs`` named as a place's are replaced; an empty table writes no files.
     """
-    ends = placed.groupBy("shard").agg((F.max("slot") + 1).alias("__n"))  # a row per shard
-    places = placed.select(id_col, "shard", "slot", "hilbert").join(F.broadcast(ends), "shard").withColumn("__file", F.floor(F.col("slot") * files_per_shard / F.col("__n"))).drop("__n")
-    rows = docs.drop("shard", "slot", "hilbert").join(places, id_col).repartitionByRange("shard", "__file").sortWithinPartitions("shard", "slot")
-    rows.drop("__file").write.partitionBy("shard").parquet(path)
+    place = ["shard", "slot", "hilbert"]
+    kept = [c for c in docs.columns if c not in place]
+    ends = placed.groupBy("shard").agg((F.max("slot") + 1).alias("n"))  # a row per shard
+    places = placed.select(F.col(f"`{id_col}`").alias("id"), *place).join(F.broadcast(ends), "shard").withColumn("file", F.floor(F.col("slot") * files_per_shard / F.col("n")))
+    # a row's own columns travel as one, so that none can be mistaken for another
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.struct(*(F.col(f"`{c}`") for c in kept)).alias("row")).join(places, "id")
+    rows = rows.repartitionByRange("shard", "file").sortWithinPartitions("shard", "slot")
+    rows.select(*(F.col("row")[c].alias(c) for c in kept), *place).write.partitionBy("shard").parquet(path)
 
 
 def shard_ranges(docs: DataFrame, placed: DataFrame, columns: list[str], id_col: str = "doc_id") -> DataFrame:

@@ -131,14 +131,17 @@ def mix(
 def take_mixture(docs: DataFrame, mixture: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents of a mixture with all their columns, once for each time that they are taken, texts cut to ``tokens_taken``.
 
-    Rows equal in id and text are taken as often as the mixture takes them, with the other columns of one of them.
+    Defined cases: rows equal in id and text are taken as often as the mixture takes them, with the other columns of one of them; a null id
+    meets the null ids of the mixture; null texts are never taken; a mixture that takes nothing, or an empty table, gives an empty result; columns stay as they are, whatever their names.
     """
-    takes = mixture.groupBy(F.col(id_col).alias("__id"), F.col("text_hash").alias("__th")).agg(F.collect_list(F.struct("tokens", "tokens_taken")).alias("__take"))
-    keyed = docs.withColumn("__h", F.xxhash64(text_col))
-    same = F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__th"))
-    once = keyed.join(takes, same).dropDuplicates(["__id", "__th"]).withColumn("__one", F.explode("__take"))
-    text = F.when(F.col("__one.tokens_taken") < F.col("__one.tokens"), cut_tokens(F.col(text_col), F.col("__one.tokens_taken"))).otherwise(F.col(text_col))
-    return once.select(*(text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns))
+    takes = mixture.groupBy(F.col(f"`{id_col}`").alias("id"), F.col("text_hash").alias("hash")).agg(F.collect_list(F.struct("tokens", "tokens_taken")).alias("takes"))
+    # a row's own columns travel as one, so that none can be mistaken for another
+    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(f"`{id_col}`").alias("own"), F.xxhash64(f"`{text_col}`").alias("text_hash"))
+    same = F.col("own").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash"))
+    once = keyed.join(takes, same).dropDuplicates(["own", "text_hash"]).select("row", F.explode("takes").alias("take"))
+    t = F.col("row")[text_col]
+    text = F.when(F.col("take.tokens_taken") < F.col("take.tokens"), cut_tokens(t, F.col("take.tokens_taken"))).otherwise(t)
+    return once.select(*(text.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns))
 
 
 def mix_documents(

@@ -81,11 +81,16 @@ def _grow(x, cuts, g, h, rows, features, depth, path, rules, value):
                 _grow(x, cuts, g, h, part, features, depth - 1, (*path, (f, float(cuts[f][c]), above)), rules, value)
 
 
+def constant_model(y: np.ndarray) -> RuleModel:
+    """No rules; the share of label 1 as score, one half without rows."""
+    share = min(max(float(y.mean()) if len(y) else 0.5, 1e-6), 1 - 1e-6)
+    return RuleModel([], [], float(np.log(share / (1 - share))))
+
+
 def fit_rules(stats: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH, penalty: float = PENALTY, seed: int = SEED) -> RuleModel:
-    """The rule ensemble; with no rows or one class, no rules and the share of label 1 (one half without rows) as score."""
+    """The rule ensemble; with no rows, one class or too few rows for a split, no rules and the share of label 1 as score."""
     if not len(y) or y.min() == y.max():
-        share = min(max(float(y.mean()) if len(y) else 0.5, 1e-6), 1 - 1e-6)
-        return RuleModel([], [], float(np.log(share / (1 - share))))
+        return constant_model(y)
     rng = np.random.default_rng(seed)
     cuts = [np.unique(np.quantile(stats[:, f], np.linspace(0, 1, 65)[1:-1])) for f in range(stats.shape[1])]
     x = np.stack([np.searchsorted(c, stats[:, f], "left") for f, c in enumerate(cuts)], axis=1)
@@ -102,6 +107,8 @@ def fit_rules(stats: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int =
         rules += own
         z += 0.3 * np.clip(step, -4, 4)
     rules = list(dict.fromkeys(tuple(sorted(r)) for r in rules))
+    if not rules:
+        return constant_model(y)
     design = np.stack([holds(r, stats) for r in rules], axis=1).astype(np.float32)
     support = design.mean(axis=0)
     keep = np.flatnonzero((support > 0.0005) & (support < 0.9995))
@@ -123,12 +130,13 @@ def score_quality(
 
     Labels are learned from at most ``sample`` rows outside the held-out fold. Defined cases: null, empty and
     blank texts have all statistics zero and are scored like any other; rows that share an id are scored each; a null id
-    is held out; labels that are null, not 0 or 1, or of unknown ids are ignored; without labels of both classes the
-    score is the share of label 1 (one half without labels); an empty table gives an empty result; other columns are ignored.
+    is held out; labels that are null, not 0 or 1, or of unknown ids are ignored; without labels of both classes, or with too few for
+    a split (some 28), the score is the share of label 1 (one half without labels); an empty table gives an empty result; other columns are ignored.
     """
     stats = materialize(with_text_stats(docs, id_col, text_col))
     chosen = labelled_sample(labels, label_col, id_col, folds, fold, sample)
-    rows = stats.join(F.broadcast(chosen), F.col(id_col) == F.col("id")).orderBy(F.xxhash64("id"), *STATS).limit(sample).select("y", *STATS).toArrow()
+    known = stats.select(F.col(id_col).alias("labelled"), *STATS)
+    rows = known.join(F.broadcast(chosen), F.col("labelled") == F.col("id")).withColumn("id", F.col("labelled")).orderBy(F.xxhash64("id"), *STATS).limit(sample).select("y", *STATS).toArrow()
     matrix = np.stack([rows.column(s).to_numpy() for s in STATS], axis=1) if rows.num_rows else np.zeros((0, len(STATS)))
     model = fit_rules(matrix, rows.column("y").to_numpy().astype(float) if rows.num_rows else np.zeros(0), **fit)
     out = stats.select(id_col, held_out_flag(id_col, folds, fold).alias("held_out"), model.column().alias("score"))

@@ -115,7 +115,8 @@ def judge_urls(pages: DataFrame, entries: DataFrame, url_col: str = "url") -> Da
     hits = listed_hits(candidates, keys).where(F.when(F.col("ruled"), F.col("as_raw")).otherwise(F.col("as_canonical")))
     depth = F.struct("ruled", F.length("key"), F.col("action") == "block", "key", "action")
     best = hits.groupBy("u").agg(F.max(depth).alias("b"))
-    best = best.select(F.col("u").alias("__u"), F.when(F.col("b.ruled"), F.col("b.key")).alias("__rule"), F.col("b.action").alias("__action"))
+    best = best.select("u", F.when(F.col("b.ruled"), F.col("b.key")).alias("rule"), F.col("b.action").alias("action"))
     kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
-    joined = pages.select(*(F.col(f"`{c}`") for c in kept)).join(best, F.col(f"`{url_col}`") == F.col("__u"), "left")
-    return joined.select(*(F.col(f"`{c}`") for c in kept), url_host(url).alias("host"), url_path(url).alias("path"), F.col("__rule").alias("rule"), F.coalesce("__action", F.lit("allow")).alias("verdict"))
+    # a row's own columns travel as one, so that none can be mistaken for another
+    joined = pages.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("row"), url.alias("u")).join(best, "u", "left")
+    return joined.select(*(F.col("row")[c].alias(c) for c in kept), url_host(F.col("u")).alias("host"), url_path(F.col("u")).alias("path"), "rule", F.coalesce("action", F.lit("allow")).alias("verdict"))

@@ -66,14 +66,19 @@ def resolve_revisits(records: DataFrame, span_rows: int = SPAN_ROWS) -> DataFram
 
     Returns ``record_id, url, ts, response_id, response_ts, outcome, digest, headers``. Outcomes: ``resolved``;
     ``changed`` if the latest earlier response's validators differ or share none (its id is given, headers stay the revisit's);
-    ``missing`` without an earlier response. A column ``profile`` is optional: null and unknown ones are revisits that were not modified. Defined
+    ``missing`` without an earlier response. A column ``profile`` is optional: null and unknown ones are revisits that were not modified. Responses count
+    if they are full: without a Content-Range, and of status 200 where there is a column ``status``. Defined
     cases: earlier is strict; of responses at one time the greatest
     record_id counts; a null url or time resolves nothing; repeated revisits are resolved each; rows of other kinds and extra
     columns are ignored; names of headers match in any case.
     """
     fields = F.struct("ts", "record_id", "headers", "digest")
     profile = F.coalesce(F.col("profile").endswith(SAME_PAYLOAD), F.lit(False)) if "profile" in records.columns else F.lit(False)
-    events = records.where(F.col("kind").isin("response", "revisit")).select("record_id", "url", "ts", "kind", "headers", "digest", profile.alias("full"))
+    # only a full response can stand for a revisit: not a part of one, an error, or another word that nothing has changed
+    whole = header(F.col("headers"), "content-range").isNull()
+    whole = whole & (F.col("status") == 200) if "status" in records.columns else whole
+    chosen = (F.col("kind") == "revisit") | ((F.col("kind") == "response") & F.coalesce(whole, F.lit(False)))
+    events = records.where(chosen).select("record_id", "url", "ts", "kind", "headers", "digest", profile.alias("full"))
     usable = events.where("url is not null and ts is not null")
     is_response = F.col("kind") == "response"
     # of equal times revisits come first, so that only strictly earlier responses stand before them
@@ -109,9 +114,9 @@ def with_payload(resolved: DataFrame, records: DataFrame) -> DataFrame:
     record id the greatest payload counts, so no row is multiplied; repeated revisits stay; an empty table gives an empty result.
     """
     bodies = records.where("kind = 'response' and record_id is not null").groupBy(F.col("record_id").alias("response_id")).agg(F.max("payload").alias("payload"))
-    wanted = F.when(F.col("outcome") == "resolved", F.col("response_id"))
-    joined = resolved.drop("payload").withColumn("__wanted", wanted).join(bodies.withColumnRenamed("response_id", "__id"), F.col("__wanted") == F.col("__id"), "left")
-    return joined.drop("__wanted", "__id")
+    kept = [c for c in resolved.columns if c != "payload"]
+    rows = resolved.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("row"), F.when(F.col("outcome") == "resolved", F.col("response_id")).alias("response_id"))
+    return rows.join(bodies, "response_id", "left").select(*(F.col("row")[c].alias(c) for c in kept), "payload")
 
 
 def _fields(block: bytes) -> dict[str, str]:

@@ -206,3 +206,12 @@ def test_toxicity_scores_equal_weights_added_word_by_word(spark):
         if text:
             z += sum(w for w, p in zip(model.patterns, PATTERNS.values()) if p.search(text.encode()))
         assert got[i] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-9)
+
+
+@pytest.mark.parametrize("n", [2, 4, 10, 20, 30])
+@pytest.mark.parametrize("id_col", ["doc_id", "id"])
+def test_quality_from_few_labels(spark, n, id_col):
+    docs = spark.createDataFrame([(i, "some words here" if i % 2 else "x") for i in range(3 * n)], f"{id_col} bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(n)], f"{id_col} bigint, quality int")
+    got = score_quality(docs, labels, id_col=id_col, trees=3).collect()
+    assert len(got) == 3 * n and all(0 < r["score"] < 1 for r in got)

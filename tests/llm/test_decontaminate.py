@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from corpusloom.llm.decontaminate import FOUND_BY_ONE, RECALL, REPETITIONS, SAMPLED, SEED, ItemIndex, benchmark_hits, best_match, decontaminate, repetitions_for, words_of
+from corpusloom.llm.decontaminate import FOUND_BY_ONE, RECALL, REPETITIONS, SAMPLED, SEED, ItemIndex, benchmark_hits, best_match, decontaminate, found_share, repetitions_for, words_of
 
 
 def distance(pattern, text):
@@ -113,3 +113,19 @@ def test_repetitions_reach_the_recall_that_they_are_made_for():
         index = ItemIndex(list(enumerate(t.encode() for t in items)), 0.8, 5, repetitions, SAMPLED, SEED)
         found = {r for r, j, _, _ in index.matches([d.encode() for d in docs]) if r == j}
         assert len(found) / len(docs) >= 1 - (1 - FOUND_BY_ONE) ** repetitions - 0.08
+
+
+@pytest.mark.parametrize("similarity, sampled", [(0.8, 4), (0.7, 2), (0.9, 5), (0.6, 2)])
+def test_repetitions_follow_from_similarity_and_sampled_steps(similarity, sampled):
+    rnd = random.Random(sampled)
+    items = [" ".join(f"v{rnd.randrange(700)}" for _ in range(rnd.choice([20, 30]))) for _ in range(60)]
+    docs = [" ".join([f"x{rnd.randrange(700)}" for _ in range(30)] + edited(t.split(), int(len(t.split()) * (1 - similarity) + 1e-9), rnd) + ["end"] * 5) for t in items]
+    index = ItemIndex(list(enumerate(t.encode() for t in items)), similarity, 5, repetitions_for(0.9999, found_share(similarity, sampled)), sampled, SEED)
+    found = {r for r, j, _, _ in index.matches([d.encode() for d in docs]) if r == j}
+    assert len(found) >= 59
+
+
+def test_an_id_named_as_a_result_is_refused(spark):
+    docs = spark.createDataFrame([(1, "a b c d e")], "item_id bigint, text string")
+    with pytest.raises(ValueError):
+        benchmark_hits(docs, docs, id_col="item_id")

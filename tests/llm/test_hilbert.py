@@ -139,3 +139,11 @@ def test_a_source_or_a_length_skips_half_of_the_shards(spark):
     for column, values in (("source", sources), ("bytes", lengths)):
         met = [sum(r[f"min_{column}"] <= v <= r[f"max_{column}"] for r in ranges) for v in values]
         assert sum(met) / len(met) <= 5 and min(met) <= 4
+
+
+def test_shards_are_written_with_columns_of_any_name(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"text {i}", "f", "n", "r") for i in range(40)], "doc_id bigint, text string, __file string, __n string, row string")
+    placed = shard_documents(docs, shards=4)
+    write_shards(docs, placed, str(tmp_path / "out"))
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert set(got.columns) == {*docs.columns, "shard", "slot", "hilbert"} and got.count() == 40 and {r["__n"] for r in got.collect()} == {"n"}

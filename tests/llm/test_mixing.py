@@ -95,3 +95,12 @@ def test_the_pipeline_takes_unlisted_languages(spark):
     rows = [(i, "one two three four five", ("en", "it", None)[i % 3], "s0") for i in range(60)]
     got = corpus_pipeline.mix_sources(spark, spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string"), "").collect()
     assert {r["lang"] for r in got} == {"en", "it", None} and len(got) == 48
+
+
+def test_taken_documents_keep_columns_of_any_name(spark):
+    names = ["doc_id", "text", "__id", "__th", "__take", "__one", "__h", "id", "hash", "takes", "own", "row"]
+    docs = spark.createDataFrame([(i, "a b c d", *"0123456789") for i in range(4)] + [(None, "w x", *"9876543210"), (7, None, *"9876543210")], "doc_id bigint, text string, " + ", ".join(f"{n} string" for n in names[2:]))
+    mixture = mix(docs, {"lang": F.lit("en")}, [F.lit(1.0)], 1.0)
+    got = take_mixture(docs, mixture)
+    assert got.columns == names and sorted(str(r["doc_id"]) for r in got.collect()) == ["0", "1", "2", "3", "None"]
+    assert take_mixture(docs, mixture.limit(0)).collect() == [] and take_mixture(docs.limit(0), mixture).collect() == []

@@ -89,3 +89,12 @@ def test_the_sql_agrees_on_ports(spark, tmp_path):
     duckdb.sql(f"CREATE OR REPLACE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
     expected = sorted(duckdb.sql(queries.ORACLES["op9_url_filter"]).fetchall(), key=str)
     assert sorted((tuple(r) for r in queries.QUERIES["op9_url_filter"](spark, str(tmp_path)).collect()), key=str) == expected
+
+
+def test_columns_of_any_name_stay(spark):
+    names = ["url", "__u", "__rule", "__action", "u", "b", "key", "row", "action", "a.b"]
+    pages = spark.createDataFrame([("http://a.com/x", *"123456789"), (None, *"abcdefghi")], ", ".join(f"`{n}` string" for n in names))
+    entries = spark.createDataFrame([("a.com", "/x", "block", True)], "host string, path string, action string, ruled boolean")
+    got = judge_urls(pages, entries)
+    assert got.columns == [*names, "host", "path", "rule", "verdict"]
+    assert {tuple(r) for r in got.collect()} == {("http://a.com/x", *"123456789", "a.com", "/x", "a.com/x", "block"), (None, *"abcdefghi", "", "", None, "allow")}

@@ -114,3 +114,21 @@ def test_many_records_leave_in_batches(spark, tmp_path, monkeypatch):
     (tmp_path / "a.warc").write_bytes(b"".join(record("response", f"https://a.com/{i}", b"HTTP/1.1 200 OK", b"x" * i) for i in range(2500)))
     got = read_warc(spark, str(tmp_path)).selectExpr("count(*)", "sum(length(payload))", "count(distinct url)").first()
     assert tuple(got) == (2500, 2500 * 2499 // 2, 2500)
+
+
+def test_only_full_responses_stand_for_a_revisit(spark):
+    tag = {"ETag": '"t"'}
+    rows = [("a", "u", 1, "response", tag, "d1", 200), ("b", "u", 2, "response", tag, "d2", 206), ("c", "u", 3, "response", tag, "d3", 304), ("d", "u", 4, "response", tag, "d4", 500),
+            ("e", "u", 5, "response", {**tag, "content-range": "bytes 0-1/9"}, "d5", 200), ("f", "u", 6, "response", tag, "d6", None), ("r", "u", 9, "revisit", tag, None, 304)]
+    records = spark.createDataFrame(rows, "record_id string, url string, ts long, kind string, headers map<string,string>, digest string, status int")
+    got = resolve_revisits(records).first()
+    assert (got["response_id"], got["outcome"], got["digest"]) == ("a", "resolved", "d1")
+    assert resolve_revisits(records.drop("status")).first()["response_id"] == "f"
+
+
+def test_payloads_meet_columns_of_any_name(spark):
+    resolved = spark.createDataFrame([("r", "a", "resolved", "x", "y", "z"), ("s", "a", "changed", "x", "y", "z")], "record_id string, response_id string, outcome string, __id string, __wanted string, row string")
+    records = spark.createDataFrame([("a", "response", bytearray(b"body"))], "record_id string, kind string, payload binary")
+    got = with_payload(resolved, records)
+    assert got.columns == [*resolved.columns, "payload"]
+    assert {(r["record_id"], r["__id"], r["__wanted"], r["payload"] and bytes(r["payload"])) for r in got.collect()} == {("r", "x", "y", b"body"), ("s", "x", "y", None)}
