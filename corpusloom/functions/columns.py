@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.quantiles import exact_quantiles
+
 #: Label columns by priority.
 LABELS = ["included", "label_included", "label", "relevant"]
 PREFIX = "https://openalex.org/"
@@ -67,7 +69,8 @@ def clean_with_statistics(df: DataFrame, column: str) -> DataFrame:
     """Missing values become the finite median, infinities the finite extremes."""
     c = F.col(column)
     good = F.when(~F.isnan(c) & (F.abs(c) != float("inf")), c)
-    stats = df.agg(F.percentile(good, 0.5).alias("__m"), F.max(good).alias("__hi"), F.min(good).alias("__lo"))
+    ends = df.agg(F.max(good).alias("__hi"), F.min(good).alias("__lo"))
+    stats = ends.join(exact_quantiles(df, good, [0.5]).select(F.get("q", F.lit(0)).alias("__m")), how="left")  # one row, and one or none
     cleaned = F.when(c.isNull() | F.isnan(c), F.col("__m")).when(c == float("inf"), F.col("__hi")).when(c == float("-inf"), F.col("__lo")).otherwise(c)
     return df.crossJoin(F.broadcast(stats)).withColumn(column, cleaned).drop("__m", "__hi", "__lo")  # one row
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import performance_band
+from ..plans.quantiles import exact_quantiles
 from .scores import ordinal_ranks, percentiles, tie_ranks, to_long
 
 #: Columns of a ranked result after rank, document_id and outlier_score.
@@ -117,7 +118,8 @@ def best_threshold(sweep: DataFrame) -> DataFrame:
 
 def outlier_metrics(scores: DataFrame, score: str, label: str, contamination: float = 0.1) -> DataFrame:
     """Metrics at the score that leaves a share ``contamination`` above it."""
-    cut = scores.agg(F.percentile(score, 1 - contamination)).first()[0]
+    found = exact_quantiles(scores, F.col(score), [1 - contamination]).first()
+    cut = found["q"][0] if found else None
     wide = threshold_metrics(scores, score, label, float(cut or 0.0))
     return wide.withColumn("threshold", F.lit(cut)).withColumn("predicted", F.col("tp") + F.col("fp"))
 
@@ -125,8 +127,9 @@ def outlier_metrics(scores: DataFrame, score: str, label: str, contamination: fl
 def score_distribution(scores: DataFrame, score: str, label: str) -> DataFrame:
     """Per class: count, moments, quantiles; difference of means and share of other scores above the relevant mean."""
     s = F.col(score)
-    quantiles = F.percentile(s, F.array(F.lit(0.5), F.lit(0.75), F.lit(0.9)))
-    rows = scores.groupBy(F.col(label).alias("label")).agg(F.count("*").alias("n"), F.avg(s).alias("mean"), F.stddev_pop(s).alias("std"), F.min(s).alias("min"), F.max(s).alias("max"), quantiles.alias("q"))
+    rows = scores.groupBy(F.col(label).alias("label")).agg(F.count("*").alias("n"), F.avg(s).alias("mean"), F.stddev_pop(s).alias("std"), F.min(s).alias("min"), F.max(s).alias("max"))
+    quantiles = exact_quantiles(scores, s, [0.5, 0.75, 0.9], F.col(label)).select("group", "q")
+    rows = rows.join(F.broadcast(quantiles), F.col("label").eqNullSafe(F.col("group")), "left")  # a row per class
     means = scores.agg(F.avg(F.when(F.col(label) == 1, s)).alias("m1"), F.avg(F.when(F.col(label) != 1, s)).alias("m0"))
     above = scores.crossJoin(F.broadcast(means)).agg((F.count_if((F.col(label) != 1) & (s > F.col("m1"))) / F.nullif(F.count_if(F.col(label) != 1), F.lit(0))).alias("overlap_ratio"), F.first(F.col("m1") - F.col("m0")).alias("mean_difference"))
     return rows.crossJoin(F.broadcast(above)).select("label", "n", "mean", "std", "min", "max", F.get("q", F.lit(0)).alias("median"), F.get("q", F.lit(1)).alias("p75"), F.get("q", F.lit(2)).alias("p90"), "mean_difference", "overlap_ratio")

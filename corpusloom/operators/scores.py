@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import correlation, finite_or_zero
 from ..plans.order import with_group_position
+from ..plans.quantiles import exact_quantiles
 
 TINY = 1e-8
 #: Weights by method name; methods without one weigh one part of the number of methods.
@@ -95,10 +96,14 @@ def quantile_transform(long: DataFrame, quantiles: int = 1000) -> DataFrame:
         first, last = F.col("n") - F.col("r_max"), F.col("n") - F.col("r_min")
         value = F.when(first == 0, F.lit(0.0)).when(last == F.col("n") - 1, F.lit(1.0)).otherwise((first + last) / 2 / F.greatest(F.col("n") - 1, F.lit(1)))
         parts.append(ranked.withColumn("value", value).select(*long.columns, "value"))
-    for method in (m for m, n in counts.items() if n > quantiles):
-        own = long.where(F.col("method") == method)
-        grid = own.agg(F.percentile("score", F.array(*(F.lit(i / (k - 1)) for i in range(k)))).alias("g"))
-        wide = own.crossJoin(F.broadcast(grid)).withColumn("below", F.expr("size(filter(g, x -> x < score))")).withColumn("upto", F.expr("size(filter(g, x -> x <= score))"))
+    large = [m for m, n in counts.items() if n > quantiles]
+    if large:
+        own = long.where(F.col("method").isin(*large))
+        grid = exact_quantiles(own, F.col("score"), [i / (k - 1) for i in range(k)], F.col("method")).select(F.col("group").alias("method"), F.col("q").alias("g"))
+        steps = F.array(*(F.lit(1 << i) for i in reversed(range(k.bit_length()))))
+        # bisection: how many of the grid lie below a score, or at most at it
+        place = lambda less: F.aggregate(steps, F.lit(0), lambda at, step: at + F.when(less(F.get("g", at + step - 1), F.col("score")), step).otherwise(0))
+        wide = own.join(F.broadcast(grid), "method").withColumn("below", place(lambda a, b: a < b)).withColumn("upto", place(lambda a, b: a <= b))  # a row per method
         left, right = F.col("below") - 1, F.col("upto")
         tied = F.col("upto") > F.col("below")
         low, high = F.get("g", left), F.get("g", right)
