@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import dot, unit
-from ..plans.materialize import materialize
+from ..plans.arcs import Arcs
+from ..plans.materialize import materialize, observed
 from .knn import block_pairs, matrix
+from .paths import reversed_edges
 
 #: Feature columns in their fixed order.
 FEATURES = [
@@ -74,11 +76,11 @@ def distance_to_relevant(papers: DataFrame, nodes: DataFrame, edges: DataFrame,
     paper can leave itself out. A source reaches a node again only with a greater distance, so rounds end at the graph's depth.
     """
     sources = papers.where(F.col(relevance_col) == 1).select("id").join(nodes.select("id"), "id", "left_semi").distinct()
-    back = materialize(edges.select(F.col("dst").alias("id"), F.col("src").alias("to")).distinct())
-    seen = materialize(sources.select("id", F.col("id").alias("source"), F.lit(0).alias("d")))
-    frontier = seen
+    back = Arcs(reversed_edges(edges))
+    levels = [materialize(sources.select("id", F.col("id").alias("source"), F.lit(0).alias("d")))]
     for _ in range(max_rounds):
-        step = frontier.join(back, "id").select(F.col("to").alias("id"), "source", (F.col("d") + 1).alias("d")).distinct()
+        seen = reduce(DataFrame.union, levels)
+        step = back.along(levels[-1], "id", "source", "d").select(F.col("dst").alias("id"), "source", (F.col("d") + 1).alias("d")).distinct()
         step = step.join(seen.select("id", "source"), ["id", "source"], "left_anti")
         full = seen.groupBy("id").agg(F.count("*").alias("had"))
         step = step.join(full, "id", "left").where(F.coalesce("had", F.lit(0)) < 2)
@@ -86,13 +88,13 @@ def distance_to_relevant(papers: DataFrame, nodes: DataFrame, edges: DataFrame,
         two = step.groupBy("id", "d", F.coalesce("had", F.lit(0)).alias("had")).agg(F.min("source").alias("s1"), F.max("source").alias("z"), F.count("*").alias("n"))
         second = step.join(two.select("id", "s1"), "id").where("source > s1").groupBy("id").agg(F.min("source").alias("s2"))
         new = two.join(second, "id", "left").select("id", "d", F.explode(F.when((F.col("had") == 0) & F.col("s2").isNotNull(), F.array("s1", "s2")).otherwise(F.array("s1"))).alias("source"))
-        frontier = materialize(new.select("id", "source", "d"))
-        if frontier.isEmpty():
+        frontier, found = observed(new.select("id", "source", "d"), n=F.count("*"))
+        if not found["n"]:
             break
-        seen = materialize(seen.union(frontier))
+        levels.append(frontier)
     else:
         raise RuntimeError("breadth-first search did not end")
-    near = seen.where("id <> source").groupBy("id").agg(F.min("d").alias("d"))
+    near = reduce(DataFrame.union, levels).where("id <> source").groupBy("id").agg(F.min("d").alias("d"))
     return papers.select("id").join(near, "id", "left").select("id", F.coalesce(F.col("d").cast("double"), F.lit(UNREACHABLE)).alias("min_distance_to_relevant"))
 
 

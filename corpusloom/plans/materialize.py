@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 1_000_000
 
 _written: dict[str, list[str]] = {}
+_tables: dict[str, list[str]] = {}
 
 
 def checkpoint_root(spark: SparkSession) -> str:
@@ -40,6 +41,20 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` written once to the shared folder in buckets of its keys, one file each: joins on all keys read them without a shuffle.
+
+    There are as many buckets as shuffle partitions, so that the other side of a join alone is dealt anew.
+    """
+    spark = df.sparkSession
+    n, name = int(spark.conf.get("spark.sql.shuffle.partitions")), f"corpusloom_{uuid.uuid4().hex}"
+    path = f"{checkpoint_root(spark)}/{name}"
+    df.repartition(n, *keys).write.bucketBy(n, *keys).option("path", path).format("parquet").saveAsTable(name)
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    _tables.setdefault(spark.sparkContext.applicationId, []).append(name)
+    return spark.table(name)
+
+
 def observed(df: DataFrame, **measures: Column) -> tuple[DataFrame, dict]:
     """``df`` materialized, and the aggregates ``measures`` of its rows, taken while they are written."""
     seen = Observation()
@@ -55,6 +70,8 @@ def bounded_broadcast(narrow: DataFrame, most: int = BROADCAST_ROWS) -> DataFram
 def release(spark: SparkSession) -> int:
     """Delete what this application has materialized; call it when results are written."""
     jvm, paths = spark.sparkContext._jvm, _written.pop(spark.sparkContext.applicationId, [])
+    for name in _tables.pop(spark.sparkContext.applicationId, []):
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
     for path in paths:
         target = jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)

@@ -59,8 +59,10 @@ def test_paths(spark):
     assert column(centrality.closeness(nodes, edges), "closeness") == pytest.approx({1: 0, 2: 1 / 4, 3: 2 / 3 * 2 / 4, 4: 3 / 6 * 3 / 4, 9: 0})
     assert column(centrality.closeness(nodes, edges, max_edges=0), "closeness") == pytest.approx(column(centrality.closeness(nodes, edges), "closeness"))
     assert column(centrality.betweenness(nodes, edges), "betweenness") == pytest.approx({1: 0, 2: 2 / 12, 3: 2 / 12, 4: 0, 9: 0})
-    with pytest.raises(ValueError):
-        centrality.betweenness(nodes, edges, max_edges=1)
+    assert column(centrality.betweenness(nodes, edges, max_edges=1), "betweenness") == pytest.approx({1: 0, 2: 2 / 12, 3: 2 / 12, 4: 0, 9: 0})
+    for refused in (centrality.betweenness, centrality.closeness):
+        with pytest.raises(ValueError):
+            refused(nodes, edges, max_edges=1, max_pairs=24)
 
 
 def test_ranks(spark):
