@@ -4,15 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import dot, unit
 from ..plans.arcs import Arcs
 from ..plans.materialize import materialize, observed
-from .knn import block_pairs, matrix
+from .knn import greatest_cosine
 from .paths import reversed_edges
 
 #: Feature columns in their fixed order.
@@ -121,26 +119,6 @@ def semantic_features(papers: DataFrame, embeddings: DataFrame, relevance_col: s
     return wide.select("id", F.coalesce("mean", F.lit(0.0)).alias("semantic_similarity_to_relevant"), F.coalesce(1 - F.col("mean"), F.lit(1.0)).alias("semantic_isolation_score"), F.coalesce("best", F.lit(0.0)).alias("max_semantic_similarity"))
 
 
-def greatest_cosine(units: DataFrame, queries: DataFrame, block: int = 512) -> DataFrame:
-    """``id, best``: the greatest dot product of each unit vector with any other of ``queries``; both in blocks."""
-    pairs = block_pairs(units, queries, block)
-
-    def kernel(batches):
-        for batch in batches:
-            ids, best = [], []
-            for i in range(batch.num_rows):
-                a, b = batch.column("a")[i], batch.column("b")[i]
-                ia, ib = (np.asarray(x["ids"].values) for x in (a, b))
-                sims = matrix(a) @ matrix(b).T
-                sims[ia[:, None] == ib[None, :]] = -np.inf
-                top = sims.max(axis=1)
-                ids.append(ia[np.isfinite(top)])
-                best.append(top[np.isfinite(top)])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(best))], ["id", "best"])
-
-    return pairs.mapInArrow(kernel, "id bigint, best double").groupBy("id").agg(F.max("best").alias("best"))
-
-
 def metadata_features(papers: DataFrame) -> DataFrame:
     """``publication_year`` (0 without a column) and ``title_length``: code points, 3 for null, 0 without a column."""
     year = F.coalesce(F.col("year").cast("double"), F.lit(0.0)) if "year" in papers.columns else F.lit(0.0)
