@@ -41,15 +41,15 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, *keys: str) -> DataFrame:
+def bucketed(df: DataFrame, *keys: str, dealt: bool = False) -> DataFrame:
     """``df`` written once to the shared folder in buckets of its keys, one file each: joins on all keys read them without a shuffle.
 
-    There are as many buckets as shuffle partitions, so that the other side of a join alone is dealt anew.
+    There are as many buckets as shuffle partitions, so that the other side of a join alone is dealt anew. dealt: an aggregation has put the rows of each bucket into one task.
     """
     spark = df.sparkSession
     n, name = int(spark.conf.get("spark.sql.shuffle.partitions")), f"corpusloom_{uuid.uuid4().hex}"
     path = f"{checkpoint_root(spark)}/{name}"
-    df.repartition(n, *keys).write.bucketBy(n, *keys).option("path", path).format("parquet").saveAsTable(name)
+    (df if dealt else df.repartition(n, *keys)).write.bucketBy(n, *keys).option("path", path).format("parquet").saveAsTable(name)
     _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     _tables.setdefault(spark.sparkContext.applicationId, []).append(name)
     return spark.table(name)
