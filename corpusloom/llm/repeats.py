@@ -2,7 +2,8 @@
 
 Equal strings must meet in one shard, and a shard must fit a task. Every string has an anchor: of its short grams the one with the least hash, the leftmost of equals. It follows
 from the string alone, so strings with different anchors differ, and strings without an anchor that occurs twice are unique. Neighbouring strings mostly share theirs: the strings of one
-anchor are a run, and the bytes that they cover, a segment, are what is sent to the shard of the anchor. Equal segments travel once, with their number.
+anchor are a run, and the bytes that they cover are a segment. Segments are counted by digest; where an anchor has different ones, each is sent to the shard of the anchor once, with
+its number. An anchor with one segment only has nothing to compare.
 
 Within a shard suffixes are ordered by induced sorting and compared by permuted common prefixes: the strings that begin at neighbouring places with a common prefix of the length are equal.
 
@@ -17,21 +18,21 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.materialize import materialize
+from ..plans.materialize import bucketed, materialize
 from .arrow_text import text_slices
 from .suffix_arrays import equal_prefixes
 
 #: Bytes of a string that part its grams at most; shorter strings have shorter grams.
-GRAM = 32
+GRAM = 64
 #: Strings that begin in one piece of a long text.
 PIECE = 1 << 18
 #: Bytes of a slice, whose positions are numbered by so many bits.
 SLICE, PLACE_BITS = 1 << 20, 22
 #: Segments that a key may have before its strings are parted, and bytes of a shard on average.
-CROWDED, SHARD = 2048, 1 << 20
+CROWDED, SHARD = 256, 1 << 20
 
 
 def gram_length(length: int) -> int:
@@ -109,30 +110,32 @@ def merged(first: np.ndarray, last: np.ndarray, length: int) -> tuple[np.ndarray
 
 
 def _anchored(pieces: DataFrame, length: int) -> DataFrame:
-    """``row, piece, at, first, last, key`` of every anchor of ``pieces(row, piece, t)``."""
+    """``doc, piece, at, first, last, key`` of every anchor of ``pieces(doc, piece, t)``."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch, "t", SLICE):
                 text, at, first, last, key = anchors(part.column("t").to_pylist(), length)
-                ids = [part.column(c).take(pa.array(text)) for c in ("row", "piece")]
-                yield pa.RecordBatch.from_arrays([*ids, *(pa.array(x.astype(np.int32)) for x in (at, first, last)), pa.array(key)], ["row", "piece", "at", "first", "last", "key"])
+                ids = [part.column(c).take(pa.array(text)) for c in ("doc", "piece")]
+                yield pa.RecordBatch.from_arrays([*ids, *(pa.array(x.astype(np.int32)) for x in (at, first, last)), pa.array(key)], ["doc", "piece", "at", "first", "last", "key"])
 
-    return pieces.mapInArrow(kernel, "row bigint, piece bigint, at int, first int, last int, key bigint")
+    return pieces.mapInArrow(kernel, "doc binary, piece bigint, at int, first int, last int, key bigint")
 
 
-def _collapsed(rows: DataFrame, owner: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Of segments: ``members(*owner, base, class)`` and one row for each class of equal ones, with their summed weight."""
-    place = F.concat_ws("-", "key", "at", "low").cast("binary")
-    digest = F.unhex(F.sha2(F.concat(place, F.lit(":").cast("binary"), "data"), 256))
-    rows = materialize(rows.withColumn("class", digest))
-    classes = rows.groupBy("class").agg(*(F.any_value(c).alias(c) for c in ("key", "at", "strings", "low", "high", "data")), F.sum("weight").alias("weight"))
-    return rows.select(*owner, "base", "class"), classes
+def _class(data: Column, key: Column, at: Column, low: Column) -> Column:
+    """A digest that equal segments of one key share; 16 bytes."""
+    place = F.concat_ws("-", key, at, low).cast("binary")
+    return F.unhex(F.substring(F.sha2(F.concat(place, F.lit(":").cast("binary"), data), 256), 1, 32))
+
+
+def _with_sizes(classes: DataFrame) -> DataFrame:
+    """``classes`` with ``n``, the number of classes of their key."""
+    classes = materialize(classes)
+    return materialize(classes.join(materialize(classes.groupBy("key").agg(F.count("*").alias("n"))), "key"))
 
 
 def _parted(classes: DataFrame, length: int) -> DataFrame:
     """Segments of crowded keys as segments of both halves of their range of offsets, as ``up, base`` and the columns of a segment."""
-    gram = gram_length(length)
     middle = F.floor((F.col("low") + F.col("high") + 1) / 2).cast("int")
     halves = F.explode(F.array(F.struct(F.col("low").alias("l"), (middle - 1).alias("h")), F.struct(middle.alias("l"), F.col("high").alias("h")))).alias("half")
     # a string that begins w bytes into the segment holds the anchor at offset at - w
@@ -159,51 +162,60 @@ def _sharded(classes: DataFrame, length: int) -> DataFrame:
     return dealt.groupBy("shard").applyInArrow(kernel, "class binary, first int, last int")
 
 
-def _runs(segments: DataFrame, length: int) -> DataFrame:
-    """``row, first, last``: runs of repeated strings of ``segments(row, base, key, at, strings, low, high, data, weight)``."""
-    levels, ready, owner = [], [], ["row"]
+def _runs(members: DataFrame, texts: DataFrame, length: int) -> DataFrame:
+    """``doc, first, last``: runs of repeated strings of ``members(doc, base, class, key, at, strings, weight)``, segments without their bytes.
+
+    The bytes of a segment are fetched where its key has another one, once for all that are equal; a key with one class has nothing to compare.
+    """
+    rep = F.min(F.struct("doc", "base")).alias("rep")
+    classes = members.groupBy("class").agg(rep, *(F.any_value(c).alias(c) for c in ("key", "at", "strings")), F.sum("weight").alias("weight"))
+    classes = _with_sizes(classes)
+    lone = [classes.where("n = 1 and weight > 1").select("class", F.lit(0).alias("first"), (F.col("strings") - 1).alias("last"))]
+    wanted = classes.where("n > 1").select(F.col("rep.doc").alias("doc"), F.col("rep.base").alias("base"), "class", "key", "at", "strings", "weight", "n")
+    data = F.substring(F.col("text").cast("binary"), (F.col("base") + 1).cast("int"), F.col("strings") + (length - 1))
+    held = texts.join(wanted, "doc").select("class", "key", "at", "strings", F.lit(0).alias("low"), F.lit(length - gram_length(length)).alias("high"), data.alias("data"), "weight", "n")
+    levels, mixed = [members.select("doc", "base", "class")], []
     while True:
-        members, classes = _collapsed(segments, owner)
-        levels.append(members)
-        seen = Observation()
-        sizes = classes.groupBy("key").agg(F.count("*").alias("n"), F.max(F.col("high") - F.col("low")).alias("wide"))
-        crowded = materialize(sizes.where((F.col("n") > CROWDED) & (F.col("wide") > 0)).select("key").observe(seen, F.count("*").alias("n")))
-        if not seen.get["n"]:
-            ready.append(classes)
+        held = materialize(held)
+        mixed.append(held.where(F.col("n") <= CROWDED).select("class", "key", "strings", "weight", "data"))
+        crowded = held.where(F.col("n") > CROWDED)
+        if crowded.isEmpty():
             break
-        ready.append(classes.join(crowded, "key", "left_anti"))
-        segments, owner = _parted(classes.join(crowded, "key", "left_semi"), length), ["up"]
-    shape = ["class", "key", "strings", "weight", "data"]
-    found = materialize(_sharded(materialize(reduce(DataFrame.union, (r.select(*shape) for r in ready))), length))
+        rows = _parted(crowded, length).withColumn("class", _class(F.col("data"), F.col("key"), F.col("at"), F.col("low")))
+        rows = materialize(rows)
+        levels.append(rows.select("up", "base", "class"))
+        classes = _with_sizes(rows.groupBy("class").agg(*(F.any_value(c).alias(c) for c in ("key", "at", "strings", "low", "high", "data")), F.sum("weight").alias("weight")))
+        lone.append(classes.where("n = 1 and weight > 1").select("class", F.lit(0).alias("first"), (F.col("strings") - 1).alias("last")))
+        held = classes.where("n > 1")
+    found = materialize(reduce(DataFrame.union, [_sharded(reduce(DataFrame.union, mixed), length), *lone]))
     place = lambda members, runs, to: members.join(runs, "class").select(to, (F.col("base") + F.col("first")).alias("first"), (F.col("base") + F.col("last")).alias("last"))
     runs = found
-    for members in levels[:0:-1]:
-        runs = found.unionByName(place(members, runs, "up").withColumnRenamed("up", "class"))
-    return place(levels[0], runs, "row")
+    for part in levels[:0:-1]:
+        runs = materialize(found.unionByName(place(part, runs, "up").withColumnRenamed("up", "class")))
+    return place(levels[0], runs, "doc")
 
 
 def _spans(texts: DataFrame, length: int) -> DataFrame:
-    """``key, spans`` of the texts that hold a repeated string."""
+    """``doc, spans`` of those of ``texts(doc, text, copies)`` that hold a repeated string."""
     start = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.octet_length("text") - F.lit(length)) / F.lit(PIECE)))).alias("piece")
-    pieces = texts.where(F.octet_length("text") >= length).select("row", start, F.col("text").cast("binary").alias("t"), F.col("copies").alias("weight"))
-    pieces = pieces.select("row", "piece", "weight", F.substring("t", (F.col("piece") * PIECE + 1).cast("int"), F.lit(PIECE + length - 1)).alias("t"))
-    found = materialize(_anchored(pieces.select("row", "piece", "t"), length))
-    often = found.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    listed = found.join(often, "key", "left_semi").groupBy("row", "piece").agg(F.collect_list(F.struct("key", "at", "first", "last")).alias("held"))  # those of one piece
-    cut = lambda x: F.struct(x["key"].alias("key"), (x["at"] - x["first"]).alias("at"), (x["last"] - x["first"] + 1).alias("strings"), x["first"].alias("first"), F.substring(F.col("t"), x["first"] + 1, x["last"] - x["first"] + length).alias("data"))
-    segments = pieces.join(listed, ["row", "piece"]).select("row", "piece", "weight", F.explode(F.transform("held", cut)).alias("s"))
-    segments = segments.select("row", (F.col("piece") * PIECE + F.col("s.first")).alias("base"), "s.key", "s.at", "s.strings", F.lit(0).alias("low"), F.lit(length - gram_length(length)).alias("high"), "s.data", "weight")
-    runs = _runs(segments, length).groupBy("row").agg(F.collect_list("first").alias("first"), F.collect_list("last").alias("last"))  # those of one text
+    piece = lambda p: F.substring(F.col("text").cast("binary"), (p * PIECE + 1).cast("int"), F.lit(PIECE + length - 1))
+    pieces = texts.where(F.octet_length("text") >= length).select("doc", "text", start).select("doc", "piece", piece(F.col("piece")).alias("t"))
+    found = materialize(_anchored(pieces, length))
+    often = materialize(found.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
+    listed = found.join(often, "key", "left_semi").groupBy("doc", "piece").agg(F.collect_list(F.struct("key", "at", "first", "last")).alias("held"))  # those of one piece
+    cut = lambda x: F.struct(x["key"].alias("key"), (x["at"] - x["first"]).alias("at"), (x["last"] - x["first"] + 1).alias("strings"), x["first"].alias("first"), _class(F.substring(F.col("t"), x["first"] + 1, x["last"] - x["first"] + length), x["key"], x["at"] - x["first"], F.lit(0)).alias("class"))
+    members = texts.join(listed, "doc").select("doc", "piece", "copies", piece(F.col("piece")).alias("t"), "held").select("doc", "piece", "copies", F.explode(F.transform("held", cut)).alias("s"))
+    members = materialize(members.select("doc", (F.col("piece") * PIECE + F.col("s.first")).alias("base"), "s.class", "s.key", "s.at", "s.strings", F.col("copies").alias("weight")))
+    runs = _runs(members, texts, length).groupBy("doc").agg(F.collect_list("first").alias("first"), F.collect_list("last").alias("last"))  # those of one text
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [merged(np.asarray(a.values), np.asarray(b.values), length) for a, b in zip(batch.column("first"), batch.column("last"))]
             sizes = np.cumsum([0, *(len(a) for a, _ in rows)]).astype(np.int32)
             ends = [pa.array(np.concatenate([np.zeros(0, np.int64), *x]).astype(np.int64)) for x in zip(*rows)] if rows else [pa.array([], pa.int64())] * 2
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.ListArray.from_arrays(pa.array(sizes), pa.StructArray.from_arrays(ends, names=["start", "stop"]))], ["row", "spans"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.ListArray.from_arrays(pa.array(sizes), pa.StructArray.from_arrays(ends, names=["start", "stop"]))], ["doc", "spans"])
 
-    spans = runs.mapInArrow(kernel, "row bigint, spans array<struct<start:bigint,stop:bigint>>")
-    return texts.select("row", "key").join(spans, "row").select("key", "spans")
+    return runs.mapInArrow(kernel, "doc binary, spans array<struct<start:bigint,stop:bigint>>")
 
 
 def _kept(texts: pa.Array, spans: pa.Array) -> pa.Array:
@@ -228,13 +240,16 @@ def remove_repeats(docs: DataFrame, length: int = 200, text_col: str = "text") -
     results = ["n_bytes", "removed", "kept"]
     others = [c for c in docs.columns if c not in results]
     text = F.coalesce(F.col(text_col), F.lit(""))
-    key = F.unhex(F.sha2(text.cast("binary"), 256))
-    texts = docs.select(text.alias("text"), key.alias("key")).groupBy("key").agg(F.any_value("text").alias("text"), F.count("*").alias("copies"))
-    texts = materialize(texts.select(F.monotonically_increasing_id().alias("row"), "key", "text", "copies"))
+    doc = F.unhex(F.substring(F.sha2(text.cast("binary"), 256), 1, 32))
+    # grouped by the digest, they are in their buckets already
+    texts = bucketed(docs.select(text.alias("text"), doc.alias("doc")).groupBy("doc").agg(F.any_value("text").alias("text"), F.count("*").alias("copies")), "doc", dealt=True)
     whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.octet_length("text").cast("long").alias("stop")))
     many = (F.col("copies") > 1) & (F.octet_length("text") >= length)
-    spans = _spans(texts, length).join(texts.where(many).select("key"), "key", "left_anti").unionByName(texts.where(many).select("key", whole.alias("spans")))
-    rows = docs.select(F.struct(*(F.col(c) for c in others)).alias("doc"), text.alias("text"), key.alias("key")).join(spans, "key", "left")
+    # strings of texts that go as a whole still count for others
+    once = _spans(texts, length).withColumnRenamed("spans", "found")
+    copied = materialize(texts.where(many).select("doc", whole.alias("whole")))
+    spans = materialize(once.join(copied, "doc", "full").select("doc", F.coalesce("whole", "found").alias("spans")))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in others)).alias("row"), text.alias("text"), doc.alias("doc")).join(spans, "doc", "left")
 
     @F.arrow_udf("binary")
     def kept(texts: pa.Array, spans: pa.Array) -> pa.Array:
@@ -243,4 +258,4 @@ def remove_repeats(docs: DataFrame, length: int = 200, text_col: str = "text") -
     none = F.array().cast("array<struct<start:bigint,stop:bigint>>")
     data = F.col("text").cast("binary")
     rows = rows.withColumn("kept", F.when(F.col("spans").isNull(), data).otherwise(kept(data, F.coalesce("spans", none))))
-    return rows.select(*(F.col(f"doc.`{c}`").alias(c) for c in others), F.octet_length("text").cast("long").alias("n_bytes"), F.coalesce("spans", none).alias("removed"), "kept")
+    return rows.select(*(F.col("row")[c].alias(c) for c in others), F.octet_length("text").cast("long").alias("n_bytes"), F.coalesce("spans", none).alias("removed"), "kept")
