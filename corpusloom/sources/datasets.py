@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from functools import reduce
 
+import numpy as np
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from pyspark.sql import types as T
 
 from ..functions.columns import resolve_like
 from ..functions.vectors import norm
+from . import npy
 
 PAPERS = T.StructType([T.StructField(n, t) for n, t in (("record_id", T.LongType()), ("openalex_id", T.StringType()), ("doi", T.StringType()), ("title", T.StringType()), ("abstract", T.StringType()), ("label_included", T.IntegerType()), ("asreview_label", T.IntegerType()), ("asreview_time", T.DoubleType()))])
 CORPUS = "id string, title string, referenced_works array<string>, publication_year int"
@@ -65,24 +67,32 @@ def load_embeddings(spark: SparkSession, vectors: str, metadata: str) -> tuple[D
         return None, None
 
 
-def read_npy(spark: SparkSession, path: str) -> DataFrame:
-    """``(index, embedding)`` of a two-dimensional ``.npy`` file; one file is one task's work. Rows with missing values have null."""
+def read_npy(spark: SparkSession, path: str, range_bytes: int | None = None) -> DataFrame:
+    """``(index, embedding)`` of a two-dimensional ``.npy`` file. Rows with missing values have null; a broken header raises ValueError at once.
 
-    def kernel(batches):
-        import io
+    Ranges of ``range_bytes`` are read side by side (``sources/npy.py``). On a file system that Spark reads but Arrow does not, the file, up to 2 GB, is one task's work.
+    """
+    try:
+        npy.arrow_path(path)
+    except ValueError:
+        return _read_whole_npy(spark, path)
+    npy.read_header(path)
+    spark.dataSource.register(npy.NpyDataSource)
+    return spark.read.format("npy").option("rangeBytes", str(range_bytes or npy.RANGE_BYTES)).load(path)
 
-        import numpy as np
-        import pyarrow as pa
 
+def _read_whole_npy(spark: SparkSession, path: str) -> DataFrame:
+    raw = spark.read.format("binaryFile").load(path)
+    npy.parse_header(bytes(raw.select(F.substring("content", 1, 1 << 16)).first()[0]))
+
+    def kernel(batches):
         for batch in batches:
             for data in batch.column("content"):
-                x = np.load(io.BytesIO(data.as_py())).astype(np.float32)
-                for at in range(0, len(x), 4096):
-                    part = x[at : at + 4096]
-                    lists = [None if np.isnan(r).any() else r for r in part]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + len(part), dtype=np.int64)), pa.array(lists, pa.list_(pa.float32()))], ["index", "embedding"])
+                header = npy.parse_header(data.as_buffer().slice(0, min(1 << 16, data.as_buffer().size)).to_pybytes())
+                rows = np.frombuffer(data.as_buffer(), header.kind, header.rows * header.columns, header.start)
+                yield from npy.matrix_batches(rows.reshape(header.rows, header.columns), 0)
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(kernel, "index bigint, embedding array<float>")
+    return raw.select("content").mapInArrow(kernel, "index bigint, embedding array<float>")
 
 
 def id_index(meta: DataFrame) -> DataFrame:
@@ -112,9 +122,11 @@ def load_csv(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 def load_documents(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
-    """A CSV of documents, its first rows if asked, with the columns that look like title and abstract named so."""
-    rows = spark.read.options(**CSV).csv(path)
-    rows = rows.limit(limit) if limit else rows
+    """A CSV of documents, its first rows in the order of the files if asked, with the columns that look like title and abstract named so."""
+    raw = spark.read.options(**CSV).csv(path)
+    # a file that is read line by line across line breaks is one task's, so that its rows are numbered in their order; files go by name
+    place = [F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line")]
+    rows = raw.select(F.struct(*(F.col(f"`{c}`") for c in raw.columns)).alias("row"), *place).orderBy("file", "line").limit(limit).select("row.*") if limit else raw
     for name in ("title", "abstract"):
         found = resolve_like(rows, name)
         if name not in rows.columns and found:

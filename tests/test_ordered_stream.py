@@ -1,0 +1,40 @@
+import random
+
+from pyspark.sql import functions as F
+
+from corpusloom.operators import screening
+from corpusloom.streaming.stopping import ordered_stopping
+
+STORE = "spark.sql.streaming.stateStore.providerClass"
+
+
+def test_disorder_within_the_delay_gives_the_result_of_the_batch(spark, tmp_path):
+    rnd = random.Random(4)
+    rows = [(reviewer, i, 60 * i, int(rnd.random() < 0.12)) for reviewer in (1, 2, 3) for i in range(90)]
+    want = {}
+    for reviewer in (1, 2, 3):
+        log = spark.createDataFrame([(i, y, i) for r, i, _, y in rows if r == reviewer], "record_id bigint, label int, time bigint")
+        want[reviewer] = screening.stopping_point(log, 7).first()["reviewed"]
+    # rows come up to 9 minutes out of order, in files of 20; the last row only moves the watermark
+    rows.sort(key=lambda r: r[2] + rnd.randrange(540))
+    schema = "reviewer bigint, record bigint, at bigint, label int"
+    for k in range(0, len(rows), 20):
+        spark.createDataFrame(rows[k : k + 20], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    end = spark.createDataFrame([(9, 0, 10**6, 0)], schema)
+    before = spark.conf.get(STORE)
+    spark.conf.set(STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 3).parquet(str(tmp_path / "in"))
+        log = source.select("reviewer", "record", F.timestamp_seconds(F.col("at") + 10**9).alias("ts"), "label")
+        run = ordered_stopping(log, 7, "10 minutes").writeStream.format("memory").queryName("ordered").outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).start()
+        run.processAllAvailable()
+        for _ in range(2):
+            end.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+            run.processAllAvailable()
+        run.stop()
+    finally:
+        spark.conf.set(STORE, before)
+    got = {}
+    for r in spark.table("ordered").where("reviewer < 9").collect():
+        got[r["reviewer"]] = max(got.get(r["reviewer"], 0), r["reviewed"])
+    assert got == want
