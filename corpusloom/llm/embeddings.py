@@ -35,8 +35,8 @@ SEED = 17
 CHUNK = 512
 #: Vectors of a bucket that are compared together with other buckets'.
 SMALL = 16
-#: Pairs of chunks of one bucket that a task takes together, about.
-SHARE = 16
+#: Groups of a bucket's chunks that meet each other in a grid, as long as a group has no more than so many chunks.
+GROUPS, SIDE = 6, 64
 
 
 def signature_plan(n: int, threshold: float = THRESHOLD, recall: float = RECALL) -> tuple[int, int]:
@@ -179,12 +179,14 @@ def cosine_links(vectors: DataFrame, threshold: float, recall: float, seed: int
 
     schema = "rep bigint, links bigint, root bigint"
     ones = packed.where("chunks = 1").select("t", "dim", *fields("a")).mapInArrow(alone, schema)
-    # the chunks of a bucket meet in copies of it, each with a share of its pairs; copies are dealt to a given number of partitions
+    # the chunks of a bucket are both sides of a grid, parted into groups: a chunk goes to the cells of its row and its column, which are dealt to a given number of partitions
     many, n = packed.where("chunks > 1"), 4 * int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    copies = F.least(F.ceil(F.col("chunks") * F.col("chunks") / SHARE), F.col("chunks")).cast("long")
-    left = many.select("key", F.pmod(F.xxhash64("chunk"), copies).alias("copy"), "t", "dim", F.col("chunk").alias("ca"), *fields("a"))
-    right = many.select("key", F.col("t").alias("tb"), F.col("dim").alias("db"), F.explode(F.sequence(F.lit(0).cast("long"), copies - 1)).alias("copy"), F.col("chunk").alias("cb"), *fields("b"))
-    met = left.repartition(n, "key", "copy").join(right.repartition(n, "key", "copy"), ["key", "copy"]).where("t = tb and dim = db and ca <= cb").withColumn("same", F.expr("ca = cb"))
+    groups = F.ceil(F.col("chunks") / F.least(F.lit(SIDE), F.ceil(F.col("chunks") / GROUPS)))
+    own = F.pmod(F.xxhash64("chunk"), groups)
+    every = F.explode(F.sequence(F.lit(0).cast("long"), groups - 1))
+    left = many.select("key", own.alias("row"), every.alias("column"), "t", "dim", F.col("chunk").alias("ca"), *fields("a"))
+    right = many.select("key", every.alias("row"), own.alias("column"), F.col("t").alias("tb"), F.col("dim").alias("db"), F.col("chunk").alias("cb"), *fields("b"))
+    met = left.repartition(n, "key", "row", "column").join(right.repartition(n, "key", "row", "column"), ["key", "row", "column"]).where("t = tb and dim = db and ca <= cb").withColumn("same", F.expr("ca = cb"))
     return ones.union(met.select("t", "dim", "same", *(f"{k}_{s}" for s in "ab" for k in ("rep", "mult", "e"))).mapInArrow(across, schema))
 
 

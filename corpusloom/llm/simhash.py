@@ -9,7 +9,7 @@ pairs, so output is bounded by the tiles' sizes. Links meet in distributed compo
 
 Scale: the work per fingerprint is the share of tile pairs that remain. With four segments
 of 16 bits about one pair in 60 of random fingerprints is compared, with eight about one in 3000.
-Tiles are cut into chunks of bounded size. Each pair of chunks is dealt to a task by itself, ``SHARE`` pairs of one tile together, so
+Tiles are cut into chunks of bounded size. Each pair of chunks is dealt to a task by itself, in cells of a grid of them, so
 a crowded tile is many tasks' work.
 
 Wide fingerprints serve similarity of shingle sets at a threshold (``near_copies.py``): 256 bits over a text's distinct shingles, tiled by
@@ -35,8 +35,8 @@ SEED = 42
 RADIUS = 2
 SEGMENTS = 4
 CHUNK = 512
-#: Pairs of chunks of one tile that a task takes together, about.
-SHARE = 64
+#: Cells into which a tile's pairs of chunks are parted, as long as a side of a cell has no more than so many chunks.
+CELLS, SIDE = 36, 64
 #: Words of 64 bits in a wide fingerprint.
 WORDS = 4
 
@@ -157,22 +157,32 @@ def compare_wide_tiles(a: np.ndarray, b: np.ndarray, radius: int, first: int, sa
     return left[near], right[near]
 
 
-def dealt_pairs(tiles: DataFrame, offsets: list[int], small: bool) -> DataFrame:
-    """Every chunk of ``tiles(key, chunk, x)`` beside each chunk of the tiles at the offsets from its own: ``(a, b, same)``, once each.
+def grid_sides(tiles: DataFrame, offsets: list[int], small: bool) -> tuple[DataFrame, DataFrame]:
+    """The chunks of ``tiles(key, chunk, x)`` at the offsets from each tile, and its own chunks, as rows and columns of a grid ``key, row, column``.
 
-    A tile that chunks meet often is copied, and each copy meets a share of them. Copies are dealt to a given number of partitions, which is not
-    coalesced, as little data is much work. small: keys are few whatever the input, and may be broadcast.
+    A tile's chunks and the chunks that meet them are the sides of a grid, parted by hash into groups of ``SIDE`` at most, about: a chunk goes to the cells of its row or column, so that some
+    ``2 / SIDE`` chunks are shuffled for a pair. small: keys are few whatever the input, and may be broadcast.
     """
     steps = F.explode(F.array(*(F.lit(o).cast("long") for o in offsets))).alias("step")
     probe = tiles.select(steps, "key", F.col("chunk").alias("ca"), F.col("x").alias("a")).withColumn("key", F.col("key") + F.col("step"))
     met = probe.groupBy("key").agg(F.count("*").alias("probes")).join(tiles.groupBy("key").agg(F.count("*").alias("chunks")), "key")
-    met = materialize(met.select("key", F.ceil(F.col("probes") * F.col("chunks") / SHARE).alias("n"), "probes").select("key", F.least("n", "probes").cast("long").alias("copies")))
+    side = F.least(F.lit(SIDE), F.ceil(F.sqrt(F.col("probes") * F.col("chunks") / CELLS)))
+    met = materialize(met.select("key", F.ceil(F.col("probes") / side).alias("rows"), F.ceil(F.col("chunks") / side).alias("columns")))
     met = F.broadcast(met) if small else met
-    n = 4 * int(tiles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    left = probe.join(met, "key").withColumn("copy", F.pmod(F.xxhash64("ca", "step"), "copies"))
-    right = tiles.join(met, "key").select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy"), F.col("chunk").alias("cb"), F.col("x").alias("b"))
-    pairs = left.repartition(n, "key", "copy").join(right.repartition(n, "key", "copy"), ["key", "copy"])
-    return pairs.where("step <> 0 or ca <= cb").select("a", "b", F.expr("step = 0 and ca = cb").alias("same"))
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    left = probe.join(met, "key").withColumn("row", F.pmod(F.xxhash64("ca", "step"), "rows")).withColumn("column", upto("columns")).drop("rows", "columns")
+    right = tiles.join(met, "key").select("key", upto("rows").alias("row"), F.pmod(F.xxhash64("chunk"), "columns").alias("column"), F.col("chunk").alias("cb"), F.col("x").alias("b"))
+    return left, right
+
+
+def dealt_pairs(tiles: DataFrame, offsets: list[int], small: bool) -> DataFrame:
+    """Every chunk of ``tiles(key, chunk, x)`` beside each chunk of the tiles at the offsets from its own: ``(a, b, same)``, once each.
+
+    Cells of the grid are dealt to a given number of partitions, which is not coalesced, as little data is much work.
+    """
+    n, cell = 4 * int(tiles.sparkSession.conf.get("spark.sql.shuffle.partitions")), ["key", "row", "column"]
+    left, right = (side.repartition(n, *cell) for side in grid_sides(tiles, offsets, small))
+    return left.join(right, cell).where("step <> 0 or ca <= cb").select("a", "b", F.expr("step = 0 and ca = cb").alias("same"))
 
 
 def tile_links(pairs: DataFrame, compare, words: int = 1) -> DataFrame:

@@ -142,3 +142,19 @@ def test_wide_links_equal_brute_force(spark, chunk):
         join(got, r["src"], r["dst"])
         assert np.bitwise_count(prints[r["src"]] ^ prints[r["dst"]]).sum() < 128
     assert len(near) > 50 and all(find(got, i) == find(got, j) for i, j in near)
+
+
+def test_few_chunks_are_shuffled_for_a_pair(spark):
+    from pyspark.sql import functions as F
+
+    from corpusloom.llm import simhash
+    from corpusloom.llm.simhash import dealt_pairs
+
+    tiles = spark.range(256).select(F.lit(5).cast("long").alias("key"), F.col("id").alias("chunk"), F.struct(F.array("id").alias("fps"), F.array("id").alias("reps")).alias("x"))
+    pairs = dealt_pairs(tiles, [0], True)
+    got = {(r["a"]["reps"][0], r["b"]["reps"][0], r["same"]) for r in pairs.collect()}
+    assert got == {(a, b, a == b) for a in range(256) for b in range(a, 256)} and pairs.count() == len(got)
+    sent = sum(side.count() for side in simhash.grid_sides(tiles, [0], True))
+    assert sent < 0.1 * len(got)
+    cells = dealt_pairs(tiles, [0], True).groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()
+    assert max(r["n"] for r in cells) < len(got) / 2
