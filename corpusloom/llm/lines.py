@@ -40,7 +40,7 @@ def _line_table(text: Column) -> Column:
 
 
 def _windows(lines: Column, min_lines: int, min_words: int) -> Column:
-    """Shortest qualifying windows as ``(start, n, f, h, g)``; positions count lines that are not blank."""
+    """Shortest qualifying windows as ``(start, f, h, g, pos)``; starts count lines that are not blank, ``pos`` all lines."""
     at = lambda i, k: F.get(lines, i + F.lit(k))
 
     def words(i: Column, a: int, b: int) -> Column:
@@ -56,7 +56,8 @@ def _windows(lines: Column, min_lines: int, min_words: int) -> Column:
         def window(i: Column) -> Column:
             own = [at(i, k) for k in range(n)]
             least = F.least(*(x["h"] for x in own)) if n > 1 else own[0]["h"]
-            return F.struct(i.alias("start"), F.lit(n).alias("n"), least.alias("f"), F.xxhash64(F.lit(n), *(x["h"] for x in own)).alias("h"), F.xxhash64(F.lit(n), *(x["g"] for x in own)).alias("g"))
+            h, g = (F.xxhash64(F.lit(n), *(x[c] for x in own)).alias(c) for c in "hg")
+            return F.struct(i.alias("start"), least.alias("f"), h, g, F.array(*(x["pos"] for x in own)).alias("pos"))
 
         starts = F.when(F.size(lines) >= n, F.sequence(F.lit(0), F.size(lines) - n)).otherwise(F.array().cast("array<int>"))
         found.append(F.transform(F.filter(starts, fits), window))
@@ -69,9 +70,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ``th`` is a hash of the text; documents are ordered by id, nulls first, then by th.
     """
     rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), _line_table(F.col(text_col)).alias("ls"))
-    windows = rows.select("id", "th", "ls", F.explode(_windows(F.col("ls"), min_lines, min_words)).alias("x"))
-    place = F.slice("ls", F.col("x.start") + 1, F.col("x.n"))
-    windows = materialize(windows.select("id", "th", "x.start", "x.f", "x.h", "x.g", place["pos"].alias("pos")))
+    windows = materialize(rows.select("id", "th", F.inline(_windows(F.col("ls"), min_lines, min_words))))
     where = F.struct("id", "th", "start")
     # equal rows of a table stand at one place
     prints = windows.groupBy("f").agg(F.min(where).alias("a"), F.max(where).alias("z")).where("a < z").select("f")
@@ -96,7 +95,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     gone = gone.select(F.col("id").alias("__id"), F.col("th").alias("__th"), F.col("del").alias("__del"))
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), F.xxhash64(text_col).alias("th"))
     joined = base.join(gone, F.col("id").eqNullSafe(F.col("__id")) & (F.col("th") == F.col("__th")), "left")
-    lines = F.split("t", "\n", -1)
+    joined = joined.withColumn("lines", F.split("t", "\n", -1))  # once a row: what a lambda calls is called for each element
+    lines = F.col("lines")
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__del"))
     cut = F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")
     return joined.select(
