@@ -222,7 +222,8 @@ def simulate_review(papers: DataFrame, learner: str = "nb", batch: int = 50, rou
     chosen = SETTINGS[settings]
 
     text = papers.select("id", F.col(label).cast("double").alias("y"), title_abstract(F.col("title"), F.col("abstract")).alias("text"))
-    vectors = review_vectors(text, features, chosen["ngrams"], chosen["max_df"]).persist()
+    vectors = review_vectors(text, features, chosen["ngrams"], chosen["max_df"])
+    vectors = materialize(vectors)  # every round reads them; cached blocks would go with their executors
     first = vectors.groupBy("y").agg(F.min("id").alias("i"), F.count("*").alias("n")).agg(F.max("i"), F.count("*"), F.sum("n"), F.sum(F.when(F.col("y") == 1, F.col("n")))).first()
     both, total, relevant = first[1] == 2, first[2] or 0, first[3] or 0
     seeds = vectors.where(F.col("id") <= first[0]) if both else vectors
@@ -247,6 +248,5 @@ def simulate_review(papers: DataFrame, learner: str = "nb", batch: int = 50, rou
             taken, n, run = _read_until_stop(best, run, patience)
         done += n
         read = materialize(read.union(taken.select("id", "key", F.lit(k).alias("round"), "y")))
-    vectors.unpersist()
     placed = with_position(read, F.col("round"), F.col("key"), F.col("id"), name="review_order")
     return placed.select("id", "review_order", F.col("y").cast("int").alias("label"))
