@@ -97,7 +97,7 @@ def detect_outliers(papers: DataFrame, random_state: int = 42, **inputs) -> Cita
 
 
 def analyze_datasets(papers: DataFrame, names: list[str], dataset_col: str = "dataset", **inputs) -> dict[str, CitationOutlierDetector | Exception]:
-    """A fitted detector for each dataset; an error stays with its own dataset."""
+    """A fitted detector for each dataset, one after the other; an error stays with its own dataset. ``many.analyze_together`` scores all of them in one plan."""
     found: dict[str, CitationOutlierDetector | Exception] = {}
     for name in names:
         try:

@@ -15,7 +15,7 @@ from ..plans.materialize import materialize
 from ..session import table
 from ..sources import datasets, fixtures
 from ..streaming.stopping import windowed_counts
-from . import centrality, detector, evaluation, features, graph, outliers, reporting, scores, screening
+from . import centrality, detector, evaluation, features, graph, many, outliers, reporting, scores, screening
 from .iforest import isolation_forest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -754,3 +754,22 @@ SELECT CASE WHEN p >= 95 THEN 'Excellent outlier detection' WHEN p >= 90 THEN 'V
 def performance_bands(spark: SparkSession, folder: str) -> DataFrame:
     ranked = scores.percentiles(scores.tie_ranks(_long(spark, folder, ["lof_network"])))
     return ranked.groupBy(performance_band(F.col("p_a")).alias("band")).agg(F.count("*").alias("n"))
+
+
+# ---------------------------------------------------------------- many data sets
+
+@query("dataset:s documents:b relevant:b citations:b scored:b bounded:b error:s", f"""
+WITH {IDS}, {EDGES}, sizes AS (SELECT dataset, count(*) AS documents, sum(y) AS relevant FROM ids GROUP BY dataset),
+own AS (SELECT a.dataset, count(*) AS n FROM edges e JOIN ids a ON a.id = e.src JOIN ids b ON b.id = e.dst WHERE a.dataset = b.dataset GROUP BY a.dataset)
+SELECT dataset, documents, relevant, CASE WHEN relevant > 0 THEN coalesce(n, 0) END AS citations, CASE WHEN relevant > 0 THEN documents ELSE 0 END AS scored, CASE WHEN relevant > 0 THEN 1 ELSE 0 END AS bounded,
+CASE WHEN relevant = 0 THEN 'no relevant documents' END AS error FROM sizes LEFT JOIN own USING (dataset)""")
+def datasets_together(spark: SparkSession, folder: str) -> DataFrame:
+    """Every language is a data set: its counts, how many of its documents were scored, and whether all ensemble scores lie between 0 and 1."""
+    papers = fixtures.papers(spark, folder).select("dataset", "id", "title", "label_included")
+    names = papers.select("dataset", "id")
+    refs = fixtures.references(spark, folder).join(names.select("dataset", F.col("id").alias("src")), "src")
+    vectors = fixtures.embeddings(spark, folder).join(names, "id")
+    found = many.analyze_together(papers, refs.select("dataset", "src", "dst"), vectors)
+    scored = found.scores.groupBy("dataset").agg(F.count("ensemble").alias("scored"), (F.count_if(F.isnan("ensemble") | (F.col("ensemble") > 1 + 1e-9) | (F.col("ensemble") < 0)) == 0).cast("int").alias("bounded"))
+    wide = found.status.join(scored, "dataset", "left")
+    return wide.withColumn("scored", F.coalesce("scored", F.lit(0))).withColumn("bounded", F.coalesce("bounded", F.lit(0)))
