@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import canonical_openalex
-from ..plans.materialize import materialize
+from ..plans.materialize import materialize, scratch_path
 from ..plans.order import running_sum, with_position
 
 
@@ -153,6 +153,15 @@ def _learner(name: str):
     return made.get(name, lambda: NaiveBayes(**common))()
 
 
+def _bare(model, spark):
+    """The model without its training summary: that holds the session, which cannot be sent to tasks once anything has been observed in it."""
+    if not getattr(model, "hasSummary", False):
+        return model
+    path = scratch_path(spark)
+    model.save(path)
+    return type(model).load(path)
+
+
 #: Records in one batch of the simulated review at most, unless more are asked for; they pass through one task.
 LARGEST_BATCH = 10_000
 
@@ -237,7 +246,7 @@ def simulate_review(papers: DataFrame, learner: str = "nb", batch: int = 50, rou
         train = vectors.join(read.select("id"), "id", "left_semi")
         share = train.agg(F.avg("y")).first()[0]
         weighted = train.withColumn("w", F.when(F.col("y") == 1, F.lit(0.5 * chosen["ratio"] / share)).otherwise(F.lit(0.5 / (1 - share))))
-        model = _learner(learner).fit(weighted)
+        model = _bare(_learner(learner).fit(weighted), papers.sparkSession)
         scored = model.transform(vectors.join(read.select("id"), "id", "left_anti"))
         raw = vector_to_array("rawPrediction")
         score = raw[1] - raw[0]

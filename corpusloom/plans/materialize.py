@@ -32,12 +32,18 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root
 
 
+def scratch_path(spark: SparkSession) -> str:
+    """A new path in the shared folder, which ``release`` deletes."""
+    path = f"{checkpoint_root(spark)}/corpusloom-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared folder and read back with a short plan."""
     spark = df.sparkSession
-    path = f"{checkpoint_root(spark)}/corpusloom-{uuid.uuid4().hex}"
+    path = scratch_path(spark)
     df.write.parquet(path)
-    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

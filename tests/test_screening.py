@@ -67,6 +67,15 @@ def test_simulated_review_finds_relevant_papers_first(spark, learner):
     assert [r["id"] for r in got[:4]] == [0, 1, 2, 3] and sum(r["label"] for r in got[4:]) == 11
 
 
+@pytest.mark.parametrize("learner", ["svm", "lr"])
+def test_models_are_sent_to_tasks_after_something_was_observed(spark, learner):
+    from corpusloom.plans.materialize import observed
+
+    observed(spark.range(3).toDF("id"), n=F.count("*"))
+    rows = [(i, "special topic" if i % 10 == 3 else "common words", "text", int(i % 10 == 3)) for i in range(60)]
+    assert screening.simulate_review(spark.createDataFrame(rows, "id bigint, title string, abstract string, label_included int"), learner, batch=11, rounds=1).count() >= 15
+
+
 @pytest.mark.parametrize("patience,everything", [(30, False), (1000, True)])
 def test_simulated_review_goes_on_until_the_rule_fires(spark, patience, everything):
     rows = [(i, "special topic" if i % 10 == 3 else "common words", f"about item {i % 7}", int(i % 10 == 3)) for i in range(400)]
