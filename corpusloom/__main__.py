@@ -1,6 +1,8 @@
-"""Command line: analyse papers, simulate a review, ranks and recall of a screening log, statistics of datasets, validate datasets, encode texts.
+"""Command line: analyse papers, many data sets or one document, simulate a review, ranks and recall of a screening log, statistics of datasets, validate datasets, encode texts.
 
     python -m corpusloom analyze papers.parquet out --references refs.parquet --embeddings vectors.parquet [--rrf]
+    python -m corpusloom document papers.parquet out 17 --references refs.parquet --embeddings vectors.parquet [--rrf]
+    python -m corpusloom datasets papers.parquet out --references refs.parquet --embeddings vectors.parquet --baselines ranks.parquet [--rrf]
     python -m corpusloom review papers.parquet out --learner nb --batch 50 --patience 100 [--stopper last_relevant] [--settings tuned]
     python -m corpusloom ranks log.parquet out --targets 17 42 --patience 100
     python -m corpusloom recall log.parquet out
@@ -17,7 +19,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from .functions.columns import embedding_text
-from .operators import evaluation, screening
+from .operators import evaluation, many, screening, summary
 from .operators.detector import CitationOutlierDetector
 from .plans.materialize import release
 from .session import ship_by_value
@@ -28,12 +30,16 @@ def _parser() -> argparse.ArgumentParser:
     parser = argparse.ArgumentParser(prog="corpusloom", description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
     commands = parser.add_subparsers(dest="command", required=True)
     analyze = commands.add_parser("analyze")
-    analyze.add_argument("papers")
-    analyze.add_argument("out")
-    for name in ("references", "corpus", "embeddings"):
-        analyze.add_argument(f"--{name}")
-    analyze.add_argument("--rrf", "--RRF", action="store_true")
+    document = commands.add_parser("document")
+    together = commands.add_parser("datasets")
+    for command, tables in ((analyze, ("references", "corpus", "embeddings")), (document, ("references", "corpus", "embeddings")), (together, ("references", "embeddings", "baselines"))):
+        command.add_argument("papers")
+        command.add_argument("out")
+        for name in tables:
+            command.add_argument(f"--{name}")
+        command.add_argument("--rrf", "--RRF", action="store_true")
     analyze.add_argument("--top-k", type=int, default=10)
+    document.add_argument("id", type=int)
     review = commands.add_parser("review")
     review.add_argument("papers")
     review.add_argument("out")
@@ -71,6 +77,23 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         detector.fit(read(args.papers), read(args.references), read(args.corpus), read(args.embeddings)).write.mode("overwrite").parquet(f"{args.out}/scores")
         datasets.save_report(detector.top_outliers(top_k=args.top_k), f"{args.out}/top")
         print(datasets.text_report(detector.method_comparison(), "Methods"))
+    elif args.command == "document":
+        detector = CitationOutlierDetector(use_rrf=args.rrf)
+        detector.fit(read(args.papers), read(args.references), read(args.corpus), read(args.embeddings))
+        text = datasets.sectioned_report(f"Document {args.id}", summary.document_sections(detector, args.id))
+        datasets.save_text(spark, text, args.out)
+        print(text)
+    elif args.command == "datasets":
+        found = many.analyze_together(read(args.papers), read(args.references), read(args.embeddings), use_rrf=args.rrf)
+        found.scores.write.mode("overwrite").parquet(f"{args.out}/scores")
+        found.features.write.mode("overwrite").parquet(f"{args.out}/features")
+        datasets.save_report(found.status, f"{args.out}/status")
+        written = many.Analysis(found.status, read(f"{args.out}/features"), read(f"{args.out}/scores"))
+        importances = summary.importances_by_dataset(written.features, written.scores)
+        datasets.save_report(importances, f"{args.out}/importances")
+        text = datasets.sectioned_report("Data sets", summary.dataset_sections(written, read(args.baselines), importances))
+        datasets.save_text(spark, text, f"{args.out}/report")
+        print(text)
     elif args.command == "review":
         order = screening.simulate_review(read(args.papers), args.learner, args.batch, args.rounds, patience=args.patience, stopper=args.stopper, settings=args.settings)
         log = order.select(F.col("id").alias("record_id"), "label", F.col("review_order").alias("time"))

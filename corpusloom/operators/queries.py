@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import clean_with_statistics, correlation, embedding_text, finite_or_zero, performance_band, title_abstract
 from ..plans.materialize import materialize
+from ..plans.order import with_group_position
 from ..session import table
 from ..sources import datasets, fixtures
 from ..streaming.stopping import windowed_counts
-from . import centrality, detector, evaluation, features, graph, many, outliers, reporting, scores, screening
+from . import centrality, detector, evaluation, features, graph, many, outliers, reporting, scores, screening, summary
 from .iforest import isolation_forest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -271,13 +272,14 @@ def standard_scale(spark: SparkSession, folder: str) -> DataFrame:
 
 # ---------------------------------------------------------------- detectors
 
-def _lof_sql(rows: str, distance: str) -> str:
-    """Local outlier factors of ``rows(id, u)`` with exactly k neighbours."""
-    return f"""rows AS MATERIALIZED ({rows}), k AS (SELECT least(greatest(3, least(floor(sqrt(count(*))), count(*) - 1)), count(*) - 1)::INT AS k FROM rows),
-d AS (SELECT a.id, b.id AS nb, round({distance}, 12) AS d FROM rows a JOIN rows b ON a.id <> b.id),
-nn AS MATERIALIZED (SELECT id, nb, d FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, nb) AS r FROM d) CROSS JOIN k WHERE r <= k),
-kd AS (SELECT id, max(d) AS kd FROM nn GROUP BY id), lrd AS (SELECT nn.id, 1 / (avg(greatest(d, kd)) + 1e-10) AS lrd FROM nn JOIN kd ON kd.id = nn.nb GROUP BY nn.id),
-lof AS (SELECT nn.id, avg(b.lrd) / any_value(a.lrd) AS lof FROM nn JOIN lrd b ON b.id = nn.nb JOIN lrd a ON a.id = nn.id GROUP BY nn.id)"""
+def _lof_sql(rows: str, distance: str, tag: str = "") -> str:
+    """Local outlier factors of ``rows(id, u)`` with exactly k neighbours; ``tag`` ends the names of its tables."""
+    t = tag
+    return f"""rows{t} AS MATERIALIZED ({rows}), k{t} AS (SELECT least(greatest(3, least(floor(sqrt(count(*))), count(*) - 1)), count(*) - 1)::INT AS k FROM rows{t}),
+d{t} AS (SELECT a.id, b.id AS nb, round({distance}, 12) AS d FROM rows{t} a JOIN rows{t} b ON a.id <> b.id),
+nn{t} AS MATERIALIZED (SELECT id, nb, d FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, nb) AS r FROM d{t}) CROSS JOIN k{t} WHERE r <= k),
+kd{t} AS (SELECT id, max(d) AS kd FROM nn{t} GROUP BY id), lrd{t} AS (SELECT n.id, 1 / (avg(greatest(d, kd)) + 1e-10) AS lrd FROM nn{t} n JOIN kd{t} q ON q.id = n.nb GROUP BY n.id),
+lof{t} AS (SELECT n.id, avg(b.lrd) / any_value(a.lrd) AS lof FROM nn{t} n JOIN lrd{t} b ON b.id = n.nb JOIN lrd{t} a ON a.id = n.id GROUP BY n.id)"""
 
 
 COSINE = "1 - list_dot_product(a.u, b.u) / sqrt(list_dot_product(a.u, a.u)) / sqrt(list_dot_product(b.u, b.u))"
@@ -324,6 +326,45 @@ def outlier_detection(spark: SparkSession, folder: str) -> DataFrame:
     return found.fit(papers, fixtures.references(spark, folder), ids, fixtures.embeddings(spark, folder))
 
 
+DETECTED = f"""{GRAPH}, {SCALED}, {VECTORS}, {_lof_sql('SELECT id, e AS u FROM vec', COSINE, '_e')}, {_lof_sql(f'SELECT id, {ROUNDED} AS u FROM scaled', EUCLID, '_n')},
+found AS MATERIALIZED (SELECT i.id, i.dataset, i.y, round(coalesce(e.lof, 0), 4) + 0.0 AS lof_embeddings, round(n.lof, 4) + 0.0 AS lof_network FROM ids i LEFT JOIN lof_e e USING (id) JOIN lof_n n ON n.id = i.id)"""
+
+
+def _detected(spark: SparkSession, folder: str) -> DataFrame:
+    """Scores of two detectors, to four digits so that ranks do not hang on the order of additions."""
+    papers = fixtures.paper_ids(spark, folder)
+    found = outliers.lof_embeddings(papers, fixtures.embeddings(spark, folder)).join(outliers.lof_network(_scaled(spark, folder), LOCAL), "id")
+    rounded = found.select("id", *((F.round(c, 4) + F.lit(0.0)).alias(c) for c in METHODS[:2]))
+    return materialize(papers.select("id", "dataset", F.col("label_included").alias("y")).join(rounded, "id"))
+
+
+@query("id:b weighted:6 uniform:6 fused:8", f"""
+{DETECTED}, long AS (UNPIVOT (SELECT id, lof_embeddings, lof_network FROM found) ON lof_embeddings, lof_network INTO NAME method VALUE score),
+norm AS (SELECT *, row_number() OVER (PARTITION BY method ORDER BY score DESC, id) AS r, CASE WHEN max(score) OVER w - min(score) OVER w > 1e-8 THEN (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) ELSE 0 END AS value FROM long WINDOW w AS (PARTITION BY method)),
+spread AS (SELECT method, var_pop(value) AS v FROM norm GROUP BY method), weights AS (SELECT method, CASE WHEN sum(v) OVER () > 0 THEN v / sum(v) OVER () ELSE 0.5 END AS weight FROM spread)
+SELECT id, sum(value * weight) AS weighted, avg(value) AS uniform, sum(1.0::DOUBLE / (60 + r)) AS fused FROM norm JOIN weights USING (method) GROUP BY id""")
+def detector_ensembles(spark: SparkSession, folder: str) -> DataFrame:
+    """Ensembles of what two detectors find: weights by variance, equal weights, fused ranks."""
+    long = materialize(scores.to_long(_detected(spark, folder), METHODS[:2]))
+    parts = (("weighted", scores.weighted_ensemble(long)), ("uniform", scores.weighted_ensemble(long, "uniform")), ("fused", scores.reciprocal_rank_fusion(long)))
+    wide = [df.withColumnRenamed("ensemble", name) for name, df in parts]
+    return wide[0].join(wide[1], "id").join(wide[2], "id")
+
+
+@query("dataset:s id:b score:4 original_rank:b new_rank:b total:b rank_improvement:b relative_improvement_percent:6 original_percentile:6 new_percentile:6", f"""
+{DETECTED}, placed AS (SELECT id, dataset, y, row_number() OVER (PARTITION BY dataset ORDER BY id * 7919 % (SELECT count(*) FROM documents), id) AS original_rank FROM ids),
+base AS (SELECT dataset, id, original_rank FROM placed WHERE y = 1),
+ranked AS (SELECT dataset, id, lof_network AS score, rank() OVER (PARTITION BY dataset ORDER BY lof_network DESC) AS new_rank, count(*) OVER (PARTITION BY dataset) AS total FROM found)
+SELECT r.dataset, r.id, r.score, b.original_rank, r.new_rank, r.total, b.original_rank - r.new_rank AS rank_improvement, (b.original_rank - r.new_rank)::DOUBLE / b.original_rank * 100 AS relative_improvement_percent,
+(1 - b.original_rank::DOUBLE / r.total) * 100 AS original_percentile, (1 - r.new_rank::DOUBLE / r.total) * 100 AS new_percentile FROM ranked r JOIN base b USING (dataset, id)""")
+def rank_changes_by_dataset(spark: SparkSession, folder: str) -> DataFrame:
+    """Of every relevant record, its place in its data set's screening order and by the network detector."""
+    log = fixtures.screening_log(spark, folder).join(fixtures.paper_ids(spark, folder).select(F.col("id").alias("record_id"), "dataset"), "record_id")
+    placed = with_group_position(log, "dataset", F.col("time"), F.col("record_id"))
+    baselines = placed.where("label = 1").select("dataset", F.col("record_id").alias("id"), (F.col("position") + 1).alias("original_rank"))
+    return summary.rank_changes(_detected(spark, folder), baselines, "lof_network")
+
+
 # ---------------------------------------------------------------- scores
 
 RANKED = f"""{SCORED}, ranked AS (SELECT *, row_number() OVER (PARTITION BY method ORDER BY score DESC, id) AS r_ord, rank() OVER (PARTITION BY method ORDER BY score DESC) AS r_min,

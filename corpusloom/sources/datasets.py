@@ -234,6 +234,20 @@ def text_report(df: DataFrame, title: str) -> str:
     return "\n".join([title, "=" * len(title), *(", ".join(f"{k}: {v}" for k, v in r.asDict().items()) for r in rows)])
 
 
+def sectioned_report(title: str, sections: dict[str, DataFrame]) -> str:
+    """Small tables under headings as one text; a table without rows says so, and each has the bound of ``text_report``."""
+    parts = [title, "=" * len(title)]
+    for heading, df in sections.items():
+        found = text_report(df, heading).split("\n")
+        parts += ["", heading, "-" * len(heading), *(found[2:] or ["none"])]
+    return "\n".join(parts)
+
+
+def save_text(spark: SparkSession, text: str, path: str) -> None:
+    """A report as one text file in a folder."""
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
 def encode(texts: DataFrame, encoder, id_col: str = "id", text_col: str = "text", batch: int = 16) -> DataFrame:
     """``(id_col, embedding)`` by any callable from a list of texts to a matrix; null texts have null. The encoder is sent to executors."""
     kind = texts.schema[id_col].dataType.simpleString()
