@@ -248,6 +248,10 @@ def save_text(spark: SparkSession, text: str, path: str) -> None:
     spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
 
+#: Batches of an encoder whose texts and vectors a task holds as Python objects.
+ENCODED = 8
+
+
 def encode(texts: DataFrame, encoder, id_col: str = "id", text_col: str = "text", batch: int = 16) -> DataFrame:
     """``(id_col, embedding)`` by any callable from a list of texts to a matrix; null texts have null. The encoder is sent to executors."""
     kind = texts.schema[id_col].dataType.simpleString()
@@ -255,7 +259,7 @@ def encode(texts: DataFrame, encoder, id_col: str = "id", text_col: str = "text"
     def kernel(batches):
         import pyarrow as pa
 
-        for rows in batches:
+        for rows in (x.slice(low, ENCODED * batch) for x in batches for low in range(0, x.num_rows, ENCODED * batch)):
             words = rows.column("t").to_pylist()
             out = [None] * len(words)
             full = [i for i, w in enumerate(words) if w is not None]
