@@ -1,0 +1,62 @@
+import random
+
+import numpy as np
+import pytest
+
+from corpusloom.operators import features, triangles
+
+
+def links(seed, n=50, m=420, hub=0):
+    rnd = random.Random(seed)
+    found = {(rnd.randrange(n), rnd.randrange(n)) for _ in range(m)} | {(0, i) for i in range(hub)}
+    return sorted({(max(e), min(e)) for e in found if e[0] != e[1]})
+
+
+def corners(pairs):
+    near = {}
+    for a, b in pairs:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    return {x: sum(len(near[x] & near[y]) for y in near[x]) // 2 for x in near}, {x: len(y) for x, y in near.items()}
+
+
+@pytest.mark.parametrize("task_links", [10**9, 200, 40])
+@pytest.mark.parametrize("narrow", [False, True])
+def test_triangles_of_any_number_of_colours(spark, monkeypatch, task_links, narrow):
+    monkeypatch.setattr(triangles, "WEDGES", 64)
+    pairs = [(a * 1_000_003 - 7, b * 1_000_003 - 7) for a, b in links(1, hub=50)]
+    assert triangles.colours(len(pairs), task_links) == {10**9: 1, 200: 4, 40: 8}[task_links]
+    got = triangles.triangles(spark.createDataFrame(pairs, "a bigint, b bigint"), len(pairs), narrow, task_links)
+    want = corners(pairs)[0]
+    assert {r["id"]: r["t"] for r in got.collect()} == {x: t for x, t in want.items() if t}
+
+
+def test_sets_of_colours_are_dealt_to_tasks_of_their_own(spark):
+    pairs = links(2)
+    got = triangles.triangles(spark.createDataFrame(pairs, "a bigint, b bigint"), len(pairs), task_links=100)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan  # a join of wedges has rows by the square of a node's links
+    assert triangles.colours(10**9) ** 2 * triangles.TASK_LINKS >= 6 * 10**9
+
+
+@pytest.mark.parametrize("kind", ["bigint", "int", "string"])
+def test_clustering_by_brute_force(spark, kind):
+    pairs = links(3) + [(2, 60), (61, 62)]
+    edges = spark.createDataFrame(pairs + [(b, a) for a, b in pairs[::3]] + [(5, 5)], "src bigint, dst bigint").selectExpr(f"cast(src AS {kind}) AS src", f"cast(dst AS {kind}) AS dst")
+    got = features.clustering(edges)
+    t, k = corners(pairs)
+    assert {int(r["id"]): r["clustering"] for r in got.collect()} == pytest.approx({x: 2 * t[x] / (k[x] * (k[x] - 1)) if k[x] > 1 else 0.0 for x in k})
+    assert got.schema["id"].dataType.simpleString() == kind
+
+
+def test_clustering_of_ids_beyond_four_bytes_and_of_no_edges(spark):
+    far = 2**40
+    edges = spark.createDataFrame([(1, far), (far, -far), (-far, 1), (1, 2)], "src bigint, dst bigint")
+    assert {r["id"]: r["clustering"] for r in features.clustering(edges).collect()} == {1: pytest.approx(1 / 3), 2: 0.0, far: 1.0, -far: 1.0}
+    assert features.clustering(edges.limit(0)).count() == 0
+
+
+def test_a_hub_is_looked_up_from_its_short_ends():
+    star = np.arange(1, 3001)
+    low, high = triangles._upward(np.zeros(3000, np.int64), star)
+    assert (high == 0).all() and len(triangles._closed(low, high, low, high)[0]) == 0
