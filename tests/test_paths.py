@@ -84,6 +84,21 @@ def test_distances_to_relevant_papers(spark, seed):
     assert column(features.distance_to_relevant(papers, nodes, edges), "min_distance_to_relevant") == want
 
 
+def test_a_node_hears_one_row_of_fixed_size_whatever_the_sources(spark, monkeypatch):
+    """A hub cites 300 sources: the frontier has one row a node, and a round neither sorts arcs nor groups pairs of nodes and sources."""
+    rows, kept = [], features.observed
+    monkeypatch.setattr(features, "observed", lambda df, **m: (rows.append((df._jdf.queryExecution().executedPlan().toString(), df.columns)), kept(df, **m))[1])
+    links = [(1000, i) for i in range(300)] + [(1001, 1000), (1002, 1001), (7, 1002), (1003, 7)]
+    edges = spark.createDataFrame(links, "src bigint, dst bigint")
+    papers = spark.createDataFrame([(i, int(i < 300)) for i in [*range(300), *range(1000, 1004)]], "id bigint, label_included int")
+    got = column(features.distance_to_relevant(papers, papers, edges), "min_distance_to_relevant")
+    assert got == {i: 10.0 for i in range(300)} | {1000: 1.0, 1001: 2.0, 1002: 3.0, 7: 4.0, 1003: 1.0}
+    assert len(rows) == 6 and all(columns == ["id", "one", "two", "d"] for _, columns in rows)
+    for plan, _ in rows:
+        assert "keys=[dst" in plan and "ShuffledHashJoin" in plan and "LeftAnti" not in plan
+    assert not any("one#" in line.split("functions=")[0] for plan, _ in rows for line in plan.splitlines() if "HashAggregate(keys" in line)
+
+
 def test_tables_are_released(spark):
     arcs.Arcs(graph(spark, 4)[1])
     assert any(t.name.startswith("corpusloom_") for t in spark.catalog.listTables())
