@@ -65,6 +65,29 @@ def test_arcs_are_read_without_a_shuffle(spark, monkeypatch, hub_arcs):
     assert column(ranks, "pagerank") == pytest.approx(column(centrality.pagerank(nodes, edges, rounds=6), "pagerank"))
 
 
+def test_rounds_of_ranks_do_not_sort_the_arcs(spark, monkeypatch):
+    plans, kept, laid = [], centrality.observed, centrality.Arcs
+    monkeypatch.setattr(centrality, "observed", lambda df, **m: (plans.append(df._jdf.queryExecution().executedPlan().toString()), kept(df, **m))[1])
+    sources = []
+    monkeypatch.setattr(centrality, "Arcs", lambda edges, *columns: (sources.append(edges._jdf.queryExecution().executedPlan().toString()), laid(edges, *columns))[1])
+    nodes, edges = graph(spark, 5, hub=30)
+    ranks = column(centrality.pagerank(nodes, edges, rounds=2), "pagerank")
+    centrality.eigenvector(nodes, edges, rounds=2).collect()
+    rounds = [p for p in plans if "Bucketed: true" in p]
+    assert len(rounds) == 4 and all("ShuffledHashJoin" in p and "Sort [src" not in p for p in rounds)
+    assert len(sources) == 2 and not any("Join" in p for p in sources)  # no join of all arcs with their node's weight
+    out, want = {}, {r["id"]: 1 / 63 for r in nodes.collect()}
+    links = [tuple(r) for r in edges.collect()]
+    for a, _, w in links:
+        out[a] = out.get(a, 0) + w
+    for _ in range(2):
+        base = (0.85 * sum(r for i, r in want.items() if i not in out) + 0.15) / 63
+        want, old = dict.fromkeys(want, base), want
+        for a, b, w in links:
+            want[b] += 0.85 * old[a] * w / out[a]
+    assert ranks == pytest.approx(want)
+
+
 @pytest.mark.parametrize("seed", range(2))
 def test_distances_to_relevant_papers(spark, seed):
     nodes, edges = graph(spark, seed, n=40, m=70)
